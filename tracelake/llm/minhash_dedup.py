@@ -113,7 +113,8 @@ def verify(members: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
         ids = table.column("node").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(ids[[a for a, _ in edges]]), pa.array(ids[[b for _, b in edges]])], ["a", "b"])
 
-    texts = members.join(rows.select(F.col("_rid").alias("node"), "text"), "node").select("node", "component", "block", "n_blocks", "text")
+    # candidates grow with the corpus, so they are joined by shuffle at every size
+    texts = members.hint("merge").join(rows.select(F.col("_rid").alias("node"), "text"), "node").select("node", "component", "block", "n_blocks", "text")
     ready = units(texts.mapInArrow(sets, "node long, component long, block int, n_blocks int, shingles binary"))
     return per_unit(ready, links, "a long, b long")
 
@@ -128,7 +129,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8, r: i
     rows = keyed(as_text(docs))
     groups = _near_duplicates(rows, k, percent, m, r)
     first = saved(groups.groupBy("component").agg(F.min(F.struct("doc_id", "_rid")).alias("x")).select("x._rid"), "kept")
-    return rows.join(first, "_rid", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return rows.join(first.hint("merge"), "_rid", "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def _near_duplicates(rows: DataFrame, k: int, percent: int, m: int, r: int) -> DataFrame:

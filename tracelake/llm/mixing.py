@@ -128,4 +128,4 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     """The mixed documents themselves: each row as often as it is taken (rows without words not at all)."""
     rows = keyed(as_text(docs))
     copies = saved(_mixed(rows, weights, most, seed, None).where("copies > 0 and size > 0").select("_rid", "copies"), "copies")
-    return rows.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+    return rows.join(copies.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(f"`{c}`" for c in docs.columns))

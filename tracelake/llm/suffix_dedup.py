@@ -313,7 +313,7 @@ def cut_out(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
                 )
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("_rid", "doc_id", "text").join(spans, "_rid", "left").mapInArrow(
+    return rows.select("_rid", "doc_id", "text").join(spans.hint("merge"), "_rid", "left").mapInArrow(
         cut, f"_rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
@@ -341,7 +341,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
                         piece.append(data[a : a + (w["place"] & 0xFFFF) + length - 1].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(salts, pa.int32()), pa.array(piece, pa.binary())], ["anchor", "digest", "n_salts", "segment"])
 
-    pieces = rows.select("_rid", "text").join(wanted, "_rid").mapInArrow(take, "anchor long, digest long, n_salts int, segment binary")
+    pieces = rows.select("_rid", "text").join(wanted.hint("merge"), "_rid").mapInArrow(take, "anchor long, digest long, n_salts int, segment binary")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("n_salts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("o"))
     unit = salted.select("anchor", F.least("salt", "o").alias("b1"), F.greatest("salt", "o").alias("b2"), "digest", "salt", "segment")
     found = shard_hits(unit, length).where("size(spans) > 0").groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
