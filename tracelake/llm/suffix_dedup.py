@@ -322,9 +322,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     """(_rid, spans): byte ranges of each document that are covered by a repeated string."""
     table = saved(anchored(rows, length, k), "segments")
     every = table.select("_rid", F.explode(F.arrays_zip("anchors", "digests", "places")).alias("s")).select("_rid", "s.anchors", "s.digests", "s.places").toDF("_rid", "anchor", "digest", "place")
-    distinct = saved(every.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "place")).alias("where")), "distinct")
-    mixed = saved(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
-    open_ = distinct.join(mixed, "anchor").select("anchor", "digest", "n", "where._rid", "where.place", F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int").alias("n_salts"))
+    # anchors that occur once hold no repeat; those whose segments all agree need no text
+    often = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "often")
+    repeats = saved(every.join(often.hint("merge"), "anchor"), "repeats")
+    distinct = saved(repeats.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "place")).alias("where"), F.first("mixed").alias("mixed")), "distinct")
+    kinds = saved(distinct.where("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    open_ = distinct.where("mixed").join(kinds, "anchor").select("anchor", "digest", "n", "where._rid", "where.place", F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int").alias("n_salts"))
     # texts of one copy of each open segment
     wanted = open_.groupBy("_rid").agg(F.collect_list(F.struct("anchor", "digest", "place", "n_salts")).alias("want"))
 
@@ -347,7 +350,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     found = shard_hits(unit, length).where("size(spans) > 0").groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     twice = distinct.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), ((F.col("where.place").bitwiseAND(0xFFFF)) + (length - 1)).alias("stop"))).alias("spans"))
     hits = saved(twice.unionAll(found), "hits")
-    back = every.join(hits, ["anchor", "digest"]).select(
+    back = repeats.join(hits, ["anchor", "digest"]).select(
         "_rid", F.transform("spans", lambda s: F.struct((s.start + F.shiftright("place", 16)).alias("start"), (s.stop + F.shiftright("place", 16)).alias("stop"))).alias("spans")
     )
     return saved(back.groupBy("_rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
