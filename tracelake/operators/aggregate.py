@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tuple_text
+from ..storage import saved
 
 FIELDS = ("call_stack", "name", "shape", "dtype", "fwd_bwd_type", "pid", "tid", "op_index")
 
@@ -98,7 +99,7 @@ def merged_stacks(keys: DataFrame, others: Sequence[str], stack: str = "call_sta
     that begin no other.  Stacks send their prefixes, so the work is linear in their total length.  Rows without
     stack are left out.
     """
-    distinct = keys.where(F.col(stack).isNotNull()).select(*others, stack).distinct()
+    distinct = saved(keys.where(F.col(stack).isNotNull()).select(*others, stack).distinct(), "stacks")
     heads = F.transform(F.sequence(F.lit(0), F.size(stack) - 1), lambda n: F.slice(F.col(stack), 1, n))
     extended = distinct.where(F.size(stack) > 0).select(*others, F.explode(heads).alias("_head")).distinct()
     on_head = F.col("l._s").eqNullSafe(F.col("r._head"))

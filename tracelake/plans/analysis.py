@@ -14,6 +14,7 @@ from ..functions.time import readable
 from ..operators import aggregate, comm, compare, correlate, flow
 from ..operators.nesting import nest
 from ..sources import traces
+from ..storage import saved
 
 #: What a report can show of a group.
 SHOWN = ("dtype", "shape", "kernel_names", "kernel_duration", "timestamp", "readable_timestamp", "kernel_timestamp", "name", "call_stack", "stream", "pid", "tid", "fwd_bwd_type", "op_index")
@@ -33,10 +34,11 @@ def enriched(events: DataFrame) -> DataFrame:
 
     Times count from the file's first event.  Operations outside any thread or without dur have no stack.
     """
+    events = saved(events.drop("args"), "events")
     first = events.groupBy("file").agg(F.min("ts").alias("_first"))
     timed = events.join(first, "file").withColumn("readable_timestamp", readable(F.col("base_ns"), F.col("ts"))).withColumn("ts", F.col("ts") - F.col("_first")).drop("_first")
     threads = timed.select("file", F.col("pid").try_cast("bigint").alias("pid"), F.col("tid").try_cast("bigint").alias("tid"), "pos", "name", "cat", "ts", "dur")
-    placed = nest(threads).select("file", "pos", "cat", "ts", "path", F.when(F.col("cat") == "cpu_op", F.col("call_stack")).alias("call_stack"))
+    placed = saved(nest(threads), "nested").select("file", "pos", "cat", "ts", "path", F.when(F.col("cat") == "cpu_op", F.col("call_stack")).alias("call_stack"))
     placed = placed.withColumn("phase", F.when(F.col("cat") == "cpu_op", phase(F.col("call_stack"))).otherwise("none"))
     flows = timed.where("cat = 'fwdbwd'").select("file", "pos", "ph", "ts", "flow_id")
     done = flow.propagate(placed, flow.paired_operations(placed, flow.flow_pairs(flows))).select("file", "pos", "call_stack", F.col("phase").alias("fwd_bwd_type"))
@@ -45,14 +47,14 @@ def enriched(events: DataFrame) -> DataFrame:
 
 def prepared(events: DataFrame, filters: Filters = Filters(), coarse: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(operations, kernels) that launched one another, filtered, with representatives alone and op_index."""
-    rows = enriched(events)
+    rows = saved(enriched(events), "enriched")
     cpu, kernels = (rows.where((F.col("cat") == c) & F.col("ext_id").isNotNull()).withColumn("name", strip_kernel_suffix(F.col("name"))) for c in ("cpu_op", "kernel"))
     cpu, kernels = correlate.common_ids(cpu, kernels)
-    cpu = correlate.with_op_index(cpu).withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
+    cpu = saved(correlate.with_op_index(saved(cpu, "linked")), "operations").withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
     cpu = correlate.filter_names(cpu, filters.include_op, filters.exclude_op)
     kernels = correlate.filter_names(kernels, filters.include_kernel, filters.exclude_kernel)
     cpu, kernels = correlate.common_ids(cpu, kernels)
-    return correlate.representative_operations(cpu, coarse), correlate.representative_kernels(kernels)
+    return saved(correlate.representative_operations(cpu, coarse), "operations"), saved(correlate.representative_kernels(kernels), "kernels")
 
 
 def grouped(cpu: DataFrame, kernels: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) -> DataFrame:
@@ -60,11 +62,11 @@ def grouped(cpu: DataFrame, kernels: DataFrame, fields: Sequence[str], show: Seq
     keys = ["label", *aggregate.checked_fields(fields)]
     cpu = cpu.withColumn("dtype", F.coalesce("dtype", F.lit("unknown"))).withColumn("shape", F.coalesce("shape", F.lit("[]")))
     if "call_stack" in fields:
-        cpu = aggregate.with_merged_stacks(cpu, [k for k in keys if k != "call_stack"])
+        cpu = saved(aggregate.with_merged_stacks(cpu, [k for k in keys if k != "call_stack"]), "merged")
     shown = ["name", "dtype", "shape", "pid", "tid", "fwd_bwd_type", "op_index", "call_stack", "ts", "readable_timestamp"]
     groups = aggregate.first_rows(cpu, keys, shown)
-    links = correlate.linked(cpu, kernels, keys)
-    totals = aggregate.with_share(aggregate.kernel_totals(aggregate.kernel_statistics(links, keys), keys), ["label"])
+    links = saved(correlate.linked(cpu, kernels, keys), "links")
+    totals = aggregate.with_share(saved(aggregate.kernel_totals(aggregate.kernel_statistics(links, keys), keys), "totals"), ["label"])
     parts = [groups.alias("g"), totals.alias("t")]
     if "stream" in show:
         parts.append(aggregate.streams(links, keys).alias("s"))
@@ -159,7 +161,7 @@ def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Se
     rows = grouped(cpu, kernels, fields, show)
     cpu = cpu.withColumn("dtype", F.coalesce("dtype", F.lit("unknown"))).withColumn("shape", F.coalesce("shape", F.lit("[]")))
     if "call_stack" in fields:
-        cpu = aggregate.with_merged_stacks(cpu, ["label", *(f for f in fields if f != "call_stack")])
+        cpu = saved(aggregate.with_merged_stacks(cpu, ["label", *(f for f in fields if f != "call_stack")]), "merged")
     if "kernel_name" in equal:
         cpu = cpu.join(kernels.select("file", "ext_id", F.col("name").alias("_kernel_name")), ["file", "ext_id"], "left")
     return comparison(rows, cpu, fields, list(sets), show, equal)
