@@ -19,6 +19,8 @@ doc_ids stand in the order of a hash of their text, null ones first.  An empty t
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from . import bytesops as B
 from .common import as_text, saved, scratch_dir
 
 SEQUENCE, END = 2048, 2
-#: Distinct pieces that a task remembers.
+#: Distinct pieces that a worker remembers.
 CACHE_PIECES = 400_000
 #: Sequences in one record batch.
 BATCH = 128
@@ -100,27 +102,31 @@ class Encoder:
         slots = [self.slot.get(k, -1) for k in keys]
         new = [i for i, s in enumerate(slots) if s < 0]
         if new:
-            raw = data.tobytes()
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[start[one[i]] : stop[one[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)]
-            base = len(self.slot)
-            for j, i in enumerate(new):
-                self.slot[keys[i]] = slots[i] = base + j
-            self.flat = [np.concatenate([*self.flat, np.fromiter((x for e in ids for x in e), np.uint32)])]
-            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(e) for e in ids])])
+            raw, where = data.tobytes(), one[new]
+            pieces = [raw[a:z].decode("utf-8", "replace") for a, z in zip(start[where].tolist(), stop[where].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            for j, i in enumerate(new, len(self.slot)):
+                self.slot[keys[i]] = slots[i] = j
+            self.flat = [np.concatenate([*self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])]
+            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(list(map(len, ids)))])
         slot = np.array(slots)[number]
         size = self.ptr[slot + 1] - self.ptr[slot]
         total = np.append(0, np.cumsum(size))
-        # ids of the pieces one after the other, with room for each text's end id
-        bounds = total[np.searchsorted(start, offs)]
-        text = np.searchsorted(offs, start, "right") - 1
-        where = total[:-1] + text
-        out_ptr = bounds + np.arange(n_texts + 1)
-        out = np.full(int(out_ptr[-1]), END, np.uint32)
-        shift = np.arange(int(total[-1])) - np.repeat(total[:-1], size)
-        out[np.repeat(where, size) + shift] = self.flat[0][np.repeat(self.ptr[slot], size) + shift]
+        # ids of the pieces one after the other, with each text's end id between
+        out_ptr = total[np.searchsorted(start, offs)] + np.arange(n_texts + 1)
+        body = np.ones(int(out_ptr[-1]), bool)
+        body[out_ptr[1:] - 1] = False
+        out = np.full(len(body), END, np.uint32)
+        out[body] = self.flat[0][np.repeat(self.ptr[slot] - total[:-1], size) + np.arange(int(total[-1]))]
         return out, out_ptr
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a Python worker, which keeps it from task to task."""
+    return Encoder(path)
+
+
 def open_dir(uri: str):
     """(file system, path) of a folder that the cluster shares."""
     from pyarrow import fs
@@ -220,7 +226,7 @@ def write_sequences(docs: DataFrame, tokenizer: str | None = None, length: int =
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
                 if writer is None:
-                    encoder = Encoder(path)
+                    encoder = encoder_of(path)
                     writer = SequenceWriter(folder, length, encoder.tokenizer.get_vocab_size())
                 writer.add(part.column("doc_id"), *encoder.encode(data, offs))
         if writer is not None:
