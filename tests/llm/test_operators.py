@@ -149,3 +149,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert len(out) == docs.count() and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    import random
+
+    import numpy as np
+    from tracelake.llm import bytesops, token_output
+
+    encoder = token_output.Encoder(token_output.public_tokenizer())
+    rng = random.Random(3)
+    letters = ["a", "b", "'s", "1", " ", " ", "\n", "\t", "\r", "\x00", "\x7f", "\x85", "\xa0", " ", " ", "　", "é", "漢", "🙂", "<|endoftext|>", ".", "word", "́", "​"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 5, 300]))) for _ in range(60)]
+        raw = [t.encode() for t in texts]
+        data, offs = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+        ids, ptr = encoder.encode(data, offs)
+        for k, text in enumerate(texts):
+            assert ids[ptr[k] : ptr[k + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, token_output.END]

@@ -36,7 +36,9 @@ from .common import as_text, saved, scratch_dir
 
 SEQUENCE, END = 2048, 2
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
+#: New pieces that the tokenizers library gets as one text.
+JOINED_PIECES = 1_000
 #: Sequences in one record batch.
 BATCH = 128
 
@@ -78,38 +80,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a byte-level token has one character per byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[tuple[int, int], int] = {}
-        self.flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        # pieces in order of their hash, each with its slot in ptr
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
         self.ptr = np.zeros(1, np.int64)
 
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64)
+
+    def _alone(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._batch([data[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(start.tolist(), stop.tolist(), strict=True)])
+
+    def _joined(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like _alone, for pieces that start and end at a cut: they are encoded side by side and told apart by the widths of the tokens."""
+        size = stop - start
+        end = np.cumsum(size)
+        if not len(end) or self.tokenizer.normalizer is not None:
+            return self._alone(data, start, stop)
+        whole = data[np.repeat(start - end + size, size) + np.arange(int(end[-1]))]
+        bounds = [0, *end[JOINED_PIECES - 1 :: JOINED_PIECES].tolist()]
+        if bounds[-1] < len(whole):
+            bounds.append(len(whole))
+        ids, _ = self._batch([whole[a:z].tobytes().decode("utf-8", "replace") for a, z in itertools.pairwise(bounds)])
+        reach = np.cumsum(self.width[ids])
+        last = np.searchsorted(reach, end)
+        if last[-1] != len(ids) - 1 or (reach[last] != end).any():  # bytes that are no UTF-8
+            return self._alone(data, start, stop)
+        return ids, np.diff(last, prepend=-1)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and their offsets, end ids included."""
         n_texts = len(offs) - 1
         if not len(data):
             return np.full(n_texts, END, np.uint32), np.arange(n_texts + 1)
-        if len(self.slot) > CACHE_PIECES:
+        if len(self.hash) > CACHE_PIECES:
             self.clear()
         start = piece_starts(data, offs)
         stop = np.append(start[1:], len(data))
         prefix = B.prefix_hash(data)
-        h = B.span_hash(prefix, start, stop)
-        check = B.span_hash(prefix, start, np.minimum(start + 3, stop)) ^ (B.span_hash(prefix, np.maximum(stop - 5, start), stop) * np.uint64(0x9E3779B97F4A7C15))
-        _, one, number = np.unique(h, return_index=True, return_inverse=True)
-        keys = list(zip(h[one].tolist(), check[one].tolist(), strict=True))
-        slots = [self.slot.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
-            raw, where = data.tobytes(), one[new]
-            pieces = [raw[a:z].decode("utf-8", "replace") for a, z in zip(start[where].tolist(), stop[where].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            for j, i in enumerate(new, len(self.slot)):
-                self.slot[keys[i]] = slots[i] = j
-            self.flat = [np.concatenate([*self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])]
-            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(list(map(len, ids)))])
-        slot = np.array(slots)[number]
+        h, one, number = np.unique(B.span_hash(prefix, start, stop), return_index=True, return_inverse=True)
+        a, z = start[one], stop[one]
+        check = B.span_hash(prefix, a, np.minimum(a + 3, z)) ^ (B.span_hash(prefix, np.maximum(z - 5, a), z) * np.uint64(0x9E3779B97F4A7C15))
+        slots = np.full(len(h), -1, np.int64)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            slots = np.where((self.hash[at] == h) & (self.check[at] == check), self.slot[at], -1)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offs] = True
+            inner = ~(edge[a[new]] | edge[z[new]])
+            new = np.concatenate([new[inner], new[~inner]])
+            n = int(inner.sum())
+            parts = [self._joined(data, a[new[:n]], z[new[:n]]), self._alone(data, a[new[n:]], z[new[n:]])]
+            slots[new] = len(self.ptr) - 1 + np.arange(len(new))
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(np.concatenate([sizes for _, sizes in parts]))])
+            known = np.concatenate([self.hash, h[new]])
+            order = np.argsort(known, kind="stable")
+            self.hash, self.check, self.slot = known[order], np.concatenate([self.check, check[new]])[order], np.concatenate([self.slot, slots[new]])[order]
+        slot = slots[number]
         size = self.ptr[slot + 1] - self.ptr[slot]
         total = np.append(0, np.cumsum(size))
         # ids of the pieces one after the other, with each text's end id between
@@ -117,7 +157,7 @@ class Encoder:
         body = np.ones(int(out_ptr[-1]), bool)
         body[out_ptr[1:] - 1] = False
         out = np.full(len(body), END, np.uint32)
-        out[body] = self.flat[0][np.repeat(self.ptr[slot] - total[:-1], size) + np.arange(int(total[-1]))]
+        out[body] = self.flat[np.repeat(self.ptr[slot] - total[:-1], size) + np.arange(int(total[-1]))]
         return out, out_ptr
 
 
