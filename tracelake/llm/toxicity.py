@@ -6,10 +6,13 @@ below `SHARED` both classes back off to the same continuation counts, so that ra
 alike.  A word's value is the difference of its two log-likelihoods; a text has the mean value of its words
 and the mean of what exceeds `STRONG`, both length-normalised, from which a logistic curve makes the score.
 
-Counts come from one part of the training rows and the curve from another, each a bounded sample: at most
-`MAX_DOCS` labelled texts a class and part, in the order of a hash of the id, and at most `MAX_WORDS`
-distinct words, the commonest first and equally rare ones in the order of a hash.  Everything else runs over all rows; neither labels nor language,
-source or id are inputs of a score.
+Counts come from all labelled rows of two parts of the ids, and the curve from a bounded sample of a third: at
+most `MAX_DOCS` labelled texts a class, in the order of a hash of the id.  Grams, continuation counts and
+contexts are tables that grow with the labelled texts; the grams of the corpus's distinct words are joined to
+them, words to their grams and texts to their words.  Only the values of the `CACHED` commonest grams and
+words are sent to all tasks, so that no common key is joined; this changes no result, since values are whole
+multiples of 1 / `UNIT` and their sums exact in any order.  Neither labels nor language, source or id are
+inputs of a score.
 
 Null, empty and wordless texts score as a text with no evidence (the curve at zero).  Rows without label or
 with a null label don't train; a document labelled twice trains with each.  With one class missing all
@@ -24,110 +27,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytesops as B
-from .common import as_text, saved
+from .common import as_text, keyed, saved
 
 ORDER, SHARED, DISCOUNT = 6, 1, 0.75
 STRONG = 3.0
-MAX_DOCS, MAX_WORDS = 4000, 120_000
-MARK = 0x20
-
-
-# ---- the model (bounded, on one machine) ----------------------------------------------------------
-
-def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words between marks, end to end, and their offsets."""
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    return np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8), np.append(0, np.cumsum(sizes))
-
-
-def gram_hashes(prefix: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte but the first of a word: its place, and the hashes of the `order` bytes up to it and of those before it."""
-    n = len(prefix) - 1
-    start = np.repeat(offs[:-1], np.diff(offs))
-    at = np.arange(n)
-    at = at[at > start]
-    begin = np.maximum(at - order + 1, start[at])
-    return at, B.span_hash(prefix, begin, at + 1), B.span_hash(prefix, begin, at)
-
-
-class Kneser:
-    """Backoff tables: for each order the log-probabilities of known grams and the weights of known contexts."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray) -> None:
-        """counts: (number of words, 2): how often ordinary and toxic texts have each word."""
-        data, offs = marked(words)
-        prefix = B.prefix_hash(data)
-        weight = np.repeat(counts, np.diff(offs), axis=0).astype(np.float32)
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        lower = None
-        for order in range(1, ORDER + 1):
-            at, gram, context = gram_hashes(prefix, offs, order)
-            grams, first, number = np.unique(gram, return_index=True, return_inverse=True)
-            contexts, slot = np.unique(context[first], return_inverse=True)
-            if order < ORDER:
-                # continuation counts: in how many longer grams it stands, in the class or (shared) in either
-                _, longer, _ = gram_hashes(prefix, offs, order + 1)
-                _, one, which = np.unique(longer, return_index=True, return_inverse=True)
-                seen = np.stack([np.bincount(which, weight[at, k]) for k in (0, 1)], 1) > 0
-                if order <= SHARED:
-                    seen[:] = True
-                where = np.searchsorted(grams, gram[one])
-                c = np.stack([np.bincount(where, seen[:, k], len(grams)) for k in (0, 1)], 1)
-            else:
-                c = np.stack([np.bincount(number, weight[at, k], len(grams)) for k in (0, 1)], 1)
-            total = np.stack([np.bincount(slot, c[:, k], len(contexts)) for k in (0, 1)], 1)
-            kinds = np.stack([np.bincount(slot, c[:, k] > 0, len(contexts)) for k in (0, 1)], 1)
-            back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1e-9), 1.0)
-            if lower is None:
-                below = np.full((len(grams), 2), 1 / 256)
-            else:
-                short = gram_hashes(prefix, offs, order - 1)[1][first]
-                below = lower[1][np.searchsorted(lower[0], short)]
-            p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[slot], 1e-9) + back[slot] * below
-            lower = (grams, p)
-            logs, weights = np.log(p), np.log(back)
-            self.tables.append((grams, logs[:, 1] - logs[:, 0], contexts, weights[:, 1] - weights[:, 0]))
-
-    def values(self, words: list[bytes]) -> np.ndarray:
-        """Difference of the two log-likelihoods of each word."""
-        if not words:
-            return np.zeros(0)
-        data, offs = marked(words)
-        prefix = B.prefix_hash(data)
-        value = np.zeros(len(data))
-        start = np.repeat(offs[:-1], np.diff(offs))
-        at = np.arange(len(data))
-        at = at[at > start]
-        for order in range(ORDER, 0, -1):
-            grams, logs, contexts, weights = self.tables[order - 1]
-            begin = np.maximum(at - order + 1, start[at])
-            h = B.span_hash(prefix, begin, at + 1)
-            found = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-            known = grams[found] == h
-            value[at[known]] += logs[found[known]]
-            at, begin = at[~known], begin[~known]
-            h = B.span_hash(prefix, begin, at)
-            found = np.minimum(np.searchsorted(contexts, h), len(contexts) - 1)
-            known = contexts[found] == h
-            value[at[known]] += weights[found[known]]
-            if not len(at):
-                break
-        return np.add.reduceat(value, offs[:-1])
-
-
-def features(model: Kneser, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(mean value, mean excess over STRONG) of each text; each distinct word of a block is valued once."""
+MAX_DOCS, CACHED = 4000, 100_000
+UNIT = 1 << 20
+
+
+# ---- blocks of texts and words ---------------------------------------------------------------------
+
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The `ORDER` bytes up to each byte but the first of the marked words, as one number, and their words' places.
+
+    Grams of lower orders are the last bytes of these, and contexts all bytes but the last.
+    """
+    offs = np.append(0, np.cumsum([len(w) + 2 for w in words])).astype(np.int64)
+    data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8)
+    owner = np.repeat(np.arange(len(words)), np.diff(offs))
+    inside = np.arange(len(data)) - offs[owner]
+    gram = np.zeros(len(data), np.int64)
+    for back in range(ORDER):
+        own = np.flatnonzero(inside >= back)
+        gram[own] |= data[own - back].astype(np.int64) << (8 * back)
+    return gram[inside > 0], owner[inside > 0]
+
+
+def block_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(hashes and bytes of the distinct words, number of each word, first word of each text) of a block."""
     data = B.LOWER[data]
     starts, ends, first = B.words(data, offs, B.ALNUM)
-    hashes = B.span_hash(B.prefix_hash(data), starts, ends)
-    _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes, one, number = np.unique(B.span_hash(B.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
     raw = data.tobytes()
-    value = model.values([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[number]
-    total = np.concatenate([np.zeros((1, 2)), np.cumsum(np.stack([value, np.maximum(value - STRONG, 0)], 1), axis=0)])
-    return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
+    return hashes.view(np.int64), [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], number, first
+
+
+def looked_up(keys: np.ndarray, cache: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(known, value) of each key; cache: sorted keys and their values."""
+    if not len(cache[0]):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(cache[0], keys), len(cache[0]) - 1)
+    known = cache[0][at] == keys
+    return known, np.where(known, cache[1][at], 0)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -151,93 +94,180 @@ def part_of(doc_id: str | Column = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic) of texts (text, toxic)."""
+def training_grams(texts: DataFrame) -> DataFrame:
+    """(gram, ordinary, toxic): how often texts (text, toxic) of each class hold each gram of the highest order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
-                data = B.LOWER[data]
-                starts, ends, first = B.words(data, offs, B.ALNUM)
-                _, one, number = np.unique(B.span_hash(B.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+                _, words, number, first = block_words(data, offs)
                 label = np.repeat(part.column("toxic").to_numpy(), np.diff(first))
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], pa.binary()),
-                        *(pa.array(np.bincount(number, label == k, len(one)).astype(np.int64)) for k in (0, 1)),
-                    ],
-                    ["word", "ordinary", "toxic"],
-                )
-
-    return texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFrame:
-    """(text, toxic, part) of at most `most` training documents a class for the counts, and as many for the curve.
-
-    The choice reads ids and labels alone; its size is bounded, so it is broadcast to the texts.
+                gram, owner = word_grams(words)
+                grams, which = np.unique(gram, return_inverse=True)
+                times = [np.bincount(number, label == k, len(words))[owner] for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams), *(pa.array(np.bincount(which, t, len(grams)).astype(np.int64)) for t in times)], ["gram", "ordinary", "toxic"])
+
+    return texts.select("text", "toxic").mapInArrow(count, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def last_bytes(gram: Column, order: Column | int) -> Column:
+    """A gram of the given order from a longer one."""
+    order = F.lit(order) if isinstance(order, int) else order
+    return gram.bitwiseAND(F.element_at(F.array(*(F.lit((1 << 8 * o) - 1).cast("long") for o in range(1, ORDER + 1))), order))
+
+
+def backoff(highest: DataFrame) -> DataFrame:
+    """(kind, n, gram, x0, x1): of each order n what known grams have (kind 0) and what contexts leave to order n - 1 (kind 1), by class."""
+    orders = F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n")
+    every = highest.select("gram", "ordinary", "toxic", orders).groupBy("n", last_bytes(F.col("gram"), F.col("n")).alias("gram")).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    every = saved(every, "grams")
+    # continuation counts: in how many longer grams it stands, in the class or (shared) in either
+    seen = lambda c: ((F.col(c) > 0) | (F.col("n") <= SHARED + 1)).cast("long")
+    lower = every.where("n > 1").groupBy((F.col("n") - 1).alias("n"), last_bytes(F.col("gram"), F.col("n") - 1).alias("gram")).agg(F.sum(seen("ordinary")).alias("c0"), F.sum(seen("toxic")).alias("c1"))
+    counts = saved(every.where(F.col("n") == ORDER).select("n", "gram", F.col("ordinary").alias("c0"), F.col("toxic").alias("c1")).unionAll(lower), "continuations")
+    counts = counts.withColumn("context", F.shiftright("gram", 8))
+    sums = [f(k) for k in (0, 1) for f in (lambda k: F.sum(f"c{k}").alias(f"t{k}"), lambda k: F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"kinds{k}"))]
+    contexts = saved(counts.groupBy("n", "context").agg(*sums), "contexts")
+    known = counts.join(contexts, ["n", "context"]).select(
+        F.lit(0).alias("kind"), "n", "gram", *(F.when(F.col(f"t{k}") > 0, F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{k}")).otherwise(0.0).alias(f"x{k}") for k in (0, 1))
+    )
+    left = contexts.select(F.lit(1).alias("kind"), "n", F.col("context").alias("gram"), *(F.when(F.col(f"t{k}") > 0, DISCOUNT * F.col(f"kinds{k}") / F.col(f"t{k}")).otherwise(1.0).alias(f"x{k}") for k in (0, 1)))
+    return saved(known.unionAll(left), "backoff")
+
+
+def gram_values(grams: DataFrame, tables: DataFrame) -> DataFrame:
+    """(key, times, value) of grams (gram, times): the difference of their log-likelihoods in units of 1 / UNIT.
+
+    Keys of one or two bytes, which many grams share, are so few that they are broadcast.
     """
-    known = docs.select("doc_id").distinct().join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    known = saved(known.withColumn("part", part_of()).where("part <> 2").withColumn("h", F.xxhash64("doc_id")), "labelled")
-    chosen = None
-    for curve in (False, True):
-        for toxic in (0, 1):
-            own = known.where((F.col("toxic") == toxic) & ((F.col("part") == 3) == curve)).orderBy("h").limit(most)
-            chosen = own if chosen is None else chosen.unionAll(own)
-    chosen = saved(chosen.select("doc_id", "toxic", "part"), "chosen")
-    return saved(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part"), "training")
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Kneser | None, np.ndarray]:
-    """The models and the curve, from labelled rows that aren't held out."""
-    training = sample(as_text(docs).select("doc_id", "text"), labels)
-    shares = {r.toxic: r["count"] for r in training.groupBy("toxic").count().collect()}
-    if not (shares.get(0) and shares.get(1)):
-        return None, np.array([0.0, 0.0, 30.0 if shares.get(1) else -30.0])
-    # rare words in the order of a hash, so that both classes lose the same share of theirs
-    table = word_counts(training.where("part <> 3")).orderBy(F.desc(F.col("ordinary") + F.col("toxic")), F.xxhash64("word")).limit(MAX_WORDS).toPandas()
-    if not len(table):
-        return None, np.array([0.0, 0.0, -30.0])
-    model = Kneser([bytes(w) for w in table["word"]], table[["ordinary", "toxic"]].to_numpy())
-    rows = sampled_features(training.where("part = 3"), model).toPandas()
-    if rows["toxic"].nunique() < 2:  # too few rows for a part of their own
-        rows = sampled_features(training, model).toPandas()
-    return model, fit_curve(rows[["mean", "strong"]].to_numpy(), rows["toxic"].to_numpy(float))
+    asked = grams.select("gram", F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n")).withColumn("own", last_bytes(F.col("gram"), F.col("n")))
+    asked = asked.select(F.col("gram").alias("key"), "n", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("gram")), F.struct(F.lit(1).alias("kind"), F.shiftright("own", 8).alias("gram")))).alias("s"))
+    asked = asked.select("key", "n", "s.kind", "s.gram")
+    on, short = ["kind", "n", "gram"], F.col("gram") < 1 << 16
+    found = asked.where(short).join(F.broadcast(tables.where(short)), on).unionByName(asked.where(~short).join(tables.where(~short), on))
+    of = lambda kind, n, k: F.max(F.when((F.col("kind") == kind) & (F.col("n") == n), F.col(f"x{k}"))).alias(f"x{kind}{n}{k}")
+    wide = found.groupBy("key").agg(*(of(kind, n, k) for kind in (0, 1) for n in range(1, ORDER + 1) for k in (0, 1)))
+    p = [F.lit(1 / 256)] * 2
+    for n in range(1, ORDER + 1):
+        wide = wide.select("*", *((F.coalesce(f"x0{n}{k}", F.lit(0.0)) + F.coalesce(f"x1{n}{k}", F.lit(1.0)) * p[k]).alias(f"p{n}{k}") for k in (0, 1)))
+        p = [F.col(f"p{n}{k}") for k in (0, 1)]
+    value = F.round((F.log(p[1]) - F.log(p[0])) * UNIT).cast("long")
+    return saved(wide.select("key", value.alias("value")).join(grams.withColumnRenamed("gram", "key"), "key").select("key", "times", "value"), "gram-values")
+
+
+def cached(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the commonest keys, CACHED at most, by key.
+
+    Counts are cut at eighths of powers of two, so that no rows are sorted and none but those are gathered.
+    """
+    level = F.floor(F.log2("times") * 8).alias("level")
+    left, least = CACHED, 1 << 30
+    for r in sorted(values.groupBy(level).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.level
+    table = values.where(level >= least).select("key", "value").toPandas().sort_values("key")
+    return table["key"].to_numpy(np.int64), table["value"].to_numpy(np.int64)
 
 
-def sampled_features(texts: DataFrame, model: Kneser) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def word_values(docs: DataFrame, tables: DataFrame) -> DataFrame:
+    """(key, times, value) of the distinct words of docs; key: hash of the word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in B.text_blocks(batch, "text"):
-                x = features(shared.value, data, offs)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column("toxic")], ["mean", "strong", "toxic"])
-
-    return texts.mapInArrow(run, "mean double, strong double, toxic int")
+            for _, data, offs in B.text_blocks(batch, "text"):
+                hashes, words, number, _ = block_words(data, offs)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(words, pa.binary()), pa.array(np.bincount(number, minlength=len(words)))], ["key", "word", "times"])
 
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, times = np.unique(word_grams(batch.column("word").to_pylist())[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times)], ["gram", "times"])
 
-def score(docs: DataFrame, model: Kneser | None, curve: np.ndarray) -> DataFrame:
-    """docs and their column toxic_score (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, curve))
+    words = docs.select("text").mapInArrow(split, "key long, word binary, times long").groupBy("key").agg(F.min("word").alias("word"), F.sum("times").alias("times"))
+    words = saved(words, "words")
+    known = saved(words.select("word").mapInArrow(grams, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")), "word-grams")
+    values = gram_values(known, tables)
+    cache = docs.sparkSession.sparkContext.broadcast(cached(values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, curve = shared.value
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, owner = word_grams(batch.column("word").to_pylist())
+            found, value = looked_up(gram, cache.value)
+            key, n = batch.column("key").to_numpy(), batch.num_rows
+            own = np.zeros(n, np.int64)
+            np.add.at(own, owner, value)
+            rest = ~found
+            # the row of a word itself asks for nothing
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(key, key[owner[rest]])), pa.array(np.append(key, gram[rest])), pa.array(np.repeat([0, 1], [n, rest.sum()])), pa.array(np.append(own, np.zeros(rest.sum(), np.int64)))], ["word", "key", "n", "known"])
+
+    rows = words.select("key", "word").mapInArrow(add, "word long, key long, n long, known long").join(values.select("key", "value"), "key", "left")
+    sums = rows.groupBy("word").agg(F.sum(F.col("known") + F.col("n") * F.coalesce("value", F.lit(0))).alias("value"))
+    return saved(words.select("key", "times").join(sums.withColumnRenamed("word", "key"), "key"), "word-values")
+
+
+def features(docs: DataFrame, tables: DataFrame) -> DataFrame:
+    """(_rid, doc_id, mean, strong) of docs (_rid, doc_id, text): the mean value of a text's words and their mean excess over STRONG."""
+    values = word_values(docs, tables)
+    cache = docs.sparkSession.sparkContext.broadcast(cached(values))
+    strong = int(STRONG * UNIT)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
-                x = features(model, data, offs) if model is not None else np.zeros((part.num_rows, 2))
-                p = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "toxic_score"])
-
-    docs = as_text(docs.drop("toxic_score"))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+                hashes, _, number, first = block_words(data, offs)
+                found, value = looked_up(hashes, cache.value)
+                each = value[number]
+                sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(np.stack([each, np.where(found[number], np.maximum(each - strong, 0), 0)], 1), axis=0)])
+                sums = sums[first[1:]] - sums[first[:-1]]
+                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+                rest = ~found[number]
+                pairs, times = np.unique(np.stack([owner[rest], number[rest]]), axis=1, return_counts=True) if rest.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                rid, zero = part.column("_rid").to_numpy(), np.zeros(len(times), np.int64)
+                # the row of a text itself asks for nothing
+                columns = [np.append(rid, rid[pairs[0]]), np.append(rid, hashes[pairs[1]]), np.append(np.zeros(len(rid), np.int64), times), np.append(sums[:, 0], zero), np.append(sums[:, 1], zero), np.append(np.diff(first), zero)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_rid", "key", "n", "known", "excess", "words"])
+
+    rows = docs.select("_rid", "text").mapInArrow(add, "_rid long, key long, n long, known long, excess long, words long").join(values.select("key", "value"), "key", "left")
+    value = F.coalesce("value", F.lit(0))
+    sums = rows.groupBy("_rid").agg(F.sum(F.col("known") + F.col("n") * value).alias("known"), F.sum(F.col("excess") + F.col("n") * F.greatest(value - strong, F.lit(0))).alias("excess"), F.sum("words").alias("words"))
+    mean = lambda c: F.col(c) / F.greatest(F.col("words"), F.lit(1)) / UNIT
+    return saved(docs.select("_rid", "doc_id").join(sums.select("_rid", mean("known").alias("mean"), mean("excess").alias("strong")), "_rid"), "features")
+
+
+def curve_rows(known: DataFrame, most: int) -> DataFrame:
+    """(mean, strong, toxic) of at most `most` rows a class of known (doc_id, mean, strong, toxic)."""
+    own = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(most) for k in (0, 1)]
+    return own[0].unionAll(own[1]).select("mean", "strong", "toxic")
+
+
+def scored(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFrame:
+    """(_rid, toxic_score) of docs (_rid, doc_id, text)."""
+    labels = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    part = part_of()
+    shares = {r.toxic: r["count"] for r in docs.where(part != 2).select("doc_id").join(labels.where(part != 2), "doc_id").groupBy("toxic").count().collect()}
+    if not (shares.get(0) and shares.get(1)):
+        return docs.select("_rid", F.lit(1 / (1 + np.exp(-30.0 if shares.get(1) else 30.0))).alias("toxic_score"))
+    # the ids of a part are chosen before the join, so that only their texts are moved
+    highest = saved(training_grams(docs.where(part < 2).select("doc_id", "text").join(labels.where(part < 2), "doc_id")), "training-grams")
+    if highest.isEmpty():
+        return docs.select("_rid", F.lit(1 / (1 + np.exp(30.0))).alias("toxic_score"))
+    found = features(docs, backoff(highest))
+    known = found.join(labels, "doc_id").where(part != 2)
+    rows = curve_rows(known.where(part == 3), most).toPandas()
+    if rows["toxic"].nunique() < 2:  # too few rows for a part of their own
+        rows = curve_rows(known, most).toPandas()
+    w = [float(x) for x in fit_curve(rows[["mean", "strong"]].to_numpy(), rows["toxic"].to_numpy(float))]
+    evidence = F.col("mean") * w[0] + F.col("strong") * w[1] + w[2]
+    return found.select("_rid", (1 / (1 + F.exp(-F.greatest(F.least(evidence, F.lit(30.0)), F.lit(-30.0))))).alias("toxic_score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs with toxic_score and toxic_predicted (1 from the threshold on)."""
-    model, curve = fit(docs, labels)
-    return score(docs, model, curve).withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+    docs = keyed(as_text(docs.drop("toxic_score")))
+    scores = scored(docs.select("_rid", "doc_id", "text"), labels)
+    return docs.join(scores, "_rid").drop("_rid").withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
