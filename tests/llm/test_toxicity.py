@@ -1,6 +1,7 @@
 """The toxicity models against plain ones, and what happens beyond the sizes of samples."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -79,3 +80,16 @@ def test_counts_read_all_labelled_texts(spark):
     labels = ids.select(F.col("id").alias("doc_id"), "toxic")
     score = {r.doc_id: r.toxic_score for r in toxicity.classify(docs, labels).where("doc_id < 0").collect()}
     assert score[-1] > 0.9 and score[-2] < 0.3
+
+
+def test_scores_stay_where_the_sample_of_the_curve_is_small(spark):
+    """5 % of the rows are toxic; evidence is weak, so that the share of toxic rows shows in the scores."""
+    rng = random.Random(1)
+    toxic = [int(rng.random() < 0.05) for _ in range(8000)]
+    texts = [" ".join("bad" if rng.random() < (0.3 if y else 0.2) else "good" for _ in range(10)) for y in toxic]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)] + [(8000, 8000, "")], "_rid long, doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    full, few = ({r._rid: r.toxic_score for r in toxicity.scored(docs, labels, most).collect()} for most in (4000, 90))
+    mean = [sum(x.values()) / len(x) for x in (full, few)]
+    print("mean scores", mean, "no evidence", full[8000], few[8000])
+    assert mean[0] == pytest.approx(0.05, abs=0.02) and mean[1] == pytest.approx(mean[0], abs=0.02)

@@ -7,7 +7,7 @@ alike.  A word's value is the difference of its two log-likelihoods; a text has
 and the mean of what exceeds `STRONG`, both length-normalised, from which a logistic curve makes the score.
 
 Counts come from all labelled rows of two parts of the ids, and the curve from a bounded sample of a third: at
-most `MAX_DOCS` labelled texts a class, in the order of a hash of the id.  Grams, continuation counts and
+most `MAX_DOCS` labelled texts a class, in the order of a hash of the id, weighted by what their class has in all.  Grams, continuation counts and
 contexts are tables that grow with the labelled texts; the grams of the corpus's distinct words are joined to
 them, words to their grams and texts to their words.  Only the values of the `CACHED` commonest grams and
 words are sent to all tasks, so that no common key is joined; this changes no result, since values are whole
@@ -73,14 +73,15 @@ def looked_up(keys: np.ndarray, cache: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return known, np.where(known, cache[1][at], 0)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression on standardised features, by Newton steps; (weights..., constant) for raw features."""
-    mean, sd = x.mean(0), x.std(0) + 1e-9
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of weighted rows on standardised features, by Newton steps; (weights..., constant) for raw features."""
+    mean = np.average(x, axis=0, weights=weight)
+    sd = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
     z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (weight * (y - p)) - 1e-2 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -237,9 +238,13 @@ def features(docs: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def curve_rows(known: DataFrame, most: int) -> DataFrame:
-    """(mean, strong, toxic) of at most `most` rows a class of known (doc_id, mean, strong, toxic)."""
-    own = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(most) for k in (0, 1)]
-    return own[0].unionAll(own[1]).select("mean", "strong", "toxic")
+    """(mean, strong, toxic, weight) of at most `most` rows a class of known (doc_id, mean, strong, toxic).
+
+    A row stands for as many as its class has for each of its rows here, so that the share of toxic rows stays.
+    """
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    own = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(most).withColumn("weight", F.lit(max(1.0, sizes.get(k, 0) / most))) for k in (0, 1)]
+    return own[0].unionAll(own[1]).select("mean", "strong", "toxic", "weight")
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFrame:
@@ -258,7 +263,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFram
     rows = curve_rows(known.where(part == 3), most).toPandas()
     if rows["toxic"].nunique() < 2:  # too few rows for a part of their own
         rows = curve_rows(known, most).toPandas()
-    w = [float(x) for x in fit_curve(rows[["mean", "strong"]].to_numpy(), rows["toxic"].to_numpy(float))]
+    w = [float(x) for x in fit_curve(rows[["mean", "strong"]].to_numpy(), rows["toxic"].to_numpy(float), rows["weight"].to_numpy())]
     evidence = F.col("mean") * w[0] + F.col("strong") * w[1] + w[2]
     return found.select("_rid", (1 / (1 + F.exp(-F.greatest(F.least(evidence, F.lit(30.0)), F.lit(-30.0))))).alias("toxic_score"))
 
