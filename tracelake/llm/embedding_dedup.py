@@ -70,11 +70,13 @@ class ProductCode:
         out = []
         for a, b, x, y in zip(left, right, by_left, by_right, strict=True):
             a, b = a[x], b[y]
-            limit = min(self.threshold, a[0] + b[0])
+            # the slack keeps the best one where a sum and a difference round differently
+            limit = min(self.threshold, a[0] + b[0]) - 1e-12
             near = a + b[0] >= limit
             n = np.searchsorted(-b, a[near] - limit, "right")
             i = np.repeat(np.arange(len(n)), n)
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            assert len(i), "a vector has no filter"
             out.append(np.sort(x[i].astype(np.int64) * (w * w) + y[j]))
         return out
 
