@@ -1,15 +1,15 @@
 """Embedding near-duplicates with spherical-cap filters of a random product code.
 
-A random rotation is followed by a cut into `PARTS` parts; each part has a codebook of random unit vectors.  A
-filter direction is one code word per part, so codebooks of C words give C**PARTS directions of which none
-is stored.  Each vector is list-decoded to all directions whose inner product exceeds a threshold: sums
-of two parts are sorted and met in the middle, so the cost follows the length of the list.  Vectors that
+Each of `TURNS` independent random rotations is followed by a cut into `PARTS` parts; each part has a codebook of
+random unit vectors.  A filter direction is one code word per part, so codebooks of C words give C**PARTS
+directions of which none is stored.  Each vector is list-decoded to its `BEST` directions of each rotation, so that
+none has fewer: the best sums of two parts are met in the middle.  Vectors that
 share a filter are compared exactly in double precision, and each linked pair counts in its first common
 filter only.
 
-The number of directions grows with the number of distinct vectors and the threshold falls on the same
-expected list length per vector, so that a filter holds about as many vectors at any size.  A filter that
-many similar vectors share is cut into blocks, and pairs of blocks are spread over the cluster.
+The number of directions grows with the number of distinct vectors, so that a filter holds about as many
+vectors at any size.  A filter that many similar vectors share is cut into blocks, and pairs of blocks are spread
+over the cluster.  A pair that shares no filter of any rotation is missed; the README gives the share.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different
 lengths don't either.  Equal vectors form a class that is compared once; repeated vec_ids are rows of their
@@ -29,56 +29,57 @@ from .common import components, keyed, saved
 from .grouping import forest, per_unit
 
 PARTS = 4
-#: Expected filters of a vector, and vectors of unrelated content in a filter.
-FILTERS, CROWD = 24, 16
+#: Rotations, filters of a vector in each, and vectors of unrelated content in a filter.
+TURNS, BEST, CROWD = 3, 12, 16
 #: Rows in one block of a filter.
 BLOCK_ROWS = 512
 
 
 class ProductCode:
-    """Random rotation, codebooks and threshold for vectors of `size` components."""
+    """Random rotation and codebooks for vectors of `size` components."""
 
-    def __init__(self, size: int, words: int, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed + size)
+    def __init__(self, size: int, words: int, turn: int = 0, seed: int = 5) -> None:
+        rng = np.random.default_rng([seed, size, turn])
         self.width = -(-size // PARTS) * PARTS
-        turn, r = np.linalg.qr(rng.standard_normal((self.width, self.width)))
-        self.turn = (turn * np.sign(np.diag(r)))[:size]
+        rotation, r = np.linalg.qr(rng.standard_normal((self.width, self.width)))
+        self.turn = (rotation * np.sign(np.diag(r)))[:size]
         part = self.width // PARTS
         book = rng.standard_normal((PARTS, words, part))
         self.book = book / np.linalg.norm(book, axis=2, keepdims=True) / np.sqrt(PARTS)
         self.words = words
-        # the threshold that random directions exceed FILTERS times on average, from a fixed number of them
-        probe = rng.standard_normal((2000, size))
-        scores = self.scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
-        pick = rng.integers(0, words, (PARTS, 2000, 2000))
-        sums = sum(np.take_along_axis(scores[:, p], pick[p], 1) for p in range(PARTS)).ravel()
-        share = min(1.0, FILTERS / words**PARTS)
-        tail = max(int(share * sums.size), 1)
-        self.threshold = float(np.partition(sums, -tail)[-tail]) if share < 1 else -1.0
+        self.first = turn * words**PARTS
 
     def scores(self, unit: np.ndarray) -> np.ndarray:
         turned = (unit @ self.turn).reshape(len(unit), PARTS, -1)
         return np.einsum("npd,pwd->npw", turned, self.book)
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """All filter numbers of each vector; at least its best one."""
+    def decode(self, unit: np.ndarray) -> np.ndarray:
+        """The numbers of the BEST filters of each vector (of all, where there are fewer)."""
         s = self.scores(unit)
         w = self.words
-        left = (s[:, 0, :, None] + s[:, 1, None, :]).reshape(len(unit), -1)
-        right = (s[:, 2, :, None] + s[:, 3, None, :]).reshape(len(unit), -1)
-        by_left, by_right = np.argsort(-left, axis=1), np.argsort(-right, axis=1)
-        out = []
-        for a, b, x, y in zip(left, right, by_left, by_right, strict=True):
-            a, b = a[x], b[y]
-            # the slack keeps the best one where a sum and a difference round differently
-            limit = min(self.threshold, a[0] + b[0]) - 1e-12
-            near = a + b[0] >= limit
-            n = np.searchsorted(-b, a[near] - limit, "right")
-            i = np.repeat(np.arange(len(n)), n)
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            assert len(i), "a vector has no filter"
-            out.append(np.sort(x[i].astype(np.int64) * (w * w) + y[j]))
-        return out
+        # a filter among the best BEST has both its halves among the best BEST
+        half, number = [], []
+        for p in (0, 2):
+            sums = (s[:, p, :, None] + s[:, p + 1, None, :]).reshape(len(unit), -1)
+            k = min(BEST, w * w)
+            at = np.argpartition(-sums, k - 1, axis=1)[:, :k]
+            half.append(np.take_along_axis(sums, at, 1))
+            number.append(at)
+        sums = (half[0][:, :, None] + half[1][:, None, :]).reshape(len(unit), -1)
+        both = (number[0][:, :, None].astype(np.int64) * (w * w) + number[1][:, None, :]).reshape(len(unit), -1)
+        k = min(BEST, sums.shape[1])
+        assert k, "a vector has no filter"
+        return self.first + np.take_along_axis(both, np.argpartition(-sums, k - 1, axis=1)[:, :k], 1)
+
+
+def filters(codes: list[ProductCode], unit: np.ndarray) -> np.ndarray:
+    """The filters of each vector in all rotations, sorted."""
+    return np.sort(np.concatenate([c.decode(unit) for c in codes], axis=1), axis=1)
+
+
+def code_words(total: int) -> int:
+    """Size of a codebook for so many vectors."""
+    return max(2, round((BEST * max(total, 1) / CROWD) ** (1 / PARTS)))
 
 
 def as_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,8 +98,8 @@ def as_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 def filtered(vectors: DataFrame, total: int) -> DataFrame:
     """(node, size, filters, vector): the filters of each distinct vector."""
-    words = max(2, round((FILTERS * max(total, 1) / CROWD) ** (1 / PARTS)))
-    codes: dict[int, ProductCode] = {}
+    words = code_words(total)
+    codes: dict[int, list[ProductCode]] = {}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +109,10 @@ def filtered(vectors: DataFrame, total: int) -> DataFrame:
                 rows = table.filter(pa.array(lengths == size)).combine_chunks()
                 good, unit, size = as_matrix(rows.column("vector").combine_chunks())
                 if size not in codes:
-                    codes[size] = ProductCode(size, words)
+                    codes[size] = [ProductCode(size, words, t) for t in range(TURNS)]
                 for a in range(0, len(good), 1000):
                     at = good[a : a + 1000]
-                    lists = codes[size].decode(unit[at])
+                    lists = list(filters(codes[size], unit[at]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(rows.column("node").to_numpy()[at]),
@@ -178,14 +179,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     usable = rows.where("size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)")
     classes = saved(usable.groupBy("class").agg(F.min("_rid").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vectors")
     vectors = saved(filtered(classes.select("node", "copies", "vector"), classes.count()), "filters")
-    each = vectors.select("size", F.explode("filters").alias("filter"), "node")
+    each = vectors.select("size", F.posexplode("filters").alias("earlier", "filter"), "node")
     crowds = saved(each.groupBy("size", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "filter", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("n_blocks")), "crowds")
     shared = (
         each.join(crowds, ["size", "filter"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-        .select("node", "filter", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+        .select("node", "filter", "earlier", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
         .join(vectors, "node")
+        .withColumn("filters", F.slice("filters", F.lit(1), F.col("earlier")))
+        .drop("earlier")
     )
     links = saved(link_counts(shared, cosine), "links")
     found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-links")
