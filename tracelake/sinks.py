@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 FORMATS = ("csv", "json", "parquet", "xlsx")
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
 
 
 def base_name(fields: Sequence[str], show: Sequence[str], labels: Sequence[str] = (), filters: dict[str, Sequence[str]] | None = None, label: str | None = None) -> str:
@@ -27,13 +29,15 @@ def write(df: DataFrame, folder: str, name: str, formats: Sequence[str] = ("csv"
     """Writes df in each format below folder and returns the paths.
 
     A sorted report keeps its order over the part files.  xlsx is for reports that fit one sheet: it goes through
-    pandas and needs openpyxl.
+    pandas and needs openpyxl; a larger report raises ValueError.
     """
     out = []
     for f in formats:
         path = f"{folder.rstrip('/')}/{name}.{f}"
         if f == "xlsx":
-            df.limit(1_048_575).toPandas().to_excel(path, index=False)
+            if df.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
+                raise ValueError(f"the report has more than the {SHEET_ROWS} rows of a sheet; write csv or parquet")
+            df.toPandas().to_excel(path, index=False)
         elif f in FORMATS:
             writer = df.write.mode("overwrite").format(f)
             writer = writer.option("header", True) if f == "csv" else writer
