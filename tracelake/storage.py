@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the open `scratch` blocks below the shared folder, innermost last.
+_open: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a folder of our own only in local mode, where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracelake-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return "/".join([base.rstrip("/"), *_open])
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -32,3 +39,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end; what is needed later must be saved outside."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    _open.append(name)
+    folder = scratch_dir(spark)
+    try:
+        yield
+    finally:
+        _open.remove(name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
