@@ -5,16 +5,17 @@ end id to each, and packs the ids into sequences of `SEQUENCE` ids.  A part is t
 (record batches with the columns ids: fixed_size_list<uint16 or uint32>, by the size of the vocabulary, and mask:
 fixed_size_list<bool>, false where the last sequence is padded), and the documents (doc_id, first id within
 the part, number of ids).
-Every sequence has its place at a fixed multiple of its length, so a memory-mapped file gives any sequence or
-any document's ids without a copy.  Files get unique names and a part counts once its row is in the manifest:
+Every sequence has its place at a fixed multiple of its length, so a memory-mapped file gives any sequence, its mask
+(as Arrow holds it, one bit an id) or any document's ids without a copy.  Files get unique names and a part counts once its row is in the manifest:
 a task that was lost or ran twice leaves only files that nobody reads.
 
 Encoding works on pieces: a text is cut before each single space or line break that stands between two other
 characters.  The byte-level pre-tokenizer always starts a new token there, so the ids of a text are those of its pieces,
 and a task encodes each distinct piece once.
 
-Null and empty texts give the end id alone.  Strings of special tokens inside a text are ordinary text.  Equal
-doc_ids stand in the order of a hash of their text, null ones first.  An empty table gives an empty result.
+Null and empty texts give the end id alone.  A special token's string inside a text gives that token, as the
+library has it.  Equal
+doc_ids stand in the order of a hash of their text, null ones first.  Other columns aren't written.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,7 +80,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # a byte-level token has one character per byte
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -233,12 +233,11 @@ class SequenceReader:
             self._at, self._batch = k, self.file.get_batch(k)
         return self._batch
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (without a copy) and mask of the k-th sequence."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the k-th sequence, views of the file."""
         b = self.batch(k // BATCH)
         row = k % BATCH
-        own = slice(row * self.length, (row + 1) * self.length)
-        return b.column(0).flatten().to_numpy()[own], b.column(1).flatten()[own].to_numpy(zero_copy_only=False)
+        return b.column(0).values.to_numpy()[row * self.length : (row + 1) * self.length], b.column(1).values.slice(row * self.length, self.length)
 
     def ids(self, first: int, n: int) -> list[np.ndarray]:
         """The ids [first, first + n) of the part, as views of its batches."""
