@@ -7,8 +7,9 @@ headers pushed down, headers parsed first, and the payloads of records that a fi
 no one asks for, stepped over (by a seek in plain archives).
 
 Null payloads are empty ones.  A null page_id is written as an empty id and never is the first of others; repeated
-rows are records of their own, of which one is the response.  A row whose url is null has an empty target.
-Broken records end their partition with an error that names file and offset.  No files give no rows.
+rows are records of their own, of which one is the response.  A row whose url is null has an empty target.  Other
+columns aren't written.  A broken or cut off record ends its partition with an error that names file and offset.  No files give no rows.
+A task begins a new archive after ROLL_BYTES, since an archive is read by one task.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ HEADERS = {
 }
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MAGIC = b"WARC/1.1\r\n"
+#: Bytes after which a writing task begins a new archive.
+ROLL_BYTES = 1 << 30
 
 
 # ---- writing --------------------------------------------------------------------------------------
@@ -58,11 +61,11 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_archives(pages: DataFrame, least: int = 0, compress: bool = False, folder: str | None = None) -> str:
-    """Writes one archive per task and returns the folder.  Files get their final name once they are whole."""
+def write_archives(pages: DataFrame, least: int = 0, compress: bool = False, folder: str | None = None, roll: int = ROLL_BYTES) -> str:
+    """Writes the archives and returns their folder.  Files get their final name once they are whole."""
     spark = pages.sparkSession
     folder = folder or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    rows = keyed(pages.withColumnRenamed("page_id", "doc_id").select("doc_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")))
+    rows = keyed(pages.select(F.col("page_id").alias("doc_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")), "url", "payload").drop("_row")
     named = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     digests = saved(named.select("_rid", "doc_id", "sha1", "size"), "digests")
     firsts = saved(digests.where(F.col("size") >= least).groupBy("sha1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("f")).select("sha1", F.col("f.doc_id").alias("first_id"), F.col("f._rid").alias("first")), "firsts")
@@ -71,22 +74,27 @@ def write_archives(pages: DataFrame, least: int = 0, compress: bool = False, fol
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_dir(folder)
         system.create_dir(path, recursive=True)
-        name = f"{path}/{uuid.uuid4().hex}.warc" + ".gz" * compress
-        sink, count = None, 0
+        name, sink, count, size = "", None, 0, 0
+        done = lambda: pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([count], pa.int64())})
         for batch in batches:
             columns = [batch.column(c) for c in ("doc_id", "url", "payload", "refers_to")]
             for page_id, url, payload, refers_to in zip(*columns, strict=True):
+                if sink is not None and size >= roll:
+                    sink.close()
+                    yield done()
+                    sink = None
                 if sink is None:
+                    name, count, size = f"{path}/{uuid.uuid4().hex}.warc" + ".gz" * compress, 0, 0
                     sink = system.open_output_stream(f"{name}.part", compression=None)
                 data = payload.as_py()
                 refers = refers_to.as_py()
                 page = "" if page_id.as_py() is None else str(page_id.as_py())
                 one = record("response" if refers is None else "revisit", page, url.as_py(), base32_sha1(data), data, refers)
-                sink.write(gzip.compress(one, 6) if compress else one)
+                size += sink.write(gzip.compress(one, 6) if compress else one)
                 count += 1
         if sink is not None:
             sink.close()
-            yield pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([count], pa.int64())})
+            yield done()
 
     done = saved(rows.join(origin, "_rid", "left").select("doc_id", "url", "payload", "refers_to").mapInArrow(write, "name string, records long"), "archives")
 
@@ -183,14 +191,18 @@ class WarcReader(DataSourceReader):
             head_bytes = buffered.until(b"\r\n\r\n")
             if not head_bytes:
                 return
-            if not head_bytes.startswith(b"WARC/"):
-                raise ValueError(f"no WARC record at {offset} of {path}")
+            if not head_bytes.startswith(b"WARC/") or not head_bytes.endswith(b"\r\n\r\n"):
+                raise ValueError(f"no whole WARC head at {offset} of {path}")
             head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head_bytes.decode("utf-8", "replace").split("\r\n")[1:]) if k}
+            if not re.fullmatch(r"[0-9]+", head.get("content-length", "")):
+                raise ValueError(f"no Content-Length in the WARC record at {offset} of {path}")
             length = int(head["content-length"])
             if self.wanted(head):
                 body = None
                 if self.payload:
                     body = buffered.take(length)
+                    if len(body) < length:
+                        raise ValueError(f"the WARC record at {offset} of {path} is cut off")
                     body = body[body.find(b"\r\n\r\n") + 4 :] if "application/http" in head.get("content-type", "") else body
                 else:
                     buffered.skip(length)
@@ -203,7 +215,8 @@ class WarcReader(DataSourceReader):
                 yield (path, offset, *values, length, body)
             else:
                 buffered.skip(length)
-            buffered.skip(4)
+            if buffered.take(4) != b"\r\n\r\n":
+                raise ValueError(f"the WARC record at {offset} of {path} is cut off or longer than it says")
             offset += len(head_bytes) + length + 4
 
 
@@ -219,9 +232,11 @@ class Buffered:
         return bool(got)
 
     def until(self, mark: bytes) -> bytes:
+        """All bytes up to and with the mark; all that is left where there is none."""
         while (k := self.data.find(mark, self.at)) < 0:
             if not self._more(self.chunk):
-                return b""
+                k = len(self.data)
+                break
         out = self.data[self.at : k + len(mark)]
         self.at = k + len(mark)
         return out
