@@ -1,14 +1,15 @@
 """License scans by diagonal voting.
 
 All rolling k-grams of words of each text are joined with the positions of the same k-grams in license
-templates (a table of fixed size, broadcast).  A match votes for the diagonal text position - template position;
+templates (broadcast up to MOST_BROADCAST k-grams).  A match votes for the diagonal text position - template position;
 votes are counted per document, template and diagonal, neighbouring diagonals (insertions and deletions of a
-few words) are merged, and a merged span counts if the distinct template positions that it holds cover enough
-of the template and its length fits.
+few words) are merged, and a merged span is verified by the words that its k-grams hold: they must cover enough
+both of the template and of the span.  Of overlapping spans the best stays.
 
 Beside the templates' labels there are base phrases, found wherever their words stand consecutively.
 
 Null, empty and wordless texts have no places, no labels and score 0.  Repeated rows are scanned one by one.
+Other columns are left out, so their names don't matter.
 An empty table gives an empty result.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql.window import Window
 from . import bytesops as B
 from .common import as_text, keyed, saved
 
-K, SLACK, COVER = 4, 3, 0.6
+K, SLACK, COVER = 4, 3, 0.7
+MOST_BROADCAST = 200_000
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -53,6 +55,12 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 ]
 
 
@@ -68,13 +76,14 @@ def _hashed(text: str) -> np.ndarray:
 
 
 def template_table(spark, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """(gram, template, label, place, n_grams) of all k-grams of the templates."""
+    """(gram, template, label, place, n_words) of all k-grams of the templates."""
     rows = []
     for t, (label, text) in enumerate(templates):
         h = _hashed(text)
         flat, _ = B.grams(h, np.array([0, len(h)]), k)
-        rows += [(g, t, label, i, len(flat)) for i, g in enumerate(flat.view(np.int64).tolist())]
-    return spark.createDataFrame(rows, "gram long, template int, label string, place int, n_grams int")
+        rows += [(g, t, label, i, len(h)) for i, g in enumerate(flat.view(np.int64).tolist())]
+    table = spark.createDataFrame(rows, "gram long, template int, label string, place int, n_words int")
+    return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
 
 
 def tokenized(rows: DataFrame, phrases: dict[str, str], k: int) -> DataFrame:
@@ -104,28 +113,41 @@ def tokenized(rows: DataFrame, phrases: dict[str, str], k: int) -> DataFrame:
 
 
 def spans(tokens: DataFrame, templates: DataFrame, k: int, slack: int, cover: float) -> DataFrame:
-    """Verified spans: (_rid, template, label, first_word, last_word, cover)."""
-    votes = tokens.select("_rid", F.posexplode("grams").alias("at", "gram")).join(F.broadcast(templates), "gram")
-    diagonals = votes.groupBy("_rid", "template", "label", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+    """Verified spans: (_rid, template, label, first_word, last_word, cover), the best of those that overlap.
+
+    cover is the number of template words that matched k-grams hold in place, as a share of the words of the template or of the
+    span, whichever is more: words that the text lacks, adds or changes lower it, so of two similar notices the
+    one that differs in a word loses against the one that doesn't.
+    """
+    votes = tokens.select("_rid", F.posexplode("grams").alias("at", "gram")).join(templates, "gram")
+    diagonals = votes.groupBy("_rid", "template", "label", "n_words", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("held")
     )
     by_diagonal = Window.partitionBy("_rid", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= slack, 0).otherwise(1)
     run = F.sum("apart").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0))
-    merged = diagonals.withColumn("apart", apart).withColumn("run", run).groupBy("_rid", "template", "label", "n_grams", "run").agg(
-        F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_set("held")))).alias("held")
+    words = F.size(F.array_distinct(F.flatten(F.transform("held", lambda p: F.sequence(p, p + (k - 1))))))
+    merged = diagonals.withColumn("apart", apart).withColumn("run", run).groupBy("_rid", "template", "label", "n_words", "run").agg(
+        F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("held")
     )
-    share = (F.col("held") / F.col("n_grams")).alias("cover")
-    length = F.col("last_word") - F.col("first_word") + 1
-    return merged.select("_rid", "template", "label", "first_word", "last_word", share, "n_grams").where((F.col("cover") >= cover) & (length <= 2 * (F.col("n_grams") + k - 1))).drop("n_grams")
+    share = (words / F.greatest(F.col("n_words"), F.col("last_word") - F.col("first_word") + 1)).alias("cover")
+    good = merged.select("_rid", "template", "label", "first_word", "last_word", share, "n_words").where(F.col("cover") >= cover)
+    # spans that overlap, directly or by others, stand together: at most a few for each place of a text
+    by_place = Window.partitionBy("_rid").orderBy("first_word", "template").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.when(F.col("first_word") <= F.max("last_word").over(by_place), 0).otherwise(1)
+    group = F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    of = F.struct("cover", "n_words", (-F.col("template")).alias("order"), "template", "label", "first_word", "last_word")
+    together = good.withColumn("fresh", fresh).withColumn("group", group).groupBy("_rid", "group").agg(F.collect_list(of).alias("all"))
+    best = F.filter("all", lambda x: ~F.exists("all", lambda y: (y > x) & (y.first_word <= x.last_word) & (x.first_word <= y.last_word)))
+    return together.select("_rid", F.explode(best).alias("s")).select("_rid", "s.template", "s.label", "s.first_word", "s.last_word", "s.cover")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = K, slack: int = SLACK, cover: float = COVER) -> DataFrame:
-    """One row per document: _rid, doc_id, n_words, places (of phrases), found (verified spans), score.
+    """One row per document: doc_id, n_words, places (of phrases), found (verified spans), score.
 
     score = 1 - (1 - best cover of a template) * (1/2 if there is a base place, else 1).
     """
-    rows = keyed(as_text(docs))
+    rows = keyed(as_text(docs), "text").drop("_row")
     tokens = tokenized(rows, phrases, k)
     verified = spans(tokens, template_table(docs.sparkSession, templates, k), k, slack, cover)
     found = verified.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "cover"))).alias("found"), F.max("cover").alias("best"))
@@ -133,4 +155,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     base = tokenized(rows, phrases, k).select("_rid", "n_words", "places")
     out = rows.select("_rid", "doc_id").join(base, "_rid").join(found, "_rid", "left")
     score = 1 - (1 - F.coalesce("best", F.lit(0.0))) * F.when(F.size("places") > 0, 0.5).otherwise(1.0)
-    return out.select("_rid", "doc_id", "n_words", "places", "found", score.alias("score"))
+    return out.select("doc_id", "n_words", "places", "found", score.alias("score"))
