@@ -5,18 +5,22 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 1. Every window of `length` bytes has an anchor: the k-gram in it with the smallest hash.  Neighbouring
    windows share anchors, so a document falls into segments (runs of windows with one anchor), about one per
    75 bytes.  Equal windows have equal anchors at equal offsets, so they meet under the anchor's hash.
-2. Segments with equal bytes (two 64-bit hashes over overlapping ranges) are combined before the shuffle;
-   all windows of a segment that occurs twice are repeats.  Anchors whose segments all agree need no text.
+2. Segments with equal bytes (64-bit hashes of the anchor and of the whole segment, which has less than two
+   windows' bytes) are combined before the shuffle; all windows of a segment that occurs twice are repeats.  Anchors whose
+   segments all agree need no text.
 3. The other anchors' distinct segments are gathered into shards.  Each shard builds a suffix array by
    prefix doubling that re-sorts only unsorted groups (Larsson-Sadakane) and the common prefixes of
    neighbours (Kasai, in the permuted form that needs comparisons at irreducible places only).
 4. An anchor with more segments than a shard holds is salted over several shards, which are merged pair by
-   pair: the windows of one are looked up in the suffix array of the other by binary search.
+   pair: the windows of one are looked up in the suffix array of the other by binary search.  Pairs grow with the
+   square of the shards, so an anchor of more than MOST_SHARDS of them (a line that very many texts hold) goes
+   window by window instead: two 64-bit hashes of each window are counted, which is linear and finds the same.
 5. The repeated windows travel back to their documents, where their union is cut out.
 
 Null and empty texts have no bytes.  Texts shorter than `length` are left alone.  Repeated rows are documents
 of their own, so copies of at least `length` bytes go entirely, the first one included (that is the contract
-of the operator: strings are judged on the input).  An empty table gives an empty result.
+of the operator: strings are judged on the input).  Texts of any length are cut alike, in blocks of windows.
+Other columns are left out, so their names don't matter.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,17 +37,24 @@ from .common import as_text, keyed, saved
 
 LENGTH = 200
 ANCHOR = 50
-#: Segments of one anchor in one shard, and bytes of a shard.
-SHARD_SEGMENTS, SHARD_BYTES = 3000, 1 << 20
+#: Segments of one anchor in one shard, bytes of a shard, and shards of an anchor that are merged.
+SHARD_SEGMENTS, SHARD_BYTES, MOST_SHARDS = 3000, 1 << 20, 8
+#: Bits of a place in `sliding_argmin`, so windows of one block at most.
+PLACE_BITS = 24
 
 
 # ---- segments -------------------------------------------------------------------------------------
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the smallest value (leftmost of equals) in each window, from block-wise running minima."""
+    """Index of the smallest value (leftmost of equals) in each window, from block-wise running minima.
+
+    Values are told apart by their highest 64 - PLACE_BITS bits, in texts of any length.
+    """
     n = len(values)
-    bits = max(24, int(n - 1).bit_length())  # the same for all usual texts, so that equal windows choose alike
-    low = np.uint64((1 << bits) - 1)
+    step = (1 << PLACE_BITS) - width
+    if n > 1 << PLACE_BITS:
+        return np.concatenate([a + sliding_argmin(values[a : a + step + width - 1], width) for a in range(0, n - width + 1, step)])
+    low = np.uint64((1 << PLACE_BITS) - 1)
     keyed_ = (values & ~low) | np.arange(n, dtype=np.uint64)
     pad = -n % width
     grid = np.concatenate([keyed_, np.full(pad, ~np.uint64(0))]).reshape(-1, width)
@@ -344,12 +355,29 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
                         piece.append(data[a : a + (w["place"] & 0xFFFF) + length - 1].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(salts, pa.int32()), pa.array(piece, pa.binary())], ["anchor", "digest", "n_salts", "segment"])
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = B.column_bytes(batch.column("segment"))
+            prefix, n = B.prefix_hash(raw), np.diff(offs) - length + 1
+            own = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            start = offs[own] + at
+            x, y = B.span_hash(prefix, start, start + length), B.span_hash(prefix, start, start + length // 2) ^ B.mix(B.span_hash(prefix, start + length // 2, start + length))
+            keys = [batch.column(c).take(pa.array(own)) for c in ("anchor", "digest")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["anchor", "digest", "at", "x", "y"])
+
     pieces = rows.select("_rid", "text").join(wanted.hint("merge"), "_rid").mapInArrow(take, "anchor long, digest long, n_salts int, segment binary")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("n_salts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("o"))
+    pieces = saved(pieces, "pieces")
+    hot = pieces.where(F.col("n_salts") > MOST_SHARDS).select("anchor", "digest", "segment").mapInArrow(windows, "anchor long, digest long, at int, x long, y long")
+    hot = saved(hot, "windows")
+    again = saved(hot.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y"), "again")
+    span = F.struct(F.col("at").cast("long").alias("start"), (F.col("at") + length).cast("long").alias("stop"))
+    of_hot = hot.join(again, ["x", "y"]).groupBy("anchor", "digest").agg(F.collect_list(span).alias("spans"))
+    salted = pieces.where(F.col("n_salts") <= MOST_SHARDS).withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("n_salts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("o"))
     unit = salted.select("anchor", F.least("salt", "o").alias("b1"), F.greatest("salt", "o").alias("b2"), "digest", "salt", "segment")
     found = shard_hits(unit, length).where("size(spans) > 0").groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     twice = distinct.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), ((F.col("where.place").bitwiseAND(0xFFFF)) + (length - 1)).alias("stop"))).alias("spans"))
-    hits = saved(twice.unionAll(found), "hits")
+    hits = saved(twice.unionAll(found).unionAll(of_hot), "hits")
     back = repeats.join(hits, ["anchor", "digest"]).select(
         "_rid", F.transform("spans", lambda s: F.struct((s.start + F.shiftright("place", 16)).alias("start"), (s.stop + F.shiftright("place", 16)).alias("stop"))).alias("spans")
     )
@@ -358,5 +386,5 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
-    rows = keyed(as_text(docs))
-    return cut_out(rows, repeated_spans(rows, length, k), length)
+    rows = keyed(as_text(docs), "text").drop("_row")
+    return cut_out(rows, repeated_spans(rows, length, k), length).drop("_rid")
