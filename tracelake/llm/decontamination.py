@@ -1,22 +1,26 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is cut into shards (blocks of documents inside a partition).  Each shard stores, for the terms
-that a benchmark may ask for, the sorted list of their positions (`build_index`).  A query takes the
+The corpus is cut into shards (blocks of documents inside a partition).  Each shard stores the sorted list of
+the positions of each of its terms (`build_index`).  A query takes the
 rarest terms of a phrase first, shifts their lists by the term's place in the phrase and intersects them
 (`search`); `proximity` asks for all terms within a distance instead.  The index is a Parquet table in the
 shared folder, one row per shard, so that a shard is a bounded unit of work and the index can be asked again.
 
-Terms are 64-bit hashes of lower-cased words.  The benchmark is asked in blocks of at most MAX_QUERY_BYTES
-of text, each broadcast; the number of blocks grows with the benchmark, the size of a broadcast doesn't.
+Terms are 64-bit hashes of lower-cased words.  The benchmark is asked in blocks of about QUERY_BYTES of
+text, one after the other: of each the word hashes are broadcast (8 bytes a word), and given back before the
+next.  The number of blocks grows with the benchmark, the size of a broadcast doesn't (a longer single item is a block).
 
 Nulls and empty texts have no words and are clean.  Rows that repeat a doc_id are judged one by one; items
-that repeat an item_id count once.  An empty corpus gives an empty result; an empty benchmark gives clean rows.
+that repeat an item_id count once.  Words of items without item_id are hit like others', but no item is listed for
+them.  Columns of the documents keep their names and values, whatever they are.  An empty corpus gives an
+empty result; an empty benchmark gives clean rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import as_text, keyed, saved
+from .common import as_text, keyed, restored, saved
 
 WINDOW = 13
-#: Most benchmark text that is broadcast at once.
-MAX_QUERY_BYTES = 8 << 20
+#: Benchmark text that is asked at once; starts of phrases that a task holds at once.
+QUERY_BYTES, MOST_STARTS = 8 << 20, 1 << 21
 INDEX_SCHEMA = "rids array<long>, first array<long>, terms array<long>, ptr array<long>, places binary"
 
 
@@ -39,29 +43,18 @@ def tokenize(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return B.span_hash(B.prefix_hash(data), starts, ends), first
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """Stores postings: per shard the documents, their first positions, and the position lists of each term.
-
-    docs has _rid and text.  terms: sorted word hashes; only their postings are stored (None: those of all words).
-    """
-    wanted = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame) -> DataFrame:
+    """Postings of docs (_rid, text): per shard the documents, their first positions, and the position lists of each term."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
                 hashes, first = tokenize(data, offs)
-                place = np.arange(len(hashes))
-                if wanted is not None:
-                    keep = wanted.value
-                    at = np.searchsorted(keep, hashes)
-                    at[at == len(keep)] = 0
-                    place = np.flatnonzero(keep[at] == hashes) if len(keep) else place[:0]
-                    hashes = hashes[place]
                 order = np.argsort(hashes, kind="stable")
                 found, begin = np.unique(hashes[order], return_index=True)
                 one = lambda x: B.list_array(x, np.array([0, len(x)]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [one(part.column("_rid").to_numpy()), one(first), one(found.view(np.int64)), one(np.append(begin, len(order))), pa.array([place[order].astype(np.int32).tobytes()], pa.binary())],
+                    [one(part.column("_rid").to_numpy()), one(first), one(found.view(np.int64)), one(np.append(begin, len(order))), pa.array([order.astype(np.int32).tobytes()], pa.binary())],
                     ["rids", "first", "terms", "ptr", "places"],
                 )
 
@@ -92,83 +85,95 @@ class Shard:
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         return (self.keys[at] == key) & (place >= 0)
 
-    def phrases(self, flat: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) of all exact occurrences inside one document.  flat, ptr: the phrases' word hashes."""
-        number, size = self.number(flat), np.diff(ptr)
-        owner = np.repeat(np.arange(len(size)), size)
-        lacking = np.zeros(len(size), bool)
-        lacking[owner[number < 0]] = True
-        live = np.flatnonzero(~lacking & (size > 0))
-        if not len(live):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def phrases(self, query: Query) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase, position) of all exact occurrences inside one document, in parts of bounded size."""
+        number = self.number(query.terms)[query.flat]
+        lacking = np.append(0, np.cumsum(number < 0))
+        live = np.flatnonzero(lacking[query.at + query.size] == lacking[query.at])
         length = np.diff(self.ptr)
-        out = []
-        for n in np.unique(size[live]):
-            group = live[size[live] == n]
-            term = number[ptr[group][:, None] + np.arange(n)]
-            order = np.argsort(length[term], axis=1, kind="stable")  # rarest first
-            which = np.take_along_axis(term, order, 1)
-            count = length[which[:, 0]]
-            row = np.repeat(np.arange(len(group)), count)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = self.places[self.ptr[which[row, 0]] + inside] - order[row, 0]
-            for j in range(1, n):  # intersect with the shifted list of the next rarest term
-                keep = self.has(which[row, j], start + order[row, j])
-                row, start = row[keep], start[keep]
-            keep = (start >= 0) & (self.document(start) == self.document(start + n - 1))
-            out.append((group[row[keep]], start[keep]))
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        for n in np.unique(query.size[live]):
+            group = live[query.size[live] == n]
+            for a in range(0, len(group), 20_000):
+                own = group[a : a + 20_000]
+                term = number[query.at[own][:, None] + np.arange(n)]
+                order = np.argsort(length[term], axis=1, kind="stable")  # rarest first
+                which = np.take_along_axis(term, order, 1)
+                reach = np.cumsum(length[which[:, 0]])
+                cuts = np.unique(np.append(np.searchsorted(reach, np.arange(MOST_STARTS, reach[-1], MOST_STARTS)), len(own)))
+                for b, c in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+                    if c > b:
+                        row, start = self.shifted(which[b:c], order[b:c])
+                        keep = (start >= 0) & (self.document(start) == self.document(start + n - 1))
+                        yield own[b:c][row[keep]], start[keep]
+
+    def shifted(self, which: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, start) of phrases whose terms, rarest first, are `which` and stand at `order` in the phrase."""
+        count = np.diff(self.ptr)[which[:, 0]]
+        row = np.repeat(np.arange(len(which)), count)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = self.places[self.ptr[which[row, 0]] + inside] - order[row, 0]
+        for j in range(1, which.shape[1]):  # intersect with the shifted list of the next rarest term
+            keep = self.has(which[row, j], start + order[row, j])
+            row, start = row[keep], start[keep]
+        return row, start
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, "right") - 1
 
 
-def query_blocks(benchmark: DataFrame, window: int, max_bytes: int = MAX_QUERY_BYTES) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of the benchmark: item ids, and for each distinct window of words its item and word hashes."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // max_bytes) or 1
+class Query:
+    """A block of benchmark items: their ids and word hashes, and the windows as first word and number of words."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], window: int) -> None:
+        self.ids = sorted({i for i, _ in rows if i is not None})
+        place = {x: i for i, x in enumerate(self.ids)} | {None: -1}
+        texts = [t.encode() for _, t in rows]
+        hashes, first = tokenize(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        self.terms, self.flat = np.unique(hashes, return_inverse=True)
+        words = np.diff(first)
+        windows = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
+        own = np.repeat(np.arange(len(words)), windows)
+        self.at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.size = np.minimum(words[own], window)
+        self.item = np.array([place[i] for i, _ in rows], np.int64)[own]
+
+
+def queries(benchmark: DataFrame, window: int, block_bytes: int = QUERY_BYTES) -> Iterator[Query]:
+    """The benchmark in blocks of about block_bytes of text (one at least)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
     for k in range(n):
-        rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
-        ids = sorted({r.item_id for r in rows})
-        place = {x: i for i, x in enumerate(ids)}
-        texts = [r.text.encode() for r in rows]
-        offs = np.cumsum([0, *map(len, texts)])
-        hashes, first = tokenize(np.frombuffer(b"".join(texts), np.uint8), offs)
-        parts, sizes, owner = [], [], []
-        for r, a, b in zip(rows, first[:-1], first[1:], strict=True):
-            for i in range(a, max(b - window, a) + 1) if b > a else ():
-                parts.append(hashes[i : min(i + window, b)])
-                sizes.append(len(parts[-1]))
-                owner.append(place[r.item_id])
-        yield ids, np.array(owner, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum([0, *sizes])
-
-
-def search(index: DataFrame, block: tuple[list[str], np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """Exact matches of a block of windows: per document the merged spans of words hit and the items found."""
-    shared = index.sparkSession.sparkContext.broadcast(block)
+        yield Query([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window)
+
+
+HITS_SCHEMA = "_rid long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>"
+
+
+def search(index: DataFrame, query: Query) -> DataFrame:
+    """Exact matches of a block of windows, stored: per document the merged spans of words hit and the items found."""
+    shared = index.sparkSession.sparkContext.broadcast(query)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, owner, flat, ptr = shared.value
-        size = np.diff(ptr)
+        query = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch, row)
-                phrase, start = shard.phrases(flat, ptr)
-                doc = shard.document(start)
+                found = [(shard.document(start), start, start + query.size[phrase], query.item[phrase]) for phrase, start in shard.phrases(query)]
+                doc, start, stop, item = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+                order = np.argsort(doc, kind="stable")
+                cuts = np.searchsorted(doc[order], np.arange(len(shard.rids) + 1))
                 spans: list[list[dict]] = [[] for _ in shard.rids]
                 items: list[list[str]] = [[] for _ in shard.rids]
-                for d in np.unique(doc):
-                    own = doc == d
-                    items[d] = [ids[i] for i in np.unique(owner[phrase[own]])]
-                    for a, b in merged(start[own] - shard.first[d], start[own] - shard.first[d] + size[phrase[own]]):
-                        spans[d].append({"start": a, "stop": b})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.rids), pa.array(np.diff(shard.first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                    ["_rid", "n_words", "spans", "items"],
-                )
-
-    return index.mapInArrow(find, "_rid long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>")
+                for d in np.flatnonzero(np.diff(cuts)):
+                    own = order[cuts[d] : cuts[d + 1]]
+                    items[d] = [query.ids[i] for i in np.unique(item[own]) if i >= 0]
+                    spans[d] = [{"start": a, "stop": b} for a, b in merged(start[own] - shard.first[d], stop[own] - shard.first[d])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.rids), pa.array(np.diff(shard.first)), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["_rid", "n_words", "spans", "items"])
+
+    out = saved(index.mapInArrow(find, HITS_SCHEMA), "hits")
+    shared.destroy()
+    return out
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -208,21 +213,17 @@ def proximity(index: DataFrame, terms: list[str], within: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: _rid, doc_id, n_words, spans hit, items found.
+    """One row per document: doc_id, n_words, spans hit, items found.
 
     Windows are `window` consecutive words of an item; an item with fewer words is one window.
     """
-    return _contamination(keyed(as_text(docs)), benchmark, window)
+    return _contamination(keyed(as_text(docs), "text"), benchmark, window).drop("_rid")
 
 
 def _contamination(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    blocks = list(query_blocks(benchmark, window)) if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= MAX_QUERY_BYTES else None
-    terms = None if blocks is None else np.unique(np.concatenate([b[2] for b in blocks]))
-    index = saved(build_index(rows, terms), "postings")
-    found = None
-    for block in blocks if blocks is not None else query_blocks(benchmark, window):
-        one = search(index, block)
-        found = one if found is None else found.unionAll(one)
+    index = saved(build_index(rows), "postings")
+    found = reduce(DataFrame.unionAll, [search(index, q) for q in queries(benchmark, window)])
+    # a document has a row for each block of the benchmark
     hits = found.groupBy("_rid").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return rows.select("_rid", "doc_id").join(hits, "_rid", "left")
 
@@ -239,14 +240,14 @@ def covered(spans: str = "spans") -> F.Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
     """The digest of `contamination`: counts, items and the verdict (at least `percent` of the words are hit)."""
-    return _report(keyed(as_text(docs)), benchmark, window, percent)
+    return _report(keyed(as_text(docs), "text"), benchmark, window, percent).drop("_rid")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
     """The documents that aren't contaminated."""
-    rows = keyed(as_text(docs))
+    rows = keyed(as_text(docs), "text")
     bad = saved(_report(rows, benchmark, window, percent).where("contaminated").select("_rid"), "contaminated")
-    return rows.join(bad, "_rid", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return restored(rows.join(bad, "_rid", "left_anti"))
 
 
 def _report(rows: DataFrame, benchmark: DataFrame, window: int, percent: int) -> DataFrame:
