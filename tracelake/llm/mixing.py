@@ -3,18 +3,20 @@
 Sources in code-point order (null last) take the weights in turn and share all words by weight.  A source
 never gets more than `most` times its own size; the excess is shared again by weight among the others.
 
-Inside a source with target / size = c, each document first gets its certain whole copies, floor of its
-expected copies.  The rest is filled by Pareto order sampling: documents are ranked by random odds
-u / (1 - u) divided by their inclusion odds p / (1 - p), p the fraction left of the expected copies, and the
-smallest ranks are taken as long as the words left to the target hold them (the sample's size is fixed in
-words); of the others the one whose size fits the rest best fills it, if that comes nearer to the target.  Inclusion odds differ between sources as their targets do.  u comes from a hash of the document's key
-and the seed, so reruns agree.
+Inside a source with target / size = c, each document first gets floor(c) certain copies.  One more copy goes to
+some by Pareto order sampling with unequal probabilities: p = min(1, f * h), where h = size / (size + mean size of the
+source) prefers longer documents and f makes the expected words meet what is left of the target.  Documents with p = 1
+get theirs for certain; the others are ranked by random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and
+the smallest ranks are taken as long as the words left to the target hold them (the sample's size is fixed in
+words); of the others the one whose size fits the rest best fills it, if that comes nearer to the target.  u
+comes from a hash of the document's key and the seed, and h is a whole multiple of 1 / H_UNIT, so reruns agree.
 
 The boundary rank of a source is found by counting words in ever finer intervals of the rank, all sources
 at once, so that no source is sorted in one task.
 
 Words are runs without white space.  A null or blank text has size 0 and takes nothing.  A source without
-words has target 0.  Repeated rows are rows of their own.  An empty table gives an empty result.
+words has target 0.  Repeated rows are rows of their own.  Other columns of the documents keep their names
+and values in `mixture`, whatever they are called.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text, keyed, saved
+from .common import as_text, keyed, restored, saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: The rank is a 40-bit number that is refined by so many bits in a step.
 RANK_BITS, STEP_BITS = 40, 10
+H_UNIT = 1 << 20
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -61,25 +64,52 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.withColumn("target", F.least(F.lit(factor) * F.col("weight"), limit).cast("double")).drop("weight", "place")
 
 
+def factors(measured: DataFrame, aims: DataFrame) -> DataFrame:
+    """(source, n, certain, factor): documents with words, copies that each has for certain, and f / H_UNIT.
+
+    Sizes are counted first, so the window sorts a source's distinct sizes, not its documents.  With the k largest
+    sizes at p = 1, f is what the rest need; the first k at which the next size needs no limit is the right one.
+    """
+    number = lambda c: c.cast("decimal(38,0)")
+    counts = saved(measured.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
+    docs = saved(counts.groupBy("source").agg(F.sum("n").alias("n")).join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "n", "source_size", F.floor(F.col("target") / F.col("source_size")).alias("certain"), "target"), "source-totals")
+    each = counts.withColumnRenamed("n", "m").join(docs.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("h", preference())
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    words, weight = number(F.col("m") * F.col("size")), number(F.col("m") * F.col("size")) * F.col("h")
+    left = F.col("target") - F.col("certain") * F.col("source_size") - F.coalesce(F.sum(words).over(larger), F.lit(0)).cast("double")
+    later = F.sum(weight).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    f = each.select("source", "size", "h", (left / later.cast("double")).alias("f")).where(F.col("f") * F.col("h") <= 1)
+    first = saved(f.groupBy("source").agg(F.max(F.struct("size", "f")).alias("x")).select(F.col("source").alias("s"), F.greatest("x.f", F.lit(0.0)).alias("factor")), "factors")
+    return docs.join(first, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n", "certain", F.coalesce("factor", F.lit(float(H_UNIT))).alias("factor"))
+
+
+def preference() -> Column:
+    """h in units of 1 / H_UNIT, from 1 on."""
+    mean = F.expr("source_size div n")
+    return F.greatest(F.lit(1), F.floor(F.col("size") * H_UNIT / (F.col("size") + mean))).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """One row per document: _rid, doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
-    return _mixed(keyed(as_text(docs)), weights, most, seed, size)
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).  size: a column of docs (else words)."""
+    measure = word_count() if size is None else size
+    return _mixed(keyed(as_text(docs).withColumn("_size", measure), "source", "_size"), weights, most, seed).drop("_rid")
 
 
-def _mixed(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int, size: Column | None) -> DataFrame:
-    measured = saved(rows.select("_rid", "doc_id", "source", (word_count() if size is None else size).alias("size")), "sizes")
+def _mixed(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """rows: (_rid, doc_id, source, _size)."""
+    measured = saved(rows.select("_rid", "doc_id", "source", F.col("_size").cast("long").alias("size")), "sizes")
     aims = saved(targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    shares = saved(factors(measured, aims), "shares")
     joined = measured.join(aims, measured.source.eqNullSafe(aims.source), "left").drop(aims.source)
-    expected = F.least(F.lit(most), F.col("target") / F.col("source_size"))
+    joined = joined.join(shares.withColumnRenamed("source", "s"), joined.source.eqNullSafe(F.col("s")), "left").drop("s")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_rid"), 11).cast("double") + 0.5) / float(1 << 53)
-    part = F.col("expected") - F.col("certain")
-    odds = (F.col("u") / (1 - F.col("u"))) / (part / (1 - part))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     # odds / (1 + odds) keeps their order and lies in (0, 1)
     drawn = (
-        joined.withColumn("expected", F.when(F.col("source_size") > 0, expected).otherwise(F.lit(0.0)))
-        .withColumn("certain", F.floor("expected"))
+        joined.withColumn("p", F.when(F.col("size") > 0, F.least(F.lit(1.0), F.col("factor") * preference())).otherwise(0.0))
+        .withColumn("certain", F.when(F.col("size") > 0, F.col("certain") + (F.col("p") >= 1).cast("int")).otherwise(F.lit(0)).cast("long"))
         .withColumn("u", u)
-        .withColumn("odds", F.when((part > 0) & (F.col("size") > 0), odds))
+        .withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds))
         .withColumn("rank", (F.col("odds") / (1 + F.col("odds")) * F.lit(float(1 << RANK_BITS))).cast("long"))
         .select("_rid", "doc_id", "source", "size", "source_size", "target", "certain", "rank")
     )
@@ -126,6 +156,7 @@ def boundary(drawn: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
     """The mixed documents themselves: each row as often as it is taken (rows without words not at all)."""
-    rows = keyed(as_text(docs))
-    copies = saved(_mixed(rows, weights, most, seed, None).where("copies > 0 and size > 0").select("_rid", "copies"), "copies")
-    return rows.join(copies.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+    rows = keyed(docs, "source", "text")
+    sized = rows.select("_rid", "doc_id", "source", word_count(F.col("text").cast("string")).alias("_size"))
+    copies = saved(_mixed(sized, weights, most, seed).where("copies > 0 and size > 0").select("_rid", "copies"), "copies")
+    return restored(rows.join(copies.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
