@@ -15,7 +15,9 @@ multiples of 1 / `UNIT` and their sums exact in any order.  Neither labels nor l
 inputs of a score.
 
 Null, empty and wordless texts score as a text with no evidence (the curve at zero).  Rows without label or
-with a null label don't train; a document labelled twice trains with each.  With one class missing all
+with a null label don't train; a document labelled twice trains with each.  Texts of any length are read whole.
+`clean` gives all columns back as they were, whatever their names; `classify` replaces columns that are called
+like its own.  With one class missing all
 scores are the share of toxic labels (0 without labels).  Repeated rows score alike.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import as_text, keyed, saved
+from .common import as_text, keyed, restored, saved
 
 ORDER, SHARED, DISCOUNT = 6, 1, 0.75
 STRONG = 3.0
@@ -270,11 +272,13 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFram
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs with toxic_score and toxic_predicted (1 from the threshold on)."""
-    docs = keyed(as_text(docs.drop("toxic_score")))
-    scores = scored(docs.select("_rid", "doc_id", "text"), labels)
-    return docs.join(scores, "_rid").drop("_rid").withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+    rows = keyed(as_text(docs.drop("toxic_score", "toxic_predicted")), "text")
+    scores = scored(rows.drop("_row"), labels)
+    return rows.join(scores, "_rid").select("_row.*", "toxic_score", (F.col("toxic_score") >= threshold).cast("int").alias("toxic_predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that aren't predicted to be toxic."""
-    return classify(docs, labels, threshold).where("toxic_predicted = 0").select(*(f"`{c}`" for c in docs.columns))
+    rows = keyed(docs, "text")
+    scores = scored(rows.select("_rid", "doc_id", F.col("text").cast("string").alias("text")), labels)
+    return restored(rows.join(scores.where(F.col("toxic_score") < threshold), "_rid", "left_semi"))
