@@ -3,17 +3,18 @@
 Each of `TURNS` independent random rotations is followed by a cut into `PARTS` parts; each part has a codebook of
 random unit vectors.  A filter direction is one code word per part, so codebooks of C words give C**PARTS
 directions of which none is stored.  Each vector is list-decoded to its `BEST` directions of each rotation, so that
-none has fewer: the best sums of two parts are met in the middle.  Vectors that
+none has fewer: the best words of the parts are combined part by part.  Vectors that
 share a filter are compared exactly in double precision, and each linked pair counts in its first common
 filter only.
 
-The number of directions grows with the number of distinct vectors, so that a filter holds about as many
-vectors at any size.  A filter that many similar vectors share is cut into blocks, and pairs of blocks are spread
-over the cluster.  A pair that shares no filter of any rotation is missed; the README gives the share.
+The number of directions grows with the number of distinct vectors: there are so many that an unrelated vector
+seldom shares a filter, and only vectors with a shared filter are moved.  A filter that many similar vectors share
+is cut into blocks, and pairs of blocks are spread over the cluster.  A pair that shares no filter of any
+rotation is missed; the README gives the share.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different
 lengths don't either.  Equal vectors form a class that is compared once; repeated vec_ids are rows of their
-own.  An empty table gives an empty result.
+own, and so are rows without vec_id.  Other columns are left out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import components, keyed, saved
 from .grouping import forest, per_unit
 
 PARTS = 4
-#: Rotations, filters of a vector in each, and vectors of unrelated content in a filter.
-TURNS, BEST, CROWD = 3, 12, 16
+#: Rotations, filters of a vector in each, and vectors of unrelated content in a filter (on average).
+TURNS, BEST, CROWD = 3, 16, 0.1
 #: Rows in one block of a filter.
 BLOCK_ROWS = 512
 
@@ -57,18 +58,21 @@ class ProductCode:
         """The numbers of the BEST filters of each vector (of all, where there are fewer)."""
         s = self.scores(unit)
         w = self.words
-        # a filter among the best BEST has both its halves among the best BEST
+        # a filter among the best BEST has each of its words and each of its halves among the best BEST
+        best = min(BEST, w)
+        at = np.argpartition(-s, best - 1, axis=2)[:, :, :best].astype(np.int64)
+        top = np.take_along_axis(s, at, 2)
         half, number = [], []
         for p in (0, 2):
-            sums = (s[:, p, :, None] + s[:, p + 1, None, :]).reshape(len(unit), -1)
-            k = min(BEST, w * w)
-            at = np.argpartition(-sums, k - 1, axis=1)[:, :k]
-            half.append(np.take_along_axis(sums, at, 1))
-            number.append(at)
+            half_sums = (top[:, p, :, None] + top[:, p + 1, None, :]).reshape(len(unit), -1)
+            words = (at[:, p, :, None] * w + at[:, p + 1, None, :]).reshape(len(unit), -1)
+            k = min(BEST, half_sums.shape[1])
+            own = np.argpartition(-half_sums, k - 1, axis=1)[:, :k]
+            half.append(np.take_along_axis(half_sums, own, 1))
+            number.append(np.take_along_axis(words, own, 1))
         sums = (half[0][:, :, None] + half[1][:, None, :]).reshape(len(unit), -1)
-        both = (number[0][:, :, None].astype(np.int64) * (w * w) + number[1][:, None, :]).reshape(len(unit), -1)
+        both = (number[0][:, :, None] * (w * w) + number[1][:, None, :]).reshape(len(unit), -1)
         k = min(BEST, sums.shape[1])
-        assert k, "a vector has no filter"
         return self.first + np.take_along_axis(both, np.argpartition(-sums, k - 1, axis=1)[:, :k], 1)
 
 
@@ -128,7 +132,10 @@ def filtered(vectors: DataFrame, total: int) -> DataFrame:
 
 
 def link_counts(shared: DataFrame, cosine: float) -> DataFrame:
-    """shared: (size, filter, b1, b2, block, node, copies, filters, unit).  (node, n, root): links found per unit and node."""
+    """shared: (size, filter, b1, b2, block, node, copies, filters, unit).  (node, n, root): links found per unit and node.
+
+    filters: the sorted filters of a node that it shares with others.
+    """
 
     def work(table: pa.Table) -> pa.RecordBatch | None:
         n = table.num_rows
@@ -174,21 +181,21 @@ def link_counts(shared: DataFrame, cosine: float) -> DataFrame:
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
-    rows = keyed(embeddings.withColumnsRenamed({"vec_id": "doc_id", "embedding": "vector"}).select("doc_id", "vector"))
-    rows = rows.withColumn("vector", F.col("vector").cast("array<double>")).withColumn("class", F.sha2(F.concat_ws(",", F.transform("vector", lambda x: F.hex(F.encode(F.coalesce(x, F.lit(float("nan"))).cast("string"), "utf-8")))), 256))
-    usable = rows.where("size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)")
-    classes = saved(usable.groupBy("class").agg(F.min("_rid").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vectors")
+    rows = keyed(embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), "embedding", key="vec_id").drop("_row")
+    rows = rows.withColumn("class", F.struct(F.xxhash64("embedding").alias("x"), F.xxhash64(F.lit(1), "embedding").alias("y"), F.size("embedding").alias("size")))
+    usable = rows.where("size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)")
+    classes = saved(usable.groupBy("class").agg(F.min("_rid").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("vector")), "vectors")
     vectors = saved(filtered(classes.select("node", "copies", "vector"), classes.count()), "filters")
-    each = vectors.select("size", F.posexplode("filters").alias("earlier", "filter"), "node")
+    each = vectors.select("size", F.explode("filters").alias("filter"), "node")
     crowds = saved(each.groupBy("size", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "filter", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("n_blocks")), "crowds")
+    # at most TURNS * BEST filters a node; those that it shares with no one are left behind here
+    held = saved(each.join(crowds, ["size", "filter"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("filter", "n_blocks"))).alias("shared")), "shared")
+    block = F.pmod(F.xxhash64("node"), F.col("s.n_blocks")).cast("int").alias("block")
     shared = (
-        each.join(crowds, ["size", "filter"])
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-        .select("node", "filter", "earlier", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-        .join(vectors, "node")
-        .withColumn("filters", F.slice("filters", F.lit(1), F.col("earlier")))
-        .drop("earlier")
+        vectors.drop("filters").join(held, "node")
+        .select("node", "size", "copies", "unit", F.transform("shared", lambda s: s["filter"]).alias("filters"), F.posexplode("shared").alias("earlier", "s"))
+        .select("node", "size", "copies", "unit", F.slice("filters", F.lit(1), F.col("earlier")).alias("filters"), F.col("s.filter").alias("filter"), block, F.explode(F.sequence(F.lit(0), F.col("s.n_blocks") - 1)).alias("other"))
+        .select("node", "size", "copies", "unit", "filters", "filter", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
     )
     links = saved(link_counts(shared, cosine), "links")
     found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-links")
@@ -196,6 +203,6 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     named = saved(
         classes.select("class", "node", "copies").join(found, "node", "left").join(counts, "node", "left").select("class", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named"
     )
-    labelled = saved(rows.select("_rid", "doc_id", "class").join(named, "class", "left").select("_rid", "doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "_rid").alias("component")), "labelled")
-    ids = saved(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    return labelled.join(ids, "component").select("_rid", F.col("doc_id").alias("vec_id"), "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    labelled = saved(rows.select("_rid", "vec_id", "class").join(named, "class", "left").select("_rid", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "_rid").alias("component")), "labelled")
+    ids = saved(labelled.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component-ids")
+    return labelled.join(ids, "component").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
