@@ -11,19 +11,25 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of rows that a Python task gets at once; Spark's own default lets a task hold several times 64 MB.
+ARROW_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors that don't have it installed (once per content and context)."""
+    """Makes this package importable on executors that don't have it installed (once per content and context), and bounds what a Python task gets at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = Path(__file__).resolve().parent
     files = sorted(root.rglob("*.py"))
     name = f"{root.name}-{hashlib.sha1(b''.join(f.read_bytes() for f in files)).hexdigest()[:12]}.zip"
     sc = spark.sparkContext
     if any(name in f for f in (sc.listFiles or [])):
         return
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with zipfile.ZipFile(path, "w") as z:
-        for f in files:
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(path)
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, name)
+        with zipfile.ZipFile(path, "w") as z:
+            for f in files:
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(path)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
