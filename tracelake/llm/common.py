@@ -1,72 +1,69 @@
-"""Spark helpers shared by the operators: scratch tables, row keys and connected components."""
+"""Spark helpers shared by the operators: row keys, row structs and connected components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..storage import saved, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tracelake-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["as_text", "components", "keyed", "restored", "saved", "scratch_dir"]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage and survives lost executors.
+def keyed(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
+    """(_rid, the named columns, _row) of docs: a unique, non-null long key, and all columns as one struct.
 
-    The shuffle files of the finished steps are released then, so that disk use follows the largest step.
+    Columns of docs stay in the struct, so none can clash with a column of an operator (`restored` gives them
+    back).  The key is doc_id itself where that is a number, unique and never null, else a number stored with the rows;
+    rows that repeat a doc_id (or have none) stay rows of their own.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    own = [F.col(f"`{c}`") for c in dict.fromkeys((key, *columns))]
+    total, ids, distinct = docs.agg(F.count(F.lit(1)), F.count(f"`{key}`"), F.countDistinct(f"`{key}`")).first()
+    if total == ids == distinct and dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
+        return docs.select(F.col(f"`{key}`").cast("long").alias("_rid"), *own, row)
+    return saved(docs.select(F.monotonically_increasing_id().alias("_rid"), *own, row), "rows")
 
 
-def keyed(docs: DataFrame, key: str = "_rid") -> DataFrame:
-    """Adds a unique, non-null long key: doc_id itself where it is unique, else a number stored with the rows.
+def restored(rows: DataFrame) -> DataFrame:
+    """The columns that a table had before `keyed`."""
+    return rows.select("_row.*")
 
-    Rows that repeat a doc_id (or have none) stay rows of their own.
-    """
-    docs = docs.drop(key)
-    total, ids, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if total == ids == distinct and dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
-        return docs.withColumn(key, F.col("doc_id").cast("long"))
-    return saved(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+def ordered_by(node: str, turn: int) -> Column:
+    """An order of nodes: their own in the first two turns, then a random one for each turn."""
+    return F.struct((F.lit(0).cast("long") if turn < 2 else F.xxhash64(F.col(node), F.lit(turn))).alias("h"), F.col(node).alias("v"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of edges (a, b): one row (node, component) per node of an edge.
+    """Connected components of edges (a, b): one row (node, component) per node of an edge; component is one of its nodes.
 
-    Minimum labels travel along the edges and then jump to the label of their label, until nothing changes.
-    Joins read stored tables on both sides, so that a node with very many edges can be split by adaptive
-    execution; sums are combined before each shuffle.  Nothing is gathered on the driver but one number.
+    In each turn every node joins its least neighbour (or stays, if it is the least itself) and the edges are
+    contracted; edges that then lie inside a node are dropped and repeated ones combined, so the work shrinks from turn
+    to turn: with random orders by a constant factor for any graph, and a star around its least node ends in one
+    turn.  The turns' maps are composed at the end.  Joins are by shuffle between stored tables, so that adaptive
+    execution can split a node with very many edges; nothing is gathered on the driver.
     """
-    both = saved(edges.select("a", "b").where("a <> b").distinct().selectExpr("explode(array(struct(a, b), struct(b as a, a as b))) as e").select("e.a", "e.b"), f"{name}-edges")
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).selectExpr("a as node", "least(label, a) as label"), f"{name}-0")
-    before = None
-    while True:
-        moved = both.join(labels.select(F.col("node").alias("b"), "label"), "b").selectExpr("a as node", "label")
-        step = saved(moved.unionAll(labels).groupBy("node").agg(F.min("label").alias("label")), f"{name}-step")
-        target = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = saved(step.join(target, "label", "left").selectExpr("node", "least(label, further) as label"), f"{name}-jump")
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before or total is None:
-            return labels.selectExpr("node", "label as component")
-        before = total
+    left = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    maps: list[DataFrame] = []
+    while not left.isEmpty():
+        turn = len(maps)
+        both = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
+        least = both.groupBy("v").agg(F.min(ordered_by("w", turn)).alias("m"))
+        own = ordered_by("v", turn)
+        maps.append(saved(least.select("v", F.when(own < F.col("m"), F.col("v")).otherwise(F.col("m.v")).alias("to")), f"{name}-map"))
+        ends = [maps[-1].select(F.col("v").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b")]
+        half = left.join(ends[0], "a").select(F.col("to_a").alias("a"), "b")
+        moved = half.join(ends[1], "b").select("a", F.col("to_b").alias("b"))
+        left = saved(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    if not maps:
+        return left.selectExpr("a as node", "b as component")
+    found = maps.pop()
+    while maps:
+        last = found.select(F.col("v").alias("to"), F.col("to").alias("further"))
+        found = saved(maps.pop().join(last, "to", "left").select("v", F.coalesce("further", "to").alias("to")), f"{name}-found")
+    return found.selectExpr("v as node", "to as component")
 
 
 def as_text(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -2,11 +2,12 @@
 
 Two collections of `m` small hashes are computed, each of `r` minhashes; the m * m tables are keyed by the
 pairs (first[i], second[j]).  A document thus pays for 2 * m * r minhashes instead of the 2 * m * m * r that
-as many independent tables would need.  Rows that share a table key are candidates; candidate groups are
-verified exactly on the full shingle sets (`grouping`), so a reported link is always a true one.
+as many independent tables would need.  Rows that share a table key are candidates and are verified exactly on
+the full shingle sets, bucket by bucket (`grouping`), so a reported link is always a true one.
 
-At the default m=8, r=2 a pair with similarity 0.8 is found with probability
-(1 - (1 - 0.8**2)**8)**2 = 0.9994, one of 0.85 with 0.9999; nothing below the threshold is linked.
+At the default m=10, r=3 a pair with similarity 0.8 is a candidate with probability
+(1 - (1 - 0.8**3)**10)**2 = 0.9985, one of 0.85 with 0.9998, one of 0.3 with 0.06; nothing below the threshold is
+linked.
 
 Words are the byte runs without white space after lower-casing A-Z.  A set holds the distinct k-word
 shingles; a document with fewer words has its whole sequence as one shingle; nulls, empty and blank texts
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import as_text, components, keyed, saved
-from .grouping import blocked, candidate_groups, forest, per_unit, units
+from .common import as_text, keyed, restored, saved
+from .grouping import forest, linked, per_unit
 
-#: Shingles and rows in one block of a candidate group.
-BLOCK_SHINGLES, BLOCK_ROWS = 200_000, 800
+#: Most shingles and rows in one block: of rows beside one representative, and of a bucket that is compared whole.
+STAR, BLOCK = (100_000, 200), (200_000, 800)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -79,70 +80,101 @@ def signatures(rows: DataFrame, k: int, m: int, r: int) -> DataFrame:
     return rows.select("_rid", "doc_id", "text").mapInArrow(sign, f"_rid long, doc_id {kind}, n_shingles long, digest binary, first array<long>, second array<long>")
 
 
-def verify(members: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """members: (node, component, block, n_blocks).  Edges (a, b) of spanning forests of all true links."""
+def shingle_table(nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the sets of the nodes as bytes, stored."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
-                blobs = pa.array([s.tobytes() for s in shingle_sets(data, offs, k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "component", "block", "n_blocks")), blobs], ["node", "component", "block", "n_blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in shingle_sets(data, offs, k)], pa.binary())], ["node", "shingles"])
 
-    def links(table: pa.Table) -> pa.RecordBatch | None:
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
-        n = np.array([len(x) for x in own])
-        flat, row = np.concatenate(own), np.repeat(np.arange(len(n)), n)
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        head = np.append(True, flat[1:] != flat[:-1])
-        number = np.cumsum(head) - 1
-        often = np.bincount(number) > 1
-        keep = often[number]
-        row, number = row[keep], (np.cumsum(often) - 1)[number[keep]]
-        both = np.zeros((len(n), len(n)), np.float32)
-        cuts = np.searchsorted(number, np.arange(0, int(number[-1]) + 2 if len(number) else 1, 2048))
-        for a, b in zip(cuts, [*cuts[1:], len(number)], strict=True):
-            if b > a:
-                dense = np.zeros((len(n), int(number[b - 1] - number[a]) + 1), np.float32)
-                dense[row[a:b], number[a:b] - number[a]] = 1
-                both += dense @ dense.T
-        union = n[:, None] + n[None, :] - both
-        edges = forest(100 * both >= percent * union)
-        if not edges:
+    # candidates grow with the corpus, so they are joined by shuffle at every size
+    texts = rows.select(F.col("_rid").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
+    return saved(texts.mapInArrow(sets, "node long, shingles binary"), "sets")
+
+
+def held_sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+
+
+def shared_counts(own: list[np.ndarray]) -> np.ndarray:
+    """Number of shingles that each two sets share: products of 0/1 matrices over the shingles held twice."""
+    flat, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    head = np.append(True, flat[1:] != flat[:-1])
+    number = np.cumsum(head) - 1
+    often = np.bincount(number) > 1
+    keep = often[number]
+    row, number = row[keep], (np.cumsum(often) - 1)[number[keep]]
+    both = np.zeros((len(own), len(own)), np.float32)
+    cuts = np.searchsorted(number, np.arange(0, int(number[-1]) + 2 if len(number) else 1, 2048))
+    for a, b in zip(cuts, [*cuts[1:], len(number)], strict=True):
+        if b > a:
+            dense = np.zeros((len(own), int(number[b - 1] - number[a]) + 1), np.float32)
+            dense[row[a:b], number[a:b] - number[a]] = 1
+            both += dense @ dense.T
+    return both
+
+
+def links_between(units: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Links (a, b) between components, true by the full sets: of a unit's rows with its center, or of all its rows."""
+
+    def edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch | None:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in sorted(pairs)], pa.int64()), pa.array([b for _, b in sorted(pairs)], pa.int64())], ["a", "b"]) if pairs else None
+
+    def beside(table: pa.Table) -> pa.RecordBatch | None:
+        own, component = held_sets(table), table.column("component").to_numpy()
+        at = int(np.flatnonzero(table.column("center").to_numpy())[0])
+        center = own[at]
+        rest = [i for i in range(len(own)) if i != at]
+        if not rest:
+            return None
+        n = np.array([len(own[i]) for i in rest])
+        flat = np.concatenate([own[i] for i in rest])
+        place = np.minimum(np.searchsorted(center, flat), len(center) - 1)
+        both = np.add.reduceat(center[place] == flat, np.cumsum(n) - n, dtype=np.int64)
+        true = 100 * both >= percent * (n + len(center) - both)
+        return edges({(int(component[rest[i]]), int(component[at])) for i in np.flatnonzero(true)})
+
+    def among(table: pa.Table) -> pa.RecordBatch | None:
+        component = table.column("component").to_numpy()
+        if (component == component[0]).all():
             return None
-        ids = table.column("node").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(ids[[a for a, _ in edges]]), pa.array(ids[[b for _, b in edges]])], ["a", "b"])
+        own = held_sets(table)
+        n = np.array([len(x) for x in own])
+        both = shared_counts(own)
+        link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (component[:, None] != component[None, :])
+        return edges({(int(component[a]), int(component[b])) for a, b in forest(link)} - {(int(c), int(c)) for c in component})
 
-    # candidates grow with the corpus, so they are joined by shuffle at every size
-    texts = members.hint("merge").join(rows.select(F.col("_rid").alias("node"), "text"), "node").select("node", "component", "block", "n_blocks", "text")
-    ready = units(texts.mapInArrow(sets, "node long, component long, block int, n_blocks int, shingles binary"))
-    return per_unit(ready, links, "a long, b long")
+    ready = units.join(sets.hint("merge"), "node")
+    if whole:
+        return per_unit(ready, among, "a long, b long", ("unit", "block", "other"))
+    return per_unit(ready, beside, "a long, b long", ("unit", "block"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8, r: int = 2) -> DataFrame:
-    """One row per document: _rid, doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    return _near_duplicates(keyed(as_text(docs)), k, percent, m, r)
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    return _near_duplicates(keyed(as_text(docs), "text"), k, percent, m, r).drop("_rid", "component")
 
 
-def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8, r: int = 2) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest key, that is the smallest doc_id."""
-    rows = keyed(as_text(docs))
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest doc_id (of equal ones the one with the smallest key)."""
+    rows = keyed(as_text(docs), "text")
     groups = _near_duplicates(rows, k, percent, m, r)
     first = saved(groups.groupBy("component").agg(F.min(F.struct("doc_id", "_rid")).alias("x")).select("x._rid"), "kept")
-    return rows.join(first.hint("merge"), "_rid", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return restored(rows.join(first.hint("merge"), "_rid", "left_semi"))
 
 
 def _near_duplicates(rows: DataFrame, k: int, percent: int, m: int, r: int) -> DataFrame:
     signed = saved(signatures(rows, k, m, r), "signatures")
     classes = saved(
-        signed.where("n_shingles > 0").groupBy("digest").agg(F.min("_rid").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.first("second").alias("second")), "classes"
+        signed.where("n_shingles > 0").groupBy("digest").agg(F.min("_rid").alias("node"), F.first("n_shingles").alias("weight"), F.first("first").alias("first"), F.first("second").alias("second")), "classes"
     )
-    buckets = classes.select("node", F.posexplode("first").alias("i", "u"), "second").select("node", "i", "u", F.posexplode("second").alias("j", "v")).select(F.xxhash64("i", "j", "u", "v").alias("key"), "node")
-    groups = candidate_groups(buckets, "minhash")
-    members = saved(blocked(groups.join(classes.select("node", "n_shingles"), "node"), "n_shingles", BLOCK_SHINGLES, BLOCK_ROWS).select("node", "component", "block", "n_blocks"), "members")
-    found = components(verify(members, rows, k, percent), "links")
+    buckets = classes.select("node", "weight", F.posexplode("first").alias("i", "u"), "second").select("node", "weight", "i", "u", F.posexplode("second").alias("j", "v")).select(F.xxhash64("i", "j", "u", "v").alias("key"), "node", "weight")
+    found = linked(buckets, lambda nodes: shingle_table(nodes, rows, k), lambda units, sets, whole: links_between(units, sets, percent, whole), "minhash", STAR, BLOCK)
     named = saved(classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "named")
     out = signed.join(named, "digest", "left").select("_rid", "doc_id", "n_shingles", F.coalesce("component", "_rid").alias("component"))
-    smallest = saved(out, "labelled")
-    ids = saved(smallest.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    return smallest.join(ids, "component").select("_rid", "doc_id", "n_shingles", "component", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    labelled = saved(out, "labelled")
+    ids = saved(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    return labelled.join(ids, "component").select("_rid", "doc_id", "n_shingles", "component", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_rid")
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,35 +25,52 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(
-        "doc_id",
-        *(pii.counted("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
-        F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"),
-        pii.joined("spans").alias("spans"),
-    )
+    return out.select("doc_id", *_base_columns(), pii.joined("spans").alias("spans"))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3, which SQL can express."""
+    return pii.spotted(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_base_columns())
+
+
+def _base_columns() -> list[F.Column]:
+    return [*(pii.counted("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")), F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256")]
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).drop("_rid")
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources' sizes and targets of op5, which SQL can express."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(mixing.word_count()).alias("source_size"))
+    return mixing.targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("_rid", "component")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(table(spark, sf_dir, "documents"))
-    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p.label)))
     found = F.coalesce(F.transform("found", lambda f: f.label), F.array().cast("array<string>"))
+    labels = F.array_sort(F.array_distinct(F.concat(F.transform("places", lambda p: p.label), found)))
+    return out.select("doc_id", *_place_columns(), F.array_join(labels, ",").alias("labels"), "score")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7, which SQL can express."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", *_place_columns())
+
+
+def _place_columns() -> list[F.Column]:
     starts = F.transform("places", lambda p: p.start)
-    return out.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"), "score",
-    )
+    labels = F.array_sort(F.array_distinct(F.transform("places", lambda p: p.label)))
+    return [F.col("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join(labels, ",").alias("base_labels")]
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +82,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = warc.read_archives(spark, folder).where("record_type = 'response'").withColumn("payload_length", F.octet_length("content").cast("long"))
     revisits = warc.read_archives(spark, folder, content=False).where("record_type = 'revisit'")
     return responses.drop("content").unionByName(revisits.drop("content")).select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+        F.col("page_id").try_cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").try_cast("long").alias("refers_to")
     )
 
 
@@ -78,7 +95,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op2_suffix_dedup, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_license_scan, op8_token_output, op9_warc, op10_toxicity)
+        for f in (op1_decontamination, op2_suffix_dedup, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_license_scan, op8_token_output, op9_warc, op10_toxicity, pii_base_spans, mix_targets, license_base)
     }
 
 
