@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import as_text, keyed, restored, saved
 
-ORDER, SHARED, DISCOUNT = 6, 1, 0.75
+ORDER, SHARED, DISCOUNT = 6, 3, 0.75
 STRONG = 3.0
 MAX_DOCS, CACHED = 4000, 100_000
 UNIT = 1 << 20
