@@ -3,18 +3,19 @@
 Base spans: e-mail addresses, IPv4 addresses, card numbers and phone numbers, each by one pattern, leftmost
 and without overlap per kind, then checked (parts, Luhn, number of digits).
 
-More spans come from weak supervision.  Candidates are long tokens (kind "secret") and groups of digits (kind
-"number") outside the base spans.  Labelers of three sorts vote on each: regular expressions on its
-shape, gazetteers on its beginning, and the words around it.  A candidate is reduced to its kind and votes, so
-the whole corpus gives a table of bounded size (3 votes to the power of the labelers, twice).  From its
-counts expectation-maximisation estimates each labeler's reliability without any labels, and its soft labels train a
-logistic span classifier on the votes, which decides.
+More spans come from weak supervision.  Candidates are long tokens and values after key words (kind "secret"), groups of
+digits ("number"), account numbers ("iban"), capitalised words after a salutation ("name") and house
+numbers with a street ("address") outside the base spans.  Labelers of three sorts vote on each: regular expressions
+on its shape, gazetteers on its words, and the words around it.  A candidate is reduced to its kind and votes, so
+the whole corpus gives a table of bounded size (3 votes to the power of the labelers, for each kind).  From its
+counts, those of candidates without a vote included, expectation-maximisation estimates each labeler's reliability
+without any labels, and its soft labels train a logistic span classifier on the votes, which decides.
 
 Patterns are written so that each character is looked at once: a run of characters that can't match is
 stepped over as a whole, which finds the same spans as trying each place.
 
 Null and empty texts have no spans.  Places are code points, ends exclusive.  Repeated rows are scanned one by
-one and count as often in the estimates.  An empty table gives an empty result.
+one and count as often in the estimates.  Columns called base, candidates or spans are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text
 
-KINDS = ("email", "ip", "card", "phone", "secret", "number")
+KINDS = ("email", "ip", "card", "phone", "secret", "number", "iban", "name", "address")
 
 # A run that no match can begin in is consumed whole (the optional group is then empty).
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
@@ -39,7 +40,16 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+")
 NUMBER = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])++")
 
+KEYED = re.compile(r"""(?i:passw(?:or)?d|secret|token|api[_-]?key|access[_-]?key)["']?[ ]?[:=][ ]?["']?([^\s"',;]{6,64})""")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau)\.? ([A-Z][a-z]+(?:[ -][A-Z][a-z]+){0,2})")
+ADDRESS = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}[A-Z][a-z]+")
+
 # Gazetteers of the labelers.
+STREETS = re.compile(r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Square|Way)$")
+FIRST_NAMES = re.compile(r"(?:James|John|Robert|Michael|William|David|Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Anna|Maria|Peter|Thomas|Paul|Daniel|Sarah|Laura|Jan|Hans|Jean|Pierre|Carlos|Jose)\b")
+TITLES = re.compile(r"(?:Sir|Madam|President|Minister|Reader|All|Team|Customer|Friends?|God|Who)\b")
+ABOUT_PEOPLE = re.compile(r"contact|call|write|resid|lives?|born|patient|client|ship|deliver|address|home|name|signed|regards|sincerely", re.I)
 SECRET_WORDS = re.compile(r"token|secret|passw|api.?key|apikey|auth|bearer|credential|private.?key|access.?key", re.I)
 NUMBER_WORDS = re.compile(r"phone|tel|call|fax|mobile|cell|ssn|passport|account|iban|social security", re.I)
 OTHER_WORDS = re.compile(r"https?:|www\.|/|version|page|isbn|issn|doi|figure|chapter|commit|sha|md5|uuid", re.I)
@@ -77,9 +87,27 @@ def votes(text: str, start: int, end: int, kind: int) -> str:
     """The labelers' votes on a candidate: + for personal or secret, - against, 0 without a view."""
     span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
     digits = sum(map(str.isdigit, span))
-    if kind == 4:
+    if kind == 6:
+        code = re.sub("[^A-Z0-9]", "", span)
+        shape = "+" if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else "-"
+        mixed = "+" if 15 <= len(code) <= 34 else "-"
+        length, begin = "0", "+" if " " in span else "0"
+        words = "+" if NUMBER_WORDS.search(before) else "0"
+    elif kind == 7:
+        shape = "+" if " " in span or "-" in span else "0"
+        mixed = "-" if TITLES.match(span) else "0"
+        length = "-" if len(span) < 3 else "0"
+        begin = "+" if FIRST_NAMES.match(span) else "0"
+        words = "+" if ABOUT_PEOPLE.search(before) else "0"
+    elif kind == 8:
+        shape = "+" if STREETS.search(span) else "-"
+        mixed = "+" if re.match(r",? *[A-Z][a-z]+,? +[0-9A-Z]", after) else "0"
+        length = "-" if len(span) > 40 else "0"
+        begin = "-" if re.match(r"(?:1[89]|20)[0-9]{2} ", span) else "0"
+        words = "+" if ABOUT_PEOPLE.search(before) else "0"
+    elif kind == 4:
         shape = "+" if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", span) else "0"
-        mixed = "+" if digits >= 3 and re.search(r"[A-Za-z]", span) else "-" if digits == 0 else "0"
+        mixed = "+" if digits >= 3 and re.search(r"[A-Za-z]", span) else "-" if digits == 0 or digits == len(span) else "0"
         length = "+" if len(span) >= 24 else "0"
         begin = "+" if BEGINNINGS.match(span) else "0"
         words = "+" if SECRET_WORDS.search(before) else "0"
@@ -97,20 +125,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, kind, end, votes) of candidates that overlap no base span and no earlier candidate."""
     taken = [(a, b) for a, _, b in base]
     out = []
-    for kind, pattern in ((4, TOKEN), (5, NUMBER)):
+    for kind, pattern in ((4, TOKEN), (4, KEYED), (6, IBAN), (8, ADDRESS), (7, NAME), (5, NUMBER)):
         own, k = sorted(taken), 0
         for m in pattern.finditer(text):
-            a, b = m.span()
+            a, b = m.span(pattern.groups)  # the value alone, where a pattern has a group
             if kind == 5 and b - a < 7:
                 continue
             while k < len(own) and own[k][1] <= a:
                 k += 1
             if k < len(own) and own[k][0] < b:
                 continue
-            v = votes(text, a, b, kind)
-            if "+" in v:
-                out.append((a, kind, b, v))
-                taken.append((a, b))
+            out.append((a, kind, b, votes(text, a, b, kind)))
+            taken.append((a, b))
     return sorted(out)
 
 
