@@ -39,7 +39,7 @@ def op1(docs, bench, k=13):
     for item, text in bench:
         w = ALNUM.findall(lower(text))
         for i in range(max(len(w) - k + 1, 1) if w else 0):
-            windows[tuple(w[i : i + k])].add(str(item))
+            windows[tuple(w[i : i + k])] |= {str(item)} if item is not None else set()
     sizes = {len(w) for w in windows}
     out = []
     for d, text in docs:
@@ -47,7 +47,7 @@ def op1(docs, bench, k=13):
         hit, items = set(), set()
         for n in sizes:
             for i in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[i : i + n])):
+                if (found := windows.get(tuple(w[i : i + n]))) is not None:
                     items |= found
                     hit |= set(range(i, i + n))
         out.append((d, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit) and 20 * len(hit) >= len(w)))
@@ -105,7 +105,8 @@ def op4(rows, cosine=0.95):
     unit = []
     for _, v in rows:
         ok = v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
-        unit.append(np.array(v, float) / np.linalg.norm(np.array(v, float)) if ok else None)
+        scaled = np.array(v, float) / max(map(abs, v)) if ok else None
+        unit.append(scaled / np.linalg.norm(scaled) if ok else None)
     for i in range(len(rows)):
         for j in range(i):
             if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine:
@@ -158,7 +159,7 @@ def op8(docs):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out, start = [], 0
-    for d, text in sorted(docs):
+    for d, text in sorted(docs, key=lambda r: (r[0] is not None, r[0])):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
