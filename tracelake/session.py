@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,12 +26,13 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if any(name in f for f in (sc.listFiles or [])):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, name)
-        with zipfile.ZipFile(path, "w") as z:
-            for f in files:
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(path)
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until then
+    path = os.path.join(folder, name)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
