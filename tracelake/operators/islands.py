@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import folder_time
-from .ordering import ROWS_PER_CHUNK, previous_max, running_sum
+from .ordering import previous_max_then_sum
 
 
-def islands(ranges: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def islands(ranges: DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
     """ranges (path, start, end): adds island, numbered from 1 by time.  Ranges that only touch don't merge.
 
     Rows without start or end are left out; ties of start go by end and path.
     """
     rows = ranges.where("start is not null and `end` is not null")
     order = ["start", "end", "path"]
-    seen = previous_max(rows, [], order, F.col("end"), "_reach", rows_per_chunk=rows_per_chunk)
     new = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0)
-    return running_sum(seen, [], order, new, "island", rows_per_chunk).drop("_reach")
+    return previous_max_then_sum(rows, [], order, F.col("end"), new, "island", rows_per_chunk=rows_per_chunk)
 
 
 def named_groups(grouped: DataFrame) -> DataFrame:

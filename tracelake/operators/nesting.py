@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -9,14 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import ROWS_PER_CHUNK, bounded, chunk_of
+from .ordering import chunked, edges
 
 THREAD = ("file", "pid", "tid")
 _PATH = pa.list_(pa.struct([("pos", pa.int64()), ("name", pa.string())]))
 
 
-def nest(events: DataFrame, keys: Sequence[str] = THREAD, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Adds parent_pos, depth, path (array of pos and name, root first, the row last) and call_stack.
+def cut(valid: DataFrame, keys: Sequence[str], rows_per_chunk: int | None = None) -> DataFrame:
+    """valid with _part, _own and _end: each row in its chunk (_own), and again in each later chunk that begins before it ends.
+
+    Chunks are ranges of time of a thread; where they begin is a table of two rows a range at most.
+    """
+    parts = chunked(valid, keys, "ts", rows_per_chunk).withColumn("_end", (F.col("ts") + F.col("dur")).cast("double"))
+    begin = edges(parts, keys, F.min("ts").cast("double").alias("_begin"))
+    begin = begin.select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col("_chunk").alias("_part"), "_begin")
+    on = (F.col("_part") > F.col("_chunk")) & (F.col("_begin") <= F.col("_end"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    later = parts.join(F.broadcast(begin), on).drop(*(f"_r_{k}" for k in keys), "_begin").withColumn("_own", F.lit(False))
+    return parts.withColumn("_part", F.col("_chunk")).withColumn("_own", F.lit(True)).unionByName(later).drop("_chunk")
+
+
+def nest(events: DataFrame, keys: Sequence[str] = THREAD, rows_per_chunk: int | None = None, paths: bool = True) -> DataFrame:
+    """Adds parent_pos and depth, and with paths path (array of pos and name, root first, the row last) and call_stack.
 
     The parent is the latest earlier row (by ts, pos) of the thread that ends no earlier than the row does.  Rows
     without a positive dur or without a thread have no place and are left out; ties of ts go by pos.
@@ -26,49 +42,46 @@ def nest(events: DataFrame, keys: Sequence[str] = THREAD, rows_per_chunk: int =
     valid = events.where("dur > 0")
     for k in keys:
         valid = valid.where(F.col(k).isNotNull())
-    cut = bounded(valid, keys, "ts", rows_per_chunk)
-    parts = (
-        cut.withColumn("_chunk", chunk_of(F.col("ts")))
-        .withColumn("_last", chunk_of(F.col("ts") + F.col("dur")))
-        .withColumn("_part", F.explode(F.sequence("_chunk", "_last")))
-        .withColumn("_own", F.col("_part") == F.col("_chunk"))
-        .withColumn("_end", (F.col("ts") + F.col("dur")).cast("double"))
-        .drop("_bounds", "_chunk", "_last")
-    )
+    parts = cut(valid, keys, rows_per_chunk)
     group = [*keys, "_part"]
     kept = [f for f in parts.schema.fields if f.name not in ("_part", "_own", "_end")]
     names = [f.name for f in kept]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
-        open_rows: list[tuple[float, int, tuple]] = []
+        ends: list[float] = []
+        open_rows: list[tuple[int, int, tuple]] = []  # pos, depth and path of the rows that ends are of
         for batch in batches:
             threads = zip(*(batch.column(k).to_pylist() for k in group), strict=True)
-            rows = zip(threads, batch.column("_end").to_pylist(), batch.column("pos").to_pylist(), batch.column("name").to_pylist(), batch.column("_own").to_pylist(), strict=True)
-            parents, paths = [], []
-            for thread, end, pos, name, own in rows:
+            named = batch.column("name").to_pylist() if paths else itertools.repeat(None, batch.num_rows)
+            parents, depths, found = [], [], []
+            for thread, end, pos, name, own in zip(threads, batch.column("_end").to_pylist(), batch.column("pos").to_pylist(), named, batch.column("_own").to_pylist(), strict=True):
                 if thread != last:
-                    last, open_rows = thread, []
-                while open_rows and open_rows[-1][0] < end:
+                    last, ends, open_rows = thread, [], []
+                while ends and ends[-1] < end:
+                    ends.pop()
                     open_rows.pop()
-                up = open_rows[-1] if open_rows else None
-                path = (*(up[2] if up else ()), {"pos": pos, "name": name})
-                if open_rows and open_rows[-1][0] == end:
+                up, depth, path = open_rows[-1] if open_rows else (None, -1, ())
+                if paths:
+                    path = (*path, {"pos": pos, "name": name})
+                if ends and ends[-1] == end:
+                    ends.pop()
                     open_rows.pop()
-                open_rows.append((end, pos, path))
+                ends.append(end)
+                open_rows.append((pos, depth + 1, path))
                 if own:
-                    parents.append(up[1] if up else None)
-                    paths.append(path)
+                    parents.append(up)
+                    depths.append(depth + 1)
+                    found.append(path)
             if parents:
                 out = batch.filter(batch.column("_own")).select(names)
-                depths = [len(p) - 1 for p in paths]
-                columns = [*out.columns, pa.array(parents, pa.int64()), pa.array(depths, pa.int32()), pa.array(paths, _PATH)]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "parent_pos", "depth", "path"])
+                columns = [*out.columns, pa.array(parents, pa.int64()), pa.array(depths, pa.int32()), *([pa.array(found, _PATH)] if paths else [])]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "parent_pos", "depth", *(["path"] if paths else [])])
 
     path = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("name", T.StringType())]))
-    schema = T.StructType([*kept, T.StructField("parent_pos", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("path", path)])
+    schema = T.StructType([*kept, T.StructField("parent_pos", T.LongType()), T.StructField("depth", T.IntegerType()), *([T.StructField("path", path)] if paths else [])])
     swept = parts.repartition(*group).sortWithinPartitions(*group, "ts", "pos").mapInArrow(sweep, schema)
-    return swept.withColumn("call_stack", F.filter(F.transform("path", lambda p: p["name"]), lambda n: n != "ROOT"))
+    return swept.withColumn("call_stack", F.filter(F.transform("path", lambda p: p["name"]), lambda n: n != "ROOT")) if paths else swept
 
 
 def nest_by_join(events: DataFrame, keys: Sequence[str] = THREAD) -> DataFrame:

@@ -1,12 +1,16 @@
 """Running numbers and running maxima over ordered groups of any size.
 
-A window over a hot group would sort it in one task.  Here a group is cut at quantiles of its order into chunks of
-about equal size; windows run inside chunks, and what earlier chunks add comes from one small row per chunk.
+A window over a hot group would sort it in one task.  Here rows are range-partitioned by group and order and
+stored; a partition's rows of a group are a chunk.  Windows run inside chunks, and what earlier chunks add comes from
+one small row per chunk.  A group of any size is cut into as many chunks as its rows need, and since partitions are
+ranges, only a partition's first group can have earlier chunks and only its last one later ones: the small
+table has two rows a partition at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,97 +18,84 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 
-#: A chunk has about so many rows; a group has at most QUANTILES chunks.
-ROWS_PER_CHUNK = 200_000
-QUANTILES = 256
-
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equality of all keys, nulls included."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
+    return reduce(lambda on, k: on & left[k].eqNullSafe(right[k]), keys, F.lit(True))
 
 
-def bounded(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Adds _bounds: the values of order at which the chunks of a row's group begin (none for small groups).
+def chunked(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int | None = None) -> DataFrame:
+    """df, stored in ranges of (keys, order), with the number of the range as _chunk.
 
-    Quantiles are combined before the shuffle.  They are stored, since they need not come out alike twice.
-    Rows of equal order are in one chunk.
+    Rows of equal keys and order are in one range.  The session's number of shuffle partitions holds, or as
+    many as give about rows_per_chunk.
     """
-    points = F.array(*(F.lit(i / QUANTILES) for i in range(1, QUANTILES)))
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col(order).cast("double"), points, 10_000).alias("_q"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) * rows_per_chunk / F.col("_n"))).cast("int")
-    cuts = F.filter("_q", lambda _, i: (i + 1) % step == 0)
-    bounds = F.when(F.col("_n") > rows_per_chunk, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>"))
-    stored = saved(stats.select(*(F.col(k).alias(f"_key_{k}") for k in keys), bounds.alias("_bounds")), "bounds")
-    on = F.lit(True)
-    for k in keys:
-        on = on & df[k].eqNullSafe(stored[f"_key_{k}"])
-    return df.join(stored, on).drop(*(f"_key_{k}" for k in keys)) if keys else df.withColumn("_bounds", F.lit(_only(stored)).cast("array<double>"))
-
-
-def _only(stored: DataFrame) -> list[float]:
-    """The bounds of a whole table: one row of at most QUANTILES numbers."""
-    row = stored.first()
-    return list(row["_bounds"]) if row and row["_bounds"] else []
-
+    by = [*keys, order]
+    ranged = df.repartitionByRange(*by) if rows_per_chunk is None else df.repartitionByRange(max(1, -(-df.count() // rows_per_chunk)), *by)
+    return saved(ranged.withColumn("_chunk", F.spark_partition_id()), "ranges")
 
-def chunk_of(value: Column, bounds: Column | str = "_bounds") -> Column:
-    """The number of bounds below a value."""
-    return F.size(F.filter(bounds, lambda b: b < value.cast("double")))
 
+def edges(parts: DataFrame, keys: Sequence[str], *columns: Column) -> DataFrame:
+    """(keys, _chunk, aggregates): of each range its first and its last group."""
+    if not keys:
+        return parts.groupBy("_chunk").agg(*columns)
+    group = F.struct(*keys)
+    ends = saved(parts.groupBy("_chunk").agg(F.min(group).alias("_low"), F.max(group).alias("_high")), "ends")
+    # one row a partition
+    outer = parts.join(F.broadcast(ends), "_chunk").where(group.eqNullSafe(F.col("_low")) | group.eqNullSafe(F.col("_high")))
+    return outer.groupBy(*keys, "_chunk").agg(*columns)
 
-def chunked(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    return bounded(df, keys, order, rows_per_chunk).withColumn("_chunk", chunk_of(F.col(order))).drop("_bounds")
 
-
-def _carried(df: DataFrame, keys: Sequence[str], value: Column, over: str) -> DataFrame:
-    """Per chunk: the aggregate of value over all earlier chunks of its group, as _carry."""
+def _carried(parts: DataFrame, keys: Sequence[str], value: Column, over: str) -> DataFrame:
+    """Of the chunks with earlier ones: the aggregate of value over all earlier chunks of the group, as _carry."""
     total = {"sum": F.sum, "max": F.max}[over]
-    per = df.groupBy(*keys, "_chunk").agg(total(value).alias("_part"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    return per.select(*keys, "_chunk", total("_part").over(earlier).alias("_carry"))
+    return saved(edges(parts, keys, total(value).alias("_part")).select(*keys, "_chunk", total("_part").over(earlier).alias("_carry")).where("_carry is not null"), "carried")
 
 
 def _joined(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = same(df, carry, [*keys, "_chunk"])
-    return df.join(carry, on).select(*(df[c] for c in df.columns), carry["_carry"])
-
-
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(c).alias(c) for c in df.columns))
+    carry = carry.select(*(F.col(c).alias(f"_r_{c}") for c in (*keys, "_chunk")), "_carry")
+    on = reduce(lambda on, k: on & F.col(k).eqNullSafe(F.col(f"_r_{k}")), keys, F.col("_chunk") == F.col("_r__chunk"))
+    # two rows a partition at most
+    return df.join(F.broadcast(carry), on, "left").drop(*(f"_r_{c}" for c in (*keys, "_chunk")))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str, first: int = 0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str, first: int = 0, rows_per_chunk: int | None = None) -> DataFrame:
     """Numbers the rows of each group by order, from first on; order must be total for equal results on reruns."""
     parts = chunked(df, keys, order[0], rows_per_chunk)
-    carry = _fresh(_carried(parts, keys, F.lit(1), "sum"))
+    carry = _carried(parts, keys, F.lit(1), "sum")
     inside = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
-    return _joined(parts, carry, keys).withColumn(alias, (inside + F.coalesce("_carry", F.lit(0)) + (first - 1)).cast("bigint")).drop("_chunk", "_carry")
+    return _joined(parts.withColumn("_inside", inside), carry, keys).withColumn(alias, (F.col("_inside") + F.coalesce("_carry", F.lit(0)) + (first - 1)).cast("bigint")).drop("_chunk", "_carry", "_inside")
 
 
-def previous_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, strictly: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def previous_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, strictly: bool = False, rows_per_chunk: int | None = None) -> DataFrame:
     """The greatest value of the rows before each row (strictly: of smaller order[0]); null for the first."""
-    parts = chunked(df.withColumn("_value", value), keys, order[0], rows_per_chunk)
-    carry = _fresh(_carried(parts, keys, F.col("_value"), "max"))
+    return _previous_max(chunked(df.withColumn("_value", value), keys, order[0], rows_per_chunk), keys, order, alias, strictly).drop("_chunk")
+
+
+def _previous_max(parts: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str, strictly: bool = False) -> DataFrame:
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    # strictly: rows of equal order are peers, and the frame ends before the first of them
+    within = w.rowsBetween(W.unboundedPreceding, -1)
     if strictly:
-        # rows of equal order are peers: take the running maximum of the last smaller order
-        per = parts.groupBy(*keys, "_chunk", order[0]).agg(F.max("_value").alias("_most"))
-        before = W.partitionBy(*keys, "_chunk").orderBy(order[0]).rowsBetween(W.unboundedPreceding, -1)
-        per = _fresh(per.select(*keys, "_chunk", order[0], F.max("_most").over(before).alias("_before")))
-        rows = _joined(parts, carry, keys)
-        out = rows.join(per, same(rows, per, [*keys, "_chunk", order[0]])).select(*(rows[c] for c in rows.columns), per["_before"])
+        peers = W.partitionBy(*keys, "_chunk", order[0]).orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        before = parts.withColumn("_running", F.max("_value").over(within)).withColumn("_before", F.first("_running").over(peers)).drop("_running")
     else:
-        out = _joined(parts, carry, keys).withColumn("_before", F.max("_value").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    return out.withColumn(alias, F.greatest("_before", "_carry")).drop("_chunk", "_carry", "_before", "_value")
+        before = parts.withColumn("_before", F.max("_value").over(within))
+    return _joined(before, _carried(parts, keys, F.col("_value"), "max"), keys).withColumn(alias, F.greatest("_before", "_carry")).drop("_carry", "_before", "_value")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, rows_per_chunk: int | None = None) -> DataFrame:
     """The sum of value up to and with each row."""
-    parts = chunked(df.withColumn("_value", value), keys, order[0], rows_per_chunk)
-    carry = _fresh(_carried(parts, keys, F.col("_value"), "sum"))
+    return _running_sum(chunked(df.withColumn("_value", value), keys, order[0], rows_per_chunk), keys, order, alias).drop("_chunk")
+
+
+def _running_sum(parts: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str) -> DataFrame:
     inside = F.sum("_value").over(W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return _joined(parts, carry, keys).withColumn(alias, inside + F.coalesce("_carry", F.lit(0))).drop("_chunk", "_carry", "_value")
+    return _joined(parts.withColumn("_inside", inside), _carried(parts, keys, F.col("_value"), "sum"), keys).withColumn(alias, F.col("_inside") + F.coalesce("_carry", F.lit(0))).drop("_carry", "_value", "_inside")
+
+
+def previous_max_then_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, then: Column, alias: str, reach: str = "_reach", rows_per_chunk: int | None = None) -> DataFrame:
+    """The running sum of `then`, which may use the greatest value before each row as column reach; cut into chunks once."""
+    seen = _previous_max(chunked(df.withColumn("_value", value), keys, order[0], rows_per_chunk), keys, order, reach)
+    return _running_sum(saved(seen.withColumn("_value", then).drop(reach), "seen"), keys, order, alias).drop("_chunk")

@@ -160,7 +160,7 @@ def normalize_stack_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nesting_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nesting.nest(adapters.slices(spark, sf_dir)).select("pos", "parent_pos")
+    return nesting.nest(adapters.slices(spark, sf_dir), paths=False).select("pos", "parent_pos")
 
 
 @query
@@ -352,10 +352,10 @@ def per_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def running_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items numbered by ship date over the whole table, in chunks of a bounded size."""
+    """Line items numbered by ship date over the whole table, in ranges."""
     item = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     rows = adapters.table(spark, sf_dir, "lineitem").select(F.unix_micros("l_shipdate").alias("ts"), *item)
-    out = ordering.numbered(rows, [], ["ts", *item[1:]], "place", first=1, rows_per_chunk=10_000)
+    out = ordering.numbered(rows, [], ["ts", *item[1:]], "place", first=1)
     return out.groupBy("l_orderkey").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.sum("place").alias("places"))
 
 
