@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tuple_text
 from ..storage import saved
+from .ordering import numbered
 
 FIELDS = ("call_stack", "name", "shape", "dtype", "fwd_bwd_type", "pid", "tid", "op_index")
 
@@ -28,7 +29,7 @@ def checked_fields(fields: Sequence[str]) -> list[str]:
 
 
 def kernel_statistics(links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key and kernel: mean, min, max and sample variance of dur (0 for one), count (rows without dur count).
+    """Per key and kernel: mean, min, max, sum and sample variance of dur (0 for one), count (rows without dur count).
 
     Kernels without any dur are left out.
     """
@@ -39,6 +40,7 @@ def kernel_statistics(links: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.min("k_dur").alias("min_dur"),
             F.max("k_dur").alias("max_dur"),
             F.coalesce(F.var_samp("k_dur"), F.lit(0.0)).alias("var_dur"),
+            F.sum("k_dur").alias("sum_dur"),
             F.count(F.lit(1)).alias("n"),
             F.min(F.struct("k_ts", "k_pos")).alias("first_seen"),
         )
@@ -47,13 +49,17 @@ def kernel_statistics(links: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def kernel_totals(statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key: kernel_count, mean, min, max and total of its kernels, and their names in order of appearance."""
+    """Per key: kernel_count, mean, min, max and total of its kernels, and their names in order of appearance.
+
+    The total takes rows without dur as if they had their kernel's mean; kernel_sum_duration leaves them out.
+    """
     named = F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "k_name", "n"))), lambda s: F.struct(s["k_name"].alias("name"), s["n"].alias("n")))
     return (
         statistics.groupBy(*keys)
         .agg(
             F.sum("n").alias("kernel_count"),
             F.sum(F.col("mean_dur") * F.col("n")).alias("kernel_total_duration"),
+            F.sum("sum_dur").alias("kernel_sum_duration"),
             F.min("min_dur").alias("kernel_min_duration"),
             F.max("max_dur").alias("kernel_max_duration"),
             named.alias("kernels"),
@@ -64,24 +70,34 @@ def kernel_totals(statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_share(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """kernel_duration_ratio: percent of the grand total (per label with by); 0 where that is 0."""
+    totals = saved(totals, "totals")  # few rows, each from many; they are read twice
     if by:
-        grand = totals.groupBy(*by).agg(F.sum("kernel_total_duration").alias("_grand"))
-        out = totals.join(grand, list(by))
+        out = totals.join(totals.groupBy(*by).agg(F.sum("kernel_total_duration").alias("_grand")), list(by))
     else:
         out = totals.withColumn("_grand", totals.agg(F.sum("kernel_total_duration")).scalar())
     share = F.coalesce(F.try_divide(F.col("kernel_total_duration"), F.col("_grand")) * 100, F.lit(0.0))
     return out.withColumn("kernel_duration_ratio", share).drop("_grand")
 
 
-def kernel_span(links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First start, last end and all starts (sorted) of the kernels of each key."""
+def kernel_span(links: DataFrame, keys: Sequence[str], starts: bool = False) -> DataFrame:
+    """First start, last end and number of the kernels of each key, combined before the shuffle.
+
+    starts also lists all starts, sorted: for reports alone, whose cells show them; `kernel_starts` gives them as rows.
+    """
+    listed = [F.sort_array(F.collect_list("k_ts")).alias("kernel_timestamps")] if starts else []
     return links.groupBy(*keys).agg(
         F.min("k_ts").alias("kernel_timestamp_start"),
         F.max(F.col("k_ts") + F.coalesce("k_dur", F.lit(0.0))).alias("kernel_timestamp_end"),
-        F.sort_array(F.collect_list("k_ts")).alias("kernel_timestamps"),
+        F.count("k_ts").alias("kernel_starts"),
+        *listed,
     )
 
 
+def kernel_starts(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, place, k_ts): the starts of each key's kernels in order, from 0."""
+    return numbered(links.select(*keys, "k_ts", "k_pos"), keys, ["k_ts", "k_pos"], "place").select(*keys, "place", "k_ts")
+
+
 def streams(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     return links.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("k_stream")), ",").alias("stream"))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver; times without zone count in the session's zone."""
@@ -52,3 +56,32 @@ def collectives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_micros("l_shipdate").cast("double").alias("ts"), F.col("l_extendedprice").alias("dur"), F.col("l_quantity").cast("bigint").alias("in_msg_nelems"),
         "l_orderkey",
     )
+
+
+def trace_files(spark: SparkSession, sf_dir: str, gzip: bool = False) -> str:
+    """Orders and line items written as profiler traces, a file for each month of orders; returns their folder.
+
+    A file is an object with a base time and one event a line.  Every seventh line item has no dur.
+    """
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    items = table(spark, sf_dir, "lineitem").join(orders.select("month", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    event = lambda *columns: F.to_json(F.struct(*columns)).alias("value")
+    external = lambda c: F.col(c).alias("External id")
+    operations = orders.select(
+        "month", F.unix_micros("o_orderdate").alias("at"), F.lit(0).alias("kind"), F.col("o_orderkey").alias("key"), F.lit(0).alias("line"),
+        event(F.col("o_orderpriority").alias("name"), F.lit("cpu_op").alias("cat"), F.lit("X").alias("ph"), (F.col("o_custkey") % 8).alias("pid"), F.col("o_custkey").alias("tid"), F.unix_micros("o_orderdate").alias("ts"), F.lit(1).alias("dur"),
+              F.struct(external("o_orderkey"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderstatus")).alias("Input type"), F.array(F.col("o_custkey") % 5).alias("Input Dims")).alias("args")),
+    )
+    kernels = items.select(
+        "month", F.unix_micros("l_shipdate").alias("at"), F.lit(1).alias("kind"), F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"),
+        event(F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit("kernel").alias("cat"), F.lit("X").alias("ph"), F.lit(0).alias("pid"), F.lit(1).alias("tid"), F.unix_micros("l_shipdate").alias("ts"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice")).alias("dur"),
+              F.struct(external("l_orderkey"), F.col("l_suppkey").alias("stream")).alias("args")),
+    )
+    months = orders.select("month").distinct()
+    frame = lambda at, text: months.select("month", F.lit(at).cast("bigint").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("line"), F.lit(text).alias("value"))
+    low, high = -(1 << 62), 1 << 62
+    # an event without a name closes the list, so that each line before it ends in a comma
+    lines = operations.unionAll(kernels).withColumn("value", F.concat("value", F.lit(","))).unionAll(frame(low, '{"baseTimeNanoseconds": 0, "traceEvents": [')).unionAll(frame(high, '{"ph": "M", "ts": 4e15}]}'))
+    folder = f"{scratch_dir(spark)}/traces-{uuid.uuid4().hex}"
+    lines.repartition("month").sortWithinPartitions("month", "at", "kind", "key", "line").select("month", "value").write.partitionBy("month").option("compression", "gzip" if gzip else "none").text(folder)
+    return folder

@@ -60,7 +60,7 @@ def prepared(events: DataFrame, filters: Filters = Filters(), coarse: bool = Fal
 def grouped(cpu: DataFrame, kernels: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) -> DataFrame:
     """One row per label and group with the shown columns; totals and shares are per label."""
     keys = ["label", *aggregate.checked_fields(fields)]
-    cpu = cpu.withColumn("dtype", F.coalesce("dtype", F.lit("unknown"))).withColumn("shape", F.coalesce("shape", F.lit("[]")))
+    cpu = named_values(cpu, fields)
     if "call_stack" in fields:
         cpu = saved(aggregate.with_merged_stacks(cpu, [k for k in keys if k != "call_stack"]), "merged")
     shown = ["name", "dtype", "shape", "pid", "tid", "fwd_bwd_type", "op_index", "call_stack", "ts", "readable_timestamp"]
@@ -71,10 +71,16 @@ def grouped(cpu: DataFrame, kernels: DataFrame, fields: Sequence[str], show: Seq
     if "stream" in show:
         parts.append(aggregate.streams(links, keys).alias("s"))
     if "kernel_timestamp" in show:
-        parts.append(aggregate.kernel_span(links, keys).alias("k"))
+        parts.append(aggregate.kernel_span(links, keys, starts=True).alias("k"))
     return reduce(lambda a, b: _left(a, b, keys), parts)
 
 
+def named_values(cpu: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """cpu with a name for a missing dtype or shape that it is grouped by; elsewhere what is missing stays missing."""
+    names = {"dtype": "unknown", "shape": "[]"}
+    return cpu.withColumns({c: F.coalesce(c, F.lit(names[c])) for c in names if c in fields})
+
+
 def _left(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     b = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
@@ -84,6 +90,7 @@ def _left(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _shown(show: Sequence[str], fields: Sequence[str]) -> dict[str, Column]:
     """The columns of a report by name, besides the kernels'."""
     first = {c: F.col(f"first.{c}") for c in ("name", "dtype", "shape", "fwd_bwd_type", "pid", "tid", "op_index")}
+    first["dtype"], first["shape"] = F.coalesce(first["dtype"], F.lit("")), F.coalesce(first["shape"], F.lit("[]"))
     first["call_stack"] = F.coalesce(stack_text(F.col("first.call_stack")), F.lit(""))
     first["stream"] = F.coalesce(F.col("stream"), F.lit("")) if "stream" in show else F.lit("")
     out = {c: first[c] for c in first if c in show and c not in fields}
@@ -107,7 +114,7 @@ def _kernel_columns(show: Sequence[str], counted: bool) -> dict[str, Column]:
 
 
 def report(rows: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) -> DataFrame:
-    """The report of one label: by start if grouped by op_index, else by total kernel time, largest first."""
+    """The report of one label: by start if grouped by op_index, else by the plain sum of kernel times, largest first."""
     columns = {f: stack_text(F.col(f)) if f == "call_stack" else F.col(f) for f in fields}
     if "op_index" in fields:
         columns["name"] = F.col("first.name")
@@ -117,7 +124,7 @@ def report(rows: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) ->
         for c in ("kernel_timestamp_start", "kernel_timestamp_end"):
             columns[c] = F.coalesce(two_decimals(F.col(c)), F.lit(""))
         columns["kernel_timestamps"] = F.coalesce(F.array_join(F.col("kernel_timestamps").cast("array<string>"), "\n"), F.lit(""))
-    order = [F.col("first.ts")] if "op_index" in fields else [F.coalesce("kernel_total_duration", F.lit(0.0)).desc()]
+    order = [F.col("first.ts")] if "op_index" in fields else [F.coalesce("kernel_sum_duration", F.lit(0.0)).desc()]
     return rows.orderBy(*order, *fields).select(*(v.alias(k) for k, v in columns.items()))
 
 
@@ -130,9 +137,9 @@ def comparison(rows: DataFrame, cpu: DataFrame, fields: Sequence[str], labels: S
     if "kernel_duration" in show and len(labels) > 1:
         wide = compare.mean_ratio(wide.fillna(0.0, [f"{x}_kernel_mean_duration" for x in labels]), labels)
     if equal and len(labels) > 1:
-        of = {"kernel_name": "_kernel_name"}
+        of = {"kernel_name": "_kernel_name", "dtype": "_dtype", "shape": "_shape"}
         sets = compare.set_equality(compare.value_sets(cpu, fields, [of.get(c, c) for c in equal]), fields, labels, [of.get(c, c) for c in equal])
-        sets = sets.withColumnsRenamed({"_kernel_name_equal": "kernel_name_equal"}).drop(*(f"has_{x}" for x in labels))
+        sets = sets.withColumnsRenamed({f"{v}_equal": f"{k}_equal" for k, v in of.items()}).drop(*(f"has_{x}" for x in labels))
         wide = _left(wide, sets, fields)
     out = {f: stack_text(F.col(f)) if f == "call_stack" else F.col(f) for f in fields}
     if "name" in show and "name" not in fields:
@@ -159,7 +166,8 @@ def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Se
     events = reduce(DataFrame.unionByName, (traces.read_traces(spark, files, label) for label, files in sets.items()))
     cpu, kernels = prepared(events, filters, coarse)
     rows = grouped(cpu, kernels, fields, show)
-    cpu = cpu.withColumn("dtype", F.coalesce("dtype", F.lit("unknown"))).withColumn("shape", F.coalesce("shape", F.lit("[]")))
+    cpu = cpu.withColumns({f"_{c}": F.when(~F.col(c).isin("", "[]"), F.col(c)) for c in ("dtype", "shape")})
+    cpu = named_values(cpu, fields)
     if "call_stack" in fields:
         cpu = saved(aggregate.with_merged_stacks(cpu, ["label", *(f for f in fields if f != "call_stack")]), "merged")
     if "kernel_name" in equal:

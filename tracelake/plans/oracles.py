@@ -39,7 +39,45 @@ p AS (SELECT *, max(e) OVER (ORDER BY s, e, pos ROWS BETWEEN UNBOUNDED PRECEDING
 g AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR s >= b THEN 1 ELSE 0 END) OVER (ORDER BY s, e, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM p)"""
 
 
+#: The trace files of the adapters: operations and kernels by month of the order; `rep` is the longest kernel of an operation.
+TRACES = """op AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS id, o_orderpriority AS name, o_custkey % 8 AS pid, o_custkey AS tid, epoch_us(o_orderdate) AS ts,
+  CASE WHEN o_custkey % 3 > 0 THEN o_orderstatus END AS dtype, '[' || o_custkey % 5 || ']' AS shape FROM orders),
+kr AS (SELECT month, l_orderkey AS id, l_returnflag || l_linestatus AS name, epoch_us(l_shipdate) AS ts, CASE WHEN l_linenumber < 7 THEN l_extendedprice END AS dur, l_suppkey AS stream, l_linenumber AS line FROM lineitem JOIN op ON op.id = l_orderkey),
+pick AS (SELECT id, first(dur ORDER BY coalesce(dur, 0) DESC, ts, line) AS dur, first(name ORDER BY coalesce(dur, 0) DESC, ts, line) AS k_name FROM kr GROUP BY id),
+begun AS (SELECT month, min(ts) AS first_ts FROM (SELECT month, ts FROM op UNION ALL SELECT month, ts FROM kr) GROUP BY month)"""
+
+
+def _totals(keys: str) -> str:
+    """Kernel columns of the groups of `own` (keys, k_name, dur): a kernel's rows without dur count with its mean."""
+    return f"""st AS (SELECT {keys}, k_name, avg(dur) AS mean, count(*) AS n, min(dur) AS low, max(dur) AS high FROM own GROUP BY ALL HAVING avg(dur) IS NOT NULL),
+tot AS (SELECT {keys}, CAST(sum(n) AS BIGINT) AS kernel_count, round(sum(mean * n) / sum(n), 4) AS kernel_mean_duration, round(min(low), 4) AS kernel_min_duration, round(max(high), 4) AS kernel_max_duration, round(sum(mean * n), 4) AS kernel_total_duration FROM st GROUP BY ALL)"""
+
+
+_KERNEL = ", ".join(f"coalesce(kernel_{c}_duration, 0) AS kernel_{c}_duration" for c in ("mean", "min", "max", "total"))
+
 ORACLES: dict[str, str] = {
+    "trace_scan": f"""WITH {TRACES} SELECT month, 'cpu_op' AS cat, count(*) AS n, CAST(sum(ts) AS BIGINT) AS ts, count(*) AS with_dur, CAST(sum(id) AS BIGINT) AS ext_ids, count(dtype) AS with_dtype,
+  CAST(NULL AS BIGINT) AS streams, count(DISTINCT (pid, tid)) AS threads, min(shape) AS shape FROM op GROUP BY month
+UNION ALL SELECT month, 'kernel', count(*), CAST(sum(ts) AS BIGINT), count(dur), CAST(sum(id) AS BIGINT), 0, CAST(sum(stream) AS BIGINT), 1, NULL FROM kr GROUP BY month""",
+    "trace_ranges": f"""WITH {TRACES}, e AS (SELECT month, ts FROM op UNION ALL SELECT month, ts FROM kr) SELECT month, min(ts) * 1000 AS start, max(ts) * 1000 AS "end" FROM e GROUP BY month""",
+    "trace_report": f"""WITH {TRACES}, own AS (SELECT * FROM op JOIN pick USING (id) JOIN begun USING (month)), {_totals("name")},
+t AS (SELECT name, first({{'dtype': coalesce(dtype, ''), 'shape': shape, 'pid': pid, 'tid': tid, 'ts': ts - first_ts}} ORDER BY month, ts, id) AS f FROM own GROUP BY name)
+SELECT name, f.dtype AS dtype, f.shape AS shape, CAST(f.pid AS VARCHAR) AS pid, CAST(f.tid AS VARCHAR) AS tid, 'none' AS fwd_bwd_type, printf('%.2f', CAST(f.ts AS DOUBLE)) AS timestamp,
+  coalesce(kernel_count, 0) AS kernel_count, {_KERNEL}, round(kernel_total_duration / sum(kernel_total_duration) OVER () * 100, 6) AS kernel_duration_ratio FROM t LEFT JOIN tot USING (name)""",
+    "trace_report_by_dtype": f"""WITH {TRACES}, chosen AS (SELECT id, first(dur ORDER BY coalesce(dur, 0) DESC, ts, line) AS dur, first(name ORDER BY coalesce(dur, 0) DESC, ts, line) AS k_name FROM kr WHERE name LIKE '%_O%' GROUP BY id),
+own AS (SELECT coalesce(dtype, 'unknown') AS dtype, CAST(pid AS VARCHAR) AS pid, k_name, dur FROM op JOIN chosen USING (id) WHERE month BETWEEN '1993-01' AND '1995-12' AND name NOT LIKE '%LOW%'), {_totals("dtype, pid")}
+SELECT dtype, pid, coalesce(kernel_count, 0) AS kernel_count, {_KERNEL} FROM (SELECT DISTINCT dtype, pid FROM own) LEFT JOIN tot USING (dtype, pid)""",
+    "trace_comparison": f"""WITH {TRACES}, own AS (SELECT *, month[1:4] AS year FROM op JOIN pick USING (id) WHERE month[1:4] IN ('1996', '1997')), {_totals("tid, year")},
+s AS (SELECT tid, year, first(coalesce(dtype, '') ORDER BY month, ts, id) AS dtype, list_sort(list(DISTINCT dtype) FILTER (dtype IS NOT NULL)) AS dtypes,
+  list_sort(list(DISTINCT shape)) AS shapes, list_sort(list(DISTINCT name)) AS names FROM own GROUP BY tid, year),
+u AS (SELECT s.*, coalesce(kernel_count, 0) AS n, coalesce(kernel_mean_duration, 0) AS mean, st_mean AS exact FROM s LEFT JOIN tot USING (tid, year) LEFT JOIN (SELECT tid, year, sum(mean * n) / sum(n) AS st_mean FROM st GROUP BY ALL) USING (tid, year)),
+a AS (SELECT * FROM u WHERE year = '1996'), b AS (SELECT * FROM u WHERE year = '1997')
+SELECT CAST(tid AS VARCHAR) AS tid, coalesce(a.dtype, 'N/A') AS "1996_dtype", coalesce(b.dtype, 'N/A') AS "1997_dtype", coalesce(a.n, 0) AS "1996_kernel_count", coalesce(b.n, 0) AS "1997_kernel_count",
+  coalesce(a.mean, 0) AS "1996_kernel_mean_duration", coalesce(b.mean, 0) AS "1997_kernel_mean_duration",
+  round(CASE WHEN a.exact > 0 AND b.exact > 0 THEN b.exact / a.exact END, 6) AS "1997_vs_1996_mean_duration_ratio",
+  coalesce(a.dtypes, []) = coalesce(b.dtypes, []) AS dtype_equal, coalesce(a.shapes, []) = coalesce(b.shapes, []) AS shape_equal, coalesce(a.names, []) = coalesce(b.names, []) AS name_equal
+FROM a FULL JOIN b USING (tid)""",
+    "kernel_starts": f"WITH {CPU}, {KERN} SELECT cpu.name, count(*) - 1 AS last_place, CAST(min(kern.ts) AS DOUBLE) AS first_ts, CAST(max(kern.ts) AS DOUBLE) AS last_ts FROM cpu JOIN kern USING (ext_id) GROUP BY cpu.name",
     "op_kernel_time_by_name": f"""WITH {CPU}, {KERN}, {REP} SELECT name, round(sum(dur) / sum(sum(dur)) OVER () * 100, 6) AS share, {_STATS} FROM cpu JOIN rep USING (ext_id) GROUP BY name""",
     "agg_multi_key": f"WITH {CPU}, {KERN}, {REP} SELECT name, dtype, pid, {_STATS} FROM cpu JOIN rep USING (ext_id) GROUP BY name, dtype, pid",
     "kernel_stats": f"""WITH {CPU}, {KERN} SELECT cpu.name, kern.name AS k_name, count(*) AS n, round(sum(dur), 2) / count(*) AS mean_dur, round(min(dur), 2) AS min_dur, round(max(dur), 2) AS max_dur,

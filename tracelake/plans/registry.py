@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, time
 from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering
-from . import adapters
+from ..sources import traces
+from . import adapters, analysis
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,7 +258,15 @@ def stream_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kernel_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     cpu, kernels = _both(spark, sf_dir)
     out = aggregate.kernel_span(correlate.linked(cpu, kernels, ["shape"]), ["shape"])
-    return out.select("shape", F.col("kernel_timestamp_start").alias("span_start"), F.floor("kernel_timestamp_end").alias("span_end"), F.size("kernel_timestamps").alias("n"))
+    return out.select("shape", F.col("kernel_timestamp_start").alias("span_start"), F.floor("kernel_timestamp_end").alias("span_end"), F.col("kernel_starts").alias("n"))
+
+
+@query
+def kernel_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last place and start of the kernels of each operation name, from all starts in order."""
+    cpu, kernels = _both(spark, sf_dir)
+    out = aggregate.kernel_starts(correlate.linked(cpu, kernels, ["name"]), ["name"])
+    return out.groupBy("name").agg(F.max("place").alias("last_place"), F.min_by("k_ts", "place").alias("first_ts"), F.max_by("k_ts", "place").alias("last_ts"))
 
 
 @query
@@ -359,6 +368,64 @@ def running_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("l_orderkey").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.sum("place").alias("places"))
 
 
+def _month(file: str = "file") -> F.Column:
+    return F.regexp_extract(file, "month=([0-9-]+)", 1)
+
+
+def _traces(spark: SparkSession, folder: str, years: str = "*") -> str:
+    return f"{folder}/month={years}-*/*"
+
+
+@query
+def trace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read back from compressed trace files: per file and category their number, times and arguments."""
+    events = traces.read_traces(spark, _traces(spark, adapters.trace_files(spark, sf_dir, gzip=True)))
+    return events.where("cat <> ''").groupBy(_month().alias("month"), "cat").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("ts").cast("bigint")).alias("ts"), F.count("dur").alias("with_dur"), F.sum(F.col("ext_id").cast("bigint")).alias("ext_ids"),
+        F.count_if(F.col("dtype").isNotNull()).alias("with_dtype"), F.sum("stream_id").alias("streams"), F.count_distinct("pid", "tid").alias("threads"), F.min("shape").alias("shape"),
+    )
+
+
+@query
+def trace_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time of the first and the last entry of each trace file."""
+    events = traces.read_traces(spark, _traces(spark, adapters.trace_files(spark, sf_dir)))
+    return traces.time_range(events.where("cat <> ''")).select(_month().alias("month"), "start", "end")
+
+
+_DURATIONS = ("mean", "min", "max", "total")
+
+
+@query
+def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all trace files by operation name: first operation, kernel time and share."""
+    folder = adapters.trace_files(spark, sf_dir)
+    out = analysis.analyse(spark, _traces(spark, folder), ["name"], ["dtype", "shape", "pid", "tid", "fwd_bwd_type", "timestamp", "kernel_duration"], label="all")
+    return out.select("name", "dtype", "shape", "pid", "tid", "fwd_bwd_type", "timestamp", "kernel_count", *(F.round(f"kernel_{c}_duration", 4).alias(f"kernel_{c}_duration") for c in _DURATIONS), F.round("kernel_duration_ratio", 6).alias("kernel_duration_ratio"))
+
+
+@query
+def trace_report_by_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report by dtype, missing ones under a name of their own, of operations and kernels chosen by pattern."""
+    folder = adapters.trace_files(spark, sf_dir)
+    keep = analysis.Filters(exclude_op=["LOW"], include_kernel=["?O"])
+    out = analysis.analyse(spark, _traces(spark, folder, "199[3-5]"), ["dtype", "pid"], ["kernel_duration"], keep, label="all")
+    return out.select("dtype", "pid", "kernel_count", *(F.round(f"kernel_{c}_duration", 4).alias(f"kernel_{c}_duration") for c in _DURATIONS))
+
+
+@query
+def trace_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years of trace files side by side by thread: counts, means, their ratio, and whether dtypes and names agree."""
+    folder = adapters.trace_files(spark, sf_dir)
+    sets = {y: _traces(spark, folder, y) for y in _LABELS}
+    out = analysis.compare_sets(spark, sets, ["tid"], ["kernel_duration", "dtype"], ["dtype", "shape", "name"])
+    ratio = "1997_vs_1996_mean_duration_ratio"
+    return out.select(
+        "tid", *(f"{y}_dtype" for y in _LABELS), *(f"{y}_kernel_count" for y in _LABELS), *(F.round(f"{y}_kernel_mean_duration", 4).alias(f"{y}_kernel_mean_duration") for y in _LABELS),
+        F.round(ratio, 6).alias(ratio), "dtype_equal", "shape_equal", "name_equal",
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
