@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,70 @@ def test_collectives(spark, tmp_path):
     assert (first.fastest_card, first.slowest_card, first.duration_ratio, first.total_cards, first.group_size, first.dtype) == (0, 1, 2.0, 3, 3, "bf16")
     with pytest.raises(FileNotFoundError):
         analysis.collectives(spark, str(pod), step=5)
+    out = cli.main(["comm", str(pod), "--output-dir", str(tmp_path / "out"), "--output-format", "csv"], spark)
+    assert (tmp_path / "out" / "communication_raw_data.csv" / "step=0").is_dir() and len(out) == 2
+
+
+def test_ranks_side_by_side(spark, tmp_path):
+    base = 1_700_000_000_000_000_000
+    fast = write(tmp_path / "fast.json", [op(f"TCDP_{i}", 10 * i, 5, cat="kernel", args={"Group size": 2, "In msg nelems": 7}) for i in range(3)], base)
+    slow = write(tmp_path / "slow.json", [op(f"TCDP_{min(i, 1)}", 10 * i, 5 + 9000 * (i == 1), cat="kernel", args={"Group size": 2 + i}) for i in range(4)], base + 1_000_000)
+    out = cli.main(["ranks", fast, slow, "--output-dir", str(tmp_path / "out"), "--output-format", "parquet"], spark)
+    rows = spark.read.parquet(out[0]).orderBy("number").collect()
+    assert len(rows) == 3 and len(rows[0]) == 17
+    assert [(r.same_name, r.apart, r.start_diff_us, r.end_diff_us) for r in rows] == [(True, False, 1000.0, 1000.0), (True, True, 1000.0, 10000.0), (False, False, 1000.0, 1000.0)]
+    assert (rows[0].fast_start, rows[0].fast_end) == ("2023-11-14 22:13:20.000000", "2023-11-14 22:13:20.000005")
+    assert (rows[0].fast_in_msg_nelems, rows[0].slow_in_msg_nelems, rows[0].same_in_msg_nelems, rows[1].same_group_size) == ("7", "N/A", False, False)
+    verdict = spark.read.parquet(out[1]).first()
+    assert (verdict.consistent, verdict.equal, verdict.n_a, verdict.n_b) == (False, False, 3, 4)
+
+
+def test_missing_values_of_reports(spark, tmp_path):
+    """A missing dtype has a name as a group, shows as an empty text, and is no value where labels are compared."""
+    with_type = write(tmp_path / "a.json", [op("mm", 0, 5, 1, args={"Input type": "float"}), op("mm", 9, 5, 2), op("k", 1, 3, 1, cat="kernel"), op("k", 10, 3, 2, cat="kernel")])
+    without = write(tmp_path / "b.json", [op("mm", 0, 5, 1), op("mm", 9, 5, 2, args={"Input type": "float", "Input Dims": []}), op("k", 1, 3, 1, cat="kernel"), op("k", 10, 3, 2, cat="kernel")])
+    assert {r.dtype for r in analysis.analyse(spark, with_type, ["name", "dtype"]).collect()} == {"float", "unknown"}
+    assert [(r.dtype, r["shape"]) for r in analysis.analyse(spark, without, ["name"], ["dtype", "shape"]).collect()] == [("", "[]")]
+    r = analysis.compare_sets(spark, {"a": [with_type], "b": [without]}, ["name"], equal=["dtype", "shape"]).first()
+    assert (r.dtype_equal, r.shape_equal) == (True, True)
+
+
+def test_reports_order_by_plain_sums(spark, tmp_path):
+    """Of two kernels with a mean of 10 one has rows without dur: its total is larger, its plain sum isn't."""
+    rows = [op("a", 10 * i, 5, i) for i in range(3)] + [op("b", 100 + 10 * i, 5, 10 + i) for i in range(2)]
+    rows += [op("k", 10 * i, d, i, cat="kernel") for i, d in enumerate((10, None, None))] + [op("l", 100 + 10 * i, 7, 10 + i, cat="kernel") for i in range(2)]
+    out = analysis.analyse(spark, write(tmp_path / "t.json", rows), ["name"], ["kernel_duration"]).collect()
+    assert [(r.name, r.kernel_total_duration) for r in out] == [("b", 14.0), ("a", 30.0)]
+
+
+def test_observed_counts(spark, tmp_path):
+    cpu, kernels = analysis.prepared(traces.read_traces(spark, write(tmp_path / "t.json", TRACE), "x"))
+    assert {tuple(r) for r in analysis.observed(cpu, kernels).collect()} == {("cpu_op", 2, 2), ("kernel", 2, 2)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_threads_nest_as_by_self_join(spark, seed):
+    rng = random.Random(seed)
+    rows = [(str(rng.randrange(2)), 1, rng.randrange(3), i, float(rng.randrange(60)), float(rng.choice([0, 1, 2, 5, 20, 50]))) for i in range(150)]
+    df = spark.createDataFrame(rows, "file string, pid int, tid int, pos bigint, ts double, dur double").withColumn("name", F.lit("x"))
+    want = {r.pos: r.parent_pos for r in nesting.nest_by_join(df).collect()}
+    for per_chunk in (7, None):
+        got = nesting.nest(df, rows_per_chunk=per_chunk)
+        assert {r.pos: r.parent_pos for r in got.collect()} == want
+        assert {(r.pos, r.parent_pos) for r in nesting.nest(df, rows_per_chunk=per_chunk, paths=False).collect()} == set(want.items())
+        assert all(len(r.path) == r.depth + 1 for r in got.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_stacks_merge_as_by_comparing_all(spark, seed):
+    rng = random.Random(seed)
+    stacks = [[rng.choice("ab") for _ in range(rng.randrange(5))] for _ in range(40)]
+    df = spark.createDataFrame([(s,) for s in stacks], "call_stack array<string>").withColumn("k", F.lit(1))
+    begins = lambda s, t: s != t and t[: len(s)] == s
+    longest = [s for s in stacks if not any(begins(s, t) for t in stacks)]
+    for r in aggregate.merged_stacks(df, ["k"]).collect():
+        fits = [t for t in longest if t[: len(r.call_stack)] == r.call_stack]
+        assert r.merged_stack in fits
 
 
 def test_file_names_of_steps_and_cards(spark):
@@ -256,6 +321,9 @@ def test_command_line(spark, tmp_path):
     write(tmp_path / "runs" / "r1" / "trace_0.json", TRACE)
     write(tmp_path / "runs" / "r2" / "trace_0.json", TRACE)
     assert spark.read.json(cli.main(["group", str(tmp_path / "runs"), "--output-dir", str(tmp_path / "out")], spark)[-1]).first().runs == 2
+    (tmp_path / "n.json").write_text(json.dumps([{"node": "executor_a_3_1", "state": "Done", "launchTime": 5}, {"node": "executor_a_4_0", "state": "FAILED", "launchTime": 9}]))
+    out = cli.main(["nodes", str(tmp_path / "n.json"), "--state", "failed", "--launched-from", "6", "--output-dir", str(tmp_path / "out"), "--output-format", "json"], spark)
+    assert [r.node for r in spark.read.json(out[0]).collect()] == ["executor_a_4_0"]
     with pytest.raises(ValueError):
         cli.main(["analysis", a, "--include-op", "x", "--exclude-op", "y"], spark)
     with pytest.raises(ValueError):
@@ -269,6 +337,11 @@ def test_labels_and_samples(spark, tmp_path):
     label, files = traces.labelled_files(spark, f"{tmp_path}/d/*.json:base", most=2)
     assert (label, len(files)) == ("base", 2) and files == traces.labelled_files(spark, f"{tmp_path}/d/*.json:base", most=2)[1]
     assert traces.labelled_files(spark, f"{tmp_path}/d/t1.json")[0] == "t1"
+    write(tmp_path / "d" / "odd.txt", TRACE)
+    with pytest.warns(UserWarning, match="left out"):
+        assert len(traces.list_files(spark, f"{tmp_path}/d")) == 5
+    with pytest.warns(UserWarning, match="may not be JSON"):
+        assert len(traces.list_files(spark, f"{tmp_path}/d/odd.txt")) == 1
 
 
 def test_stream_of_traces(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""python -m tracelake.cli analysis|compare|comm|group: the analyses from the command line."""
+"""python -m tracelake.cli analysis|compare|comm|ranks|nodes|group: the analyses from the command line."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from . import sinks
 from .functions.patterns import parsed
 from .operators.aggregate import checked_fields
 from .operators.islands import islands, named_groups
+from .operators.nodes import filter_nodes
 from .plans import analysis
 from .session import local_session
 from .sources import traces
@@ -54,9 +55,20 @@ def parser() -> argparse.ArgumentParser:
     ranks.add_argument("pod_dir")
     ranks.add_argument("--step", type=int)
     ranks.add_argument("--kernel-prefix", default="TCDP_")
+    pair = commands.add_parser("ranks", help="collectives of two ranks side by side")
+    pair.add_argument("fast")
+    pair.add_argument("slow")
+    pair.add_argument("--kernel-prefix", default="TCDP_")
+    picked = commands.add_parser("nodes", help="filter a saved list of nodes")
+    picked.add_argument("file")
+    picked.add_argument("--state")
+    picked.add_argument("--node-id", type=int)
+    picked.add_argument("--attempt", type=int)
+    for f in ("launched-from", "launched-to", "released-from", "released-to"):
+        picked.add_argument(f"--{f}", help="milliseconds or an ISO-8601 time")
     runs = commands.add_parser("group", help="group run folders whose time ranges overlap")
     runs.add_argument("root")
-    for p in (one, many, ranks, runs):
+    for p in (one, many, ranks, pair, picked, runs):
         p.add_argument("--output-dir", default=".")
         p.add_argument("--output-format", default="csv,json")
     return out
@@ -81,7 +93,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return sinks.write(out, args.output_dir, sinks.base_name(fields, show, list(sets), vars(keep)), formats)
     if args.command == "comm":
         raw, statistics = analysis.collectives(spark, args.pod_dir, args.kernel_prefix, args.step)
-        return sinks.write(raw, args.output_dir, "communication_raw_data", formats) + sinks.write(statistics, args.output_dir, "communication_statistics", formats)
+        flat = [f for f in formats if f == "xlsx"]  # a workbook has no partitions
+        paths = sinks.write(raw, args.output_dir, "communication_raw_data", [f for f in formats if f not in flat], partition="step") + sinks.write(raw, args.output_dir, "communication_raw_data", flat)
+        return paths + sinks.write(statistics, args.output_dir, "communication_statistics", formats)
+    if args.command == "ranks":
+        report, verdict = analysis.compared_ranks(spark, args.fast, args.slow, args.kernel_prefix)
+        return sinks.write(report, args.output_dir, "communication_pairs", formats) + sinks.write(verdict, args.output_dir, "communication_verdict", formats)
+    if args.command == "nodes":
+        kept = filter_nodes(traces.read_nodes(spark, args.file), args.state, args.node_id, args.attempt, (args.launched_from, args.launched_to), (args.released_from, args.released_to))
+        return sinks.write(kept, args.output_dir, "nodes", formats)
     grouped = islands(traces.run_folder_ranges(spark, args.root))
     return sinks.write(grouped, args.output_dir, "run_groups", formats) + sinks.write(named_groups(grouped), args.output_dir, "run_group_names", formats)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.time import apart
+from ..functions.time import apart, end_text, readable
 from .ordering import numbered, previous_max
 
 #: Collectives kept of a file, and the distance in microseconds from which ranks count as apart.
@@ -100,6 +100,31 @@ def zipped(a: DataFrame, b: DataFrame, limit: float = APART_US) -> DataFrame:
     return side(a, "a").join(side(b, "b"), "comm_idx").select("*", starts.alias("start_diff"), ends.alias("end_diff"), far.alias("apart"), (F.col("name_a") == F.col("name_b")).alias("same_name"))
 
 
+def pair_report(a: DataFrame, b: DataFrame, limit: float = APART_US) -> DataFrame:
+    """The i-th collectives of two ranks side by side as a report: names, times, distances, message and group sizes.
+
+    Ranks have their own base times, so distances are those of absolute times where both files have one.
+    """
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        at = F.coalesce(F.col("base_ns") / 1000, F.lit(0.0)) + F.col("ts")
+        start = readable(F.col("base_ns"), F.col("ts"))
+        return df.select(
+            "comm_idx", F.col("name").alias(f"{s}_name"), F.coalesce(start, F.format_string("%.2f", "ts")).alias(f"{s}_start"),
+            F.coalesce(end_text(start, F.col("dur")), F.format_string("%.2f", F.col("ts") + F.col("dur"))).alias(f"{s}_end"), at.alias(f"_at_{s}"), F.col("dur").alias(f"_dur_{s}"),
+            *(F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(f"{s}_{c}") for c in ("in_msg_nelems", "group_size")),
+        )
+
+    starts, ends, far = apart(F.col("_at_fast"), F.col("_dur_fast"), F.col("_at_slow"), F.col("_dur_slow"), limit)
+    both = side(a, "fast").join(side(b, "slow"), "comm_idx")
+    equal = lambda c: (F.col(f"fast_{c}") == F.col(f"slow_{c}")).alias(f"same_{c}")
+    return both.select(
+        (F.col("comm_idx") + 1).alias("number"), "fast_name", "fast_start", "fast_end", "slow_name", "slow_start", "slow_end", equal("name"),
+        F.round(starts, 2).alias("start_diff_us"), F.round(ends, 2).alias("end_diff_us"), far.alias("apart"),
+        "fast_in_msg_nelems", "slow_in_msg_nelems", equal("in_msg_nelems"), "fast_group_size", "slow_group_size", equal("group_size"),
+    )
+
+
 def same_sequence(a: DataFrame, b: DataFrame, by: str = "end") -> DataFrame:
     """Whether two sequences have equal names in order (by end, then pos): one row, equal and both lengths."""
 

@@ -175,6 +175,19 @@ def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Se
     return comparison(rows, cpu, fields, list(sets), show, equal)
 
 
+def observed(cpu: DataFrame, kernels: DataFrame) -> DataFrame:
+    """(kind, rows, ids): how many operations and kernels there are and how many ids link them."""
+    one = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_distinct("file", "ext_id").alias("ids"))
+    return one(cpu, "cpu_op").unionAll(one(kernels, "kernel"))
+
+
+def compared_ranks(spark: SparkSession, fast: str, slow: str, prefix: str = "TCDP_") -> tuple[DataFrame, DataFrame]:
+    """(collectives of two ranks' trace files side by side, one row that says whether the ranks agree)."""
+    ranks = [saved(comm.collective_kernels(traces.read_traces(spark, f).drop("args"), prefix), "rank") for f in (fast, slow)]
+    verdict = comm.consistent(*ranks, n=0).join(comm.same_sequence(*ranks), F.lit(True))  # one row each
+    return comm.pair_report(*ranks).orderBy("number"), verdict
+
+
 def collectives(spark: SparkSession, run_folder: str, prefix: str = "TCDP_", step: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(first collectives of each step and card, fastest and slowest card of each step and collective)."""
     rows = comm.last_file_wins(comm.first_collectives(traces.read_collectives(spark, run_folder, step), prefix))

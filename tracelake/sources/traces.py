@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,7 +18,10 @@ RUN_FILES = "trace_*.json"
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """The JSON files that a path, folder or glob names, sorted; works on any store that Spark reads."""
+    """The JSON files that a path, folder or glob names, sorted; works on any store that Spark reads.
+
+    A file that is named itself is read whatever its ending; other files are left out.  Both give a warning.
+    """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -26,7 +30,11 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     for status in found:
         inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
         names += [s.getPath().toString() for s in inner if s.isFile()]
-    out = sorted(n for n in names if n.lower().endswith((".json", ".json.gz")))
+    alone = len(found) == 1 and found[0].isFile()
+    odd = [n for n in names if not n.lower().endswith((".json", ".json.gz"))]
+    if odd:
+        warnings.warn(f"{'may not be JSON' if alone else 'left out, not JSON'}: {', '.join(odd[:3])}{' ...' if len(odd) > 3 else ''}", stacklevel=2)
+    out = sorted(names if alone else set(names) - set(odd))
     if not out:
         raise FileNotFoundError(f"no JSON files: {pattern}")
     return out
@@ -49,7 +57,7 @@ def labelled_files(spark: SparkSession, spec: str, most: int | None = None, seed
 def read_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None) -> DataFrame:
     """Events of trace files: one row per entry of traceEvents (or of a bare top-level array).
 
-    pos is the entry's place in its file.  A missing name, category or phase is an empty text, a missing ts 0, a
+    pos is the entry's place in its file (for bare arrays a number that ascends in the file's order).  A missing name, category or phase is an empty text, a missing ts 0, a
     missing dur null.  Malformed files give no rows; entries that aren't objects give rows of defaults.
     ext_id keeps numbers and texts apart ("1" and 1 differ).
     """
