@@ -6,7 +6,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +41,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def saved_alone(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build returns, saved; the tables that were saved on the way to it are deleted."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with scratch(spark):
+        df = build()
+        schema = df.schema
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables saved inside are deleted at the end; what is needed later must be saved outside."""
@@ -51,5 +61,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open.remove(name)
+        gc.collect()
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
