@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..storage import saved, scratch_dir
+from ..storage import saved, saved_alone, scratch_dir
 
-__all__ = ["as_text", "components", "keyed", "restored", "saved", "scratch_dir"]
+__all__ = ["as_text", "components", "keyed", "restored", "saved", "saved_alone", "scratch_dir"]
 
 
 def keyed(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:

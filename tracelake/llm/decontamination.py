@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import as_text, keyed, restored, saved
+from .common import as_text, keyed, restored, saved, saved_alone
 
 WINDOW = 13
 #: Benchmark text that is asked at once; starts of phrases that a task holds at once.
@@ -246,7 +246,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
     """The documents that aren't contaminated."""
     rows = keyed(as_text(docs), "text")
-    bad = saved(_report(rows, benchmark, window, percent).where("contaminated").select("_rid"), "contaminated")
+    bad = saved_alone(docs.sparkSession, "contaminated", lambda: _report(rows, benchmark, window, percent).where("contaminated").select("_rid"))
     return restored(rows.join(bad, "_rid", "left_anti"))
 
 

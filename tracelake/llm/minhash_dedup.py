@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import as_text, keyed, restored, saved
+from .common import as_text, keyed, restored, saved, saved_alone
 from .grouping import forest, linked, per_unit
 
 #: Most shingles and rows in one block: of rows beside one representative, and of a bucket that is compared whole.
@@ -161,8 +161,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 10,
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id (of equal ones the one with the smallest key)."""
     rows = keyed(as_text(docs), "text")
-    groups = _near_duplicates(rows, k, percent, m, r)
-    first = saved(groups.groupBy("component").agg(F.min(F.struct("doc_id", "_rid")).alias("x")).select("x._rid"), "kept")
+    first = saved_alone(docs.sparkSession, "kept", lambda: _near_duplicates(rows, k, percent, m, r).groupBy("component").agg(F.min(F.struct("doc_id", "_rid")).alias("x")).select("x._rid"))
     return restored(rows.join(first.hint("merge"), "_rid", "left_semi"))
 
 

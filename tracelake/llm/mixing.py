@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text, keyed, restored, saved
+from .common import as_text, keyed, restored, saved, saved_alone
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -158,5 +158,5 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     """The mixed documents themselves: each row as often as it is taken (rows without words not at all)."""
     rows = keyed(docs, "source", "text")
     sized = rows.select("_rid", "doc_id", "source", word_count(F.col("text").cast("string")).alias("_size"))
-    copies = saved(_mixed(sized, weights, most, seed).where("copies > 0 and size > 0").select("_rid", "copies"), "copies")
+    copies = saved_alone(docs.sparkSession, "copies", lambda: _mixed(sized, weights, most, seed).where("copies > 0 and size > 0").select("_rid", "copies"))
     return restored(rows.join(copies.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import as_text, keyed, restored, saved
+from .common import as_text, keyed, restored, saved, saved_alone
 
 ORDER, SHARED, DISCOUNT = 6, 3, 0.75
 STRONG = 3.0
@@ -280,5 +280,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that aren't predicted to be toxic."""
     rows = keyed(docs, "text")
-    scores = scored(rows.select("_rid", "doc_id", F.col("text").cast("string").alias("text")), labels)
-    return restored(rows.join(scores.where(F.col("toxic_score") < threshold), "_rid", "left_semi"))
+    texts = rows.select("_rid", "doc_id", F.col("text").cast("string").alias("text"))
+    good = saved_alone(docs.sparkSession, "not-toxic", lambda: scored(texts, labels).where(F.col("toxic_score") < threshold).select("_rid"))
+    return restored(rows.join(good, "_rid", "left_semi"))
