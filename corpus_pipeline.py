@@ -5,17 +5,19 @@ return the columns of docs; the last returns the rows of the token files.
 
 Nulls: a null text isn't toxic, has no duplicates and isn't contaminated, but has no words to mix, so it ends
 there.  Repeated rows are near-duplicates of one another, so one stays.  An empty table stays empty.  Extra columns are
-carried along up to the mix.
+carried along up to the mix, whatever they are called.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import decontamination, minhash_dedup, mixing, token_output, toxicity
 from tracelake.session import ship
+from tracelake.storage import saved, scratch, scratch_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +63,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents, each written and read again."""
-    from tracelake.llm.common import saved
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    """Applies the stages to the documents, each written and read again; a stage's own tables go with its end."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_dir(spark)
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    name, stage = STAGES[-1]  # its token files stay
+    return saved(stage(spark, docs, sf_dir), f"stage-{name}")
