@@ -25,7 +25,7 @@ def planted(n, cosine):
     return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("total", [500, 2000, 200_000, 2_000_000])
+@pytest.mark.parametrize("total", [500, 2000, 200_000, 2_000_000, 100_000_000])
 def test_near_vectors_share_a_filter(total):
     codes = [ProductCode(64, E.code_words(total), t) for t in range(E.TURNS)]
     for cosine in (0.9501, 0.98):
