@@ -129,8 +129,8 @@ def same_sequence(a: DataFrame, b: DataFrame, by: str = "end") -> DataFrame:
     """Whether two sequences have equal names in order (by end, then pos): one row, equal and both lengths."""
 
     def order(df: DataFrame, side: str) -> DataFrame:
-        ended = df.withColumn("end", F.col("ts") + F.coalesce("dur", F.lit(0.0))).withColumn("_one", F.lit(1))
-        return numbered(ended, ["_one"], [by, "pos"], "rn").select("rn", F.col("name").alias(f"name_{side}"))
+        ended = df.withColumn("end", F.col("ts") + F.coalesce("dur", F.lit(0.0)))
+        return numbered(ended, [], [by, "pos"], "rn").select("rn", F.col("name").alias(f"name_{side}"))
 
     both = order(a, "a").join(order(b, "b"), "rn", "full_outer")
     return both.agg(

@@ -7,21 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 FORMATS = ("csv", "json", "parquet", "xlsx")
+#: Short words in the names of reports.
+SHORT = {"dtype": "dtype", "shape": "shape", "kernel_names": "kernel", "kernel_duration": "duration", "timestamp": "ts", "name": "name", "call_stack": "stack", "stream": "stream"}
+COUNTED = {"include_op": "inc_op", "exclude_op": "exc_op", "include_kernel": "inc_ker", "exclude_kernel": "exc_ker"}
 #: Rows of a sheet below its header.
 SHEET_ROWS = 1_048_575
 
 
 def base_name(fields: Sequence[str], show: Sequence[str], labels: Sequence[str] = (), filters: dict[str, Sequence[str]] | None = None, label: str | None = None) -> str:
     """The name of a report from what it holds."""
-    short = {"dtype": "dtype", "shape": "shape", "kernel_names": "kernel", "kernel_duration": "duration", "timestamp": "ts", "name": "name", "call_stack": "stack", "stream": "stream"}
     parts = [label] if label else []
     parts.append("comparison")
     if labels:
         parts.append("_vs_".join(labels))
     parts.append("by_" + "_".join(fields))
-    parts += [s for c, s in short.items() if c in show]
-    counts = {"include_op": "inc_op", "exclude_op": "exc_op", "include_kernel": "inc_ker", "exclude_kernel": "exc_ker"}
-    parts += [f"{s}_{len(filters[c])}" for c, s in counts.items() if filters and filters.get(c)]
+    parts += [s for c, s in SHORT.items() if c in show]
+    parts += [f"{s}_{len(filters[c])}" for c, s in COUNTED.items() if filters and filters.get(c)]
     return "_".join(parts)
 
 
