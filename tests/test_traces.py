@@ -313,7 +313,7 @@ def test_empty_tables(spark):
 
 def test_command_line(spark, tmp_path):
     a, b = write(tmp_path / "a.json", TRACE), write(tmp_path / "b.json", TRACE)
-    out = cli.main(["analysis", a, "--aggregation", "name,dtype", "--show", "kernel-duration", "--output-dir", str(tmp_path / "out")], spark)
+    out = cli.main(["analysis", a, "--aggregation", "name,dtype", "--show", "kernel-duration", "--large-files", "--output-dir", str(tmp_path / "out")], spark)
     assert [p.rsplit("/", 1)[1] for p in out] == [f"single_file_comparison_by_name_dtype_duration.{f}" for f in ("csv", "json")]
     assert spark.read.option("header", True).csv(out[0]).count() == 2
     out = cli.main(["compare", f"{a}:x", f"{b}:y", "--show", "kernel-duration", "--include-op", "mm,add", "--output-dir", str(tmp_path / "out"), "--output-format", "parquet"], spark)
@@ -344,6 +344,26 @@ def test_labels_and_samples(spark, tmp_path):
         assert len(traces.list_files(spark, f"{tmp_path}/d/odd.txt")) == 1
 
 
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_large_files_give_the_same_events(spark, tmp_path, monkeypatch, piece):
+    from tracelake.sources import large
+
+    monkeypatch.setattr(large.read_events, "__defaults__", (piece,))
+    odd = [*TRACE, op("\u00e9 \U0001f600 \"quoted\" {[,:", 3.5, 1, "9"), {"ph": "M"}, 12, "text", None, op("n", 1, 2, args={"nested": {"a": [1, {"b": "]"}]}})]
+    write(tmp_path / "d" / "a.json", odd)
+    write(tmp_path / "d" / "b.json.gz", odd, base=5)
+    write(tmp_path / "d" / "c.json", TRACE, bare=True)
+    (tmp_path / "d" / "d.json").write_text(json.dumps({"traceEvents": TRACE, "more": [{"traceEvents": 1}], "baseTimeNanoseconds": 17}))
+    (tmp_path / "d" / "e.json").write_text("{}")
+    plain = lambda df: sorted((r.file.rsplit("/", 1)[1], r.base_ns, r.pos, r.name, r.cat, r.pid, r.ts, r.dur, r.ext_id, r["shape"], r.stream_id) for r in df.drop("args").collect() if not r.file.endswith("c.json"))
+    got, want = traces.read_large_traces(spark, f"{tmp_path}/d", "x"), traces.read_traces(spark, f"{tmp_path}/d", "x")
+    assert repr(plain(got)) == repr(plain(want)) and got.columns == want.columns
+    assert [r.name for r in got.where("file like '%c.json'").orderBy("pos").collect()] == [e["name"] for e in TRACE]
+    (tmp_path / "broken.json").write_text(json.dumps({"traceEvents": TRACE})[:-30])
+    with pytest.raises(Exception, match=r"broken\.json"):
+        traces.read_large_traces(spark, f"{tmp_path}/broken.json").collect()
+
+
 def test_stream_of_traces(spark, tmp_path):
     write(tmp_path / "s" / "a.json", TRACE)
     stream = streaming.running_kernel_time(streaming.stream_traces(spark, str(tmp_path / "s")))

@@ -153,17 +153,19 @@ def comparison(rows: DataFrame, cpu: DataFrame, fields: Sequence[str], labels: S
     return wide.select(*(v.alias(k) for k, v in out.items()), *rest).orderBy(*fields)
 
 
-def analyse(spark: SparkSession, paths: Sequence[str] | str, fields: Sequence[str], show: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, label: str = "single_file") -> DataFrame:  # noqa: B008
-    """Which operations cost the most kernel time, per group."""
-    cpu, kernels = prepared(traces.read_traces(spark, paths, label), filters, coarse)
+def analyse(spark: SparkSession, paths: Sequence[str] | str, fields: Sequence[str], show: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, label: str = "single_file", large: bool = False) -> DataFrame:  # noqa: B008
+    """Which operations cost the most kernel time, per group.  large: for files beyond a task's memory."""
+    read = traces.read_large_traces if large else traces.read_traces
+    cpu, kernels = prepared(read(spark, paths, label), filters, coarse)
     return report(grouped(cpu, kernels, fields, show), fields, show)
 
 
-def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Sequence[str], show: Sequence[str] = (), equal: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False) -> DataFrame:  # noqa: B008
+def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Sequence[str], show: Sequence[str] = (), equal: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, large: bool = False) -> DataFrame:  # noqa: B008
     """How labelled sets of traces differ per group; equality and ratio are of the first two labels."""
     if len(sets) < 2:
         raise ValueError("a comparison takes two labels at least")
-    events = reduce(DataFrame.unionByName, (traces.read_traces(spark, files, label) for label, files in sets.items()))
+    read = traces.read_large_traces if large else traces.read_traces
+    events = reduce(DataFrame.unionByName, (read(spark, files, label) for label, files in sets.items()))
     cpu, kernels = prepared(events, filters, coarse)
     rows = grouped(cpu, kernels, fields, show)
     cpu = cpu.withColumns({f"_{c}": F.when(~F.col(c).isin("", "[]"), F.col(c)) for c in ("dtype", "shape")})

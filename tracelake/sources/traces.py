@@ -71,6 +71,20 @@ def read_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | No
     return parsed_events(objects.unionByName(bare), label)
 
 
+def read_large_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None) -> DataFrame:
+    """read_traces for files that don't fit a task's memory: events are parsed one by one.  A broken file raises."""
+    from ..storage import saved
+    from .large import read_events
+
+    files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in list_files(spark, p)]
+    rows = saved(read_events(spark, files), "events")  # a file is read once
+    base = rows.where("pos < 0").groupBy("file").agg(F.max("base_ns").alias("base_ns"))
+    entry = F.try_parse_json("event")
+    event = [c.split()[0] for c in _EVENT.split(", ")]
+    parsed = rows.where("pos >= 0").drop("base_ns").join(base, "file", "left").select("file", "base_ns", "pos", entry.alias("e"))
+    return parsed_events(parsed.select("file", "base_ns", "pos", *(F.try_variant_get("e", f"$.{c}", "variant").alias(c) for c in event)), label)
+
+
 def _get(column: str, kind: str, path: str = "$") -> Column:
     return F.try_variant_get(column, path, kind)
 
