@@ -133,7 +133,7 @@ def test_components(spark, edges):
         assert all((got[a] == got[b]) == (brute.find(parent, a) == brute.find(parent, b)) for b in nodes)
 
 
-@pytest.mark.parametrize(("turns", "rows"), [(4, 800), (0, 800), (0, 3), (1, 3)])
+@pytest.mark.parametrize(("turns", "rows"), [(4, 800), (0, 3), (1, 3)])
 def test_links_of_large_groups(spark, monkeypatch, turns, rows):
     """Near copies of several texts, linked in the first phase, or in whole buckets of one block or of many."""
     monkeypatch.setattr(grouping.linked, "__defaults__", (turns,))
