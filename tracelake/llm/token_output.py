@@ -80,6 +80,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        # looking for special tokens takes the library a lot of memory: only texts that hold one go to `whole`
+        self.tokenizer.encode_special_tokens = True
+        self.whole = functools.cache(lambda: Tokenizer.from_file(path))
         # a byte-level token has one character per byte
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -93,13 +97,23 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
         self.ptr = np.zeros(1, np.int64)
 
-    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, texts: list[str], special: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and how many each has."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in (self.whole() if special else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64)
 
-    def _alone(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._batch([data[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(start.tolist(), stop.tolist(), strict=True)])
+    def _alone(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        return self._batch([data[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(start.tolist(), stop.tolist(), strict=True)], special)
+
+    def _with_special(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Which texts hold the string of a special token."""
+        out, raw = np.zeros(len(offs) - 1, bool), data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                out[np.searchsorted(offs, at, "right") - 1] = True
+                at = raw.find(token, at + len(token))
+        return out
 
     def _joined(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Like _alone, for pieces that start and end at a cut: they are encoded side by side and told apart by the widths of the tokens."""
@@ -126,6 +140,10 @@ class Encoder:
         if len(self.hash) > CACHE_PIECES:
             self.clear()
         start = piece_starts(data, offs)
+        special = self._with_special(data, offs)
+        if special.any():  # such texts are one piece
+            text = np.searchsorted(offs, start, "right") - 1
+            start = start[~special[text] | (start == offs[text])]
         stop = np.append(start[1:], len(data))
         prefix = B.prefix_hash(data)
         h, one, number = np.unique(B.span_hash(prefix, start, stop), return_index=True, return_inverse=True)
@@ -140,9 +158,12 @@ class Encoder:
             edge = np.zeros(len(data) + 1, bool)
             edge[offs] = True
             inner = ~(edge[a[new]] | edge[z[new]])
-            new = np.concatenate([new[inner], new[~inner]])
-            n = int(inner.sum())
-            parts = [self._joined(data, a[new[:n]], z[new[:n]]), self._alone(data, a[new[n:]], z[new[n:]])]
+            odd = special[np.searchsorted(offs, a[new], "right") - 1]
+            new = np.concatenate([new[inner], new[~inner & ~odd], new[odd]])
+            n, m = int(inner.sum()), len(new) - int(odd.sum())
+            parts = [self._joined(data, a[new[:n]], z[new[:n]]), self._alone(data, a[new[n:m]], z[new[n:m]])]
+            if m < len(new):
+                parts.append(self._alone(data, a[new[m:]], z[new[m:]], True))
             slots[new] = len(self.ptr) - 1 + np.arange(len(new))
             self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
             self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(np.concatenate([sizes for _, sizes in parts]))])
