@@ -26,7 +26,33 @@ _BASE = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
 ]
 
+#: role, opening and closing mark, bears loss, states in which it may speak
+_ROLES = [("system", "[SYSTEM]", "[/SYSTEM]", False, ["start"]), ("user", "[INST]", "[/INST]", False, ["start", "system", "assistant"]), ("assistant", "", "</s>", True, ["user"])]
+
+
+def _escaped(text: str) -> str:
+    """Text with a backslash behind the first character of each mark."""
+    for first, rest in (("<", "s>|/s>"), (r"\[", r"SYSTEM\]|/SYSTEM\]|INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\]")):
+        text = rf"regexp_replace({text}, '({first})(\\*(?:{rest}))', '\1\\\2', 'g')"
+    return text
+
+
 ORACLES = {
+    "op11_chat_format": rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, coalesce(lag(role) OVER w, 'start') AS state FROM said
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length({_escaped("text")}) + CASE {" ".join(f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, a, b, _, _ in _ROLES)} ELSE 20 + length({_escaped("role")}) END))::BIGINT AS formatted_chars,
+  bool_and({" OR ".join(f"role = '{r}' AND state IN ({', '.join(repr(x) for x in states)})" for r, _, _, _, states in _ROLES)}) AND arg_max(role, place) = 'assistant' AS valid,
+  (min(place) FILTER (WHERE NOT ({" OR ".join(f"role = '{r}' AND state IN ({', '.join(repr(x) for x in states)})" for r, _, _, _, states in _ROLES)})))::INT AS first_error
+FROM placed GROUP BY conv_id""",
     "op1_decontamination": f"""
 WITH item AS (SELECT DISTINCT item_id::VARCHAR AS item_id, {_words(_ALNUM)} AS w FROM benchmark),
 windows AS (

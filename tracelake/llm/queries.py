@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, license_scan, minhash_dedup, mixing, pii, suffix_dedup, token_output, toxicity, warc
+from . import chat_format, decontamination, embedding_dedup, license_scan, minhash_dedup, mixing, pii, suffix_dedup, token_output, toxicity, warc
+
+from .common import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,10 +94,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.part_of() == 2).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds control strings, formatted, stored and read back."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    chats = saved(chat_format.format_chats(turns), "chats").withColumn("formatted", chat_format.formatted(F.col("segments")))
+    back = chat_format.read_back(chats, F.col("formatted")).withColumn("trained", F.array_join(chat_format.trained(F.col("segments")), ""))
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(written, 256).alias("turns_sha256"), F.char_length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid", "first_error",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op2_suffix_dedup, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_license_scan, op8_token_output, op9_warc, op10_toxicity, pii_base_spans, mix_targets, license_base)
+        for f in (op1_decontamination, op2_suffix_dedup, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_license_scan, op8_token_output, op9_warc, op10_toxicity, op11_chat_format, pii_base_spans, mix_targets, license_base)
     }
 
 
