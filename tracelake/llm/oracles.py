@@ -2,6 +2,7 @@
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _NONSPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,6 +39,28 @@ def _escaped(text: str) -> str:
 
 
 ORACLES = {
+    "op12_divergence_audit": f"""
+WITH doc AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_words(_LETTERS)} AS words FROM documents),
+counted AS (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(words) AS term FROM doc) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counted GROUP BY ALL HAVING count(*) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, term, sum(n) AS n FROM counted GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(s.n, 0)::HUGEINT AS n, k.n AS lang_n FROM (SELECT DISTINCT lang, source FROM doc) g JOIN kept k USING (lang) LEFT JOIN sums s USING (lang, source, term)),
+share AS (
+  SELECT d.*, (1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::BIGINT AS p, (1 + (1000000000 * (lang_n + 2)) // (total + 2 * v))::BIGINT AS q
+  FROM dense d JOIN langs USING (lang)
+),
+sources AS (SELECT DISTINCT lang, source FROM doc),
+value AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM share x JOIN share y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM share WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM value
+QUALIFY part = 'pair' OR rank <= 10""",
     "op13_fill_in_middle": r"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
 cut AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, fill_in_middle, license_scan, minhash_dedup, mixing, pii, suffix_dedup, token_output, toxicity, warc
+from . import chat_format, decontamination, divergence_audit, embedding_dedup, fill_in_middle, license_scan, minhash_dedup, mixing, pii, suffix_dedup, token_output, toxicity, warc
 
 from .common import saved
 
@@ -108,6 +108,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fill_in_middle.restored(F.col("fim_text"), F.col("fim_form"))
@@ -117,7 +121,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op2_suffix_dedup, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_license_scan, op8_token_output, op9_warc, op10_toxicity, op11_chat_format, op13_fill_in_middle, pii_base_spans, mix_targets, license_base)
+        for f in (op1_decontamination, op2_suffix_dedup, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_license_scan, op8_token_output, op9_warc, op10_toxicity, op11_chat_format, op12_divergence_audit, op13_fill_in_middle, pii_base_spans, mix_targets, license_base)
     }
 
 
