@@ -10,7 +10,7 @@ term, whether it occurs or not; p and q differ by floor((p - q)^2 / (p + q)).  A
 that neither source of a pair has adds the same to the pair's sum whichever term it is, so a shard sums only the
 differences from that (`extra`), of the terms that one of both has, and no term is paired with sources that lack it on both sides.
 
-A shard's distinct terms must fit a task; BYTES_PER_SHARD of text make one shard.  Null texts, languages and sources are empty
+Shards are dealt out twice, by text for the counts and by rows for the sums; a shard's distinct terms must fit a task.  Null texts, languages and sources are empty
 ones.  Repeated rows count as often as they occur.  Sources without terms are there with all pairs.  Equal values are
 ranked by the items' UTF-8.  An empty table gives no rows.  Other columns are left out, so their names don't matter.
 """
@@ -32,7 +32,8 @@ from .common import saved
 #: Documents of its language that a kept term is in; terms that are ranked of a source.
 LEAST_DOCS, RANKED = 10, 10
 SCALE = 1_000_000_000
-BYTES_PER_SHARD = 512 << 20
+#: Text and kept counts of a shard; the second kind of shard gives a row for each pair of sources, so it must hold far more rows than that.
+BYTES_PER_SHARD, ROWS_PER_SHARD = 512 << 20, 250_000
 #: Bytes of text that are counted at once, and counts that a shard gathers before it sums them.
 BLOCK, PENDING = 8 << 20, 500_000
 
@@ -99,7 +100,7 @@ def _kept(least: int):
                 if pending > PENDING:
                     db.execute("CREATE OR REPLACE TABLE counts AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM counts GROUP BY ALL")
                     pending = 0
-            found = db.execute(f"""
+            found = db.sql(f"""
                 WITH counted AS MATERIALIZED (SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs) AS docs FROM counts GROUP BY ALL),
                 kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n FROM counted GROUP BY ALL HAVING sum(docs) >= {least})
                 SELECT lang, source, term, c.n, false AS whole FROM counted c JOIN kept USING (lang, term)
@@ -122,7 +123,7 @@ def _sums(ranked: int):
         with _connection() as db:
             db.register("kept", kept)
             db.register("groups", groups)
-            return db.execute(f"""
+            return db.sql(f"""
                 WITH shares AS MATERIALIZED (SELECT lang, source, term, {_share("k.n", "g.n", "terms")} AS p FROM kept k JOIN groups g USING (lang, source) WHERE NOT whole),
                 absent AS MATERIALIZED (SELECT lang, source, lang_n, terms, {_share("0", "n", "terms")} AS p0 FROM groups),
                 seen AS (
@@ -148,14 +149,14 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, ranked: int = RANKED, bytes_per_shard: int = BYTES_PER_SHARD) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, ranked: int = RANKED, bytes_per_shard: int = BYTES_PER_SHARD, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """(lang, source, part, item, value, rank): per source the other sources of its language (part pair), all ranked, and its own terms (part term), the first ones."""
     spark = docs.sparkSession
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     text_bytes = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // bytes_per_shard))
+    counting = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // bytes_per_shard))
     counts = named.mapInArrow(_counted, COUNTS)
-    kept = saved(counts.repartition(shards, "lang", "term").mapInArrow(_kept(least_docs), KEPT), "kept")
+    kept = saved(counts.repartition(counting, "lang", "term").mapInArrow(_kept(least_docs), KEPT), "kept")
 
     sums = kept.groupBy("lang", "source", "whole").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms"))
     own = sums.where("not whole").select("lang", "source", "n")
@@ -163,6 +164,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, ranked: int = RANKED, b
     groups = named.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["n", "lang_n", "terms"])
     groups = saved(groups, "groups")
 
+    shards = max(1, -(-kept.count() // rows_per_shard))
     dealt = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     parts = kept.withColumn("shard", _shard(shards)).groupBy("shard").cogroup(dealt.groupBy("shard"))
     parts = saved(parts.applyInArrow(lambda left, right: _sums(ranked)(left, right), PARTS), "parts")
