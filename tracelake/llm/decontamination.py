@@ -40,7 +40,7 @@ def tokenize(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Word hashes, and for each text the index of its first word."""
     data = B.LOWER[data]
     starts, ends, first = B.words(data, offs, B.ALNUM)
-    return B.span_hash(B.prefix_hash(data), starts, ends), first
+    return B.span_digest(data, starts, ends), first
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -140,17 +140,18 @@ class Query:
 
 def queries(benchmark: DataFrame, window: int, block_bytes: int = QUERY_BYTES) -> Iterator[Query]:
     """The benchmark in blocks of about block_bytes of text (one at least)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = saved(items.distinct(), "items")  # read once for each block
     n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
     for k in range(n):
         yield Query([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window)
 
 
-HITS_SCHEMA = "_rid long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>"
+HITS_SCHEMA = "_rid long, spans array<struct<start: long, stop: long>>, items array<string>"
 
 
 def search(index: DataFrame, query: Query) -> DataFrame:
-    """Exact matches of a block of windows, stored: per document the merged spans of words hit and the items found."""
+    """Exact matches of a block of windows, stored: of each document that is hit the merged spans of words and the items found."""
     shared = index.sparkSession.sparkContext.broadcast(query)
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -165,11 +166,13 @@ def search(index: DataFrame, query: Query) -> DataFrame:
                 cuts = np.searchsorted(doc[order], np.arange(len(shard.rids) + 1))
                 spans: list[list[dict]] = [[] for _ in shard.rids]
                 items: list[list[str]] = [[] for _ in shard.rids]
-                for d in np.flatnonzero(np.diff(cuts)):
+                hit = np.flatnonzero(np.diff(cuts))
+                for d in hit:
                     own = order[cuts[d] : cuts[d + 1]]
                     items[d] = [query.ids[i] for i in np.unique(item[own]) if i >= 0]
                     spans[d] = [{"start": a, "stop": b} for a, b in merged(start[own] - shard.first[d], stop[own] - shard.first[d])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.rids), pa.array(np.diff(shard.first)), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["_rid", "n_words", "spans", "items"])
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.rids[hit]), pa.array([spans[d] for d in hit], span), pa.array([items[d] for d in hit], pa.list_(pa.string()))], ["_rid", "spans", "items"])
 
     out = saved(index.mapInArrow(find, HITS_SCHEMA), "hits")
     shared.destroy()
@@ -223,9 +226,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def _contamination(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     index = saved(build_index(rows), "postings")
     found = reduce(DataFrame.unionAll, [search(index, q) for q in queries(benchmark, window)])
-    # a document has a row for each block of the benchmark
-    hits = found.groupBy("_rid").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("_rid", "doc_id").join(hits, "_rid", "left")
+    # a document that is hit has a row for each block of the benchmark that hits it
+    hits = found.groupBy("_rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    sizes = index.select(F.explode(F.arrays_zip("rids", F.transform("rids", lambda _, i: F.get("first", i + 1) - F.get("first", i)).alias("n"))).alias("d")).select(F.col("d.rids").alias("_rid"), F.col("d.n").alias("n_words"))
+    none = F.array()
+    return (
+        rows.select("_rid", "doc_id").join(sizes, "_rid").join(hits, "_rid", "left")
+        .withColumn("spans", F.coalesce("spans", none.cast("array<struct<start: long, stop: long>>"))).withColumn("items", F.coalesce("items", none.cast("array<string>")))
+    )
 
 
 def covered(spans: str = "spans") -> F.Column:
