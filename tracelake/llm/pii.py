@@ -40,7 +40,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+")
 NUMBER = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])++")
 
-KEYED = re.compile(r"""(?i:passw(?:or)?d|secret|token|api[_-]?key|access[_-]?key)["']?[ ]?[:=][ ]?["']?([^\s"',;]{6,64})""")
+KEYED = re.compile(r"""(?i:passw(?:or)?d|secret|token|api[_-]?key|access[_-]?key)["']?[ ]?[:=][ ]?["']?([^\s"',;]{6,}+)""")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau)\.? ([A-Z][a-z]+(?:[ -][A-Z][a-z]+){0,2})")
 ADDRESS = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}[A-Z][a-z]+")
