@@ -38,6 +38,8 @@ def clash_folder(spark, tmp_path_factory):
     clashing(pages).withColumn("doc_id", F.lit("own")).write.parquet(f"{at}/pages.parquet")
     vectors = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0, float("inf")]), (8, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (9, []), (10, [1e-200, 0.0]), (11, [0.0, 1e200])]
     clashing(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).withColumn("doc_id", F.lit("own")).write.parquet(f"{at}/embeddings.parquet")
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, None, None)]
+    clashing(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).withColumn("doc_id", F.lit("own")).write.parquet(f"{at}/conversations.parquet")
     return at
 
 
@@ -58,7 +60,7 @@ def test_clashing_columns(spark, clash_folder, name):
     if name == "op9_warc":
         kinds = [(r[0], r[3], r[4]) for r in own]
         assert sorted(kinds, key=str) == sorted([(1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (4, "response", None), (5, "revisit", 4), (5, "revisit", 4)], key=str)
-    assert len(own) == {"op4_embedding_dedup": 12, "op9_warc": 6, "mix_targets": 3}.get(name, 16)
+    assert len(own) == {"op4_embedding_dedup": 12, "op9_warc": 6, "mix_targets": 3, "op11_chat_format": 3, "op12_divergence_audit": 2}.get(name, 16)
 
 
 def test_stages_keep_clashing_columns(spark, clash_folder):
@@ -133,7 +135,7 @@ def test_components(spark, edges):
         assert all((got[a] == got[b]) == (brute.find(parent, a) == brute.find(parent, b)) for b in nodes)
 
 
-@pytest.mark.parametrize(("turns", "rows"), [(4, 800), (0, 3), (1, 3)])
+@pytest.mark.parametrize(("turns", "rows"), [(4, 800), (0, 800), (0, 3), (1, 3)])
 def test_links_of_large_groups(spark, monkeypatch, turns, rows):
     """Near copies of several texts, linked in the first phase, or in whole buckets of one block or of many."""
     monkeypatch.setattr(grouping.linked, "__defaults__", (turns,))

@@ -7,6 +7,7 @@ UTF-8 bytes gives the same words as splitting the code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[0x20] = NONSPACE[0x09:0x0E] = False
 
+#: Bytes up to which a range is hashed beside others.
+LONG_SPAN = 512
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -94,7 +98,10 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash modulo 2**64; span_hash reads any byte range from them."""
+    """Prefix sums of a polynomial hash modulo 2**64; span_hash reads any byte range from them.
+
+    Texts of some forms collide (two of 1024 letters are known for any base), so this hash picks anchors but doesn't decide alone.
+    """
     power, _ = _power_tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[data] * power[:-1], out=out[1:])
@@ -108,6 +115,52 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [starts, ends) that mix each 8 bytes into all bits before the next ones come.
+
+    No texts collide by their form, as they do in a polynomial modulo 2**64 (`span_hash`).  Ranges over LONG_SPAN bytes are hashed by blake2b.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64)))
+    long = np.flatnonzero(length > LONG_SPAN)
+    live = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    at, left, h = starts[live], length[live], out[live]
+    while len(live):
+        h = mix(h ^ (lanes[at] & _LANE_MASK[np.minimum(left, 8)]))
+        out[live] = h
+        more = np.flatnonzero(left > 8)
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def lane_prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix sums, 8 bytes apart, of a polynomial over mixed groups of 8 bytes; window_digest reads windows from them."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    mixed = mix(np.ndarray(len(data) + 8, "<u8", padded, strides=(1,)) + np.uint64(0x9E3779B97F4A7C15))
+    rows = -(-len(mixed) // 8)
+    power, _ = _power_tables(rows + 1)
+    grid = np.zeros((rows + 1, 8), np.uint64)
+    grid[1:].reshape(-1)[: len(mixed)] = mixed
+    grid[1:] *= power[:rows, None]
+    return np.cumsum(grid, axis=0, out=grid)
+
+
+def window_digest(prefix: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of `length` (8 at least) bytes from starts on; groups of 8 bytes are told apart by all their bits."""
+    _, inverse = _power_tables(len(prefix))
+
+    def groups(starts: np.ndarray) -> np.ndarray:
+        row, column = np.divmod(starts, 8)
+        return mix((prefix[row + length // 8, column] - prefix[row, column]) * inverse[row])
+
+    out = groups(starts)
+    return out if length % 8 == 0 else out ^ mix(groups(starts + length % 8) + np.uint64(1))
+
+
 def byte_grams(prefix: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k bytes from each place on."""
     n = max(len(prefix) - k, 0)

@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..storage import saved, saved_alone, scratch_dir
+from .. import storage
+from ..storage import saved_alone, scratch_dir
 
 __all__ = ["as_text", "components", "keyed", "restored", "saved", "saved_alone", "scratch_dir"]
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """storage.saved; the shuffle files of the finished steps go then, so that disk use follows the largest step."""
+    out = storage.saved(df, name)
+    storage.release(out.sparkSession)
+    return out
+
+
 def keyed(docs: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
     """(_rid, the named columns, _row) of docs: a unique, non-null long key, and all columns as one struct.
 

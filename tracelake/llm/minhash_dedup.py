@@ -37,7 +37,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
     """Sorted distinct shingle hashes of each text."""
     data = B.LOWER[data]
     starts, ends, first = B.words(data, offs, B.NONSPACE)
-    hashes = B.span_hash(B.prefix_hash(data), starts, ends)
+    hashes = B.span_digest(data, starts, ends)
     flat, ptr = B.grams(hashes, first, k)
     out = []
     for i in range(len(offs) - 1):

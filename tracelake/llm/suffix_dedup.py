@@ -84,7 +84,7 @@ def anchored(rows: DataFrame, length: int, k: int) -> DataFrame:
                 for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
                     if b - a >= length:
                         anchor, head, n = segments(prefix, a, b, grams, length, k)
-                        parts.append((anchor, B.span_hash(prefix, a + head, a + head + n + length - 1), head << 16 | n))
+                        parts.append((anchor, B.span_digest(data, a + head, a + head + n + length - 1), head << 16 | n))
                         sizes[i + 1] = len(head)
                 if not parts:
                     continue
@@ -362,7 +362,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
             own = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             start = offs[own] + at
-            x, y = B.span_hash(prefix, start, start + length), B.span_hash(prefix, start, start + length // 2) ^ B.mix(B.span_hash(prefix, start + length // 2, start + length))
+            x, y = B.span_hash(prefix, start, start + length), B.window_digest(B.lane_prefix(raw), start, length)
             keys = [batch.column(c).take(pa.array(own)) for c in ("anchor", "digest")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["anchor", "digest", "at", "x", "y"])
 

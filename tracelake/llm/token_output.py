@@ -145,10 +145,15 @@ class Encoder:
             text = np.searchsorted(offs, start, "right") - 1
             start = start[~special[text] | (start == offs[text])]
         stop = np.append(start[1:], len(data))
-        prefix = B.prefix_hash(data)
-        h, one, number = np.unique(B.span_hash(prefix, start, stop), return_index=True, return_inverse=True)
+        every, second = B.span_digest(data, start, stop), B.span_digest(data, start, stop, seed=1)
+        while True:  # pieces are told apart by both hashes
+            h, one, number = np.unique(every, return_index=True, return_inverse=True)
+            check = second[one]
+            other = check[number] != second
+            if not other.any():
+                break
+            every[other] += np.uint64(1)
         a, z = start[one], stop[one]
-        check = B.span_hash(prefix, a, np.minimum(a + 3, z)) ^ (B.span_hash(prefix, np.maximum(z - 5, a), z) * np.uint64(0x9E3779B97F4A7C15))
         slots = np.full(len(h), -1, np.int64)
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)

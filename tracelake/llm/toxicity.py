@@ -61,7 +61,7 @@ def block_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[by
     """(hashes and bytes of the distinct words, number of each word, first word of each text) of a block."""
     data = B.LOWER[data]
     starts, ends, first = B.words(data, offs, B.ALNUM)
-    hashes, one, number = np.unique(B.span_hash(B.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+    hashes, one, number = np.unique(B.span_digest(data, starts, ends), return_index=True, return_inverse=True)
     raw = data.tobytes()
     return hashes.view(np.int64), [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], number, first
 
