@@ -196,6 +196,13 @@ def test_expectation_maximisation_on_a_tiny_table():
     assert post[patterns.index("++++")] > 0.9 and post[patterns.index("----")] < 0.01
 
 
+def test_values_of_any_length(spark):
+    """A value after a key word is marked whole."""
+    text = f"password: {'aB3x' * 30} and then"
+    spans = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert any((s["start"], s["stop"]) == (10, 130) for s in spans)
+
+
 def test_method_spans(spark):
     secret = "4f9a0c3be7d15a6b8c2e4f9a0c3be7d1"
     texts = [f'filler words token = "{secret[i:] + secret[:i]}" more words' for i in range(20)] + [f"a_long_plain_identifier_{'xyz'[i % 3]} stays" for i in range(60)] + ["call Mr. John Smith at 555-123-4567 today", "no data here", None]
@@ -225,6 +232,20 @@ def test_changed_notices(spark):
 
 # ---- mixing ---------------------------------------------------------------------------------------
 
+def test_reruns_agree_where_ids_repeat(spark):
+    """Under any partitioning and order, repeated and null ids and exact copies included."""
+    rng = random.Random(9)
+    docs = [(rng.choice([1, 2, 3, None]) if i % 2 else i, f"s{i % 4}", " ".join(["w"] * rng.randrange(1, 9)) + f" {i % 29}") for i in range(400)]
+    docs += docs[:60]
+    want = None
+    for seed, parts in ((1, 3), (2, 7)):
+        random.Random(seed).shuffle(docs)
+        table = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(parts)
+        got = rows_of(mixing.mix(table), "doc_id", "source", "size", "target", "taken")
+        want = want or got
+        assert got == want and any(r[-1] for r in got) and not all(r[-1] for r in got)
+
+
 def test_inclusion_frequencies(spark):
     """Over many draws each document is taken as often as its inclusion probability says; longer ones more often."""
     sizes = [10] * 100 + [40] * 100 + [160] * 20 + [1000] * 2

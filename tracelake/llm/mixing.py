@@ -9,7 +9,9 @@ source) prefers longer documents and f makes the expected words meet what is lef
 get theirs for certain; the others are ranked by random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and
 the smallest ranks are taken as long as the words left to the target hold them (the sample's size is fixed in
 words); of the others the one whose size fits the rest best fills it, if that comes nearer to the target.  u
-comes from a hash of the document's key and the seed, and h is a whole multiple of 1 / H_UNIT, so reruns agree.
+comes from a hash of the document's key and the seed, and h is a whole multiple of 1 / H_UNIT, so reruns agree, under any
+partitioning.  The key is doc_id where ids are unique, else a hash of id, source and text, and of the place among rows that agree in
+all three (which may be exchanged).
 
 The boundary rank of a source is found by counting words in ever finer intervals of the rank, all sources
 at once, so that no source is sorted in one task.
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
 from .common import as_text, keyed, restored, saved, saved_alone
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -92,17 +95,27 @@ def preference() -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, size: Column | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).  size: a column of docs (else words)."""
     measure = word_count() if size is None else size
-    return _mixed(keyed(as_text(docs).withColumn("_size", measure), "source", "_size"), weights, most, seed).drop("_rid")
+    return _mixed(keyed(as_text(docs).withColumn("_size", measure), "source", "_size", "text"), weights, most, seed).drop("_rid")
+
+
+def drawn_by(rows: DataFrame) -> DataFrame:
+    """rows (_rid, doc_id, source, text, _size) with _key, on which the draw hangs: the same on every run."""
+    if rows.where(~F.col("_rid").eqNullSafe(F.col("doc_id"))).isEmpty():
+        return rows.select("_rid", "doc_id", "source", "_size", F.col("_rid").alias("_key"))
+    same = ["doc_id", "source", "_size", "_x", "_y"]
+    digested = rows.select("_rid", "doc_id", "source", "_size", F.xxhash64("text").alias("_x"), F.xxhash64(F.lit(1), "text").alias("_y"))
+    placed = numbered(digested, same, ["_rid"], "_place")
+    return placed.select("_rid", "doc_id", "source", "_size", F.xxhash64(*same, "_place").alias("_key"))
 
 
 def _mixed(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
-    """rows: (_rid, doc_id, source, _size)."""
-    measured = saved(rows.select("_rid", "doc_id", "source", F.col("_size").cast("long").alias("size")), "sizes")
+    """rows: (_rid, doc_id, source, text, _size)."""
+    measured = saved(drawn_by(rows).select("_rid", "_key", "doc_id", "source", F.col("_size").cast("long").alias("size")), "sizes")
     aims = saved(targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     shares = saved(factors(measured, aims), "shares")
     joined = measured.join(aims, measured.source.eqNullSafe(aims.source), "left").drop(aims.source)
     joined = joined.join(shares.withColumnRenamed("source", "s"), joined.source.eqNullSafe(F.col("s")), "left").drop("s")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_rid"), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_key"), 11).cast("double") + 0.5) / float(1 << 53)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     # odds / (1 + odds) keeps their order and lies in (0, 1)
     drawn = (
@@ -111,18 +124,18 @@ def _mixed(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int)
         .withColumn("u", u)
         .withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds))
         .withColumn("rank", (F.col("odds") / (1 + F.col("odds")) * F.lit(float(1 << RANK_BITS))).cast("long"))
-        .select("_rid", "doc_id", "source", "size", "source_size", "target", "certain", "rank")
+        .select("_rid", "_key", "doc_id", "source", "size", "source_size", "target", "certain", "rank")
     )
     drawn = saved(drawn, "ranks")
     cut = boundary(drawn)
-    first = F.coalesce((F.col("rank") < F.col("limit")) | ((F.col("rank") == F.col("limit")) & (F.col("_rid") <= F.col("last"))), F.lit(False))
+    first = F.coalesce((F.col("rank") < F.col("limit")) | ((F.col("rank") == F.col("limit")) & (F.col("_key") <= F.col("last"))), F.lit(False))
     chosen = drawn.join(cut.withColumnRenamed("source", "s"), drawn.source.eqNullSafe(F.col("s")), "left").withColumn("first", first).drop("s")
     rest = saved(
         chosen.groupBy("source").agg((F.first("target") - F.sum((F.col("certain") + F.col("first").cast("int")) * F.col("size"))).alias("rest")).withColumnRenamed("source", "s"), "rest"
     )
     others = chosen.where(~F.col("first") & F.col("rank").isNotNull()).join(rest, F.col("source").eqNullSafe(F.col("s")))
     miss = F.abs(F.col("rest") - F.col("size"))
-    fill = saved(others.where(miss < F.col("rest")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "_rid")).alias("x")).select(F.col("source").alias("s"), F.col("x._rid").alias("fill")), "fill")
+    fill = saved(others.where(miss < F.col("rest")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "_key", "_rid")).alias("x")).select(F.col("source").alias("s"), F.col("x._rid").alias("fill")), "fill")
     final = chosen.join(fill, chosen.source.eqNullSafe(F.col("s")), "left")
     extra = (F.col("first") | F.coalesce(F.col("_rid") == F.col("fill"), F.lit(False))).cast("int")
     copies = (F.col("certain") + extra).cast("long")
@@ -130,7 +143,7 @@ def _mixed(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int)
 
 
 def boundary(drawn: DataFrame) -> DataFrame:
-    """(source, limit, last): the documents with (rank, _rid) <= (limit, last) are held by the words left to the target."""
+    """(source, limit, last): the documents with (rank, _key) <= (limit, last) are held by the words left to the target."""
     # state per source: the words wanted beyond the certain copies, and the interval that the boundary lies in
     state = saved(
         drawn.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("sure"))
@@ -149,14 +162,14 @@ def boundary(drawn: DataFrame) -> DataFrame:
         state = saved(found.select("source", "x.left", F.col("x.cell").alias("at")), "state")
     # equal ranks at the boundary: by key
     tied = drawn.join(state.withColumnRenamed("source", "s"), drawn.source.eqNullSafe(F.col("s"))).where("rank = at")
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("_rid"))
-    last = F.coalesce(F.max(F.when(F.col("run") <= F.col("left"), F.col("_rid"))), F.lit(-1))
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("_key"))
+    last = F.coalesce(F.max(F.when(F.col("run") <= F.col("left"), F.col("_key"))), F.lit(-(1 << 63)))
     return saved(tied.withColumn("run", run).groupBy("source").agg(F.first("at").alias("limit"), last.alias("last")), "cuts")
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
     """The mixed documents themselves: each row as often as it is taken (rows without words not at all)."""
     rows = keyed(docs, "source", "text")
-    sized = rows.select("_rid", "doc_id", "source", word_count(F.col("text").cast("string")).alias("_size"))
+    sized = rows.select("_rid", "doc_id", "source", F.col("text").cast("string").alias("text"), word_count(F.col("text").cast("string")).alias("_size"))
     copies = saved_alone(docs.sparkSession, "copies", lambda: _mixed(sized, weights, most, seed).where("copies > 0 and size > 0").select("_rid", "copies"))
     return restored(rows.join(copies.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
