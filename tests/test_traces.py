@@ -344,11 +344,11 @@ def test_labels_and_samples(spark, tmp_path):
         assert len(traces.list_files(spark, f"{tmp_path}/d/odd.txt")) == 1
 
 
-@pytest.mark.parametrize("piece", [7, 1 << 20])
-def test_large_files_give_the_same_events(spark, tmp_path, monkeypatch, piece):
+@pytest.mark.parametrize(("size", "piece"), [(1 << 20, 7), (173, 1 << 20), (41, 5)])
+def test_large_files_give_the_same_events(spark, tmp_path, monkeypatch, size, piece):
     from tracelake.sources import large
 
-    monkeypatch.setattr(large.read_events, "__defaults__", (piece,))
+    monkeypatch.setattr(large.read_events, "__defaults__", (size, piece))
     odd = [*TRACE, op("\u00e9 \U0001f600 \"quoted\" {[,:", 3.5, 1, "9"), {"ph": "M"}, 12, "text", None, op("n", 1, 2, args={"nested": {"a": [1, {"b": "]"}]}})]
     write(tmp_path / "d" / "a.json", odd)
     write(tmp_path / "d" / "b.json.gz", odd, base=5)
@@ -356,7 +356,7 @@ def test_large_files_give_the_same_events(spark, tmp_path, monkeypatch, piece):
     (tmp_path / "d" / "d.json").write_text(json.dumps({"traceEvents": TRACE, "more": [{"traceEvents": 1}], "baseTimeNanoseconds": 17}))
     (tmp_path / "d" / "e.json").write_text("{}")
     plain = lambda df: sorted((r.file.rsplit("/", 1)[1], r.base_ns, r.pos, r.name, r.cat, r.pid, r.ts, r.dur, r.ext_id, r["shape"], r.stream_id) for r in df.drop("args").collect() if not r.file.endswith("c.json"))
-    got, want = traces.read_large_traces(spark, f"{tmp_path}/d", "x"), traces.read_traces(spark, f"{tmp_path}/d", "x")
+    got, want = traces.read_large_traces(spark, f"{tmp_path}/d", "x", size), traces.read_traces(spark, f"{tmp_path}/d", "x")
     assert repr(plain(got)) == repr(plain(want)) and got.columns == want.columns
     assert [r.name for r in got.where("file like '%c.json'").orderBy("pos").collect()] == [e["name"] for e in TRACE]
     (tmp_path / "broken.json").write_text(json.dumps({"traceEvents": TRACE})[:-30])

@@ -1,153 +1,300 @@
-"""Trace files of any size, read event by event.
-
-A file is read by one task, in pieces: what it holds is one piece and one event, however many events there are.  Events come
-as JSON texts, which Spark parses; the file's other entries are stepped over but for its base time.
+"""Trace files of any size, scanned by byte ranges in many tasks.
+
+A range may begin anywhere: inside a string, or many levels deep.  What it needs to know about the bytes before it are two
+numbers, whether they leave a string open and how deep they nest.  A first pass (`range_facts`) measures each range under both
+answers to the first question; `settled` chains these small rows in order, per file.  The second pass
+(`range_events`) then scans each range from its true state, with numpy over pieces of bounded size: an event belongs to the range
+that holds the comma or bracket before it, and the last one is read on beyond the range's end.  Whether the list
+that a range begins in is the one of the events is settled by the ranges before it, too, and so are the events' places.
+
+Events come as JSON texts, which Spark parses.  Compressed files have one range, since they can't be entered in the
+middle; they are still read piece by piece, so that a task holds a piece and an event.  Ranges are read with pyarrow's file
+systems.  Files that end inside a string or a bracket, or that close more than they open, raise an error.
 """
 
 from __future__ import annotations
 
-import codecs
 import gzip
-import json
 import re
 from collections.abc import Iterator
+from functools import partial
 from typing import IO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
-
-SCHEMA = "file string, pos bigint, event string, base_ns bigint"
-PIECE = 4 << 20
-#: Events in one batch of rows, and their characters.
-ROWS, CHARACTERS = 5000, 4 << 20
-_SPACE = re.compile(r"[\s,:]*")
-
-
-class Text:
-    """A JSON text that is decoded value by value."""
-
-    def __init__(self, f: IO[bytes], name: str, piece: int = PIECE) -> None:
-        self.f, self.name, self.piece = f, name, piece
-        self.decode = codecs.getincrementaldecoder("utf-8-sig")("replace").decode
-        self.data, self.at, self.done = "", 0, False
-
-    def _more(self) -> bool:
-        got = b"" if self.done else self.f.read(self.piece)
-        self.done = not got
-        self.data, self.at = self.data[self.at :] + self.decode(got, self.done), 0
-        return not self.done
-
-    def next(self) -> str:
-        """The next character that is no white space, comma or colon; empty at the end."""
-        while True:
-            self.at = _SPACE.match(self.data, self.at).end()
-            if self.at < len(self.data):
-                return self.data[self.at]
-            if not self._more():
-                return ""
-
-    def step(self) -> None:
-        self.at += 1
-
-    def value(self) -> tuple[object, str]:
-        """The value that begins here and its text."""
-        self.next()
-        while True:
-            try:
-                found, end = json.JSONDecoder().raw_decode(self.data, self.at)
-            except ValueError:
-                end = -1
-            # a number that ends with the piece may go on
-            if end >= 0 and (end < len(self.data) or self.done):
-                text, self.at = self.data[self.at : end], end
-                return found, text
-            if not self._more() and end < 0:
-                raise ValueError(f"broken JSON in {self.name}")
-
-
-def events(text: Text) -> Iterator[tuple[int, str | None, int | None]]:
-    """(pos, event, None) of each entry, and (-1, None, base time) where the file has one."""
-
-    def entries() -> Iterator[tuple[int, str, None]]:
-        text.step()
-        pos = 0
-        while (c := text.next()) != "]":
-            if not c:
-                raise ValueError(f"{text.name} is cut off")
-            yield pos, text.value()[1], None
-            pos += 1
-        text.step()
-
-    begin = text.next()
-    if begin == "[":
-        yield from entries()
-    elif begin == "{":
-        text.step()
-        while (c := text.next()) != "}":
-            if not c:
-                raise ValueError(f"{text.name} is cut off")
-            key, _ = text.value()
-            if key == "traceEvents" and text.next() == "[":
-                yield from entries()
-            else:
-                value, _ = text.value()
-                if key == "baseTimeNanoseconds" and isinstance(value, int):
-                    yield -1, None, value
-    elif begin:
-        raise ValueError(f"{text.name} is no trace")
-
-
-class TraceFile(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class TraceReader(DataSourceReader):
-    def __init__(self, paths: list[str], piece: int) -> None:
-        self.paths, self.piece = paths, piece
-
-    def partitions(self) -> list[TraceFile]:
-        return [TraceFile(p) for p in self.paths]
-
-    def read(self, partition: TraceFile) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(partition.path)
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            pos, event, base = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows)), pa.array(pos, pa.int64()), pa.array(event, pa.string()), pa.array(base, pa.int64())], ["file", "pos", "event", "base_ns"])
-
-        with system.open_input_stream(path, compression=None) as raw:
-            held, size = [], 0
-            for row in events(Text(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, partition.path, self.piece)):
-                held.append(row)
-                size += len(row[1] or "")
-                if len(held) >= ROWS or size >= CHARACTERS:
-                    yield batch(held)
-                    held, size = [], 0
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import saved
+
+#: Bytes of a range, and of what is scanned at once inside one.
+RANGE, PIECE = 64 << 20, 4 << 20
+ROWS_AT_ONCE = 20_000
+#: Bytes before a piece that stay in sight: those between a key and its value must fit.
+SIGHT = 4096
+_EVENTS_KEY = re.compile(rb'(?<!\\)"traceEvents"[ \t\r\n]*:[ \t\r\n]*\Z')
+_BASE = re.compile(rb'(?<!\\)"baseTimeNanoseconds"[ \t\r\n]*:[ \t\r\n]*(-?[0-9]+)(?=[ \t\r\n,}])')
+_OPEN, _CLOSE, _COMMA = b"[{", b"]}", b","
+_DEPTH = np.zeros(256, np.int8)
+_DEPTH[list(_OPEN)], _DEPTH[list(_CLOSE)] = 1, -1
+_MARK = np.zeros(256, bool)
+_MARK[list(_OPEN + _CLOSE + _COMMA)] = True
+
+FACTS = "file string, part int, quotes bigint, outside bigint, inside bigint, root string"
+#: kind: an event, a base time (as n), or what the range has: `first` events of the list that it begins in and n of its own list; open is whether it ends in the events' list (null: it holds no list's begin).
+ROWS = "file string, part int, kind string, at bigint, first boolean, event string, n bigint, open boolean"
+
+
+def opened(uri: str) -> tuple[IO[bytes], int | None]:
+    """A file at its begin, and its size where places in it can be gone to."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if path.endswith(".gz"):
+        return gzip.GzipFile(fileobj=system.open_input_stream(path, compression=None)), None
+    f = system.open_input_file(path)
+    return f, f.size()
+
+
+def before(f: IO[bytes], start: int) -> bytes:
+    """The bytes before start that a scan from there must see: SIGHT, and more while they are backslashes."""
+    n = min(SIGHT, start)
+    while True:
+        f.seek(start - n)
+        out = f.read(n)
+        if n == start or out.strip(b"\\"):
+            return out
+        n = min(2 * n, start)
+
+
+def pieces(f: IO[bytes], start: int, stop: int | None, piece: int) -> Iterator[bytes]:
+    """The bytes of [start, stop), to the end of the file where stop is None."""
+    while stop is None or start < stop:
+        got = f.read(piece if stop is None else min(piece, stop - start))
+        if not got:
+            return
+        yield got
+        start += len(got)
+
+
+class Scan:
+    """The brackets and commas outside strings of a text that comes piece by piece, and how deep they stand."""
+
+    def __init__(self, sight: bytes = b"", in_string: bool = False, depth: int = 0) -> None:
+        self.sight, self.in_string, self.depth = sight, in_string, depth
+
+    def quotes(self, data: np.ndarray) -> np.ndarray:
+        """The places of the quotes that begin or end strings: those behind an even number of backslashes."""
+        found = np.flatnonzero(data == 0x22)
+        slashes = np.flatnonzero(data == 0x5C)
+        kept = len(self.sight) - len(self.sight.rstrip(b"\\"))
+        if len(found) and (len(slashes) or kept):
+            # the runs of backslashes, each with its first place; one that ends the last piece goes on
+            head = np.flatnonzero(np.append(True, slashes[1:] != slashes[:-1] + 1)) if len(slashes) else np.zeros(0, np.int64)
+            begin = np.repeat(slashes[head], np.diff(np.append(head, len(slashes))))
+            at = np.searchsorted(slashes, found) - 1
+            near = (at >= 0) & (slashes[at] == found - 1) if len(slashes) else np.zeros(len(found), bool)
+            run = np.where(near, found - begin[at], 0) if len(slashes) else np.zeros(len(found), np.int64)
+            run += np.where(run == found, kept, 0)  # a run from the piece's first byte on, or none before its first quote
+            found = found[run % 2 == 0]
+        return found
+
+    def marks(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, bytes, depth behind each) of the marks of a piece."""
+        quotes = self.quotes(data)
+        places = np.flatnonzero(_MARK[data])
+        outside = (np.searchsorted(quotes, places) + self.in_string) % 2 == 0
+        places = places[outside]
+        depth = self.depth + np.cumsum(_DEPTH[data[places]], dtype=np.int64)
+        self.in_string ^= len(quotes) % 2 == 1
+        return places, data[places], depth
+
+    def passed(self, piece: bytes, depth: np.ndarray) -> None:
+        self.depth = int(depth[-1]) if len(depth) else self.depth
+        run = len(piece) - len(piece.rstrip(b"\\"))
+        if run == len(piece):
+            self.sight += piece
+        else:
+            n = max(SIGHT, run + 1)
+            self.sight = piece[-n:] if len(piece) >= n else (self.sight + piece)[-n:]
+
+
+def facts(uri: str, part: int, start: int, stop: int | None, piece: int) -> dict:
+    """What a range does to the state: its quotes, and its change of depth if it begins outside a string or inside."""
+    f, size = opened(uri)
+    with f:
+        sight, root = b"", None
+        if size is not None:
+            sight = before(f, start)
+            f.seek(start)
+        scan, quotes, change = Scan(sight), 0, np.zeros(2, np.int64)
+        for got in pieces(f, start, stop, piece):
+            data = np.frombuffer(got, np.uint8)
+            found, places = scan.quotes(data), np.flatnonzero(_MARK[data])
+            odd = (np.searchsorted(found, places) + quotes) % 2
+            change += np.bincount(odd, _DEPTH[data[places]], 2).astype(np.int64)
+            quotes += len(found)
+            scan.passed(got, odd[:0])
+            if part == 0 and root is None:
+                root = got.removeprefix(b"\xef\xbb\xbf").lstrip()[:1].decode("latin-1") or None
+    return {"file": uri, "part": part, "quotes": quotes, "outside": int(change[0]), "inside": int(change[1]), "root": root}
+
+
+class Range:
+    """The events of a range, from its settled state."""
+
+    def __init__(self, root: str, in_string: bool, depth: int, sight: bytes) -> None:
+        self.level = 1 if root == "[" else 2
+        self.bare = root == "["
+        self.scan = Scan(sight, in_string, depth)
+        self.held: list[bytes] | None = None  # what is read of an event whose end isn't
+        self.inherited, self.wanted, self.begun = True, True, False  # of the list that the scan is in
+        self.first = self.own = 0  # events so far, of the inherited list and of the events' own
+        self.blank = False  # whether the held event stands right behind the list's bracket
+
+    def feed(self, got: bytes, owned: bool = True) -> tuple[list[tuple[int, bool, bytes]], list[int], bool]:
+        """(place, inherited, text) of the events that end in a piece, base times, and whether an unowned scan is done."""
+        data = np.frombuffer(got, np.uint8)
+        sight = self.scan.sight
+        places, kinds, depth = self.scan.marks(data)
+        bases = [] if self.bare else self.bases(sight, got, places, depth)
+        opens = np.isin(kinds, list(_OPEN)) & (depth == self.level)
+        closes = np.isin(kinds, list(_CLOSE)) & (depth == self.level - 1)
+        commas = (kinds == _COMMA[0]) & (depth == self.level)
+        found, done = [], False
+        own = np.flatnonzero(opens | closes | commas)
+        for place, kind, is_open, is_close in zip(places[own].tolist(), kinds[own].tolist(), opens[own].tolist(), closes[own].tolist(), strict=True):
+            if self.held is not None:
+                self.held.append(got[self.at : place])
+                text = b"".join(self.held)
+                self.held = None
+                if not (self.blank and is_close and not text.strip()):
+                    found.append((self.first if self.inherited else self.own, self.inherited, text))
+                    if self.inherited:
+                        self.first += 1
+                    else:
+                        self.own += 1
+            if not owned:
+                done = True
+                break
+            if is_open:
+                self.inherited, self.begun = False, True
+                self.wanted = kind == 0x5B and (self.bare or _EVENTS_KEY.search((sight + got[max(0, place - SIGHT) : place])[-SIGHT:]) is not None)
+            if not is_close and self.wanted:
+                self.held, self.at, self.blank = [], place + 1, is_open
+        if self.held is not None:
+            self.held.append(got[self.at :])
+            self.at = 0
+        self.scan.passed(got, depth)
+        return found, bases, done or (not owned and self.held is None)
+
+    def bases(self, sight: bytes, got: bytes, places: np.ndarray, depth: np.ndarray) -> list[int]:
+        """Base times whose end lies in the piece."""
+        whole = sight + got
+        if b"baseTimeNanoseconds" not in whole:
+            return []
+        out, before = [], self.scan.depth
+        for m in _BASE.finditer(whole):
+            end = m.end() - len(sight)
+            if end >= 0:
+                at = np.searchsorted(places, end) - 1
+                if (depth[at] if at >= 0 else before) == 1:
+                    out.append(int(m[1]))
+        return out
+
+
+def events(uri: str, part: int, start: int, stop: int | None, in_string: bool, depth: int, root: str, piece: int) -> Iterator[tuple]:
+    """Rows of a range as kind, at, first, event, n and open."""
+    f, size = opened(uri)
+    with f:
+        sight = before(f, start) if size is not None else b""
+        if size is not None:
+            f.seek(start)
+        scan = Range(root, in_string, depth, sight)
+        row = lambda at, first, text: ("event", at, first, text.decode("utf-8", "replace"), None, None)
+        for got in pieces(f, start, stop, piece):
+            found, bases, _ = scan.feed(got)
+            yield from (row(*x) for x in found)
+            yield from (("base", None, None, None, n, None) for n in bases)
+        if scan.held is not None and stop is not None:
+            for got in pieces(f, stop, None, min(piece, 1 << 20)):
+                found, _, done = scan.feed(got, owned=False)
+                yield from (row(*x) for x in found)
+                if done:
+                    break
+        yield "range", scan.first, None, None, scan.own, scan.wanted if scan.begun else None
+
+
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+
+def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[kind]) for x, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], [name for name, _ in fields])
+
+
+def _facts(piece: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield batch_of([tuple(facts(r["file"], r["part"], r["start"], r["stop"], piece).values())], FACTS)
+
+
+def _events(piece: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            held, n = [], 0
+            for row in events(r["file"], r["part"], r["start"], r["stop"], r["in_string"], r["depth"], r["root"], piece):
+                held.append((r["file"], r["part"], *row))
+                n += len(row[3] or "")
+                if len(held) >= ROWS_AT_ONCE or n >= PIECE:
+                    yield batch_of(held, ROWS)
+                    held, n = [], 0
             if held:
-                yield batch(held)
-
-
-class TraceSource(DataSource):
-    """spark.read.format("trace_events").option("paths", a JSON list of URIs)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "trace_events"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema: StructType) -> TraceReader:
-        return TraceReader(json.loads(self.options["paths"]), int(self.options.get("piece", PIECE)))
-
-
-def read_events(spark: SparkSession, files: list[str], piece: int = PIECE) -> DataFrame:
-    """(file, pos, event, base_ns): the events' texts, and per file with a base time a row of pos -1."""
-    spark.dataSource.register(TraceSource)
-    uris = [f if re.match("[a-z0-9]+:", f) else f"file://{f}" for f in files]
-    return spark.read.format("trace_events").option("paths", json.dumps(uris)).option("piece", str(piece)).load()
+                yield batch_of(held, ROWS)
+
+
+def range_count(uri: str, n: int, size: int) -> int:
+    return 1 if uri.endswith(".gz") else max(1, -(-n // size))
+
+
+def ranges(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE) -> DataFrame:
+    """(file, part, start, stop, id) of the byte ranges of files (URI, bytes); one partition a range.  stop is null for compressed files."""
+    counts = [range_count(f, n, size) for f, n in files]
+    firsts = np.cumsum([0, *counts])
+    table = spark.createDataFrame([(f, n, c, int(at)) for (f, n), c, at in zip(files, counts, firsts, strict=False)], "file string, bytes bigint, n int, at bigint")
+    parts = table.select("file", "bytes", "at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    start = F.col("part").cast("bigint") * size
+    stop = F.when(~F.col("file").endswith(".gz"), F.least(start + size, F.col("bytes")))
+    out = parts.select("file", "part", start.alias("start"), stop.alias("stop"), (F.col("at") + F.col("part")).alias("id"))
+    return out.repartitionByRange(int(firsts[-1]), "id")
+
+
+def settled(spread: DataFrame, found: DataFrame) -> DataFrame:
+    """The ranges with in_string, depth and root: the state that the facts of the ranges before them leave."""
+    order = Window.partitionBy("file").orderBy("part")  # a row for each range of a file
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    state = found.withColumn("in_string", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1).withColumn("step", F.when(F.col("in_string"), F.col("inside")).otherwise(F.col("outside")))
+    state = state.withColumn("depth", F.coalesce(F.sum("step").over(earlier), F.lit(0))).withColumn("end", F.col("depth") + F.col("step"))
+    whole = Window.partitionBy("file")
+    broken = (F.sum("quotes").over(whole) % 2 == 1) | (F.sum("step").over(whole) != 0) | (F.min("end").over(whole) < 0) | ~F.coalesce(F.first("root", True).over(whole).isin("{", "["), F.lit(True))
+    state = state.withColumn("root", F.when(broken, F.raise_error(F.concat(F.lit("broken JSON in "), F.col("file")))).otherwise(F.coalesce(F.first("root", True).over(whole), F.lit("{"))))
+    return spread.join(state.select("file", "part", "in_string", "depth", "root"), ["file", "part"])
+
+
+def read_events(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE, piece: int = PIECE) -> DataFrame:
+    """(file, pos, event, base_ns): the events' texts with their places in their files (URI, bytes)."""
+    spread = ranges(spark, files, size)
+    n = sum(range_count(f, b, size) for f, b in files)
+    found = saved(spread.mapInArrow(partial(_facts, piece), FACTS), "range-facts")
+    ready = settled(spread, found).repartitionByRange(n, "id").drop("id")
+    rows = saved(ready.mapInArrow(partial(_events, piece), ROWS), "range-events")
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    marks = rows.where("kind = 'range'").select("file", "part", F.col("at").alias("n_first"), F.col("n").alias("n_own"), "open")
+    marks = marks.withColumn("mine", F.coalesce(F.last("open", True).over(earlier), F.lit(False)))
+    total = F.col("n_own") + F.when(F.col("mine"), F.col("n_first")).otherwise(0)
+    marks = marks.withColumn("total", total).withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0))).select("file", "part", "mine", "base", "n_first")
+    times = rows.where("kind = 'base'").groupBy("file").agg(F.max("n").alias("base_ns"))
+    place = F.col("base") + F.col("at") + F.when(~F.col("first") & F.col("mine"), F.col("n_first")).otherwise(0)
+    kept = rows.where("kind = 'event'").select("file", "part", "at", "first", "event").join(marks, ["file", "part"]).where("mine or not first")
+    return kept.select("file", place.alias("pos"), "event").join(times, "file", "left")

@@ -10,6 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import large
+
+#: Bytes from which a file is read by ranges.
+LARGE = 128 << 20
 _FILE = "baseTimeNanoseconds bigint, traceEvents array<variant>"
 _EVENT = "name variant, cat variant, ph variant, pid variant, tid variant, ts variant, dur variant, args variant, id variant, stream variant"
 #: How the folders of a run are named.
@@ -54,34 +58,47 @@ def labelled_files(spark: SparkSession, spec: str, most: int | None = None, seed
     return label, files
 
 
-def read_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None) -> DataFrame:
+def sized_files(spark: SparkSession, paths: Sequence[str] | str, more_than: int = -1) -> list[tuple[str, int]]:
+    """(URI, bytes) of the files that paths, folders or globs name; of those with more bytes alone (compressed ones count eightfold)."""
+    names = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n"))
+    return [(r.file, r.n) for r in names.where(weight("file", "n") > more_than).collect()]
+
+
+def weight(file: str, size: str) -> Column:
+    """Bytes of a file when it is read, about."""
+    return F.when(F.col(file).endswith(".gz"), F.col(size) * 8).otherwise(F.col(size))
+
+
+def read_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None, most: int = LARGE) -> DataFrame:
     """Events of trace files: one row per entry of traceEvents (or of a bare top-level array).
 
-    pos is the entry's place in its file (for bare arrays a number that ascends in the file's order).  A missing name, category or phase is an empty text, a missing ts 0, a
+    A file of up to `most` bytes is parsed whole; larger ones are scanned by ranges (`read_large_traces`).  pos is the entry's place in its file (for bare arrays a number that ascends in the file's order).  A missing name, category or phase is an empty text, a missing ts 0, a
     missing dur null.  Malformed files give no rows; entries that aren't objects give rows of defaults.
     ext_id keeps numbers and texts apart ("1" and 1 differ).
     """
     raw = spark.read.schema(f"{_FILE}, {_EVENT}").option("multiLine", True).json(paths if isinstance(paths, str) else list(paths))
-    raw = raw.select("*", F.col("_metadata.file_path").alias("file"))
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    big = sized_files(spark, paths, most)
+    if big:
+        raw = raw.where(weight("file", "size") <= most)  # on metadata alone: Spark doesn't open the others
     event = [c.split()[0] for c in _EVENT.split(", ")]
     objects = raw.where("traceEvents is not null").select("file", F.col("baseTimeNanoseconds").alias("base_ns"), F.posexplode("traceEvents").alias("pos", "e"))
     objects = objects.select("file", "base_ns", F.col("pos").cast("bigint").alias("pos"), *(F.try_variant_get("e", f"$.{c}", "variant").alias(c) for c in event))
     present = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in event))
     bare = raw.where(F.col("traceEvents").isNull() & present).select("file", F.lit(None).cast("bigint").alias("base_ns"), F.monotonically_increasing_id().alias("pos"), *event)
-    return parsed_events(objects.unionByName(bare), label)
+    out = parsed_events(objects.unionByName(bare), label)
+    return out.unionByName(_scanned(spark, big, label)) if big else out
+
 
+def read_large_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None, size: int = large.RANGE) -> DataFrame:
+    """read_traces for files of any size, each read by as many tasks as it has ranges of `size` bytes.  A broken file raises."""
+    return _scanned(spark, sized_files(spark, paths), label, size)
 
-def read_large_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None) -> DataFrame:
-    """read_traces for files that don't fit a task's memory: events are parsed one by one.  A broken file raises."""
-    from ..storage import saved
-    from .large import read_events
 
-    files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in list_files(spark, p)]
-    rows = saved(read_events(spark, files), "events")  # a file is read once
-    base = rows.where("pos < 0").groupBy("file").agg(F.max("base_ns").alias("base_ns"))
-    entry = F.try_parse_json("event")
+def _scanned(spark: SparkSession, files: list[tuple[str, int]], label: str | None, size: int = large.RANGE) -> DataFrame:
+    rows = large.read_events(spark, files, size)
     event = [c.split()[0] for c in _EVENT.split(", ")]
-    parsed = rows.where("pos >= 0").drop("base_ns").join(base, "file", "left").select("file", "base_ns", "pos", entry.alias("e"))
+    parsed = rows.select("file", "base_ns", "pos", F.try_parse_json("event").alias("e"))
     return parsed_events(parsed.select("file", "base_ns", "pos", *(F.try_variant_get("e", f"$.{c}", "variant").alias(c) for c in event)), label)
 
 
