@@ -364,6 +364,108 @@ def test_large_files_give_the_same_events(spark, tmp_path, monkeypatch, size, pi
         traces.read_large_traces(spark, f"{tmp_path}/broken.json").collect()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_any_ranges_and_pieces_give_the_same_events(tmp_path, seed):
+    """Without Spark: ranges down to a byte, chained as `settled` and `read_events` chain them."""
+    from tracelake.sources import large
+
+    odd = [{"name": 'a"b\\', "args": {"x": [1, 2, {"k": "]}"}]}}, {"ph": "M"}, 12, "te,x[t", None, {"n": "\u00e9\U0001f600{[,:\\\\"}, {}, [1, [2]]] * 4
+    for trial in range(40):
+        rng = random.Random(100 * seed + trial)
+        events = [rng.choice(odd) for _ in range(rng.randrange(12))]
+        items = [("baseTimeNanoseconds", rng.randrange(10**18)), ("traceEvents", events), ("more", [{"traceEvents": 1, "q": [1, 2]}, 2]), ("device", {"a": 1, "b": [1], "c": {"traceEvents": [1]}})]
+        rng.shuffle(items)
+        bare = trial % 5 == 4
+        text = json.dumps(events if bare else dict(items), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5).encode()
+        (tmp_path / "t.json").write_bytes(text)
+        uri, size, piece = f"file://{tmp_path}/t.json", rng.choice([1, 3, 17, 173, 10**6]), rng.choice([1, 2, 7, 10**6])
+        cuts = [(a, min(len(text), a + size)) for a in range(0, len(text), size)]
+        quotes = depth = 0
+        base, got, mine = None, [], False
+        facts = [large.facts(uri, i, *c, piece) for i, c in enumerate(cuts)]
+        for i, f in enumerate(facts):
+            rows = list(large.events(uri, i, *cuts[i], quotes % 2 == 1, depth, facts[0]["root"], piece))
+            depth += f["inside"] if quotes % 2 else f["outside"]
+            quotes += f["quotes"]
+            for kind, _, first, event, n, _ in rows[:-1]:
+                if kind == "base":
+                    base = n
+                elif mine or not first:
+                    got.append(json.loads(event))
+            mine = mine if rows[-1][5] is None else rows[-1][5]
+        assert got == events and (bare or base == dict(items)["baseTimeNanoseconds"]) and depth == quotes % 2 == 0
+
+
+def test_large_files_are_spread_without_a_flag(spark, tmp_path):
+    from tracelake.sources import large
+
+    many = [op(f"n{i}", i, 1, i) for i in range(3000)]
+    path = write(tmp_path / "big.json", many)
+    write(tmp_path / "small.json", TRACE)
+    files = traces.sized_files(spark, path)
+    spread = large.ranges(spark, files, files[0][1] // 8 + 1)
+    assert spread.count() == 8 == spread.select(F.spark_partition_id()).distinct().count()
+    got = traces.read_traces(spark, str(tmp_path), most=files[0][1] - 1)
+    assert "range-events" in got._jdf.queryExecution().toString()
+    want = traces.read_traces(spark, str(tmp_path))
+    assert "range-events" not in want._jdf.queryExecution().toString()
+    key = lambda df: sorted((r.file, r.pos, r.name, r.ts, r.ext_id, r.base_ns) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == len(many) + len(TRACE)
+
+
+def test_times_from_the_ends_of_files(spark, tmp_path):
+    """What is read doesn't grow with the file; entries without a time or a category, and odd layouts."""
+    from tracelake.sources import ends
+
+    read = {}
+    for n in (500, 50_000):
+        path = write(tmp_path / f"n{n}.json", [{"ph": "M"}, *(op(f"n{i}", 7 + i, 1, i) for i in range(n)), {"ph": "M", "args": {"a": "]}\\"}}])
+        row = ends.read_ends(spark, traces.sized_files(spark, path), window=4096).first()
+        assert (row.first, row.last, row.base_ns) == (7, 6 + n, 1_700_000_000_000_000_000)
+        read[n] = row.bytes_read
+    assert read[50_000] <= read[500] + 8192 < 40_000
+    for layout in ({"traceEvents": TRACE, "more": [{"ts": "none"}, 3], "baseTimeNanoseconds": 17}, {"baseTimeNanoseconds": 17, "traceEvents": [{"ts": 5, "ph": "M"}, *TRACE, {"ts": 9e9}], "x": {"a": [{"ts": 1}]}}):
+        (tmp_path / "t.json").write_text(json.dumps(layout))
+        for window in (1, 9, 64, 1 << 20):
+            files = traces.sized_files(spark, str(tmp_path / "t.json"))
+            row, named = (ends.read_ends(spark, files, named, window).first() for named in (False, True))
+            events = layout["traceEvents"]
+            times = [e["ts"] for e in events]
+            known = [e["ts"] for e in events if e.get("cat")]
+            assert (row.first, row.last) == (times[0], times[-1]) and (named.first, named.last) == (known[0], known[-1])
+    for body in ("{}", " ", "[]", '{"traceEvents": [{"ph": "M"}]}'):
+        (tmp_path / "e.json").write_text(body)
+        assert ends.read_ends(spark, traces.sized_files(spark, str(tmp_path / "e.json"))).first().first is None
+    write(tmp_path / "z.json.gz", TRACE)
+    assert ends.read_ends(spark, traces.sized_files(spark, str(tmp_path / "z.json.gz"))).first().first == TRACE[0]["ts"]
+
+
+def test_run_folder_opens_wanted_files_alone(spark, tmp_path):
+    from tracelake.sources import runs
+
+    for card in range(3):
+        for step in range(4):
+            write(tmp_path / f"executor_trainer-runner_{card}" / f"{card}_{step}.json", [op(f"c{card}s{step}", 1, 2)])
+    (tmp_path / "executor_trainer-runner_0" / "step9.json").write_text("[]")
+    (tmp_path / "executor_trainer-runner_1" / "7_1.json").write_text('{"traceEvents": [{"name": "cut off"}, {"na')
+    (tmp_path / "other").mkdir()
+    rows = runs.run_events(spark, str(tmp_path))
+
+    def wanted(condition):
+        kept = rows.where(condition)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        return {(r.step, r.card) for r in kept.where("pos >= 0").collect()}, plan
+
+    assert wanted("step = 3")[0] == {(3, 0), (3, 1), (3, 2)}
+    assert wanted("step > 1 and card in (0, 2) and step <= 2")[0] == {(2, 0), (2, 2)}
+    assert wanted("step = 1")[0] == {(1, 0), (1, 1), (1, 2)}  # the broken file gives no rows
+    assert "Filter (step" not in wanted("step = 3")[1]
+    # what isn't a partition isn't opened
+    reader = runs.RunReader(f"file://{tmp_path}", 1 << 20)
+    left = list(reader.pushFilters([runs.D.EqualTo(("step",), 3), runs.D.IsNotNull(("card",)), runs.D.EqualTo(("pos",), 0)]))
+    assert left == [runs.D.EqualTo(("pos",), 0)] and [p.step for p in reader.partitions()] == [3, 3, 3]
+
+
 def test_stream_of_traces(spark, tmp_path):
     write(tmp_path / "s" / "a.json", TRACE)
     stream = streaming.running_kernel_time(streaming.stream_traces(spark, str(tmp_path / "s")))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.runs import FOLDERS, uri_of
 from ..storage import scratch_dir
 
 
@@ -85,3 +90,40 @@ def trace_files(spark: SparkSession, sf_dir: str, gzip: bool = False) -> str:
     folder = f"{scratch_dir(spark)}/traces-{uuid.uuid4().hex}"
     lines.repartition("month").sortWithinPartitions("month", "at", "kind", "key", "line").select("month", "value").write.partitionBy("month").option("compression", "gzip" if gzip else "none").text(folder)
     return folder
+
+
+def run_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Line items as the collectives of a run of 48 files: card is the supplier modulo 4, step the month; returns the folder."""
+    folder = uri_of(f"{scratch_dir(spark)}/run-{uuid.uuid4().hex}")
+    item = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit(f"{folder}/{FOLDERS}"), (F.col("l_suppkey") % 4).cast("string"), F.lit("_0/"), (F.col("l_suppkey") % 4).cast("string"), F.lit("_"), F.month("l_shipdate").cast("string"), F.lit(".json")).alias("file"), *item,
+        F.to_json(F.struct(F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit("kernel").alias("cat"), F.lit("X").alias("ph"), F.unix_micros("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("dur"),
+                           F.struct(F.col("l_quantity").cast("bigint").alias("In msg nelems"), F.lit("bf16").alias("dtype"), F.col("l_orderkey").alias("order")).alias("args"))).alias("event"),
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        name, out = None, None
+        for batch in batches:
+            for file, event in zip(batch.column("file").to_pylist(), batch.column("event").to_pylist(), strict=True):
+                if file != name:
+                    if out:
+                        out.write(b"]}")
+                        out.close()
+                    system, path = fs.FileSystem.from_uri(file)
+                    system.create_dir(path.rsplit("/", 1)[0])
+                    name, out = file, system.open_output_stream(path)
+                    out.write(json.dumps({"baseTimeNanoseconds": 5})[:-1].encode() + b', "traceEvents": [')
+                else:
+                    out.write(b",\n")
+                out.write(event.encode())
+        if out:
+            out.write(b"]}")
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([0 if name is None else 1])], ["n"])
+
+    # a file is written by one task, row by row, and anew if the task is
+    rows.repartition("file").sortWithinPartitions("file", *item).select("file", "event").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return folder

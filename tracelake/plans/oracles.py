@@ -60,6 +60,18 @@ ORACLES: dict[str, str] = {
   CAST(NULL AS BIGINT) AS streams, count(DISTINCT (pid, tid)) AS threads, min(shape) AS shape FROM op GROUP BY month
 UNION ALL SELECT month, 'kernel', count(*), CAST(sum(ts) AS BIGINT), count(dur), CAST(sum(id) AS BIGINT), 0, CAST(sum(stream) AS BIGINT), 1, NULL FROM kr GROUP BY month""",
     "trace_ranges": f"""WITH {TRACES}, e AS (SELECT month, ts FROM op UNION ALL SELECT month, ts FROM kr) SELECT month, min(ts) * 1000 AS start, max(ts) * 1000 AS "end" FROM e GROUP BY month""",
+    "trace_scan_ranges": f"""WITH {TRACES}, e AS (SELECT month, ts, id, 0 AS kind, 0 AS line, 1 AS with_dur FROM op UNION ALL SELECT month, ts, id, 1, line, (dur IS NOT NULL)::INT FROM kr),
+p AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY ts, kind, id, line) - 1 AS pos FROM e)
+SELECT month, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, sum(pos)::BIGINT AS places, sum(ts)::BIGINT AS ts, sum(id)::BIGINT AS ext_ids, sum(with_dur)::BIGINT AS with_dur, 0::BIGINT AS base_ns FROM p GROUP BY month""",
+    "trace_end_times": f"""WITH {TRACES}, e AS (SELECT month, ts FROM op UNION ALL SELECT month, ts FROM kr) SELECT month, min(ts) * 1000 AS start, max(ts) * 1000 AS "end" FROM e GROUP BY month""",
+    "run_fast_slow": """WITH six AS (
+  SELECT * FROM (
+    SELECT month(l_shipdate)::INT AS step, (l_suppkey % 4)::INT AS card, l_extendedprice AS dur, l_quantity::BIGINT AS nelems,
+      row_number() OVER (PARTITION BY l_suppkey % 4, month(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS comm_idx
+    FROM lineitem WHERE l_returnflag = 'R') WHERE comm_idx < 6 AND step BETWEEN 3 AND 7 AND card IN (0, 1, 3)),
+m AS (SELECT step, comm_idx, min(dur) AS f, max(dur) AS s, count(*) AS n FROM six GROUP BY ALL)
+SELECT step, comm_idx::INT AS comm_idx, arg_min(nelems, card) AS in_msg_nelems, 'bf16' AS dtype, min(card) FILTER (dur = f) AS fastest_card, f AS fastest_duration_us, min(card) FILTER (dur = s) AS slowest_card, s AS slowest_duration_us,
+  round(s / f, 6) AS duration_ratio, n AS total_cards FROM six JOIN m USING (step, comm_idx) GROUP BY step, comm_idx, f, s, n""",
     "trace_report": f"""WITH {TRACES}, own AS (SELECT * FROM op JOIN pick USING (id) JOIN begun USING (month)), {_totals("name")},
 t AS (SELECT name, first({{'dtype': coalesce(dtype, ''), 'shape': shape, 'pid': pid, 'tid': tid, 'ts': ts - first_ts}} ORDER BY month, ts, id) AS f FROM own GROUP BY name)
 SELECT name, f.dtype AS dtype, f.shape AS shape, CAST(f.pid AS VARCHAR) AS pid, CAST(f.tid AS VARCHAR) AS tid, 'none' AS fwd_bwd_type, printf('%.2f', CAST(f.ts AS DOUBLE)) AS timestamp,

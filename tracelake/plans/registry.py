@@ -393,6 +393,32 @@ def trace_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.time_range(events.where("cat <> ''")).select(_month().alias("month"), "start", "end")
 
 
+@query
+def trace_scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read back from trace files by byte ranges of 20,000 bytes: places, times and arguments."""
+    folder = adapters.trace_files(spark, sf_dir)
+    events = traces.read_large_traces(spark, f"{folder}/month=*", size=20_000)
+    kept = events.where("cat <> ''").groupBy(_month().alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("pos").alias("places"), F.sum(F.col("ts").cast("bigint")).alias("ts"),
+        F.sum(F.col("ext_id").cast("bigint")).alias("ext_ids"), F.count("dur").alias("with_dur"), F.min("base_ns").alias("base_ns"),
+    )
+    return kept
+
+
+@query
+def trace_end_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time of the first and the last entry with a category of each trace file, from the bytes at its ends."""
+    return traces.time_ends(spark, _traces(spark, adapters.trace_files(spark, sf_dir)), named=True).select(_month().alias("month"), "start", "end")
+
+
+@query
+def run_fast_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fastest and slowest card of the first collectives of some steps and cards of a run folder; files of others aren't opened."""
+    events = traces.read_collectives(spark, adapters.run_folder(spark, sf_dir)).where("step between 3 and 7 and card in (0, 1, 3)")
+    out = comm.fastest_and_slowest(comm.last_file_wins(comm.first_collectives(events, "R")))
+    return out.select("step", "comm_idx", "in_msg_nelems", "dtype", "fastest_card", "fastest_duration_us", "slowest_card", "slowest_duration_us", F.round("duration_ratio", 6).alias("duration_ratio"), "total_cards")
+
+
 _DURATIONS = ("mean", "min", "max", "total")
 
 

@@ -226,7 +226,7 @@ def events(uri: str, part: int, start: int, stop: int | None, in_string: bool, d
         yield "range", scan.first, None, None, scan.own, scan.wanted if scan.begun else None
 
 
-_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
 def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -258,8 +258,13 @@ def range_count(uri: str, n: int, size: int) -> int:
     return 1 if uri.endswith(".gz") else max(1, -(-n // size))
 
 
+def tasks(spark: SparkSession, files: list[tuple[str, int]], size: int) -> int:
+    """A task for each RANGE bytes, or for each core where that is less, but not more than there are ranges."""
+    return min(sum(range_count(f, n, size) for f, n in files), max(spark.sparkContext.defaultParallelism, -(-sum(n for _, n in files) // min(size, RANGE)) if size >= RANGE // 64 else 0))
+
+
 def ranges(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE) -> DataFrame:
-    """(file, part, start, stop, id) of the byte ranges of files (URI, bytes); one partition a range.  stop is null for compressed files."""
+    """(file, part, start, stop, id) of the byte ranges of files (URI, bytes), dealt out to tasks.  stop is null for compressed files."""
     counts = [range_count(f, n, size) for f, n in files]
     firsts = np.cumsum([0, *counts])
     table = spark.createDataFrame([(f, n, c, int(at)) for (f, n), c, at in zip(files, counts, firsts, strict=False)], "file string, bytes bigint, n int, at bigint")
@@ -267,7 +272,7 @@ def ranges(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE)
     start = F.col("part").cast("bigint") * size
     stop = F.when(~F.col("file").endswith(".gz"), F.least(start + size, F.col("bytes")))
     out = parts.select("file", "part", start.alias("start"), stop.alias("stop"), (F.col("at") + F.col("part")).alias("id"))
-    return out.repartitionByRange(int(firsts[-1]), "id")
+    return out.repartitionByRange(tasks(spark, files, size), "id")
 
 
 def settled(spread: DataFrame, found: DataFrame) -> DataFrame:
@@ -285,9 +290,8 @@ def settled(spread: DataFrame, found: DataFrame) -> DataFrame:
 def read_events(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE, piece: int = PIECE) -> DataFrame:
     """(file, pos, event, base_ns): the events' texts with their places in their files (URI, bytes)."""
     spread = ranges(spark, files, size)
-    n = sum(range_count(f, b, size) for f, b in files)
     found = saved(spread.mapInArrow(partial(_facts, piece), FACTS), "range-facts")
-    ready = settled(spread, found).repartitionByRange(n, "id").drop("id")
+    ready = settled(spread, found).repartitionByRange(tasks(spark, files, size), "id").drop("id")
     rows = saved(ready.mapInArrow(partial(_events, piece), ROWS), "range-events")
     earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     marks = rows.where("kind = 'range'").select("file", "part", F.col("at").alias("n_first"), F.col("n").alias("n_own"), "open")

@@ -10,14 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import large
+from . import ends, large, runs
 
 #: Bytes from which a file is read by ranges.
 LARGE = 128 << 20
 _FILE = "baseTimeNanoseconds bigint, traceEvents array<variant>"
 _EVENT = "name variant, cat variant, ph variant, pid variant, tid variant, ts variant, dur variant, args variant, id variant, stream variant"
-#: How the folders of a run are named.
-RUN_FOLDERS = "executor_trainer-runner_*"
+#: Fixed value: how trace files in run folders are named.
 RUN_FILES = "trace_*.json"
 
 
@@ -106,8 +105,8 @@ def _get(column: str, kind: str, path: str = "$") -> Column:
     return F.try_variant_get(column, path, kind)
 
 
-def parsed_events(rows: DataFrame, label: str | None = None) -> DataFrame:
-    """The event schema from columns of variants."""
+def parsed_events(rows: DataFrame, label: str | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """The event schema from columns of variants, and columns that are kept."""
     arg = lambda key, kind: _get("args", kind, f"$['{key}']")
     external = F.try_variant_get("args", "$['External id']", "variant")
     kind = arg("Input type", "string")
@@ -123,7 +122,7 @@ def parsed_events(rows: DataFrame, label: str | None = None) -> DataFrame:
         *(arg(key, t).alias(name) for name, key, t in (
             ("in_msg_nelems", "In msg nelems", "bigint"), ("out_msg_nelems", "Out msg nelems", "bigint"), ("group_size", "Group size", "bigint"),
             ("comm_dtype", "dtype", "string"), ("process_group_ranks", "Process Group Ranks", "string"))),
-        "args",
+        "args", *also,
     )
 
 
@@ -132,25 +131,15 @@ def argument(key: str, kind: str = "string") -> Column:
     return _get("args", kind, f"$['{key}']")
 
 
-def step_and_card(file: Column) -> tuple[Column, Column]:
-    """(step, card) of a file's name: <card>_<step>.json, else step<step>.json with card 0, else nulls."""
-    name = F.element_at(F.split(file, "/"), -1)
-    both = [F.regexp_extract(name, r"(?i)(\d+)_(\d+)\.json", i).try_cast("int") for i in (1, 2)]
-    alone = F.regexp_extract(name, r"(?i)step(\d+)\.json", 1).try_cast("int")
-    return F.coalesce(both[1], alone), F.coalesce(both[0], F.when(alone.isNotNull(), F.lit(0)))
-
-
 def read_collectives(spark: SparkSession, run_folder: str, step: int | None = None) -> DataFrame:
-    """Events of a run's executors with step and card; files of other steps aren't opened."""
-    files = [f for f in list_files(spark, f"{run_folder.rstrip('/')}/{RUN_FOLDERS}") if not f.endswith(".gz")]
-    if step is not None:
-        names = spark.createDataFrame([(f,) for f in files], "file string")
-        files = [r.file for r in names.where(step_and_card(F.col("file"))[0] == step).collect()]
-    if not files:
-        raise FileNotFoundError(f"no files of step {step}: {run_folder}")
-    events = read_traces(spark, files).withColumn("dtype", F.col("comm_dtype"))
-    at_step, card = step_and_card(F.col("file"))
-    return events.withColumn("step", at_step).withColumn("card", card).where("step is not null")
+    """Events of a run's executors with step and card; conditions on these keep files of others from being opened."""
+    rows = runs.run_events(spark, run_folder.rstrip("/"), step)
+    base = rows.where("pos < 0").groupBy("file", "step", "card").agg(F.max("base_ns").alias("base_ns"))
+    parsed = rows.where("pos >= 0").drop("base_ns").join(base, ["file", "step", "card"], "left")
+    parsed = parsed.select("step", "card", F.col("file"), "base_ns", "pos", F.try_parse_json("event").alias("e"))
+    event = [c.split()[0] for c in _EVENT.split(", ")]
+    out = parsed_events(parsed.select("step", "card", "file", "base_ns", "pos", *(F.try_variant_get("e", f"$.{c}", "variant").alias(c) for c in event)), also=("step", "card"))
+    return out.withColumn("dtype", F.col("comm_dtype"))
 
 
 def time_range(events: DataFrame) -> DataFrame:
@@ -160,13 +149,19 @@ def time_range(events: DataFrame) -> DataFrame:
     return ends.select("file", ns(F.col("_a")).alias("start"), ns(F.col("_b")).alias("end"))
 
 
+def time_ends(spark: SparkSession, paths: Sequence[str] | str, named: bool = False) -> DataFrame:
+    """`time_range` of files of any size, from their first and last bytes (named: of entries that have a category)."""
+    ns = lambda ts: (F.col("base_ns") + (F.col(ts) * 1000).cast("bigint")).alias
+    found = ends.read_ends(spark, sized_files(spark, paths), named).where("first is not null")
+    return found.select("file", ns("first")("start"), ns("last")("end"))
+
+
 def run_folder_ranges(spark: SparkSession, root: str) -> DataFrame:
-    """(path, start, end) of each folder under root, from the first of its trace files."""
+    """(path, start, end) of each folder under root, from the ends of the first of its trace files."""
     first: dict[str, str] = {}
     for f in list_files(spark, f"{root.rstrip('/')}/*/{RUN_FILES}"):
         first.setdefault(f.rsplit("/", 1)[0], f)
-    ranges = time_range(read_traces(spark, sorted(first.values())))
-    return ranges.select(F.regexp_replace("file", "/[^/]*$", "").alias("path"), "start", "end")
+    return time_ends(spark, sorted(first.values())).select(F.regexp_replace("file", "/[^/]*$", "").alias("path"), "start", "end")
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
