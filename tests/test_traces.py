@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake import cli, sinks
 from tracelake.functions import patterns, text, time
-from tracelake.operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering
+from tracelake.operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, tree
 from tracelake.plans import analysis
 from tracelake.sources import traces
 from tracelake.streaming import traces as streaming
@@ -413,6 +413,31 @@ def test_large_files_are_spread_without_a_flag(spark, tmp_path):
     assert key(got) == key(want) and len(key(got)) == len(many) + len(TRACE)
 
 
+@pytest.mark.parametrize("rows", [None, 7])
+def test_call_trees(spark, tmp_path, rows):
+    """Nested JSON of threads, one with a parent of many children, as values and as files."""
+    rng = random.Random(3)
+    events = [("f", 0, 1, 0, "all \"of\" it", "c", 0.0, 1000.0)] + [("f", 0, 1, i, f"n{i}", "c", float(rng.randrange(1000)), float(rng.randrange(1, 30))) for i in range(1, 300)]
+    events += [("f", 0, 2, 1000 + i, f"m{i}", None, float(i * 10 % 70), float(rng.randrange(1, 90))) for i in range(40)]
+    table = spark.createDataFrame(events, "file string, pid int, tid int, pos long, name string, cat string, ts double, dur double")
+    parent = {r.pos: (r.parent_pos, r.depth) for r in nesting.nest(table, paths=False).collect()}
+
+    def node(e, stack=()):
+        below = sorted((x for x in events if parent[x[3]][0] == e[3]), key=lambda x: (x[6], x[3]))
+        stack = (*stack, e[4])
+        return {"event": dict(zip(tree.EVENT, (e[4], e[5], e[6], e[7], e[1], e[2]), strict=True)), "depth": parent[e[3]][1], "call_stack": list(stack), "children": [node(x, stack) for x in below]}
+
+    want = {tid: [node(e) for e in sorted((x for x in events if x[2] == tid and parent[x[3]][0] is None), key=lambda x: (x[6], x[3]))] for tid in (1, 2)}
+    nested = nesting.nest(table, rows_per_chunk=rows)
+    got = tree.trees(nested, rows_per_chunk=rows).collect()
+    assert {(r.tid, r.root_pos): json.loads(r.tree) for r in got} == {(tid, next(e[3] for e in events if e[4] == t["event"]["name"])): t for tid, ts in want.items() for t in ts}
+    assert sum(r.nodes for r in got) == len(events)
+    tree.write_trees(nested, str(tmp_path / "trees"), rows_per_chunk=rows)
+    for tid in (1, 2):
+        files = sorted((tmp_path / "trees" / "file=f" / "pid=0" / f"tid={tid}").glob("part-*"))
+        assert json.loads("".join(f.read_text() for f in files)) == want[tid]
+
+
 def test_times_from_the_ends_of_files(spark, tmp_path):
     """What is read doesn't grow with the file; entries without a time or a category, and odd layouts."""
     from tracelake.sources import ends

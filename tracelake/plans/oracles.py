@@ -116,6 +116,11 @@ UNION ALL SELECT 'kernel', name, count(*) FROM kern WHERE ext_id IN (FROM ids) A
     "normalize_stack_coarse": _normal(True),
     "nesting_parent": f"WITH RECURSIVE {NESTED} SELECT pos, parent_pos FROM up",
     "call_stack_path": f"WITH RECURSIVE {NESTED} SELECT pos, depth, array_to_string(stack, ' -> ') AS stack FROM path",
+    "call_tree": f"""WITH RECURSIVE {NESTED},
+n AS (SELECT *, ids[1] AS root, coalesce(lag(depth) OVER (PARTITION BY ids[1] ORDER BY ts, pos), -1) AS before, row_number() OVER (PARTITION BY ids[1] ORDER BY ts, pos) AS place FROM path),
+t AS (SELECT root, ts, pos, place, depth, repeat(']}}', greatest(before - depth + 1, 0)) || CASE WHEN before >= depth THEN ',' ELSE '' END || '{{"event":{{"name":"' || name || '","cat":"cpu_op","ts":' || ts || ',"dur":' || dur || ',"pid":0,"tid":' || tid
+  || '}},"depth":' || depth || ',"call_stack":["' || array_to_string(stack, '","') || '"],"children":[' AS piece FROM n)
+SELECT root AS root_pos, count(*) AS nodes, string_agg(piece, '' ORDER BY ts, pos) || repeat(']}}', arg_max(depth, place) + 1) AS tree FROM t GROUP BY root""",
     "flow_pairs": f"WITH {SLICES}, {FLOWS} SELECT flow_id, fwd_ts, bwd_ts FROM pairs",
     "flow_propagate": f"""WITH RECURSIVE {NESTED}, {FLOWS}, at_ts AS (SELECT ts, max(pos) AS pos FROM ok GROUP BY ts),
 paired AS (SELECT b.pos, arg_max(p.stack, flow_pos) AS stack FROM pairs JOIN at_ts b ON b.ts = bwd_ts JOIN at_ts f ON f.ts = fwd_ts JOIN path p ON p.pos = f.pos GROUP BY b.pos),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, time
-from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering
+from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, tree
 from ..sources import traces
 from . import adapters, analysis
 from .oracles import ORACLES
@@ -169,6 +169,12 @@ def call_stack_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.nest(adapters.slices(spark, sf_dir)).select("pos", "depth", text.stack_text(F.col("call_stack")).alias("stack"))
 
 
+@query
+def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each outermost event with all that it encloses, as nested JSON."""
+    return tree.trees(nesting.nest(adapters.slices(spark, sf_dir))).select("root_pos", "nodes", "tree")
+
+
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows between events: clicks start and purchases end the flow of their user and k."""
     k = F.try_variant_get(F.try_parse_json("args"), "$.k", "bigint")
