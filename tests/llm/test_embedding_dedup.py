@@ -35,6 +35,19 @@ def test_near_vectors_share_a_filter(total):
         assert met >= 0.99
 
 
+@pytest.mark.parametrize("total", [500, 1_000_000, 100_000_000])
+@pytest.mark.parametrize("size", [2, 3, 8, 16, 32, 384])
+def test_near_vectors_meet_in_any_dimension(size, total):
+    codes = E.codes_of(size, total, 0.95)
+    a = units(500, 2, size)
+    b = units(500, 3, size)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(E.filters(codes, a), E.filters(codes, b))])
+    print("size", size, "total", total, "words", codes[0].words, "met", met)
+    assert met >= 0.96
+
+
 def test_planted_links_are_found(spark):
     groups = [planted(300, c) for c in (0.9501, 0.97, 0.99)]
     x = np.concatenate([np.concatenate([a + 0 if k == 0 else np.roll(a, k, axis=1), b if k == 0 else np.roll(b, k, axis=1)]) for k, (a, b) in enumerate(groups)])

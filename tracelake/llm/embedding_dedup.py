@@ -10,7 +10,8 @@ filter only.
 The number of directions grows with the number of distinct vectors: there are so many that an unrelated vector
 seldom shares a filter, and only vectors with a shared filter are moved.  A filter that many similar vectors share
 is cut into blocks, and pairs of blocks are spread over the cluster.  A pair that shares no filter of any
-rotation is missed; the README gives the share.
+rotation is missed; the README gives the share.  Before use, codebooks are tried on random pairs at the threshold and made coarser
+until RECALL of them meet, so that few dimensions don't part near vectors.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different
 lengths don't either.  Equal vectors form a class that is compared once; repeated vec_ids are rows of their
@@ -19,10 +20,12 @@ own, and so are rows without vec_id.  Other columns are left out.  An empty tabl
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from .grouping import forest, per_unit
 PARTS = 4
 #: Rotations, filters of a vector in each, and vectors of unrelated content in a filter (on average).
 TURNS, BEST, CROWD = 3, 16, 0.1
+#: The share of pairs at the threshold that codebooks must join, and the pairs that they are tried on.
+RECALL, PLANTED = 0.985, 1000
 #: Rows in one block of a filter.
 BLOCK_ROWS = 512
 
@@ -41,6 +46,7 @@ class ProductCode:
 
     def __init__(self, size: int, words: int, turn: int = 0, seed: int = 5) -> None:
         rng = np.random.default_rng([seed, size, turn])
+        self.size = size
         self.width = -(-size // PARTS) * PARTS
         rotation, r = np.linalg.qr(rng.standard_normal((self.width, self.width)))
         self.turn = (rotation * np.sign(np.diag(r)))[:size]
@@ -86,6 +92,36 @@ def code_words(total: int) -> int:
     return max(2, round((BEST * max(total, 1) / CROWD) ** (1 / PARTS)))
 
 
+def planted(size: int, cosine: float, n: int = PLANTED) -> tuple[np.ndarray, np.ndarray]:
+    """n random unit vectors of `size` components, and one at that cosine to each."""
+    a, b = np.random.default_rng([7, size]).standard_normal((2, n, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def met(codes: list[ProductCode], cosine: float) -> float:
+    """The share of planted pairs that share a filter."""
+    left, right = (filters(codes, x) for x in planted(codes[0].size, cosine))
+    return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(left, right, strict=True)]))
+
+
+@functools.lru_cache(64)
+def codes_of(size: int, total: int, cosine: float) -> list[ProductCode]:
+    """The rotations and codebooks for so many vectors of so many components.
+
+    In few dimensions fine codebooks part near vectors: they are made coarser until pairs planted at the threshold meet.  One word a
+    part is one filter in all, that is comparing all with all.
+    """
+    words = code_words(total)
+    while True:
+        codes = [ProductCode(size, words, t) for t in range(TURNS)]
+        if words == 1 or size == 1 or met(codes, cosine + 1e-4) >= RECALL:
+            return codes
+        words = max(1, min(words - 1, words * 4 // 5))
+
+
 def as_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows with `size` finite components that aren't all zero: (their places, unit vectors, size)."""
     size = len(column[0])
@@ -100,23 +136,19 @@ def as_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.flatnonzero(np.isfinite(unit).all(axis=1)), unit, size
 
 
-def filtered(vectors: DataFrame, total: int) -> DataFrame:
+def filtered(vectors: DataFrame, total: int, cosine: float) -> DataFrame:
     """(node, size, filters, vector): the filters of each distinct vector."""
-    words = code_words(total)
-    codes: dict[int, list[ProductCode]] = {}
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            lengths = np.array([len(x) for x in batch.column("vector")])
-            for size in np.unique(lengths):
+            lengths = pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths).tolist():
                 rows = table.filter(pa.array(lengths == size)).combine_chunks()
                 good, unit, size = as_matrix(rows.column("vector").combine_chunks())
-                if size not in codes:
-                    codes[size] = [ProductCode(size, words, t) for t in range(TURNS)]
+                codes = codes_of(size, total, cosine)
                 for a in range(0, len(good), 1000):
                     at = good[a : a + 1000]
-                    lists = list(filters(codes[size], unit[at]))
+                    lists = list(filters(codes, unit[at]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(rows.column("node").to_numpy()[at]),
@@ -185,7 +217,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = rows.withColumn("class", F.struct(F.xxhash64("embedding").alias("x"), F.xxhash64(F.lit(1), "embedding").alias("y"), F.size("embedding").alias("size")))
     usable = rows.where("size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)")
     classes = saved(usable.groupBy("class").agg(F.min("_rid").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("vector")), "vectors")
-    vectors = saved(filtered(classes.select("node", "copies", "vector"), classes.count()), "filters")
+    vectors = saved(filtered(classes.select("node", "copies", "vector"), classes.count(), cosine), "filters")
     each = vectors.select("size", F.explode("filters").alias("filter"), "node")
     crowds = saved(each.groupBy("size", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "filter", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("n_blocks")), "crowds")
     # at most TURNS * BEST filters a node; those that it shares with no one are left behind here
