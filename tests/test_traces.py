@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake import cli, sinks
 from tracelake.functions import patterns, text, time
-from tracelake.operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, tree
+from tracelake.operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, tree
 from tracelake.plans import analysis
 from tracelake.sources import traces
 from tracelake.streaming import traces as streaming
@@ -413,6 +413,23 @@ def test_large_files_are_spread_without_a_flag(spark, tmp_path):
     assert key(got) == key(want) and len(key(got)) == len(many) + len(TRACE)
 
 
+@pytest.mark.parametrize("hot", [overlap.HOT, 3])
+def test_overlap_of_many_ranges(spark, hot):
+    """Intervals of lengths from nothing to all of time, touching ones, negative times, null keys, repeated rows."""
+    rng = random.Random(6)
+    make = lambda n, side: [(rng.choice(["a", "a", "a", "b", None]), s := rng.randrange(-500, 500) * 8, s + rng.choice([0, 0, 1, 7, 8, 9, 64, 5000, 10**12]), f"{side}{i}") for i in range(n)]
+    left, right = make(150, "l"), make(90, "r")
+    left += left[:5] + [("a", None, 5, "no start"), ("a", 9, 2, "backwards"), ("a", -(10**15), 10**15, "all")]
+    right += [("b", -(10**15), 10**15, "every"), ("a", 8, 8, "touching")]
+    tables = [spark.createDataFrame(rows, f"k string, start bigint, end bigint, {n} string") for rows, n in ((left, "l"), (right, "r"))]
+    out = overlap.overlapping(*tables, ["k"], ["l"], ["r"], hot)
+    want = [(x[0], x[3], y[3]) for x in left for y in right if x[0] == y[0] and x[1] is not None and x[1] <= x[2] and x[1] <= y[2] and x[2] >= y[1]]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+    assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in ("Cartesian", "NestedLoop"))
+    empty = spark.createDataFrame([], tables[1].schema)
+    assert overlap.overlapping(tables[0], empty, ["k"], ["l"], ["r"]).count() == 0
+
+
 @pytest.mark.parametrize("rows", [None, 7])
 def test_call_trees(spark, tmp_path, rows):
     """Nested JSON of threads, one with a parent of many children, as values and as files."""

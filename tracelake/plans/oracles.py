@@ -149,6 +149,8 @@ SELECT CAST(step AS INTEGER) AS step, CAST(comm_idx AS INTEGER) AS comm_idx, arg
   arg_min(card, CAST(card AS VARCHAR)) FILTER (dur = s) AS slowest_card, s AS slowest_duration_us, round(s / f, 6) AS duration_ratio, n AS total_cards FROM six JOIN m USING (step, comm_idx) GROUP BY step, comm_idx, f, s, n""",
     "overlap_in_range": f"""WITH {SLICES}, r AS (SELECT * FROM ev WHERE ts <= epoch_us(TIMESTAMP '2024-01-11') AND ts + dur >= epoch_us(TIMESTAMP '2024-01-10'))
 SELECT pos, tid FROM r WHERE tid IN (SELECT tid FROM r WHERE name = 'error')""",
+    "overlap_many_ranges": f"""WITH {SLICES} SELECT r.tid, r.pos, count(*) AS n, min(e.pos) AS first, max(e.pos) AS last, sum(e.dur)::BIGINT AS dur
+FROM ev r JOIN ev e ON e.tid = r.tid AND e.ts <= r.ts + r.dur AND e.ts + e.dur >= r.ts WHERE r.name = 'purchase' AND e.name IN ('view', 'click') AND r.dur >= 0 AND e.dur >= 0 GROUP BY ALL""",
     "prev_kernel_asof": f"""WITH {SLICES}, j AS (SELECT t.pos, t.ts, t.tid, max((k.ts + k.dur, k.pos, k.name)) AS p FROM ev t LEFT JOIN ev k ON k.tid = t.tid AND k.ts < t.ts AND k.name IN ('click', 'view') WHERE t.name = 'purchase' GROUP BY ALL)
 SELECT pos, p[2] AS prev_pos, p[3] AS prev_name, coalesce(p[1], (SELECT min(ts) FROM ev WHERE ev.tid = j.tid)) AS window_start, ts AS window_end FROM j""",
     "sequence_zip_diff": f"""WITH {RANKS} SELECT comm_idx, abs(a.ts - b.ts) AS start_diff, abs(a.ts + a.dur - b.ts - b.dur) AS end_diff, abs(a.ts - b.ts) > 5000 OR abs(a.ts + a.dur - b.ts - b.dur) > 5000 AS apart, a.name = b.name AS same_name

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, time
-from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, tree
+from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, tree
 from ..sources import traces
 from . import adapters, analysis
 from .oracles import ORACLES
@@ -294,6 +294,16 @@ def overlap_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comm.in_range(rows, *day, ids=comm.in_range(rows, *day).where("name = 'error'")).select("pos", "tid")
 
 
+@query
+def overlap_many_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the views and clicks of its user that overlap it, whatever their lengths."""
+    end = (F.col("ts") + F.col("dur")).alias("end")
+    rows = adapters.slices(spark, sf_dir)
+    side = lambda names, pos: rows.where(F.col("name").isin(names)).select("tid", F.col("ts").alias("start"), end, F.col("pos").alias(pos), F.col("dur").alias(f"{pos}_dur"))
+    out = overlap.overlapping(side(["view", "click"], "other"), side(["purchase"], "pos"), ["tid"], ["other", "other_dur"], ["pos"])
+    return out.groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("first"), F.max("other").alias("last"), F.sum("other_dur").alias("dur"))
+
+
 @query
 def prev_kernel_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each purchase the earlier-begun click or view of the user that ends last, and the window up to it."""
