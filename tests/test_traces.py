@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake import cli, sinks
 from tracelake.functions import patterns, text, time
-from tracelake.operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, tree
+from tracelake.operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, states, tree
 from tracelake.plans import analysis
 from tracelake.sources import traces
 from tracelake.streaming import traces as streaming
@@ -148,6 +148,35 @@ def test_observed_counts(spark, tmp_path):
     assert {tuple(r) for r in analysis.observed(cpu, kernels).collect()} == {("cpu_op", 2, 2), ("kernel", 2, 2)}
 
 
+def test_counts_need_no_further_job(spark, tmp_path, capsys):
+    """Counted while the tables are written, and printed by the command."""
+    counts = analysis.Counts()
+    path = write(tmp_path / "t.json", TRACE)
+    out = analysis.analyse(spark, path, ["name"], counts=counts)
+    out.write.parquet(f"{tmp_path}/out")
+    known = {"events": len(TRACE), "linked operations": 2, "operations": 2, "kernels": 2, "groups": 2}
+    assert counts.rows() == known
+    cli.main(["analysis", path, "--output-dir", str(tmp_path / "cli"), "--output-format", "csv"], spark)
+    assert capsys.readouterr().out.strip().endswith(", ".join(f"{n} {k}" for k, n in known.items()))
+
+
+def test_states_merge_in_any_order(spark, tmp_path):
+    """Files in any order, one at a time or together, some again and changed; equal to a full run over the last versions."""
+    rng = random.Random(8)
+    schema = "file string, name string, k_name string, k_ts double, k_dur double, k_stream bigint, k_pos bigint"
+    make = lambda f: [(f, rng.choice(["a", "b", None]), rng.choice(["k", "l", "m"]), float(i), rng.choice([None, 1e9 + rng.random(), rng.random()]), 1, i) for i in range(30)]
+    files = {f"f{i}": make(f"f{i}") for i in range(6)} | {"alone": [("alone", "a", "only null", 1.0, None, 1, 1), ("alone", "a", "one", 1.0, 2.0, 1, 1)]}
+    for turn, groups in enumerate(([["f3"], ["f1", "f0"], ["alone", "f2"], ["f5", "f4"]], [["f5", "f4", "f3", "f2"], ["f0", "alone", "f1"]])):
+        path = f"{tmp_path}/s{turn}"
+        states.update(spark, path, spark.createDataFrame(make("f3") + make("f0"), schema), ["name"], 4)
+        for group in groups:
+            got = states.update(spark, path, spark.createDataFrame([r for f in group for r in files[f]], schema), ["name"], 4)
+        want = aggregate.kernel_statistics(spark.createDataFrame([r for f in files.values() for r in f], schema), ["name"])
+        key = lambda df: sorted(((str(r.name), r.k_name, r.n, tuple(r.first_seen)), (r.mean_dur, r.min_dur, r.max_dur, r.var_dur, r.sum_dur)) for r in df.collect())
+        for (a, x), (b, y) in zip(key(got), key(want), strict=True):
+            assert a == b and x == pytest.approx(y, rel=1e-6)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_threads_nest_as_by_self_join(spark, seed):
     rng = random.Random(seed)

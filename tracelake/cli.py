@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--aggregation", default="name")
         p.add_argument("--show", default="")
         p.add_argument("--coarse-call-stack", action="store_true")
-        p.add_argument("--large-files", action="store_true", help="parse events one by one: for files beyond a task's memory")
+        p.add_argument("--large-files", action="store_true", help="scan all files by ranges (large ones are in any case)")
         p.add_argument("--random-seed", type=int, default=42)
         for f in ("include-op", "exclude-op", "include-kernel", "exclude-kernel"):
             p.add_argument(f"--{f}")
@@ -75,6 +75,13 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def told(paths: list[str], counts: analysis.Counts) -> list[str]:
+    """Prints the counts of an analysis whose report is written."""
+    if paths:
+        print(", ".join(f"{n} {step}" for step, n in counts.rows().items()))
+    return paths
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     """Runs a command and returns the paths that it wrote."""
     args = parser().parse_args(argv)
@@ -86,12 +93,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or local_session()
     if args.command == "analysis":
         _, files = traces.labelled_files(spark, f"{args.file}:{args.label}", args.max_files, args.random_seed)
-        out = analysis.analyse(spark, files, fields, show, keep, args.coarse_call_stack, args.label, args.large_files)
-        return sinks.write(out, args.output_dir, sinks.base_name(fields, show, label=args.label), formats)
+        counts = analysis.Counts()
+        out = analysis.analyse(spark, files, fields, show, keep, args.coarse_call_stack, args.label, args.large_files, counts)
+        return told(sinks.write(out, args.output_dir, sinks.base_name(fields, show, label=args.label), formats), counts)
     if args.command == "compare":
         sets = dict(traces.labelled_files(spark, spec, args.max_files_per_label, args.random_seed) for spec in args.files)
-        out = analysis.compare_sets(spark, sets, fields, show, options(args.compare, analysis.COMPARED), keep, args.coarse_call_stack, args.large_files)
-        return sinks.write(out, args.output_dir, sinks.base_name(fields, show, list(sets), vars(keep)), formats)
+        counts = analysis.Counts()
+        out = analysis.compare_sets(spark, sets, fields, show, options(args.compare, analysis.COMPARED), keep, args.coarse_call_stack, args.large_files, counts)
+        return told(sinks.write(out, args.output_dir, sinks.base_name(fields, show, list(sets), vars(keep)), formats), counts)
     if args.command == "comm":
         raw, statistics = analysis.collectives(spark, args.pod_dir, args.kernel_prefix, args.step)
         flat = [f for f in formats if f == "xlsx"]  # a workbook has no partitions

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_stack, phase, stack_text, strip_kernel_suffix, two_decimals
@@ -29,6 +29,22 @@ class Filters:
     exclude_kernel: Sequence[str] = ()
 
 
+class Counts:
+    """Rows at the steps of an analysis, counted while the steps' tables are written: no job of their own."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[str, Observation]] = []
+
+    def __call__(self, df: DataFrame, step: str) -> DataFrame:
+        seen = Observation()
+        self.seen.append((step, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> dict[str, int]:
+        """The counts by step, once the report is written."""
+        return {step: seen.get["rows"] for step, seen in self.seen}
+
+
 def enriched(events: DataFrame) -> DataFrame:
     """Events with readable and normalised times, call stacks and phases.
 
@@ -45,16 +61,18 @@ def enriched(events: DataFrame) -> DataFrame:
     return timed.join(done, ["file", "pos"], "left").fillna("none", ["fwd_bwd_type"])
 
 
-def prepared(events: DataFrame, filters: Filters = Filters(), coarse: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def prepared(events: DataFrame, filters: Filters = Filters(), coarse: bool = False, counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(operations, kernels) that launched one another, filtered, with representatives alone and op_index."""
-    rows = saved(enriched(events), "enriched")
+    counted = counts or (lambda df, step: df)
+    rows = saved(counted(enriched(events), "events"), "enriched")
     cpu, kernels = (rows.where((F.col("cat") == c) & F.col("ext_id").isNotNull()).withColumn("name", strip_kernel_suffix(F.col("name"))) for c in ("cpu_op", "kernel"))
     cpu, kernels = correlate.common_ids(cpu, kernels)
-    cpu = saved(correlate.with_op_index(saved(cpu, "linked")), "operations").withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
+    cpu = saved(correlate.with_op_index(saved(counted(cpu, "linked operations"), "linked")), "operations").withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
     cpu = correlate.filter_names(cpu, filters.include_op, filters.exclude_op)
     kernels = correlate.filter_names(kernels, filters.include_kernel, filters.exclude_kernel)
     cpu, kernels = correlate.common_ids(cpu, kernels)
-    return saved(correlate.representative_operations(cpu, coarse), "operations"), saved(correlate.representative_kernels(kernels), "kernels")
+    cpu, kernels = counted(correlate.representative_operations(cpu, coarse), "operations"), counted(correlate.representative_kernels(kernels), "kernels")
+    return saved(cpu, "operations"), saved(kernels, "kernels")
 
 
 def grouped(cpu: DataFrame, kernels: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) -> DataFrame:
@@ -153,20 +171,21 @@ def comparison(rows: DataFrame, cpu: DataFrame, fields: Sequence[str], labels: S
     return wide.select(*(v.alias(k) for k, v in out.items()), *rest).orderBy(*fields)
 
 
-def analyse(spark: SparkSession, paths: Sequence[str] | str, fields: Sequence[str], show: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, label: str = "single_file", large: bool = False) -> DataFrame:  # noqa: B008
-    """Which operations cost the most kernel time, per group.  large: for files beyond a task's memory."""
+def analyse(spark: SparkSession, paths: Sequence[str] | str, fields: Sequence[str], show: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, label: str = "single_file", large: bool = False, counts: Counts | None = None) -> DataFrame:  # noqa: B008
+    """Which operations cost the most kernel time, per group.  large: all files by ranges, small ones too."""
     read = traces.read_large_traces if large else traces.read_traces
-    cpu, kernels = prepared(read(spark, paths, label), filters, coarse)
-    return report(grouped(cpu, kernels, fields, show), fields, show)
+    cpu, kernels = prepared(read(spark, paths, label), filters, coarse, counts)
+    out = report(grouped(cpu, kernels, fields, show), fields, show)
+    return counts(out, "groups") if counts else out
 
 
-def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Sequence[str], show: Sequence[str] = (), equal: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, large: bool = False) -> DataFrame:  # noqa: B008
+def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Sequence[str], show: Sequence[str] = (), equal: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, large: bool = False, counts: Counts | None = None) -> DataFrame:  # noqa: B008
     """How labelled sets of traces differ per group; equality and ratio are of the first two labels."""
     if len(sets) < 2:
         raise ValueError("a comparison takes two labels at least")
     read = traces.read_large_traces if large else traces.read_traces
     events = reduce(DataFrame.unionByName, (read(spark, files, label) for label, files in sets.items()))
-    cpu, kernels = prepared(events, filters, coarse)
+    cpu, kernels = prepared(events, filters, coarse, counts)
     rows = grouped(cpu, kernels, fields, show)
     cpu = cpu.withColumns({f"_{c}": F.when(~F.col(c).isin("", "[]"), F.col(c)) for c in ("dtype", "shape")})
     cpu = named_values(cpu, fields)
@@ -174,7 +193,8 @@ def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Se
         cpu = saved(aggregate.with_merged_stacks(cpu, ["label", *(f for f in fields if f != "call_stack")]), "merged")
     if "kernel_name" in equal:
         cpu = cpu.join(kernels.select("file", "ext_id", F.col("name").alias("_kernel_name")), ["file", "ext_id"], "left")
-    return comparison(rows, cpu, fields, list(sets), show, equal)
+    out = comparison(rows, cpu, fields, list(sets), show, equal)
+    return counts(out, "groups") if counts else out
 
 
 def observed(cpu: DataFrame, kernels: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, time
-from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, tree
+from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, states, tree
 from ..sources import traces
+from ..storage import scratch_dir
 from . import adapters, analysis
 from .oracles import ORACLES
 
@@ -63,6 +65,18 @@ def kernel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("name", "k_name", "n", mean.alias("mean_dur"), *(F.round(c, 2).alias(c) for c in ("min_dur", "max_dur")), F.round(F.sqrt("var_dur"), 3).alias("std_dur"))
 
 
+@query
+def kernel_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics per operation name and kernel, of files that arrive in three turns, two of them twice."""
+    cpu, kernels = _both(spark, sf_dir)
+    links = correlate.linked(cpu, kernels, ["name"])
+    path, year = f"{scratch_dir(spark)}/states-{uuid.uuid4().hex}", F.col("file").cast("int")
+    for turn in (year % 2 == 1, year < 1995, year >= 1994):
+        stats = states.update(spark, path, links.where(turn), ["name"])
+    mean = F.round(F.col("mean_dur") * F.col("n"), 2) / F.col("n")
+    return stats.select("name", "k_name", "n", mean.alias("mean_dur"), *(F.round(c, 2).alias(c) for c in ("min_dur", "max_dur")), F.round(F.sqrt("var_dur"), 3).alias("std_dur"))
+
+
 @query
 def kernel_share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each kernel per label."""
