@@ -177,6 +177,31 @@ def test_states_merge_in_any_order(spark, tmp_path):
             assert a == b and x == pytest.approx(y, rel=1e-6)
 
 
+@pytest.mark.parametrize("paths", [True, False])
+def test_sweeps_in_batches_of_any_size(paths):
+    """Without Spark: parents, depths and paths of random threads, with ties and equal ends, however rows are cut into batches."""
+    import pyarrow as pa
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        rows = sorted((rng.choice("abb"), rng.randrange(2), float(rng.randrange(30)), i, float(rng.choice([1, 2, 5, 20, 20, 60]))) for i in range(rng.randrange(1, 60)))
+        up = {}
+        for i, (thread, part, ts, pos, dur) in enumerate(rows):
+            found = [j for j in range(i) if rows[j][:2] == (thread, part) and rows[j][2] + rows[j][4] >= ts + dur]
+            up[pos] = rows[found[-1]][3] if found else None
+        path = lambda p: [*path(up[p]), p] if p is not None else []  # noqa: B023, E731
+        sweep, at = nesting.Sweep(["k", "_part"], paths), 0
+        while at < len(rows):
+            batch = rows[at : at + rng.randrange(1, 9)]
+            at += len(batch)
+            k, part, ts, pos, dur = zip(*batch, strict=True)
+            columns = [pa.array(k), pa.array(part), pa.array(pos), pa.array([f"n{p}" for p in pos]), pa.array([a + b for a, b in zip(ts, dur, strict=True)])]
+            got = sweep.feed(pa.RecordBatch.from_arrays(columns, ["k", "_part", "pos", "name", "_end"]))
+            assert got[0].to_pylist() == [up[p] for p in pos] and got[1].to_pylist() == [len(path(p)) - 1 for p in pos]
+            if paths:
+                assert got[2].to_pylist() == [[{"pos": q, "name": f"n{q}"} for q in path(p)] for p in pos]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_threads_nest_as_by_self_join(spark, seed):
     rng = random.Random(seed)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from .ordering import chunked, edges
 
 THREAD = ("file", "pid", "tid")
-_PATH = pa.list_(pa.struct([("pos", pa.int64()), ("name", pa.string())]))
 
 
 def cut(valid: DataFrame, keys: Sequence[str], rows_per_chunk: int | None = None) -> DataFrame:
@@ -31,13 +30,116 @@ def cut(valid: DataFrame, keys: Sequence[str], rows_per_chunk: int | None = None
     return parts.withColumn("_part", F.col("_chunk")).withColumn("_own", F.lit(True)).unionByName(later).drop("_chunk")
 
 
+def last_not_less(values: np.ndarray) -> np.ndarray:
+    """For each place the last one before it whose value is no smaller, -1 where there is none.
+
+    All places climb a tree of maxima at once, until a left neighbour is large enough, and go down in that to its last place.
+    """
+    n = len(values)
+    tree = [values]
+    while len(tree[-1]) > 1:
+        low = tree[-1] if len(tree[-1]) % 2 == 0 else np.append(tree[-1], -np.inf)
+        tree.append(np.maximum(low[::2], low[1::2]))
+    out = np.full(n, -1, np.int64)
+    row, node, hits = np.arange(n), np.arange(n), []
+    for level in range(len(tree)):
+        left = np.maximum(node - 1, 0)
+        hit = (node % 2 == 1) & (tree[level][left] >= values[row])
+        hits.append((row[hit], left[hit]))
+        row, node = row[~hit], node[~hit] // 2
+    row, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for level in range(len(tree) - 1, -1, -1):
+        row, node = np.append(row, hits[level][0]), np.append(node, hits[level][1])
+        if level:
+            right = np.minimum(2 * node + 1, len(tree[level - 1]) - 1)
+            node = np.where(tree[level - 1][right] >= values[row], right, 2 * node)
+    out[row] = node
+    return out
+
+
+def depths(parent: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """known where that isn't negative, else one more than the parent's, 0 without one; chains are halved in each turn."""
+    up = np.where(known >= 0, -1, parent)
+    out = np.where(known >= 0, known, (up >= 0).astype(np.int64))
+    while (live := np.flatnonzero(up >= 0)).size:
+        above = up[live]
+        out[live] += out[above]
+        up[live] = up[above]
+    return out
+
+
+class Sweep:
+    """The rows of threads in order of time, batch by batch; of the last thread the rows that are still open stay (with paths: and those above them)."""
+
+    def __init__(self, group: Sequence[str], paths: bool) -> None:
+        self.group, self.paths = group, paths
+        self.thread: tuple | None = None
+        self.keep(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()))
+
+    def keep(self, end: np.ndarray, pos: np.ndarray, depth: np.ndarray, parent: np.ndarray, name: pa.Array) -> None:
+        self.end, self.pos, self.depth, self.parent, self.name = end, pos, depth, parent, name
+
+    def feed(self, batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array | None]:
+        """(pos of the parent, depth, path) of each row of a batch."""
+        n = batch.num_rows
+        new = np.zeros(n, bool)
+        for k in self.group:
+            code = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        at = lambda i: tuple(batch.column(k)[i].as_py() for k in self.group)
+        if at(0) != self.thread:
+            self.keep(self.end[:0], self.pos[:0], self.depth[:0], self.parent[:0], self.name[:0])
+        self.thread, held = at(n - 1), len(self.end)
+        end = np.append(self.end, batch.column("_end").to_numpy())
+        pos = np.append(self.pos, batch.column("pos").to_numpy())
+        start = np.append(np.zeros(held, np.int64), np.maximum.accumulate(np.where(new, np.arange(n) + held, 0)))
+        parent = last_not_less(end)
+        parent[parent < start] = -1
+        parent[:held] = self.parent
+        depth = depths(parent, np.append(self.depth, np.full(n, -1)))
+        name = pa.concat_arrays([self.name, batch.column("name").cast(pa.string())]) if self.paths else self.name
+        path = self.path(parent, depth, pos, name, held) if self.paths else None
+        # what may be above later rows: of the last thread, rows that no later one outlasts
+        first = int(start[-1])
+        later = np.append(np.maximum.accumulate(end[first:][::-1])[::-1][1:], -np.inf)
+        open_ = first + np.flatnonzero(end[first:] > later)
+        stays = np.zeros(len(end), bool)
+        stays[open_] = True
+        up = parent[open_] if self.paths else open_[:0]
+        while len(up := up[up >= 0]):
+            up = np.unique(up[~stays[up]])
+            stays[up] = True
+            up = parent[up]
+        rows = np.flatnonzero(stays)
+        above = np.where(parent[rows] >= 0, (np.cumsum(stays) - 1)[parent[rows]], -1) if self.paths else np.full(len(rows), -1)
+        closed = np.ones(len(end), bool)
+        closed[open_] = False
+        self.keep(np.where(closed[rows], -np.inf, end[rows]), pos[rows], depth[rows], above, name.take(pa.array(rows)) if self.paths else name)
+        up = pa.array(pos[parent[held:]], pa.int64(), mask=parent[held:] < 0)
+        return up, pa.array(depth[held:], pa.int32()), path
+
+    def path(self, parent: np.ndarray, depth: np.ndarray, pos: np.ndarray, name: pa.Array, held: int) -> pa.Array:
+        """Of each row behind the held ones the rows above it, outermost first, and itself."""
+        row = np.arange(held, len(pos))
+        ends = np.cumsum(depth[row] + 1)
+        flat = np.empty(int(ends[-1]), np.int64)
+        place = ends - 1
+        while len(row):
+            flat[place] = row
+            row, place = parent[row], place - 1
+            live = row >= 0
+            row, place = row[live], place[live]
+        entries = pa.StructArray.from_arrays([pa.array(pos[flat], pa.int64()), name.take(pa.array(flat))], ["pos", "name"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), entries)
+
+
 def nest(events: DataFrame, keys: Sequence[str] = THREAD, rows_per_chunk: int | None = None, paths: bool = True) -> DataFrame:
     """Adds parent_pos and depth, and with paths path (array of pos and name, root first, the row last) and call_stack.
 
     The parent is the latest earlier row (by ts, pos) of the thread that ends no earlier than the row does.  Rows
     without a positive dur or without a thread have no place and are left out; ties of ts go by pos.
     A thread of any size is cut by time into chunks, which sweep on their own: a row that is still open when a later
-    chunk begins is also sent there.  A sweep holds the open rows alone.
+    chunk begins is also sent there.  A sweep takes a batch of rows at once and holds the open rows of those before.
     """
     valid = events.where("dur > 0")
     for k in keys:
@@ -47,40 +149,18 @@ def nest(events: DataFrame, keys: Sequence[str] = THREAD, rows_per_chunk: int |
     kept = [f for f in parts.schema.fields if f.name not in ("_part", "_own", "_end")]
     names = [f.name for f in kept]
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
-        ends: list[float] = []
-        open_rows: list[tuple[int, int, tuple]] = []  # pos, depth and path of the rows that ends are of
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep = Sweep(group, paths)
         for batch in batches:
-            threads = zip(*(batch.column(k).to_pylist() for k in group), strict=True)
-            named = batch.column("name").to_pylist() if paths else itertools.repeat(None, batch.num_rows)
-            parents, depths, found = [], [], []
-            for thread, end, pos, name, own in zip(threads, batch.column("_end").to_pylist(), batch.column("pos").to_pylist(), named, batch.column("_own").to_pylist(), strict=True):
-                if thread != last:
-                    last, ends, open_rows = thread, [], []
-                while ends and ends[-1] < end:
-                    ends.pop()
-                    open_rows.pop()
-                up, depth, path = open_rows[-1] if open_rows else (None, -1, ())
-                if paths:
-                    path = (*path, {"pos": pos, "name": name})
-                if ends and ends[-1] == end:
-                    ends.pop()
-                    open_rows.pop()
-                ends.append(end)
-                open_rows.append((pos, depth + 1, path))
-                if own:
-                    parents.append(up)
-                    depths.append(depth + 1)
-                    found.append(path)
-            if parents:
-                out = batch.filter(batch.column("_own")).select(names)
-                columns = [*out.columns, pa.array(parents, pa.int64()), pa.array(depths, pa.int32()), *([pa.array(found, _PATH)] if paths else [])]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "parent_pos", "depth", *(["path"] if paths else [])])
+            if not batch.num_rows:
+                continue
+            up, depth, path = sweep.feed(batch)
+            out = pa.RecordBatch.from_arrays([*batch.select(names).columns, up, depth, *([path] if paths else [])], [*names, "parent_pos", "depth", *(["path"] if paths else [])])
+            yield out.filter(batch.column("_own"))
 
     path = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("name", T.StringType())]))
     schema = T.StructType([*kept, T.StructField("parent_pos", T.LongType()), T.StructField("depth", T.IntegerType()), *([T.StructField("path", path)] if paths else [])])
-    swept = parts.repartition(*group).sortWithinPartitions(*group, "ts", "pos").mapInArrow(sweep, schema)
+    swept = parts.repartition(*group).sortWithinPartitions(*group, "ts", "pos").mapInArrow(run, schema)
     return swept.withColumn("call_stack", F.filter(F.transform("path", lambda p: p["name"]), lambda n: n != "ROOT")) if paths else swept
 
 

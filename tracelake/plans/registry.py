@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text, time
 from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, states, tree
 from ..sources import traces
-from ..storage import scratch_dir
+from ..storage import saved, scratch_dir
 from . import adapters, analysis
 from .oracles import ORACLES
 
@@ -204,7 +204,7 @@ def flow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flow_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacks after backward operations and what they enclose took their forward operation's."""
-    nested = nesting.nest(adapters.slices(spark, sf_dir)).withColumn("phase", F.lit("none"))
+    nested = saved(nesting.nest(adapters.slices(spark, sf_dir)).drop("args").withColumn("phase", F.lit("none")), "nested")  # read four times
     paired = flow.paired_operations(nested, flow.flow_pairs(_flows(spark, sf_dir)))
     return flow.propagate(nested, paired).select("pos", "phase", text.stack_text(F.col("call_stack")).alias("stack"))
 
