@@ -103,8 +103,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return told(sinks.write(out, args.output_dir, sinks.base_name(fields, show, list(sets), vars(keep)), formats), counts)
     if args.command == "comm":
         raw, statistics = analysis.collectives(spark, args.pod_dir, args.kernel_prefix, args.step)
-        flat = [f for f in formats if f == "xlsx"]  # a workbook has no partitions
-        paths = sinks.write(raw, args.output_dir, "communication_raw_data", [f for f in formats if f not in flat], partition="step") + sinks.write(raw, args.output_dir, "communication_raw_data", flat)
+        paths = sinks.write(raw, args.output_dir, "communication_raw_data", formats, partition="step")
         return paths + sinks.write(statistics, args.output_dir, "communication_statistics", formats)
     if args.command == "ranks":
         report, verdict = analysis.compared_ranks(spark, args.fast, args.slow, args.kernel_prefix)

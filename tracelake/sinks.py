@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from . import workbooks
+
 FORMATS = ("csv", "json", "parquet", "xlsx")
 #: Short words in the names of reports.
 SHORT = {"dtype": "dtype", "shape": "shape", "kernel_names": "kernel", "kernel_duration": "duration", "timestamp": "ts", "name": "name", "call_stack": "stack", "stream": "stream"}
 COUNTED = {"include_op": "inc_op", "exclude_op": "exc_op", "include_kernel": "inc_ker", "exclude_kernel": "exc_ker"}
-#: Rows of a sheet below its header.
-SHEET_ROWS = 1_048_575
 
 
 def base_name(fields: Sequence[str], show: Sequence[str], labels: Sequence[str] = (), filters: dict[str, Sequence[str]] | None = None, label: str | None = None) -> str:
@@ -29,16 +29,14 @@ def base_name(fields: Sequence[str], show: Sequence[str], labels: Sequence[str]
 def write(df: DataFrame, folder: str, name: str, formats: Sequence[str] = ("csv", "json"), partition: str | None = None) -> list[str]:
     """Writes df in each format below folder and returns the paths.
 
-    A sorted report keeps its order over the part files.  xlsx is for reports that fit one sheet: it goes through
-    pandas and needs openpyxl; a larger report raises ValueError.
+    A sorted report keeps its order over the part files.  xlsx gives a folder of workbooks, one a task (`workbooks`), with a
+    sheet for each value of partition.
     """
     out = []
     for f in formats:
         path = f"{folder.rstrip('/')}/{name}.{f}"
         if f == "xlsx":
-            if df.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
-                raise ValueError(f"the report has more than the {SHEET_ROWS} rows of a sheet; write csv or parquet")
-            df.toPandas().to_excel(path, index=False)
+            workbooks.write(df, path, partition)
         elif f in FORMATS:
             writer = df.write.mode("overwrite").format(f)
             writer = writer.option("header", True) if f == "csv" else writer
