@@ -177,6 +177,18 @@ def test_states_merge_in_any_order(spark, tmp_path):
             assert a == b and x == pytest.approx(y, rel=1e-6)
 
 
+def test_ranges_follow_the_tables_size(spark, tmp_path, monkeypatch):
+    """More ranges than the session's partitions where the tables are large; the same numbers."""
+    spark.range(20_000).selectExpr("id", "id * 7919 % 20011 as ts").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert 0 < ordering.bytes_read(table) == ordering.bytes_read(table.where("id > 3").select("ts")) and ordering.bytes_read(spark.range(3)) < 1 << 20
+    want = {r.id: r.n for r in ordering.numbered(table, [], ["ts"], "n").collect()}
+    monkeypatch.setattr(ordering, "RANGE_BYTES", ordering.bytes_read(table) // 20)
+    parts = ordering.chunked(table, [], "ts")
+    assert parts.select("_chunk").distinct().count() >= 19
+    assert {r.id: r.n for r in ordering.numbered(table, [], ["ts"], "n").collect()} == want
+
+
 @pytest.mark.parametrize("paths", [True, False])
 def test_sweeps_in_batches_of_any_size(paths):
     """Without Spark: parents, depths and paths of random threads, with ties and equal ends, however rows are cut into batches."""

@@ -19,6 +19,17 @@ from pyspark.sql import functions as F
 from ..storage import saved
 
 
+#: Bytes of the tables that are read (compressed) for one range.
+RANGE_BYTES = 64 << 20
+
+
+def bytes_read(df: DataFrame) -> int:
+    """The size of the tables that df is made of, by Spark's statistics of the plan's leaves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)  # larger: unknown
+
+
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equality of all keys, nulls included."""
     return reduce(lambda on, k: on & left[k].eqNullSafe(right[k]), keys, F.lit(True))
@@ -27,11 +38,15 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def chunked(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int | None = None) -> DataFrame:
     """df, stored in ranges of (keys, order), with the number of the range as _chunk.
 
-    Rows of equal keys and order are in one range.  The session's number of shuffle partitions holds, or as
-    many as give about rows_per_chunk.
+    Rows of equal keys and order are in one range.  There are as many ranges as give about rows_per_chunk; else the session's
+    number of shuffle partitions, or more, so that a range stays at about RANGE_BYTES of what is read, however large that is.
     """
     by = [*keys, order]
-    ranged = df.repartitionByRange(*by) if rows_per_chunk is None else df.repartitionByRange(max(1, -(-df.count() // rows_per_chunk)), *by)
+    if rows_per_chunk is not None:
+        ranged = df.repartitionByRange(max(1, -(-df.count() // rows_per_chunk)), *by)
+    else:
+        n = bytes_read(df) // RANGE_BYTES
+        ranged = df.repartitionByRange(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartitionByRange(*by)
     return saved(ranged.withColumn("_chunk", F.spark_partition_id()), "ranges")
 
 

@@ -168,3 +168,4 @@ u AS (SELECT file, operations, kernels FROM c JOIN k USING (file)) SELECT * FROM
 SELECT l_orderkey, min(place) AS first_place, max(place) AS last_place, CAST(sum(place) AS BIGINT) AS places FROM n GROUP BY l_orderkey""",
 }
 ORACLES["kernel_states"] = ORACLES["kernel_stats"]  # the same rows, by another way
+ORACLES["stream_nesting_parent"] = ORACLES["nesting_parent"]

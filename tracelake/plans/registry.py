@@ -12,6 +12,7 @@ from ..functions import text, time
 from ..operators import aggregate, comm, compare, correlate, flow, islands, nesting, nodes, ordering, overlap, states, tree
 from ..sources import traces
 from ..storage import saved, scratch_dir
+from ..streaming import calls
 from . import adapters, analysis
 from .oracles import ORACLES
 
@@ -178,6 +179,28 @@ def nesting_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.nest(adapters.slices(spark, sf_dir), paths=False).select("pos", "parent_pos")
 
 
+@query
+def stream_nesting_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nesting_parent of the events as a stream of five batches."""
+    rows = adapters.slices(spark, sf_dir).drop("args").withColumn("at", F.timestamp_micros("ts"))
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for k in range(4):
+        rows.where(F.pmod(F.xxhash64("pos"), F.lit(4)) == k).write.mode("append").parquet(f"{folder}/in")
+    # a row far ahead moves the watermark past the others
+    rows.limit(1).withColumn("tid", F.lit(-1).cast(rows.schema["tid"].dataType)).withColumn("dur", F.lit(1).cast("bigint")).withColumn("at", F.lit("9000-01-01").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    calls.state_store(spark)
+    try:
+        # every fourth of the rows comes in any order of time, so none may be late
+        found = calls.stream_nesting(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in"), "at", "100000 hours")
+        run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").where("tid >= 0").select("pos", "parent_pos")
+
+
 @query
 def call_stack_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.nest(adapters.slices(spark, sf_dir)).select("pos", "depth", text.stack_text(F.col("call_stack")).alias("stack"))
