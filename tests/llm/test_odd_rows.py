@@ -222,6 +222,18 @@ def test_each_notice_has_one_span_with_its_own_label(spark):
         assert [f.label for f in got[i].found] == [label] and got[i].score > 0.9
 
 
+def test_versions_and_relatives_are_told_apart(spark):
+    texts = {
+        "Licensed under the Apache License, Version 2.0.": ["apache-2.0"], "Licensed under the Apache License, Version 1.1.": ["apache-1.1"], "Licensed under the Apache License, Version 3.7.": [],
+        "It is licensed under the GNU Affero General Public License, version 3.": ["agpl"], "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "This work is licensed under the GNU General Public License, version 2.": [],
+        "// SPDX-License-Identifier: MIT": ["mit"], "# SPDX-License-Identifier: GPL-3.0-or-later": ["gpl"], "# SPDX-License-Identifier: AGPL-3.0": ["agpl"], "BSD 3-Clause License": ["bsd"], "BSD 4-Clause License": [], "Licensed under CC BY-NC 3.0.": [],
+    }
+    affero = next(t for label, t in license_scan.TEMPLATES if label == "agpl" and len(t) > 100)
+    texts[f"Some words. {affero} More words."] = ["agpl"]
+    got = {r.doc_id: [f.label for f in r.found or ()] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+
+
 def test_changed_notices(spark):
     mit = next(t for label, t in license_scan.TEMPLATES if t.startswith("Permission is hereby granted"))
     words = mit.split()

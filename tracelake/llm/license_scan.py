@@ -4,7 +4,9 @@ All rolling k-grams of words of each text are joined with the positions of the s
 templates (broadcast up to MOST_BROADCAST k-grams).  A match votes for the diagonal text position - template position;
 votes are counted per document, template and diagonal, neighbouring diagonals (insertions and deletions of a
 few words) are merged, and a merged span is verified by the words that its k-grams hold: they must cover enough
-both of the template and of the span.  Of overlapping spans the best stays.
+both of the template and of the span, and hold all numbers of the template, so that a notice of another version is none.  Of
+overlapping spans the best stays.  A span says that the words of a notice stand there: "not licensed under the MIT License"
+holds those of one.
 
 Beside the templates' labels there are base phrases, found wherever their words stand consecutively.
 
@@ -15,6 +17,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,7 @@ from .common import as_text, keyed, saved
 
 K, SLACK, COVER = 4, 3, 0.7
 MOST_BROADCAST = 200_000
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -61,6 +65,22 @@ TEMPLATES = [
     ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl", "Licensed under the GNU Affero General Public License, version 3."),
+    ("apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "BSD 3-Clause License"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-3.0"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
 
@@ -86,6 +106,12 @@ def template_table(spark, templates: list[tuple[str, str]], k: int) -> DataFrame
     return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
 
 
+def decisive_words(spark, templates: list[tuple[str, str]]) -> DataFrame:
+    """(template, decisive): the places of a template's numbers."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(_LOWER)) for _, text in templates]
+    return F.broadcast(spark.createDataFrame([(t, [i for i, w in enumerate(own) if w.isdigit()]) for t, own in enumerate(words)], "template int, decisive array<int>"))
+
+
 def tokenized(rows: DataFrame, phrases: dict[str, str], k: int) -> DataFrame:
     """(_rid, n_words, places array<struct<start, label>>, grams array<long>)."""
     wanted = [(label, _hashed(p)) for p, label in phrases.items()]
@@ -112,7 +138,7 @@ def tokenized(rows: DataFrame, phrases: dict[str, str], k: int) -> DataFrame:
     return rows.select("_rid", "text").mapInArrow(run, "_rid long, n_words long, places array<struct<start: long, label: string>>, grams array<long>")
 
 
-def spans(tokens: DataFrame, templates: DataFrame, k: int, slack: int, cover: float) -> DataFrame:
+def spans(tokens: DataFrame, templates: DataFrame, decisive: DataFrame, k: int, slack: int, cover: float) -> DataFrame:
     """Verified spans: (_rid, template, label, first_word, last_word, cover), the best of those that overlap.
 
     cover is the number of template words that matched k-grams hold in place, as a share of the words of the template or of the
@@ -126,11 +152,12 @@ def spans(tokens: DataFrame, templates: DataFrame, k: int, slack: int, cover: fl
     by_diagonal = Window.partitionBy("_rid", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= slack, 0).otherwise(1)
     run = F.sum("apart").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0))
-    words = F.size(F.array_distinct(F.flatten(F.transform("held", lambda p: F.sequence(p, p + (k - 1))))))
+    words = F.array_distinct(F.flatten(F.transform("held", lambda p: F.sequence(p, p + (k - 1)))))
     merged = diagonals.withColumn("apart", apart).withColumn("run", run).groupBy("_rid", "template", "label", "n_words", "run").agg(
         F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("held")
     )
-    share = (words / F.greatest(F.col("n_words"), F.col("last_word") - F.col("first_word") + 1)).alias("cover")
+    merged = merged.withColumn("words", words).join(decisive, "template").where(F.size(F.array_except("decisive", "words")) == 0)
+    share = (F.size("words") / F.greatest(F.col("n_words"), F.col("last_word") - F.col("first_word") + 1)).alias("cover")
     good = merged.select("_rid", "template", "label", "first_word", "last_word", share, "n_words").where(F.col("cover") >= cover)
     # spans that overlap, directly or by others, stand together: at most a few for each place of a text
     by_place = Window.partitionBy("_rid").orderBy("first_word", "template").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +176,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     """
     rows = keyed(as_text(docs), "text").drop("_row")
     tokens = tokenized(rows, phrases, k)
-    verified = spans(tokens, template_table(docs.sparkSession, templates, k), k, slack, cover)
+    verified = spans(tokens, template_table(docs.sparkSession, templates, k), decisive_words(docs.sparkSession, templates), k, slack, cover)
     found = verified.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "cover"))).alias("found"), F.max("cover").alias("best"))
     # the scan of the texts is cheap against storing their k-grams: it runs once for the votes and once for the rows
     base = tokenized(rows, phrases, k).select("_rid", "n_words", "places")
