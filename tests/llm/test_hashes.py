@@ -51,6 +51,10 @@ def test_equal_ranges_have_equal_hashes():
     assert (own == B.span_digest(data, starts + 603, ends + 603)).all() and (own != B.span_digest(data, starts, ends, seed=1)).all()
     raw = data.tobytes()
     assert len({raw[a:b] for a, b in zip(starts, ends, strict=True)}) == len(set(own.tolist()))
+    lanes, long = B.lane_prefix(data), ends - starts >= 8
+    segments = B.segment_digest(lanes, starts[long], ends[long])
+    assert (segments == B.segment_digest(lanes, starts[long] + 603, ends[long] + 603)).all()
+    assert len({raw[a:b] for a, b in zip(starts[long], ends[long], strict=True)}) == len(set(segments.tolist()))
     for length in (8, 13, 200):
         at = np.arange(600 - length)
         prefix = B.lane_prefix(data)

@@ -161,6 +161,18 @@ def window_digest(prefix: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     return out if length % 8 == 0 else out ^ mix(groups(starts + length % 8) + np.uint64(1))
 
 
+def segment_digest(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges [starts, ends) of 8 bytes at least, from `lane_prefix`: of their groups of 8 bytes, their last 8 bytes and their lengths."""
+    _, inverse = _power_tables(len(prefix))
+
+    def groups(starts: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        row, column = np.divmod(starts, 8)
+        return (prefix[row + n, column] - prefix[row, column]) * inverse[row]
+
+    length = ends - starts
+    return mix(groups(starts, length // 8) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mix(groups(ends - 8, 1) + np.uint64(1))
+
+
 def byte_grams(prefix: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k bytes from each place on."""
     n = max(len(prefix) - k, 0)

@@ -79,12 +79,12 @@ def anchored(rows: DataFrame, length: int, k: int) -> DataFrame:
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
                 prefix = B.prefix_hash(data)
-                grams = B.byte_grams(prefix, k)
+                grams, lanes = B.byte_grams(prefix, k), B.lane_prefix(data)
                 parts, sizes = [], np.zeros(len(offs), np.int64)
                 for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
                     if b - a >= length:
                         anchor, head, n = segments(prefix, a, b, grams, length, k)
-                        parts.append((anchor, B.span_digest(data, a + head, a + head + n + length - 1), head << 16 | n))
+                        parts.append((anchor, B.segment_digest(lanes, a + head, a + head + n + length - 1), head << 16 | n))
                         sizes[i + 1] = len(head)
                 if not parts:
                     continue
