@@ -599,3 +599,15 @@ def test_sums_of_times_beyond_bigint(spark, tmp_path):
     assert found == {"cpu_op": (6000, total), "kernel": (6000, total)}
     row = registry.queries()["trace_scan_ranges"](spark, str(tmp_path)).collect()
     assert [(r["n"], int(r["ts"])) for r in row] == [(12000, 2 * total)]
+
+
+def test_little_is_read_behind_a_range(tmp_path):
+    from tracelake.sources import large
+
+    path = tmp_path / "a.json"
+    path.write_text('{"traceEvents": [' + ",".join('{"name": "x", "cat": "c", "ts": %d}' % i for i in range(100_000)) + "]}")
+    read = []
+    with open(path, "rb") as f:
+        for got in large.growing(f, large.BEYOND, 1 << 20):
+            read.append(len(got))
+    assert sum(read) == path.stat().st_size and read[0] == large.BEYOND and read[1] == 2 * read[0] and max(read) <= 1 << 20

@@ -31,6 +31,8 @@ from ..storage import saved
 #: Bytes of a range, and of what is scanned at once inside one.
 RANGE, PIECE = 64 << 20, 4 << 20
 ROWS_AT_ONCE = 20_000
+#: Bytes that are first read behind a range, for the end of its last event.
+BEYOND = 16 << 10
 #: Bytes before a piece that stay in sight: those between a key and its value must fit.
 SIGHT = 4096
 _EVENTS_KEY = re.compile(rb'(?<!\\)"traceEvents"[ \t\r\n]*:[ \t\r\n]*\Z')
@@ -78,6 +80,13 @@ def pieces(f: IO[bytes], start: int, stop: int | None, piece: int) -> Iterator[b
         start += len(got)
 
 
+def growing(f: IO[bytes], piece: int, most: int) -> Iterator[bytes]:
+    """The bytes up to the end of the file, in pieces that double up to `most` bytes."""
+    while got := f.read(piece):
+        yield got
+        piece = min(2 * piece, most)
+
+
 class Scan:
     """The brackets and commas outside strings of a text that comes piece by piece, and how deep they stand."""
 
@@ -218,7 +227,7 @@ def events(uri: str, part: int, start: int, stop: int | None, in_string: bool, d
             yield from (row(*x) for x in found)
             yield from (("base", None, None, None, n, None) for n in bases)
         if scan.held is not None and stop is not None:
-            for got in pieces(f, stop, None, min(piece, 1 << 20)):
+            for got in growing(f, min(piece, BEYOND), min(piece, 1 << 20)):
                 found, _, done = scan.feed(got, owned=False)
                 yield from (row(*x) for x in found)
                 if done:
