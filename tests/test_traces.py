@@ -611,3 +611,18 @@ def test_little_is_read_behind_a_range(tmp_path):
         for got in large.growing(f, large.BEYOND, 1 << 20):
             read.append(len(got))
     assert sum(read) == path.stat().st_size and read[0] == large.BEYOND and read[1] == 2 * read[0] and max(read) <= 1 << 20
+
+
+def test_first_of_the_longest_kernels(spark, tmp_path):
+    """Of kernels of equal dur the one that stands first in the table, as the SQL's arg_max does with one thread."""
+    import duckdb
+
+    from tracelake.plans import registry
+
+    items = "hash(i) % 500 AS l_orderkey, i AS l_partkey, hash(i, 1) % 90 AS l_suppkey, i % 7 AS l_linenumber, 1.0::DOUBLE AS l_quantity, (i % 3)::DOUBLE AS l_extendedprice, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '2020-01-01' AS l_shipdate"
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE TABLE lineitem AS SELECT * REPLACE (l_orderkey::BIGINT AS l_orderkey, l_suppkey::BIGINT AS l_suppkey) FROM (SELECT {items} FROM range(5000) r(i))")
+    c.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    wanted = sorted(c.execute(registry.oracle_sql()["representative_kernel"]).fetchall())
+    assert sorted(map(tuple, registry.queries()["representative_kernel"](spark, str(tmp_path)).collect())) == wanted

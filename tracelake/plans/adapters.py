@@ -32,10 +32,9 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernels(spark: SparkSession, sf_dir: str, operations: DataFrame | None = None) -> DataFrame:
-    """Line items as kernels; with operations each is in the file of its operation."""
-    item = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    """Line items as kernels; with operations each is in the file of its operation.  pos is an item's place in its file of the table."""
     out = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("ext_id"), F.xxhash64(*item).alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit("kernel").alias("cat"),
+        F.col("l_orderkey").alias("ext_id"), F.col("_metadata.row_index").alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit("kernel").alias("cat"),
         F.unix_micros("l_shipdate").cast("double").alias("ts"), F.col("l_extendedprice").alias("dur"), F.col("l_suppkey").alias("stream_id"),
     )
     if operations is None:
