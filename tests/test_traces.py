@@ -626,3 +626,17 @@ def test_first_of_the_longest_kernels(spark, tmp_path):
     c.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     wanted = sorted(c.execute(registry.oracle_sql()["representative_kernel"]).fetchall())
     assert sorted(map(tuple, registry.queries()["representative_kernel"](spark, str(tmp_path)).collect())) == wanted
+
+
+def test_links_of_states_are_joined_once(spark, tmp_path, monkeypatch):
+    """The three turns read stored links: the tables are read for one join alone."""
+    from tracelake.plans import adapters, registry
+
+    seen, update = [], states.update
+    monkeypatch.setattr(states, "update", lambda s, p, links, *more: (seen.append(links), update(s, p, links, *more))[1])
+    registry.queries()["kernel_states"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
+    cpu = adapters.operations(spark, "/root/testdata/sf0.001")
+    both = correlate.linked(cpu, adapters.kernels(spark, "/root/testdata/sf0.001", cpu), ["name"])
+    once = correlate.linked(cpu, adapters.kernels(spark, "/root/testdata/sf0.001"), ["name"], ["ext_id"])
+    assert once.select(both.columns).exceptAll(both).isEmpty() and both.exceptAll(once.select(both.columns)).isEmpty()

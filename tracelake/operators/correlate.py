@@ -86,8 +86,11 @@ def with_op_index(cpu: DataFrame) -> DataFrame:
     return numbered(cpu, ["file"], ["ts", "pos"], "op_index")
 
 
-def linked(cpu: DataFrame, kernels: DataFrame, carry: Sequence[str]) -> DataFrame:
-    """Each operation with each kernel of its id: the columns carry of cpu, and k_name, k_ts, k_dur, k_stream."""
+def linked(cpu: DataFrame, kernels: DataFrame, carry: Sequence[str], on: Sequence[str] = LINK) -> DataFrame:
+    """Each operation with each kernel of its id: the columns carry of cpu, and k_name, k_ts, k_dur, k_stream.
+
+    on: ["ext_id"] where ids are one's own over all files, so that kernels need no file.
+    """
     left = cpu.select(*LINK, *(c for c in carry if c not in LINK))
-    right = kernels.select(*LINK, F.col("name").alias("k_name"), F.col("ts").alias("k_ts"), F.col("dur").alias("k_dur"), F.col("stream_id").alias("k_stream"), F.col("pos").alias("k_pos"))
-    return left.join(right, LINK)
+    right = kernels.select(*on, F.col("name").alias("k_name"), F.col("ts").alias("k_ts"), F.col("dur").alias("k_dur"), F.col("stream_id").alias("k_stream"), F.col("pos").alias("k_pos"))
+    return left.join(right, list(on))
