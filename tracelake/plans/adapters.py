@@ -67,27 +67,29 @@ def trace_files(spark: SparkSession, sf_dir: str, gzip: bool = False) -> str:
 
     A file is an object with a base time and one event a line.  Every seventh line item has no dur.
     """
-    orders = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    items = table(spark, sf_dir, "lineitem").join(orders.select("month", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    event = lambda *columns: F.to_json(F.struct(*columns)).alias("value")
-    external = lambda c: F.col(c).alias("External id")
-    operations = orders.select(
-        "month", F.unix_micros("o_orderdate").alias("at"), F.lit(0).alias("kind"), F.col("o_orderkey").alias("key"), F.lit(0).alias("line"),
-        event(F.col("o_orderpriority").alias("name"), F.lit("cpu_op").alias("cat"), F.lit("X").alias("ph"), (F.col("o_custkey") % 8).alias("pid"), F.col("o_custkey").alias("tid"), F.unix_micros("o_orderdate").alias("ts"), F.lit(1).alias("dur"),
-              F.struct(external("o_orderkey"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderstatus")).alias("Input type"), F.array(F.col("o_custkey") % 5).alias("Input Dims")).alias("args")),
-    )
-    kernels = items.select(
-        "month", F.unix_micros("l_shipdate").alias("at"), F.lit(1).alias("kind"), F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"),
-        event(F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit("kernel").alias("cat"), F.lit("X").alias("ph"), F.lit(0).alias("pid"), F.lit(1).alias("tid"), F.unix_micros("l_shipdate").alias("ts"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice")).alias("dur"),
-              F.struct(external("l_orderkey"), F.col("l_suppkey").alias("stream")).alias("args")),
-    )
-    months = orders.select("month").distinct()
-    frame = lambda at, text: months.select("month", F.lit(at).cast("bigint").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("line"), F.lit(text).alias("value"))
+    month, names = F.date_format("o_orderdate", "yyyy-MM").alias("month"), ["month", "at", "kind", "key", "line", "name", "customer", "stream", "dur", "dtype"]
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    no = lambda kind: F.lit(None).cast(kind)
+    operations = orders.select(month, F.unix_micros("o_orderdate"), F.lit(0), "o_orderkey", F.lit(0), "o_orderpriority", "o_custkey", no("bigint"), no("double"), "o_orderstatus").toDF(*names)
+    # both tables grow, so they are joined by shuffle at every size
+    items = items.join(orders.select(month, F.col("o_orderkey").alias("l_orderkey")).hint("merge"), "l_orderkey")
+    kernels = items.select("month", F.unix_micros("l_shipdate"), F.lit(1), "l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus"), no("bigint"), "l_suppkey", "l_extendedprice", no("string")).toDF(*names)
     low, high = -(1 << 62), 1 << 62
+    frames = orders.select(month).distinct().select("month", F.explode(F.array(F.lit(low), F.lit(high))).alias("at"))
+    frames = frames.select("month", "at", F.lit(2), no("bigint"), F.lit(0), no("string"), no("bigint"), no("bigint"), no("double"), no("string")).toDF(*names)
+    # what is shuffled are the columns; lines are made of them behind it
+    rows = operations.unionAll(kernels).unionAll(frames).repartition("month").sortWithinPartitions("month", "at", "kind", "key", "line")
+    event = lambda *columns: F.concat(F.to_json(F.struct(*columns)), F.lit(","))
+    external, custkey = F.col("key").alias("External id"), F.col("customer")
+    operation = event(F.col("name"), F.lit("cpu_op").alias("cat"), F.lit("X").alias("ph"), (custkey % 8).alias("pid"), custkey.alias("tid"), F.col("at").alias("ts"), F.lit(1).alias("dur"),
+                      F.struct(external, F.when(custkey % 3 > 0, F.col("dtype")).alias("Input type"), F.array(custkey % 5).alias("Input Dims")).alias("args"))
+    kernel = event(F.col("name"), F.lit("kernel").alias("cat"), F.lit("X").alias("ph"), F.lit(0).alias("pid"), F.lit(1).alias("tid"), F.col("at").alias("ts"), F.when(F.col("line") < 7, F.col("dur")).alias("dur"),
+                   F.struct(external, "stream").alias("args"))
     # an event without a name closes the list, so that each line before it ends in a comma
-    lines = operations.unionAll(kernels).withColumn("value", F.concat("value", F.lit(","))).unionAll(frame(low, '{"baseTimeNanoseconds": 0, "traceEvents": [')).unionAll(frame(high, '{"ph": "M", "ts": 4e15}]}'))
+    frame = F.when(F.col("at") == low, F.lit('{"baseTimeNanoseconds": 0, "traceEvents": [')).otherwise(F.lit('{"ph": "M", "ts": 4e15}]}'))
+    lines = rows.select("month", F.when(F.col("kind") == 0, operation).when(F.col("kind") == 1, kernel).otherwise(frame).alias("value"))
     folder = f"{scratch_dir(spark)}/traces-{uuid.uuid4().hex}"
-    lines.repartition("month").sortWithinPartitions("month", "at", "kind", "key", "line").select("month", "value").write.partitionBy("month").option("compression", "gzip" if gzip else "none").text(folder)
+    lines.write.partitionBy("month").option("compression", "gzip" if gzip else "none").text(folder)
     return folder
 
 
