@@ -11,6 +11,8 @@ The session needs the RocksDB state store (`state_store`).
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.nesting import THREAD
 
+#: Rows that are put into the state at once.
+AT_ONCE = 10_000
 _OPEN = T.StructType([T.StructField("end", T.DoubleType()), T.StructField("pos", T.LongType()), T.StructField("depth", T.IntegerType())])
 _BEST = T.StructType([T.StructField("ph", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("ts", T.DoubleType()), T.StructField("seen", T.LongType())])
 
@@ -33,6 +37,9 @@ class Nesting(StatefulProcessor):
 
     def __init__(self, row: T.StructType) -> None:
         self.row = row
+        names = row.fieldNames()
+        self.us, self.ts, self.dur, self.pos = (names.index(f) for f in ("_us", "ts", "dur", "pos"))
+        self.out = Row(*(f for f in names if f != "_us"), "parent_pos", "depth")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -41,34 +48,36 @@ class Nesting(StatefulProcessor):
         self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        first = None
-        for r in rows:
-            self.waiting.appendValue(tuple(r[f] for f in self.row.fieldNames()))
-            first = r["_us"] if first is None else min(first, r["_us"])
+        first, own = None, None
+        while some := list(islice(rows, AT_ONCE)):
+            own = own or itemgetter(*(some[0].__fields__.index(f) for f in self.row.fieldNames()))
+            some = [own(r) for r in some]
+            self.waiting.appendList(some)  # each call is a turn to the state store and back
+            least = min(r[self.us] for r in some)
+            first = least if first is None else min(first, least)
         if first is not None:
             self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         self.timer.clear()
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [Row(*self.row.fieldNames())(*r) for r in self.waiting.get()]
-        done = sorted((r for r in rows if r["_us"] <= passed), key=lambda r: (r["ts"], r["pos"]))
-        left = [r for r in rows if r["_us"] > passed]
-        self.waiting.put([tuple(r) for r in left]) if left else self.waiting.clear()
+        passed, us, ts, dur, pos = timerValues.getCurrentWatermarkInMs() * 1000, self.us, self.ts, self.dur, self.pos
+        rows = [tuple(r) for r in self.waiting.get()]
+        done = sorted((r for r in rows if r[us] <= passed), key=lambda r: (r[ts], r[pos]))
+        left = [r for r in rows if r[us] > passed]
+        self.waiting.put(left) if left else self.waiting.clear()
         if left:
-            self._wake(min(r["_us"] for r in left))
+            self._wake(min(r[us] for r in left))
         stack = [tuple(x) for x in self.open.get()]
         for r in done:
-            end = float(r["ts"]) + float(r["dur"])
+            end = float(r[ts]) + float(r[dur])
             while stack and stack[-1][0] < end:
                 stack.pop()
             up, depth = (stack[-1][1], stack[-1][2] + 1) if stack else (None, 0)
             if stack and stack[-1][0] == end:
                 stack.pop()
-            stack.append((end, r["pos"], depth))
-            names = [f for f in self.row.fieldNames() if f != "_us"]
-            yield Row(**{f: r[f] for f in names}, parent_pos=up, depth=depth)
+            stack.append((end, r[pos], depth))
+            yield self.out(*r[:us], *r[us + 1 :], up, depth)
         self.open.put(stack) if stack else self.open.clear()
 
     def _wake(self, us: int) -> None:
