@@ -640,3 +640,14 @@ def test_links_of_states_are_joined_once(spark, tmp_path, monkeypatch):
     both = correlate.linked(cpu, adapters.kernels(spark, "/root/testdata/sf0.001", cpu), ["name"])
     once = correlate.linked(cpu, adapters.kernels(spark, "/root/testdata/sf0.001"), ["name"], ["ext_id"])
     assert once.select(both.columns).exceptAll(both).isEmpty() and both.exceptAll(once.select(both.columns)).isEmpty()
+
+
+def test_kernels_are_not_nested_for_an_analysis(spark, tmp_path, monkeypatch):
+    """Only threads that hold operations are nested; kernels of other threads have no stack to give or to take."""
+    seen, nest = [], analysis.nest
+    monkeypatch.setattr(analysis, "nest", lambda rows: (seen.append(rows), nest(rows))[1])
+    rows = [*TRACE, op("inside", 12, 3, 1, cat="kernel"), op("python", 11, 9, cat="python_function")]
+    cpu, kernels = analysis.prepared(traces.read_traces(spark, write(tmp_path / "t.json", rows), "x"))
+    assert {r.name for r in seen[0].collect()} == {"nn.Module: Net_0", "aten::mm", "aten::add", "aten::idle", "inside", "python"}
+    assert sorted(r.name for r in kernels.collect()) == ["mm_kernel", "triton_poi_fused_add"]
+    assert sorted((r.name, tuple(r.call_stack)) for r in cpu.collect()) == [("aten::add", ("Net_0",)), ("aten::mm", ("Net_0",))]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
 def flow_pairs(flows: DataFrame) -> DataFrame:
     """flows (file, flow_id, ph, ts, pos): fwd_ts and bwd_ts of each flow that has both, the last written of each kind."""
@@ -25,7 +27,8 @@ def paired_operations(nested: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The last cpu_op of a start counts; of several flows into one operation the last written does.
     """
-    at = nested.where("cat = 'cpu_op'").groupBy("file", "ts").agg(F.max(F.struct("pos", "call_stack")).alias("op"))
+    times = pairs.select("file", F.explode(F.array("fwd_ts", "bwd_ts")).alias("ts")).distinct()
+    at = nested.where("cat = 'cpu_op'").join(times, ["file", "ts"], "left_semi").groupBy("file", "ts").agg(F.max(F.struct("pos", "call_stack")).alias("op"))
     forward = at.select("file", F.col("ts").alias("fwd_ts"), F.col("op.call_stack").alias("fwd_stack")).where("size(fwd_stack) > 0")
     backward = at.select("file", F.col("ts").alias("bwd_ts"), F.col("op.pos").alias("pos"))
     found = pairs.join(forward, ["file", "fwd_ts"]).join(backward, ["file", "bwd_ts"])
@@ -35,7 +38,8 @@ def paired_operations(nested: DataFrame, pairs: DataFrame) -> DataFrame:
 def propagate(nested: DataFrame, paired: DataFrame) -> DataFrame:
     """Stack and phase of paired operations and of their descendants; the outermost paired operation wins."""
     above = nested.select("file", "pos", F.posexplode("path").alias("level", "up")).select("file", F.col("pos").alias("row_pos"), "level", F.col("up.pos").alias("pos"))
-    won = above.join(paired, ["file", "pos"]).groupBy("file", "row_pos").agg(F.min(F.struct("level", "fwd_stack"))["fwd_stack"].alias("fwd_stack"))
+    # stored, so that Spark knows how few they may be
+    won = saved(above.join(paired, ["file", "pos"]).groupBy("file", "row_pos").agg(F.min(F.struct("level", "fwd_stack"))["fwd_stack"].alias("fwd_stack")), "below")
     out = nested.join(won.withColumnRenamed("row_pos", "pos"), ["file", "pos"], "left")
     hit = F.col("fwd_stack").isNotNull()
     return out.withColumn("call_stack", F.coalesce("fwd_stack", "call_stack")).withColumn("phase", F.when(hit, "bwd").otherwise(F.col("phase"))).drop("fwd_stack")

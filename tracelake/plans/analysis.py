@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_stack, phase, stack_text, strip_kernel_suffix, two_decimals
 from ..functions.time import readable
 from ..operators import aggregate, comm, compare, correlate, flow
-from ..operators.nesting import nest
+from ..operators.nesting import THREAD, nest
 from ..sources import traces
 from ..storage import saved
 
@@ -45,33 +45,59 @@ class Counts:
         return {step: seen.get["rows"] for step, seen in self.seen}
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Stored events with readable times, and times that count from the file's first event."""
+    first = saved(events.groupBy("file").agg(F.min("ts").alias("_first")), "first")  # a row a file
+    return events.join(first, "file").withColumn("readable_timestamp", readable(F.col("base_ns"), F.col("ts"))).withColumn("ts", F.col("ts") - F.col("_first")).drop("_first")
+
+
+def _placed(timed: DataFrame) -> DataFrame:
+    """(file, pos, cat, call_stack, fwd_bwd_type) of the rows on threads that hold operations: no others have a stack or a phase."""
+    threads = timed.select("file", F.col("pid").try_cast("bigint").alias("pid"), F.col("tid").try_cast("bigint").alias("tid"), "pos", "name", "cat", "ts", "dur").where("dur > 0")
+    both = threads.groupBy(*THREAD).agg(F.bool_or(F.col("cat") == "cpu_op").alias("own"), F.bool_or(F.col("cat") != "cpu_op").alias("other"))
+    mixed = saved(both.where("own and other").select(*THREAD), "mixed")
+    rows = threads.where("cat = 'cpu_op'").unionAll(threads.where("cat <> 'cpu_op'").join(mixed, list(THREAD), "left_semi"))
+    placed = saved(nest(rows), "nested").select("file", "pos", "cat", "ts", "path", F.when(F.col("cat") == "cpu_op", F.col("call_stack")).alias("call_stack"))
+    placed = placed.withColumn("phase", F.when(F.col("cat") == "cpu_op", phase(F.col("call_stack"))).otherwise("none"))
+    flows = timed.where("cat = 'fwdbwd'").select("file", "pos", "ph", "ts", "flow_id")
+    paired = saved(flow.paired_operations(placed, saved(flow.flow_pairs(flows), "pairs")), "paired")
+    return flow.propagate(placed, paired).select("file", "pos", "cat", "call_stack", F.col("phase").alias("fwd_bwd_type"))
+
+
+def _enriched(timed: DataFrame, placed: DataFrame) -> DataFrame:
+    return timed.join(placed.drop("cat"), ["file", "pos"], "left").fillna("none", ["fwd_bwd_type"])
+
+
 def enriched(events: DataFrame) -> DataFrame:
     """Events with readable and normalised times, call stacks and phases.
 
     Times count from the file's first event.  Operations outside any thread or without dur have no stack.
     """
-    events = saved(events.drop("args"), "events")
-    first = events.groupBy("file").agg(F.min("ts").alias("_first"))
-    timed = events.join(first, "file").withColumn("readable_timestamp", readable(F.col("base_ns"), F.col("ts"))).withColumn("ts", F.col("ts") - F.col("_first")).drop("_first")
-    threads = timed.select("file", F.col("pid").try_cast("bigint").alias("pid"), F.col("tid").try_cast("bigint").alias("tid"), "pos", "name", "cat", "ts", "dur")
-    placed = saved(nest(threads), "nested").select("file", "pos", "cat", "ts", "path", F.when(F.col("cat") == "cpu_op", F.col("call_stack")).alias("call_stack"))
-    placed = placed.withColumn("phase", F.when(F.col("cat") == "cpu_op", phase(F.col("call_stack"))).otherwise("none"))
-    flows = timed.where("cat = 'fwdbwd'").select("file", "pos", "ph", "ts", "flow_id")
-    done = flow.propagate(placed, flow.paired_operations(placed, flow.flow_pairs(flows))).select("file", "pos", "call_stack", F.col("phase").alias("fwd_bwd_type"))
-    return timed.join(done, ["file", "pos"], "left").fillna("none", ["fwd_bwd_type"])
+    timed = _timed(saved(events.drop("args"), "events"))
+    placed = _placed(timed)
+    below = saved(placed.where("cat <> 'cpu_op' and fwd_bwd_type <> 'none'"), "below")  # of backward operations
+    return _enriched(timed.where("cat = 'cpu_op'"), placed.where("cat = 'cpu_op'")).unionByName(_enriched(timed.where("cat <> 'cpu_op'"), below))
 
 
 def prepared(events: DataFrame, filters: Filters = Filters(), coarse: bool = False, counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(operations, kernels) that launched one another, filtered, with representatives alone and op_index."""
+    """(operations, kernels) that launched one another, filtered, with representatives alone and op_index.
+
+    Kernels need neither stacks nor phases, so they are reduced to one an id before they meet the operations.
+    """
     counted = counts or (lambda df, step: df)
-    rows = saved(counted(enriched(events), "events"), "enriched")
-    cpu, kernels = (rows.where((F.col("cat") == c) & F.col("ext_id").isNotNull()).withColumn("name", strip_kernel_suffix(F.col("name"))) for c in ("cpu_op", "kernel"))
-    cpu, kernels = correlate.common_ids(cpu, kernels)
+    timed = _timed(saved(counted(events.drop("args"), "events"), "events"))
+    linking = timed.where("ext_id is not null").withColumn("name", strip_kernel_suffix(F.col("name")))
+    cpu = _enriched(linking.where("cat = 'cpu_op'"), _placed(timed).where("cat = 'cpu_op'"))
+    every = linking.where("cat = 'kernel'").select(*correlate.LINK, "label", "name", "cat", "ts", "dur", "pos", "stream_id")
+    kernels = saved(correlate.representative_kernels(correlate.filter_names(every, filters.include_kernel, filters.exclude_kernel)), "representatives")
+    some = bool(filters.include_kernel or filters.exclude_kernel)
+    cpu = cpu.join((every.select(correlate.LINK).distinct() if some else kernels).hint("merge"), correlate.LINK, "left_semi")
     cpu = saved(correlate.with_op_index(saved(counted(cpu, "linked operations"), "linked")), "operations").withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
     cpu = correlate.filter_names(cpu, filters.include_op, filters.exclude_op)
-    kernels = correlate.filter_names(kernels, filters.include_kernel, filters.exclude_kernel)
-    cpu, kernels = correlate.common_ids(cpu, kernels)
-    cpu, kernels = counted(correlate.representative_operations(cpu, coarse), "operations"), counted(correlate.representative_kernels(kernels), "kernels")
+    kernels = kernels.join(cpu.select(correlate.LINK).hint("merge"), correlate.LINK, "left_semi")
+    if some:
+        cpu = cpu.join(kernels.hint("merge"), correlate.LINK, "left_semi")
+    cpu, kernels = counted(correlate.representative_operations(cpu, coarse), "operations"), counted(kernels, "kernels")
     return saved(cpu, "operations"), saved(kernels, "kernels")
 
 

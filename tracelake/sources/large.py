@@ -307,6 +307,7 @@ def read_events(spark: SparkSession, files: list[tuple[str, int]], size: int = R
     marks = marks.withColumn("mine", F.coalesce(F.last("open", True).over(earlier), F.lit(False)))
     total = F.col("n_own") + F.when(F.col("mine"), F.col("n_first")).otherwise(0)
     marks = marks.withColumn("total", total).withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0))).select("file", "part", "mine", "base", "n_first")
+    marks = saved(marks, "range-marks")  # a row a range
     times = rows.where("kind = 'base'").groupBy("file").agg(F.max("n").alias("base_ns"))
     place = F.col("base") + F.col("at") + F.when(~F.col("first") & F.col("mine"), F.col("n_first")).otherwise(0)
     kept = rows.where("kind = 'event'").select("file", "part", "at", "first", "event").join(marks, ["file", "part"]).where("mine or not first")
