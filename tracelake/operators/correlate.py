@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..functions.text import normalize_stack, stack_text
+from ..storage import saved
 from .ordering import numbered
 
 LINK = ["file", "ext_id"]
@@ -64,21 +65,26 @@ def representative_operations(cpu: DataFrame, coarse: bool = False, strict: bool
     the next distinct text in binary order, so no pairs are formed.
     """
     group = [*LINK, "name"]
-    texts = cpu.withColumn("_s", stack_text(normalize_stack(F.col("call_stack"), coarse)))
-    facts = texts.groupBy(group).agg(
-        F.bool_or(F.length("_s") > 0).alias("_any"),
+    text = stack_text(normalize_stack(F.col("call_stack"), coarse))
+    facts = cpu.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.bool_or(F.length(text) > 0).alias("_any"),
         F.bool_or(F.col("call_stack").isNull()).alias("_null"),
         F.bool_or(F.col("call_stack").isNotNull()).alias("_full"),
     )
     if strict:
         message = F.lit("operations of one id and name with and without call stack")
         facts = facts.where(F.when(F.col("_null") & F.col("_full"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    # an operation that is alone stays; the others are few as a rule, which Spark knows once they are stored
+    several = saved(facts.where("_n > 1").select(*group, "_any"), "several")
+    texts = cpu.join(several, group).withColumn("_s", text)
     one = texts.where("_s <> ''").groupBy(*group, "_s").agg(F.min("pos").alias("pos"))
     after = F.lead("_s").over(W.partitionBy(group).orderBy("_s"))
     kept = one.withColumn("_next", after).where("_next is null or not startswith(_next, _s)").select("file", F.col("pos").alias("_pos"))
-    bare = texts.join(facts.where("not _any").select(group), group, "left_semi").select("file", F.col("pos").alias("_pos"))
-    chosen = kept.unionAll(bare).select(F.col("file").alias("_file"), "_pos")
-    return cpu.join(chosen, (cpu["file"] == chosen["_file"]) & (cpu["pos"] == chosen["_pos"]), "left_semi")
+    bare = texts.where("not _any").select("file", F.col("pos").alias("_pos"))
+    chosen = saved(kept.unionAll(bare).select(F.col("file").alias("_file"), "_pos"), "chosen")
+    among = cpu.join(several, group, "left_semi")
+    return cpu.join(several, group, "left_anti").unionAll(among.join(chosen, (cpu["file"] == chosen["_file"]) & (cpu["pos"] == chosen["_pos"]), "left_semi"))
 
 
 def with_op_index(cpu: DataFrame) -> DataFrame:
