@@ -154,6 +154,49 @@ def test_links_of_large_groups(spark, monkeypatch, turns, rows):
     assert got == sorted((tuple(r) for r in brute.op6(docs)), key=str)
 
 
+def test_near_duplicates_send_little(spark, monkeypatch):
+    """Texts without a part in common form no keys, and rows that bitmaps rule out go without their full sets."""
+    sent = {"keys": 0, "sets": 0}
+    per_unit, shared_buckets = minhash_dedup.per_unit, grouping.shared_buckets
+
+    def unit_rows(rows, *args):
+        sent["sets"] += rows.count() if "shingles" in rows.columns else 0
+        return per_unit(rows, *args)
+
+    def key_rows(buckets, name):
+        sent["keys"] += buckets.count()
+        return shared_buckets(buckets, name)
+
+    monkeypatch.setattr(grouping.linked, "__defaults__", (0,))  # whole buckets alone
+    monkeypatch.setattr(minhash_dedup, "per_unit", unit_rows)
+    monkeypatch.setattr(grouping, "shared_buckets", key_rows)
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(200))) for i in range(40)]  # nothing in common
+    docs += [(40 + i, " ".join([f"g{j}" for j in range(120)] + [f"h{i}w{j}" for j in range(80)])) for i in range(10)]  # 117 of 277 shingles in common
+    docs += [(50 + i, " ".join([f"c{j}" for j in range(200)] + [f"e{i}"])) for i in range(2)]  # linked
+    got = rows_of(minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=4), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted((tuple(r) for r in brute.op6(docs)), key=str)
+    assert 0 < sent["keys"] <= 12 * 100
+    assert 0 < sent["sets"] <= 2 * 100  # the ten that share parts can't link; the last two meet in at most 100 buckets
+
+
+@pytest.mark.parametrize("percent", [80, 30])
+def test_bitmaps_rule_out_no_link(percent):
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    own = []
+    for n in [1, 1, 2, 3, 8, 9, 63, 64, 65, 200, 250, 500, 1000, 1024, 1025, 3000]:
+        for share in (1, 0.95, 0.9, 0.85, 0.6, 0.2):
+            kept = rng.permutation(common[:n])[: max(1, int(n * share))]
+            own.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, n - len(kept), dtype=np.uint64)])))
+    n = np.array([len(x) for x in own])
+    may = minhash_dedup.may_link([np.frombuffer(minhash_dedup.bitmap(x), np.uint8) for x in own], n, percent)
+    both = np.array([[len(np.intersect1d(a, b)) for b in own] for a in own])
+    true = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    far = 100 * both < 0.7 * percent * (n[:, None] + n[None, :] - both)
+    assert not (true & ~may).any() and true.sum() > len(own)
+    assert (may & far & (n[:, None] > 60) & (n[None, :] > 60)).sum() <= 0.02 * far.sum()
+
+
 def test_measured_recall_of_tensored_bands(spark):
     """Of pairs at a similarity of just over 0.8, the share that a table of the default signatures joins."""
     rng = random.Random(6)

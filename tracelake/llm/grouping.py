@@ -73,7 +73,8 @@ def shared_buckets(buckets: DataFrame, name: str) -> DataFrame:
     """
     sets = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     keys = saved(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), f"{name}-buckets")
-    return saved(buckets.join(keys, "key").select("key", "node", "weight", F.col("node").alias("component")), f"{name}-open")
+    # joined by shuffle at every size, so that the work grows as the input does
+    return saved(buckets.join(keys.hint("merge"), "key").select("key", "node", "weight", F.col("node").alias("component")), f"{name}-open")
 
 
 def blocks_of(weight: str, most_weight: int, most_rows: int, only: str = "true") -> F.Column:

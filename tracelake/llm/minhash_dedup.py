@@ -5,6 +5,9 @@ pairs (first[i], second[j]).  A document thus pays for 2 * m * r minhashes inste
 as many independent tables would need.  Rows that share a table key are candidates and are verified exactly on
 the full shingle sets, bucket by bucket (`grouping`), so a reported link is always a true one.
 
+Keys are formed only of key parts that several documents hold, and full sets are sent into a whole bucket only for
+rows that bitmaps of the sets don't rule out: neither loses a candidate or a link.
+
 At the default m=10, r=3 a pair with similarity 0.8 is a candidate with probability
 (1 - (1 - 0.8**3)**10)**2 = 0.9985, one of 0.85 with 0.9998, one of 0.3 with 0.06; nothing below the threshold is
 linked.
@@ -80,17 +83,73 @@ def signatures(rows: DataFrame, k: int, m: int, r: int) -> DataFrame:
     return rows.select("_rid", "doc_id", "text").mapInArrow(sign, f"_rid long, doc_id {kind}, n_shingles long, digest binary, first array<long>, second array<long>")
 
 
+def bucket_rows(classes: DataFrame, m: int) -> DataFrame:
+    """(key, node, weight): the tables' keys of each class.
+
+    A pair meets in table (i, j) only if it shares first[i] and second[j], so keys are formed only of parts that another
+    class holds too: most classes hold few, and 2 * m rows of each are sent, not m * m.
+    """
+    parts = classes.select("node", "weight", F.posexplode(F.concat("first", "second")).alias("at", "part"))
+    often = saved(parts.groupBy("at", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "part"), "minhash-parts")
+    # parts grow with the corpus, so they are joined by shuffle at every size
+    own = parts.join(often.hint("merge"), ["at", "part"], "left_semi").groupBy("node").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("at", "part")).alias("parts"))
+    own = own.select("node", "weight", F.filter("parts", lambda p: p["at"] < m).alias("first"), F.filter("parts", lambda p: p["at"] >= m).alias("second"))
+    held = saved(own.where((F.size("first") > 0) & (F.size("second") > 0)), "minhash-held")
+    pairs = held.select("node", "weight", F.explode("first").alias("a"), "second").select("node", "weight", "a", F.explode("second").alias("b"))
+    return pairs.select(F.xxhash64("a.at", F.col("b.at") - m, "a.part", "b.part").alias("key"), "node", "weight")
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """Four to eight bits a shingle, of which each shingle sets one; a half laid on the other is the bitmap of half the size."""
+    size = 8
+    while size < 4 * len(own):
+        size *= 2
+    out = np.zeros(size, np.uint8)
+    out[B.mix(own) & np.uint64(size - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(bits: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each two sets of n shingles can be alike enough, by their bitmaps.
+
+    A bit that only one of two bitmaps holds stands for at least one shingle that the other set lacks, so no true link is ruled out.
+    """
+    size = np.array([len(x) for x in bits])
+    out = np.zeros((len(n), len(n)), bool)
+    for s in np.unique(size):
+        at = np.flatnonzero((size >= s) & (percent * size <= 200 * s))  # others differ too much in n
+        same = size[at] == s
+        rows = []
+        for i in at:
+            x = bits[i]
+            while len(x) > s:
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            rows.append(x)
+        held = np.stack(rows)
+        both = np.zeros((len(at), len(at)), np.int64)
+        for c in range(0, int(s), 256):
+            dense = np.unpackbits(held[:, c : c + 256], axis=1).astype(np.float32)
+            both += (dense @ dense.T).astype(np.int64)
+        left = n[at] - both.diagonal()
+        most = both + np.minimum(left[:, None], left[None, :])
+        out[np.ix_(at, at)] |= (100 * most >= percent * (n[at][:, None] + n[at][None, :] - most)) & (same[:, None] | same[None, :])
+    return out
+
+
 def shingle_table(nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the sets of the nodes as bytes, stored."""
+    """(node, n, bits, shingles): the sets of the nodes as bytes with their sizes and bitmaps, stored."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in B.text_blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in shingle_sets(data, offs, k)], pa.binary())], ["node", "shingles"])
+                own = shingle_sets(data, offs, k)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array([len(s) for s in own], pa.int64()), pa.array([bitmap(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "n", "bits", "shingles"]
+                )
 
     # candidates grow with the corpus, so they are joined by shuffle at every size
     texts = rows.select(F.col("_rid").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
-    return saved(texts.mapInArrow(sets, "node long, shingles binary"), "sets")
+    return saved(texts.mapInArrow(sets, "node long, n long, bits binary, shingles binary"), "sets")
 
 
 def held_sets(table: pa.Table) -> list[np.ndarray]:
@@ -147,10 +206,21 @@ def links_between(units: DataFrame, sets: DataFrame, percent: int, whole: bool)
         link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (component[:, None] != component[None, :])
         return edges({(int(component[a]), int(component[b])) for a, b in forest(link)} - {(int(c), int(c)) for c in component})
 
-    ready = units.join(sets.hint("merge"), "node")
+    def doubtful(table: pa.Table) -> pa.RecordBatch | None:
+        component = table.column("component").to_numpy()
+        if (component == component[0]).all():
+            return None
+        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits").combine_chunks()]
+        link = may_link(bits, table.column("n").to_numpy(), percent) & (component[:, None] != component[None, :])
+        at = np.flatnonzero(link.any(1))
+        return table.select(["node", "component", "unit", "block", "other"]).take(at).combine_chunks().to_batches()[0] if len(at) else None
+
+    full = sets.select("node", "shingles").hint("merge")
     if whole:
-        return per_unit(ready, among, "a long, b long", ("unit", "block", "other"))
-    return per_unit(ready, beside, "a long, b long", ("unit", "block"))
+        slim = units.join(sets.select("node", "n", "bits").hint("merge"), "node")
+        left = saved(per_unit(slim, doubtful, "node long, component long, unit long, block int, other int", ("unit", "block", "other")), "doubtful")
+        return per_unit(left.join(full, "node"), among, "a long, b long", ("unit", "block", "other"))
+    return per_unit(units.join(full, "node"), beside, "a long, b long", ("unit", "block"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
@@ -170,8 +240,7 @@ def _near_duplicates(rows: DataFrame, k: int, percent: int, m: int, r: int) -> D
     classes = saved(
         signed.where("n_shingles > 0").groupBy("digest").agg(F.min("_rid").alias("node"), F.first("n_shingles").alias("weight"), F.first("first").alias("first"), F.first("second").alias("second")), "classes"
     )
-    buckets = classes.select("node", "weight", F.posexplode("first").alias("i", "u"), "second").select("node", "weight", "i", "u", F.posexplode("second").alias("j", "v")).select(F.xxhash64("i", "j", "u", "v").alias("key"), "node", "weight")
-    found = linked(buckets, lambda nodes: shingle_table(nodes, rows, k), lambda units, sets, whole: links_between(units, sets, percent, whole), "minhash", STAR, BLOCK)
+    found = linked(bucket_rows(classes, m), lambda nodes: shingle_table(nodes, rows, k), lambda units, sets, whole: links_between(units, sets, percent, whole), "minhash", STAR, BLOCK)
     named = saved(classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "named")
     out = signed.join(named, "digest", "left").select("_rid", "doc_id", "n_shingles", F.coalesce("component", "_rid").alias("component"))
     labelled = saved(out, "labelled")
