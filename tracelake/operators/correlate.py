@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,8 +53,13 @@ def _passing(df: DataFrame, include: Sequence[str], exclude: Sequence[str]) -> D
 def representative_kernels(kernels: DataFrame) -> DataFrame:
     """One kernel per id: the longest (no dur counts as 0), the first by pos on ties.  Combined before the shuffle."""
     rest = [c for c in kernels.columns if c not in LINK]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("dur", F.lit(0.0)), -F.col("pos")))
-    return kernels.groupBy(LINK).agg(best.alias("k")).select(*LINK, *(F.col(f"k.{c}").alias(c) for c in rest))
+    return best_kernels(kernels, rest).select(*LINK, *(F.col(f"k.{c}").alias(c) for c in rest))
+
+
+def best_kernels(kernels: DataFrame, columns: Sequence[str], chosen: Column | None = None, by: Sequence[str] = LINK) -> DataFrame:
+    """(by, k) of each id that has kernels: k holds columns of the representative of those that are chosen, null if none is."""
+    row, order = F.struct(*columns), F.struct(F.coalesce("dur", F.lit(0.0)), -F.col("pos"))
+    return kernels.groupBy(*by).agg((F.max_by(row, order) if chosen is None else F.max_by(F.when(chosen, row), F.when(chosen, order))).alias("k"))
 
 
 def representative_operations(cpu: DataFrame, coarse: bool = False, strict: bool = False) -> DataFrame:

@@ -144,8 +144,18 @@ def nest(events: DataFrame, keys: Sequence[str] = THREAD, rows_per_chunk: int |
     valid = events.where("dur > 0")
     for k in keys:
         valid = valid.where(F.col(k).isNotNull())
-    parts = cut(valid, keys, rows_per_chunk)
-    group = [*keys, "_part"]
+    return _swept(cut(valid, keys, rows_per_chunk), [*keys, "_part"], paths)
+
+
+def nest_small(events: DataFrame, keys: Sequence[str] = THREAD, paths: bool = True) -> DataFrame:
+    """`nest` of threads that one task can sort: they are dealt out whole, in one shuffle, and not stored before."""
+    valid = events.where("dur > 0")
+    for k in keys:
+        valid = valid.where(F.col(k).isNotNull())
+    return _swept(valid.withColumn("_end", (F.col("ts") + F.col("dur")).cast("double")).withColumn("_own", F.lit(True)), list(keys), paths)
+
+
+def _swept(parts: DataFrame, group: list[str], paths: bool) -> DataFrame:
     kept = [f for f in parts.schema.fields if f.name not in ("_part", "_own", "_end")]
     names = [f.name for f in kept]
 

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions.text import normalize_stack, phase, stack_text, strip_kernel_suffix, two_decimals
 from ..functions.time import readable
 from ..operators import aggregate, comm, compare, correlate, flow
-from ..operators.nesting import THREAD, nest
+from ..operators.nesting import THREAD, nest, nest_small
 from ..sources import traces
 from ..storage import saved
 
@@ -45,27 +47,80 @@ class Counts:
         return {step: seen.get["rows"] for step, seen in self.seen}
 
 
-def _timed(events: DataFrame) -> DataFrame:
-    """Stored events with readable times, and times that count from the file's first event."""
-    first = saved(events.groupBy("file").agg(F.min("ts").alias("_first")), "first")  # a row a file
-    return events.join(first, "file").withColumn("readable_timestamp", readable(F.col("base_ns"), F.col("ts"))).withColumn("ts", F.col("ts") - F.col("_first")).drop("_first")
+#: What `prepared` keeps of events: not the entries that collectives alone have.
+_KEPT = ("file", "label", "base_ns", "pos", "name", "cat", "ph", "pid", "tid", "ts", "dur", "flow_id", "stream_id", "ext_id", "dtype", "shape")
+#: The columns of an operation's kernel, and their names beside the operation's.
+_KERNEL = {"name": "k_name", "ts": "k_ts", "dur": "k_dur", "stream_id": "k_stream", "pos": "k_pos"}
+#: Ids spread rows further than files do, so they come first where rows are sorted.
+_BY_ID = ["ext_id", "file"]
+#: Threads of a file go into BUCKETS; those of a bucket of up to SMALL operations are nested without being cut.
+BUCKETS, SMALL = 64, 1_000_000
 
 
-def _placed(timed: DataFrame) -> DataFrame:
-    """(file, pos, cat, call_stack, fwd_bwd_type) of the rows on threads that hold operations: no others have a stack or a phase."""
-    threads = timed.select("file", F.col("pid").try_cast("bigint").alias("pid"), F.col("tid").try_cast("bigint").alias("tid"), "pos", "name", "cat", "ts", "dur").where("dur > 0")
-    both = threads.groupBy(*THREAD).agg(F.bool_or(F.col("cat") == "cpu_op").alias("own"), F.bool_or(F.col("cat") != "cpu_op").alias("other"))
-    mixed = saved(both.where("own and other").select(*THREAD), "mixed")
-    rows = threads.where("cat = 'cpu_op'").unionAll(threads.where("cat <> 'cpu_op'").join(mixed, list(THREAD), "left_semi"))
-    placed = saved(nest(rows), "nested").select("file", "pos", "cat", "ts", "path", F.when(F.col("cat") == "cpu_op", F.col("call_stack")).alias("call_stack"))
+def _timed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events, files, others, buckets) of stored events.
+
+    Events have times that count from their file's first event, readable ones, and as file its number in the order of names,
+    which is shorter; files hold the names.  others are the threads that hold more than operations, buckets (file, bucket) those
+    with too many operations to be small.
+    """
+    placed, cpu = F.coalesce(F.col("dur") > 0, F.lit(False)), F.col("cat") == "cpu_op"
+    keys = {"bucket": F.when(placed & cpu, _bucket())} | {c: F.when(placed & ~cpu, F.col(c).try_cast("bigint")) for c in ("pid", "tid")}
+    found = events.groupBy("file", *(v.alias(k) for k, v in keys.items())).agg(F.min("ts").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    found = saved(found, "found")  # few rows: of all threads those alone that hold more than operations
+    files = found.groupBy("file").agg(F.min("_first").alias("_first"))
+    files = saved(files.withColumn("_file", F.row_number().over(W.orderBy("file"))), "first")  # a row a file
+    timed = events.join(files, "file").withColumn("readable_timestamp", readable(F.col("base_ns"), F.col("ts"))).withColumn("ts", F.col("ts") - F.col("_first"))
+    found = found.join(files.select("file", "_file"), "file").withColumn("file", F.col("_file"))
+    others = saved(found.where("pid is not null and tid is not null").select(*THREAD), "others")
+    large = found.where((F.col("_n") > SMALL) & F.col("bucket").isNotNull()).select("file", "bucket")
+    return timed.withColumn("file", F.col("_file")).drop("_first", "_file"), files.select(F.col("_file").alias("file"), F.col("file").alias("_name")), others, large
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(F.col("pid").try_cast("bigint"), F.col("tid").try_cast("bigint")), F.lit(BUCKETS))
+
+
+def _named(df: DataFrame, files: DataFrame) -> DataFrame:
+    """df with the names of its files instead of their numbers."""
+    return df.join(files, "file").withColumn("file", F.col("_name")).drop("_name")
+
+
+def _placed(timed: DataFrame, others: DataFrame, buckets: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows on threads that hold operations, with columns, call_stack and fwd_bwd_type: no others have a stack or a phase.
+
+    The pid and tid of columns are called _pid and _tid, since those of threads are numbers.
+    """
+    texts = {c: f"_{c}" for c in ("pid", "tid")}
+    needed = ("file", "pos", "name", "cat", "ts", "dur")
+    rest = [F.col(c).alias(texts.get(c, c)) for c in columns if c not in needed]
+    numbers = [F.col(c).try_cast("bigint").alias(c) for c in texts]
+    threads = timed.where("dur > 0").select(*needed, *numbers, *rest)
+    cpu, other = threads.where("cat = 'cpu_op'"), threads.where("cat <> 'cpu_op'")
+    # others are few as a rule, which Spark knows since they are stored
+    mixed = saved(cpu.select(*THREAD).join(others, list(THREAD), "left_semi").distinct(), "mixed")
+    rows = nest_small(cpu)
+    if not (buckets.isEmpty() and mixed.isEmpty()):
+        large = cpu.select(*THREAD, _bucket().alias("bucket")).join(buckets, ["file", "bucket"], "left_semi").select(*THREAD)
+        large = saved(large.unionByName(mixed).distinct(), "large")
+        by_time = nest(cpu.join(large, list(THREAD), "left_semi").unionAll(other.join(mixed, list(THREAD), "left_semi")))
+        rows = nest_small(cpu.join(large, list(THREAD), "left_anti")).unionByName(by_time)
+    placed = saved(rows.drop("call_stack", "parent_pos", "depth"), "nested")
+    stack = F.filter(F.transform("path", lambda p: p["name"]), lambda n: n != "ROOT")
+    placed = placed.withColumn("call_stack", F.when(F.col("cat") == "cpu_op", stack))
     placed = placed.withColumn("phase", F.when(F.col("cat") == "cpu_op", phase(F.col("call_stack"))).otherwise("none"))
     flows = timed.where("cat = 'fwdbwd'").select("file", "pos", "ph", "ts", "flow_id")
     paired = saved(flow.paired_operations(placed, saved(flow.flow_pairs(flows), "pairs")), "paired")
-    return flow.propagate(placed, paired).select("file", "pos", "cat", "call_stack", F.col("phase").alias("fwd_bwd_type"))
+    out = flow.propagate(placed, paired).withColumnRenamed("phase", "fwd_bwd_type")
+    return out.select(*(F.col(texts.get(c, c)).alias(c) for c in columns), "call_stack", "fwd_bwd_type")
 
 
-def _enriched(timed: DataFrame, placed: DataFrame) -> DataFrame:
-    return timed.join(placed.drop("cat"), ["file", "pos"], "left").fillna("none", ["fwd_bwd_type"])
+def _operations(timed: DataFrame, placed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All operations: those that have a place, and the others without stack."""
+    on_thread = (F.col("dur") > 0) & F.col("pid").try_cast("bigint").isNotNull() & F.col("tid").try_cast("bigint").isNotNull()
+    others = timed.where((F.col("cat") == "cpu_op") & ~F.coalesce(on_thread, F.lit(False)))
+    others = others.select(*columns, F.lit(None).cast("array<string>").alias("call_stack"), F.lit("none").alias("fwd_bwd_type"))
+    return placed.where("cat = 'cpu_op'").unionByName(others)
 
 
 def enriched(events: DataFrame) -> DataFrame:
@@ -73,44 +128,60 @@ def enriched(events: DataFrame) -> DataFrame:
 
     Times count from the file's first event.  Operations outside any thread or without dur have no stack.
     """
-    timed = _timed(saved(events.drop("args"), "events"))
-    placed = _placed(timed)
-    below = saved(placed.where("cat <> 'cpu_op' and fwd_bwd_type <> 'none'"), "below")  # of backward operations
-    return _enriched(timed.where("cat = 'cpu_op'"), placed.where("cat = 'cpu_op'")).unionByName(_enriched(timed.where("cat <> 'cpu_op'"), below))
+    timed, files, others, buckets = _timed(saved(events.drop("args"), "events"))
+    placed = _placed(timed, others, buckets, timed.columns)
+    below = saved(placed.where("cat <> 'cpu_op' and fwd_bwd_type <> 'none'").select("file", "pos", "call_stack", "fwd_bwd_type"), "below")  # of backward operations
+    rest = timed.where("cat <> 'cpu_op'").join(below, ["file", "pos"], "left").fillna("none", ["fwd_bwd_type"])
+    return _named(_operations(timed, placed, timed.columns).unionByName(rest), files)
 
 
 def prepared(events: DataFrame, filters: Filters = Filters(), coarse: bool = False, counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(operations, kernels) that launched one another, filtered, with representatives alone and op_index.
+    """(operations, kernels) that launched one another, filtered, with representatives alone and op_index."""
+    cpu, kernels, files = _prepared(events, filters, coarse, counts)
+    return _named(cpu.drop(*_KERNEL.values()), files), _named(kernels, files)
+
 
-    Kernels need neither stacks nor phases, so they are reduced to one an id before they meet the operations.
+def _prepared(events: DataFrame, filters: Filters, coarse: bool, counts: Counts | None, unread: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`prepared` with numbers as files, the columns of their kernel beside those of operations, and the files' names.
+
+    Kernels need neither stacks nor phases, so they are reduced to one an id before they meet the operations, which is where both are
+    stored: once.  unread: which of op_index and readable_timestamp needn't be made.
     """
     counted = counts or (lambda df, step: df)
-    timed = _timed(saved(counted(events.drop("args"), "events"), "events"))
-    linking = timed.where("ext_id is not null").withColumn("name", strip_kernel_suffix(F.col("name")))
-    cpu = _enriched(linking.where("cat = 'cpu_op'"), _placed(timed).where("cat = 'cpu_op'"))
-    every = linking.where("cat = 'kernel'").select(*correlate.LINK, "label", "name", "cat", "ts", "dur", "pos", "stream_id")
-    kernels = saved(correlate.representative_kernels(correlate.filter_names(every, filters.include_kernel, filters.exclude_kernel)), "representatives")
-    some = bool(filters.include_kernel or filters.exclude_kernel)
-    cpu = cpu.join((every.select(correlate.LINK).distinct() if some else kernels).hint("merge"), correlate.LINK, "left_semi")
-    cpu = saved(correlate.with_op_index(saved(counted(cpu, "linked operations"), "linked")), "operations").withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
-    cpu = correlate.filter_names(cpu, filters.include_op, filters.exclude_op)
-    kernels = kernels.join(cpu.select(correlate.LINK).hint("merge"), correlate.LINK, "left_semi")
-    if some:
-        cpu = cpu.join(kernels.hint("merge"), correlate.LINK, "left_semi")
-    cpu, kernels = counted(correlate.representative_operations(cpu, coarse), "operations"), counted(kernels, "kernels")
-    return saved(cpu, "operations"), saved(kernels, "kernels")
-
-
-def grouped(cpu: DataFrame, kernels: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) -> DataFrame:
-    """One row per label and group with the shown columns; totals and shares are per label."""
+    timed, files, others, buckets = _timed(saved(counted(events.select(*_KEPT), "events"), "events"))
+    columns = [c for c in ("file", "label", "pos", "name", "cat", "pid", "tid", "ts", "dur", "ext_id", "dtype", "shape", "readable_timestamp") if c not in unread]
+    name = strip_kernel_suffix(F.col("name"))
+    cpu = _operations(timed, _placed(timed, others, buckets, columns), columns).where("ext_id is not null").withColumn("name", name)
+    every = timed.where("cat = 'kernel' and ext_id is not null").select(*_BY_ID, name.alias("name"), "ts", "dur", "stream_id", "pos")
+    best = correlate.best_kernels(every, list(_KERNEL), patterns.chosen(F.col("name"), filters.include_kernel, filters.exclude_kernel), _BY_ID)
+    linked = counted(cpu.join(best.hint("merge"), _BY_ID), "linked operations")
+    # counted where rows of an id are together anyway
+    linked = linked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*_BY_ID, "name")))
+    cpu = saved(linked, "linked")
+    if "op_index" not in unread:
+        cpu = saved(correlate.with_op_index(cpu), "operations")
+    cpu = correlate.filter_names(cpu.where("k is not null"), filters.include_op, filters.exclude_op)
+    cpu = cpu.select("*", *(F.col(f"k.{c}").alias(x) for c, x in _KERNEL.items())).drop("k").withColumn("call_stack", F.when(F.col("call_stack").isNotNull(), normalize_stack(F.col("call_stack"), coarse)))
+    kernels = cpu.dropDuplicates(_BY_ID).select(*correlate.LINK, "label", F.lit("kernel").alias("cat"), *(F.col(x).alias(c) for c, x in _KERNEL.items()))
+    # an operation that is the only one of its id and name stays
+    several = saved(cpu.where("_n > 1"), "alike")
+    cpu = cpu.where("_n = 1").unionByName(correlate.representative_operations(several, coarse)).drop("_n")
+    if counts:
+        cpu, kernels = saved(counts(cpu, "operations"), "operations"), saved(counts(kernels, "kernels"), "kernels")
+    return cpu, kernels, files
+
+
+def grouped(cpu: DataFrame, fields: Sequence[str], show: Sequence[str] = ()) -> DataFrame:
+    """One row per label and group of operations (with their kernel's columns) with the shown columns; totals and shares are per label."""
     keys = ["label", *aggregate.checked_fields(fields)]
     cpu = named_values(cpu, fields)
     if "call_stack" in fields:
         cpu = saved(aggregate.with_merged_stacks(cpu, [k for k in keys if k != "call_stack"]), "merged")
     shown = ["name", "dtype", "shape", "pid", "tid", "fwd_bwd_type", "op_index", "call_stack", "ts", "readable_timestamp"]
-    groups = aggregate.first_rows(cpu, keys, shown)
-    links = saved(correlate.linked(cpu, kernels, keys), "links")
-    totals = aggregate.with_share(saved(aggregate.kernel_totals(aggregate.kernel_statistics(links, keys), keys), "totals"), ["label"])
+    groups = aggregate.first_rows(cpu, keys, [c for c in shown if c in ("name", "ts", *show) and c in cpu.columns])
+    links = cpu.select(*keys, *_KERNEL.values())
+    totals = aggregate.kernel_totals(aggregate.kernel_statistics(links, keys), keys)
+    totals = aggregate.with_share(totals if "kernel_names" in show else totals.drop("kernels"), ["label"])
     parts = [groups.alias("g"), totals.alias("t")]
     if "stream" in show:
         parts.append(aggregate.streams(links, keys).alias("s"))
@@ -197,11 +268,16 @@ def comparison(rows: DataFrame, cpu: DataFrame, fields: Sequence[str], labels: S
     return wide.select(*(v.alias(k) for k, v in out.items()), *rest).orderBy(*fields)
 
 
+def _unread(fields: Sequence[str], show: Sequence[str]) -> list[str]:
+    """The columns of operations that cost a step of their own and that a report neither groups by nor shows."""
+    return [c for c in ("op_index", "readable_timestamp") if c not in (*fields, *show)]
+
+
 def analyse(spark: SparkSession, paths: Sequence[str] | str, fields: Sequence[str], show: Sequence[str] = (), filters: Filters = Filters(), coarse: bool = False, label: str = "single_file", large: bool = False, counts: Counts | None = None) -> DataFrame:  # noqa: B008
     """Which operations cost the most kernel time, per group.  large: all files by ranges, small ones too."""
     read = traces.read_large_traces if large else traces.read_traces
-    cpu, kernels = prepared(read(spark, paths, label), filters, coarse, counts)
-    out = report(grouped(cpu, kernels, fields, show), fields, show)
+    cpu, _, _ = _prepared(read(spark, paths, label), filters, coarse, counts, _unread(fields, show))
+    out = report(grouped(cpu, fields, show), fields, show)
     return counts(out, "groups") if counts else out
 
 
@@ -211,14 +287,14 @@ def compare_sets(spark: SparkSession, sets: dict[str, Sequence[str]], fields: Se
         raise ValueError("a comparison takes two labels at least")
     read = traces.read_large_traces if large else traces.read_traces
     events = reduce(DataFrame.unionByName, (read(spark, files, label) for label, files in sets.items()))
-    cpu, kernels = prepared(events, filters, coarse, counts)
-    rows = grouped(cpu, kernels, fields, show)
+    cpu, _, _ = _prepared(events, filters, coarse, counts, _unread(fields, show))
+    rows = grouped(cpu, fields, show)
     cpu = cpu.withColumns({f"_{c}": F.when(~F.col(c).isin("", "[]"), F.col(c)) for c in ("dtype", "shape")})
     cpu = named_values(cpu, fields)
     if "call_stack" in fields:
         cpu = saved(aggregate.with_merged_stacks(cpu, ["label", *(f for f in fields if f != "call_stack")]), "merged")
     if "kernel_name" in equal:
-        cpu = cpu.join(kernels.select("file", "ext_id", F.col("name").alias("_kernel_name")), ["file", "ext_id"], "left")
+        cpu = cpu.withColumn("_kernel_name", F.col("k_name"))
     out = comparison(rows, cpu, fields, list(sets), show, equal)
     return counts(out, "groups") if counts else out
 

@@ -8,8 +8,9 @@ that holds the comma or bracket before it, and the last one is read on beyond th
 that a range begins in is the one of the events is settled by the ranges before it, too, and so are the events' places.
 
 Events come as JSON texts, which Spark parses.  Compressed files have one range, since they can't be entered in the
-middle; they are still read piece by piece, so that a task holds a piece and an event.  Ranges are read with pyarrow's file
-systems.  Files that end inside a string or a bracket, or that close more than they open, raise an error.
+middle; they are still read piece by piece, so that a task holds a piece and an event.  Nothing comes before that range, so no
+pass settles how it begins, and its events are handed on as they are found, without being stored (`read_compressed`).  Ranges are
+read with pyarrow's file systems.  Files that end inside a string or a bracket, or that close more than they open, raise an error.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ ROWS_AT_ONCE = 20_000
 BEYOND = 16 << 10
 #: Bytes before a piece that stay in sight: those between a key and its value must fit.
 SIGHT = 4096
+#: Bytes of a trace for each of its compressed file, about.
+PACKED = 8
+_BASE_KEY = b"baseTimeNanoseconds"
 _EVENTS_KEY = re.compile(rb'(?<!\\)"traceEvents"[ \t\r\n]*:[ \t\r\n]*\Z')
 _BASE = re.compile(rb'(?<!\\)"baseTimeNanoseconds"[ \t\r\n]*:[ \t\r\n]*(-?[0-9]+)(?=[ \t\r\n,}])')
 _OPEN, _CLOSE, _COMMA = b"[{", b"]}", b","
@@ -43,6 +47,7 @@ _DEPTH[list(_OPEN)], _DEPTH[list(_CLOSE)] = 1, -1
 _MARK = np.zeros(256, bool)
 _MARK[list(_OPEN + _CLOSE + _COMMA)] = True
 
+WHOLE = "id int, pos bigint, event string, base_ns bigint"
 FACTS = "file string, part int, quotes bigint, outside bigint, inside bigint, root string"
 #: kind: an event, a base time (as n), or what the range has: `first` events of the list that it begins in and n of its own list; open is whether it ends in the events' list (null: it holds no list's begin).
 ROWS = "file string, part int, kind string, at bigint, first boolean, event string, n bigint, open boolean"
@@ -113,8 +118,10 @@ class Scan:
         """(places, bytes, depth behind each) of the marks of a piece."""
         quotes = self.quotes(data)
         places = np.flatnonzero(_MARK[data])
-        outside = (np.searchsorted(quotes, places) + self.in_string) % 2 == 0
-        places = places[outside]
+        inside = np.zeros(len(data), bool)
+        inside[quotes] = True
+        np.logical_xor.accumulate(inside, out=inside)
+        places = places[inside[places] == self.in_string]
         depth = self.depth + np.cumsum(_DEPTH[data[places]], dtype=np.int64)
         self.in_string ^= len(quotes) % 2 == 1
         return places, data[places], depth
@@ -150,6 +157,10 @@ def facts(uri: str, part: int, start: int, stop: int | None, piece: int) -> dict
     return {"file": uri, "part": part, "quotes": quotes, "outside": int(change[0]), "inside": int(change[1]), "root": root}
 
 
+#: Events of one list: the place of the first, whether the list is inherited, a text, and where in it they start and end.
+Run = tuple[int, bool, bytes, np.ndarray, np.ndarray]
+
+
 class Range:
     """The events of a range, from its settled state."""
 
@@ -164,48 +175,72 @@ class Range:
 
     def feed(self, got: bytes, owned: bool = True) -> tuple[list[tuple[int, bool, bytes]], list[int], bool]:
         """(place, inherited, text) of the events that end in a piece, base times, and whether an unowned scan is done."""
+        found, bases, done = self.runs(got, owned)
+        each = lambda at, first, text, starts, ends: ((at + i, first, text[a:b]) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)))
+        return [x for run in found for x in each(*run)], bases, done
+
+    def runs(self, got: bytes, owned: bool = True) -> tuple[list[Run], list[int], bool]:
+        """`feed` with the events of a list that end in a piece as one run, without a step for each of them."""
         data = np.frombuffer(got, np.uint8)
         sight = self.scan.sight
         places, kinds, depth = self.scan.marks(data)
         bases = [] if self.bare else self.bases(sight, got, places, depth)
-        opens = np.isin(kinds, list(_OPEN)) & (depth == self.level)
-        closes = np.isin(kinds, list(_CLOSE)) & (depth == self.level - 1)
-        commas = (kinds == _COMMA[0]) & (depth == self.level)
-        found, done = [], False
-        own = np.flatnonzero(opens | closes | commas)
-        for place, kind, is_open, is_close in zip(places[own].tolist(), kinds[own].tolist(), opens[own].tolist(), closes[own].tolist(), strict=True):
-            if self.held is not None:
-                self.held.append(got[self.at : place])
-                text = b"".join(self.held)
-                self.held = None
-                if not (self.blank and is_close and not text.strip()):
-                    found.append((self.first if self.inherited else self.own, self.inherited, text))
-                    if self.inherited:
-                        self.first += 1
-                    else:
-                        self.own += 1
-            if not owned:
-                done = True
-                break
-            if is_open:
-                self.inherited, self.begun = False, True
-                self.wanted = kind == 0x5B and (self.bare or _EVENTS_KEY.search((sight + got[max(0, place - SIGHT) : place])[-SIGHT:]) is not None)
-            if not is_close and self.wanted:
-                self.held, self.at, self.blank = [], place + 1, is_open
+        change = _DEPTH[kinds]
+        own = np.flatnonzero(np.where(change < 0, depth == self.level - 1, depth == self.level))
+        places, kinds, opens, closes = places[own], kinds[own], change[own] > 0, change[own] < 0
+        found: list[Run] = []
+        done = False
+        if len(places) and self.held is not None:
+            self.held.append(got[self.at : places[0]])
+            text = b"".join(self.held)
+            self.held = None
+            if not (self.blank and closes[0] and not text.strip()):
+                self.add(found, text, np.zeros(1, np.int64), np.full(1, len(text)))
+        if len(places) and not owned:
+            done = True
+        elif len(places):
+            # a list's events stand between its bracket, which is the first mark of its own, and the marks behind each
+            heads = np.flatnonzero(opens).tolist()
+            for a, b in zip([0, *heads], [*heads, len(places)], strict=True):
+                if a == b:
+                    continue
+                if opens[a]:
+                    place = int(places[a])
+                    self.inherited, self.begun = False, True
+                    self.wanted = kinds[a] == 0x5B and (self.bare or _EVENTS_KEY.search((sight + got[max(0, place - SIGHT) : place])[-SIGHT:]) is not None)
+                if not self.wanted:
+                    continue
+                at = a + np.flatnonzero(~closes[a : min(b, len(places) - 1)])
+                if len(at) and opens[at[0]] and closes[at[0] + 1] and not got[places[at[0]] + 1 : places[at[0] + 1]].strip():
+                    at = at[1:]
+                self.add(found, got, places[at] + 1, places[at + 1])
+            if not closes[-1] and self.wanted:
+                self.held, self.at, self.blank = [], int(places[-1]) + 1, bool(opens[-1])
         if self.held is not None:
             self.held.append(got[self.at :])
             self.at = 0
         self.scan.passed(got, depth)
         return found, bases, done or (not owned and self.held is None)
 
+    def add(self, found: list[Run], text: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Numbers a run of events of the list that the scan is in."""
+        if not len(starts):
+            return
+        found.append((self.first if self.inherited else self.own, self.inherited, text, starts, ends))
+        if self.inherited:
+            self.first += len(starts)
+        else:
+            self.own += len(starts)
+
     def bases(self, sight: bytes, got: bytes, places: np.ndarray, depth: np.ndarray) -> list[int]:
         """Base times whose end lies in the piece."""
         whole = sight + got
-        if b"baseTimeNanoseconds" not in whole:
+        if _BASE_KEY not in whole:
             return []
-        out, before = [], self.scan.depth
-        for m in _BASE.finditer(whole):
-            end = m.end() - len(sight)
+        out, before, key = [], self.scan.depth, 0
+        while (key := whole.find(_BASE_KEY, key + 1)) > 0:
+            m = _BASE.match(whole, key - 1)
+            end = m.end() - len(sight) if m else -1
             if end >= 0:
                 at = np.searchsorted(places, end) - 1
                 if (depth[at] if at >= 0 else before) == 1:
@@ -235,6 +270,65 @@ def events(uri: str, part: int, start: int, stop: int | None, in_string: bool, d
         yield "range", scan.first, None, None, scan.own, scan.wanted if scan.begun else None
 
 
+def texts(text: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The parts of a text as an array; what isn't UTF-8 in them is replaced."""
+    low, high = int(starts[0]), int(ends[-1])
+    whole = text[low:high]
+    try:
+        whole.decode()
+        near = bool((starts[1:] == ends[:-1] + 1).all())
+    except UnicodeDecodeError:
+        near = False
+    if not near or high - low > np.iinfo(np.int32).max:
+        return pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
+    # one byte stands between two parts
+    kept = np.ones(len(whole), bool)
+    kept[ends[:-1] - low] = False
+    flat = np.frombuffer(whole, np.uint8)[kept]
+    offsets = np.append(starts - low - np.arange(len(starts)), len(flat)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(flat))
+
+
+def base_time(uri: str, piece: int) -> int | None:
+    """The greatest base time of a compressed file; no more of it is scanned than holds the key."""
+    f, _ = opened(uri)
+    last, sight = -1, b""
+    with f:
+        for i, got in enumerate(pieces(f, 0, None, piece)):
+            if _BASE_KEY in sight + got:
+                last = i
+            sight = (sight + got)[-SIGHT:]
+    found: list[int] = []
+    f, _ = opened(uri)
+    with f:
+        scan = None
+        for _, got in zip(range(last + 1), pieces(f, 0, None, piece), strict=False):
+            scan = scan or rooted(got)
+            found += scan.runs(got)[1] if scan else []
+    return max(found, default=None)
+
+
+def rooted(got: bytes) -> Range | None:
+    """The scan of a file that begins with a piece; None if that is blank."""
+    root = got.removeprefix(b"\xef\xbb\xbf").lstrip()[:1].decode("latin-1")
+    return Range(root, False, 0, b"") if root else None
+
+
+def whole(uri: str, piece: int) -> Iterator[tuple[int, pa.Array]]:
+    """(place of the first, texts) of runs of events of a compressed file."""
+    f, _ = opened(uri)
+    scan, root = None, ""
+    with f:
+        for got in pieces(f, 0, None, piece):
+            if scan is None:
+                root = got.removeprefix(b"\xef\xbb\xbf").lstrip()[:1].decode("latin-1")
+                scan = rooted(got)
+            if scan:
+                yield from ((at, texts(*run)) for at, first, *run in scan.runs(got)[0] if not first)
+    if scan and (root not in ("{", "[") or scan.scan.in_string or scan.scan.depth):
+        raise ValueError(f"broken JSON in {uri}")
+
+
 _KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
@@ -263,6 +357,16 @@ def _events(piece: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 yield batch_of(held, ROWS)
 
 
+def _whole(piece: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            base = base_time(r["file"], piece)
+            for at, found in whole(r["file"], piece):
+                n = len(found)
+                fixed = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([fixed(r["id"], pa.int32()), pa.array(np.arange(at, at + n)), found, fixed(base, pa.int64())], ["id", "pos", "event", "base_ns"])
+
+
 def range_count(uri: str, n: int, size: int) -> int:
     return 1 if uri.endswith(".gz") else max(1, -(-n // size))
 
@@ -296,8 +400,22 @@ def settled(spread: DataFrame, found: DataFrame) -> DataFrame:
     return spread.join(state.select("file", "part", "in_string", "depth", "root"), ["file", "part"])
 
 
+def read_compressed(spark: SparkSession, files: list[tuple[str, int]], piece: int) -> DataFrame:
+    """`read_events` of compressed files: whole files, and several a task only where these are small or very many."""
+    table = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(files)], "id int, file string")
+    n = min(len(files), max(4 * spark.sparkContext.defaultParallelism, -(-sum(n for _, n in files) * PACKED // RANGE)))
+    rows = table.repartitionByRange(n, "id").mapInArrow(partial(_whole, piece), WHOLE)
+    # a row a file; its name isn't sent with each event
+    return rows.join(F.broadcast(table), "id").select("file", "pos", "event", "base_ns")
+
+
 def read_events(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE, piece: int = PIECE) -> DataFrame:
     """(file, pos, event, base_ns): the events' texts with their places in their files (URI, bytes)."""
+    packed = [x for x in files if x[0].endswith(".gz")]
+    if packed:
+        plain = [x for x in files if not x[0].endswith(".gz")]
+        rows = read_compressed(spark, packed, piece)
+        return rows.unionByName(read_events(spark, plain, size, piece)) if plain else rows
     spread = ranges(spark, files, size)
     found = saved(spread.mapInArrow(partial(_facts, piece), FACTS), "range-facts")
     ready = settled(spread, found).repartitionByRange(tasks(spark, files, size), "id").drop("id")

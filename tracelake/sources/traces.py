@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,15 @@ from . import ends, large, runs
 LARGE = 128 << 20
 _FILE = "baseTimeNanoseconds bigint, traceEvents array<variant>"
 _EVENT = "name variant, cat variant, ph variant, pid variant, tid variant, ts variant, dur variant, args variant, id variant, stream variant"
+#: The types that entries have as a rule, and a column for texts that have others.
+_BAD = "_not_as_typed"
+_TEXTS = ("name", "cat", "ph", "pid", "tid", "id")
+_TYPED = (
+    f"{', '.join(f'{c} string' for c in _TEXTS)}, ts double, dur double, stream bigint, args struct<`External id` variant, `Input type` string, `Input Dims` variant, stream bigint, "
+    f"`In msg nelems` bigint, `Out msg nelems` bigint, `Group size` bigint, dtype string, `Process Group Ranks` string>, {_BAD} string"
+)
+#: Texts that may come from a number or from brackets, and may be written otherwise there; whole numbers are written alike.
+_NO_TEXT = r"(?m)^(?:[\[{\"]|-0$|-?\d{19,}$|-?\d+\.\d+(?:[eE][+-]?\d+)?$|-?\d+[eE][+-]?\d+$)"
 #: Fixed value: how trace files in run folders are named.
 RUN_FILES = "trace_*.json"
 
@@ -65,7 +74,7 @@ def sized_files(spark: SparkSession, paths: Sequence[str] | str, more_than: int
 
 def weight(file: str, size: str) -> Column:
     """Bytes of a file when it is read, about."""
-    return F.when(F.col(file).endswith(".gz"), F.col(size) * 8).otherwise(F.col(size))
+    return F.when(F.col(file).endswith(".gz"), F.col(size) * large.PACKED).otherwise(F.col(size))
 
 
 def read_traces(spark: SparkSession, paths: Sequence[str] | str, label: str | None = None, most: int = LARGE) -> DataFrame:
@@ -95,10 +104,27 @@ def read_large_traces(spark: SparkSession, paths: Sequence[str] | str, label: st
 
 
 def _scanned(spark: SparkSession, files: list[tuple[str, int]], label: str | None, size: int = large.RANGE) -> DataFrame:
-    rows = large.read_events(spark, files, size)
-    event = [c.split()[0] for c in _EVENT.split(", ")]
-    parsed = rows.select("file", "base_ns", "pos", F.try_parse_json("event").alias("e"))
-    return parsed_events(parsed.select("file", "base_ns", "pos", *(F.try_variant_get("e", f"$.{c}", "variant").alias(c) for c in event)), label)
+    return events_of(large.read_events(spark, files, size), label)
+
+
+def events_of(rows: DataFrame, label: str | None = None) -> DataFrame:
+    """The event schema from texts (file, base_ns, pos, event).
+
+    Texts are read with the types that entries have as a rule.  Those that have others (a text for a time, a pid with a fraction), or that
+    aren't objects, are read again as variants, so that the rows are those of `parsed_events`, but for an entry of two equal keys: here the last one counts.
+    """
+    strict = {"columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    read = rows.withColumn("_t", F.from_json("event", _TYPED, strict))
+    texts = F.concat_ws("\n", *(F.col(f"_t.{c}") for c in (*_TEXTS, "args.`Input type`", "args.dtype", "args.`Process Group Ranks`")))
+    read = read.withColumn("_odd", F.col("_t").isNull() | F.col(f"_t.{_BAD}").isNotNull() | texts.rlike(_NO_TEXT))
+    # variants know no negative zero
+    typed = _columns(lambda c, kind: F.col(f"_t.{c}") + 0.0 if kind == "double" else F.col(f"_t.{c}"), lambda key, kind: F.col(f"_t.args.`{key}`"))
+    again = lambda e: _columns(lambda c, kind: F.try_variant_get(e, f"$.{c}", kind), lambda key, kind: F.try_variant_get(e, f"$.args['{key}']", kind))
+    # inside a transform, of which no code is made: with that for rare texts the code for all others would be too long for the JVM to compile
+    other = F.transform(F.array(F.try_parse_json("event")), lambda e: F.struct(*(v.alias(k) for k, v in again(e).items())))[0]
+    read = read.withColumn("_o", F.when(F.col("_odd"), other))
+    args = F.try_variant_get(F.try_parse_json("event"), "$.args", "variant").alias("args")
+    return read.select("file", F.lit(label).cast("string").alias("label"), "base_ns", "pos", *(F.when(F.col("_odd"), F.col(f"_o.{c}")).otherwise(v).alias(c) for c, v in typed.items()), args)
 
 
 def _get(column: str, kind: str, path: str = "$") -> Column:
@@ -107,23 +133,23 @@ def _get(column: str, kind: str, path: str = "$") -> Column:
 
 def parsed_events(rows: DataFrame, label: str | None = None, also: Sequence[str] = ()) -> DataFrame:
     """The event schema from columns of variants, and columns that are kept."""
-    arg = lambda key, kind: _get("args", kind, f"$['{key}']")
-    external = F.try_variant_get("args", "$['External id']", "variant")
-    kind = arg("Input type", "string")
-    return rows.select(
-        "file", F.lit(label).cast("string").alias("label"), "base_ns", "pos",
-        *(F.coalesce(_get(c, "string"), F.lit("")).alias(c) for c in ("name", "cat", "ph")),
-        *(F.coalesce(_get(c, "string"), F.lit("0")).alias(c) for c in ("pid", "tid")),
-        F.coalesce(_get("ts", "double"), F.lit(0.0)).alias("ts"), _get("dur", "double").alias("dur"),
-        _get("id", "string").alias("flow_id"),
-        F.coalesce(_get("stream", "bigint"), arg("stream", "bigint")).alias("stream_id"),
-        F.to_json(external).alias("ext_id"), kind.alias("dtype"),
-        F.to_json(F.try_variant_get("args", "$['Input Dims']", "variant")).alias("shape"),
-        *(arg(key, t).alias(name) for name, key, t in (
-            ("in_msg_nelems", "In msg nelems", "bigint"), ("out_msg_nelems", "Out msg nelems", "bigint"), ("group_size", "Group size", "bigint"),
-            ("comm_dtype", "dtype", "string"), ("process_group_ranks", "Process Group Ranks", "string"))),
-        "args", *also,
-    )
+    columns = _columns(lambda c, kind: _get(c, kind), lambda key, kind: _get("args", kind, f"$['{key}']"))
+    return rows.select("file", F.lit(label).cast("string").alias("label"), "base_ns", "pos", *(v.alias(k) for k, v in columns.items()), "args", *also)
+
+
+def _columns(field: Callable[[str, str], Column], arg: Callable[[str, str], Column]) -> dict[str, Column]:
+    """What an event's entries make of its columns; field and arg give an entry, or one of args, as a type."""
+    return {
+        **{c: F.coalesce(field(c, "string"), F.lit("")) for c in ("name", "cat", "ph")},
+        **{c: F.coalesce(field(c, "string"), F.lit("0")) for c in ("pid", "tid")},
+        "ts": F.coalesce(field("ts", "double"), F.lit(0.0)), "dur": field("dur", "double"),
+        "flow_id": field("id", "string"),
+        "stream_id": F.coalesce(field("stream", "bigint"), arg("stream", "bigint")),
+        "ext_id": F.to_json(arg("External id", "variant")), "dtype": arg("Input type", "string"),
+        "shape": F.to_json(arg("Input Dims", "variant")),
+        "in_msg_nelems": arg("In msg nelems", "bigint"), "out_msg_nelems": arg("Out msg nelems", "bigint"), "group_size": arg("Group size", "bigint"),
+        "comm_dtype": arg("dtype", "string"), "process_group_ranks": arg("Process Group Ranks", "string"),
+    }
 
 
 def argument(key: str, kind: str = "string") -> Column:
