@@ -32,7 +32,17 @@ def test_typed_entries_are_those_of_variants(spark):
     rows = spark.createDataFrame([("f", i, 7, t) for i, t in enumerate(texts)], "file string, pos bigint, base_ns bigint, event string")
     fields = [c.split()[0] for c in traces._EVENT.split(", ")]
     parsed = rows.withColumn("e", F.try_parse_json("event")).select("file", "base_ns", "pos", *(F.try_variant_get("e", f"$.{c}", "variant").alias(c) for c in fields))
-    assert flat(traces.events_of(rows, "x")) == flat(traces.parsed_events(parsed, "x"))
+    want = flat(traces.parsed_events(parsed, "x"))
+    assert flat(traces.events_of(rows, "x")) == want
+    # in lists: odd ones alone and among usual ones, which are then read by themselves too
+    usual = '{"name": "n", "ph": "X", "pid": 1, "tid": 2, "ts": 1.5, "dur": 2, "args": {"External id": 3, "Input Dims": [[1], []]}}'
+    between = [("f", 3 * i, 7, [usual, t, usual] if i % 2 else [t]) for i, t in enumerate(texts)]
+    lists = traces.events_of_lists(spark.createDataFrame(between, "file string, pos bigint, base_ns bigint, events array<string>"), "x")
+    places = F.when((F.col("pos") % 6 == 0), F.col("pos") / 3).when(F.col("pos") % 6 == 4, (F.col("pos") - 1) / 3).cast("bigint")
+    assert flat(lists.withColumn("pos", places).where("pos is not null")) == want
+    others = lists.where("pos % 6 in (3, 5)").drop("pos", "args").distinct().collect()
+    assert len(others) == 1 and (others[0].ts, others[0].ext_id, others[0]["shape"]) == (1.5, "3", "[[1],[]]")
+    assert flat(traces.events_of_lists(rows.groupBy("file", "base_ns").agg(F.lit(0).cast("bigint").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "event")))["event"].alias("events")), "x")) == want
 
 
 def test_compressed_files_are_scanned_once(spark, tmp_path, monkeypatch):
@@ -47,8 +57,9 @@ def test_compressed_files_are_scanned_once(spark, tmp_path, monkeypatch):
         (tmp_path / f"{name}.json.gz").write_bytes(gzip.compress(json.dumps(body, indent=rng.choice([None, 1]), ensure_ascii=False).encode()))
     want = flat(traces.read_traces(spark, f"{tmp_path}/*.gz", "x"))
     monkeypatch.setattr(large, "saved", lambda *_: pytest.fail("stored"))
+    monkeypatch.setattr(large, "TOGETHER", 9)
     for piece in (7, 300, large.PIECE):
-        monkeypatch.setattr(large.read_events, "__defaults__", (large.RANGE, piece))
+        monkeypatch.setattr(large.read_compressed, "__defaults__", (piece,))
         assert flat(traces.read_traces(spark, f"{tmp_path}/*.gz", "x", most=0)) == want
     (tmp_path / "cut.json.gz").write_bytes(gzip.compress(json.dumps(bodies["none"]).encode()[:-30]))
     with pytest.raises(Exception, match=r"broken JSON in .*cut\.json"):

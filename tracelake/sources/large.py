@@ -47,7 +47,9 @@ _DEPTH[list(_OPEN)], _DEPTH[list(_CLOSE)] = 1, -1
 _MARK = np.zeros(256, bool)
 _MARK[list(_OPEN + _CLOSE + _COMMA)] = True
 
-WHOLE = "id int, pos bigint, event string, base_ns bigint"
+WHOLE = "id int, pos bigint, events array<string>, base_ns bigint"
+#: Events of a compressed file that go into a row, so that one parser reads them all.
+TOGETHER = 100
 FACTS = "file string, part int, quotes bigint, outside bigint, inside bigint, root string"
 #: kind: an event, a base time (as n), or what the range has: `first` events of the list that it begins in and n of its own list; open is whether it ends in the events' list (null: it holds no list's begin).
 ROWS = "file string, part int, kind string, at bigint, first boolean, event string, n bigint, open boolean"
@@ -362,9 +364,10 @@ def _whole(piece: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for r in b.to_pylist():
             base = base_time(r["file"], piece)
             for at, found in whole(r["file"], piece):
-                n = len(found)
-                fixed = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([fixed(r["id"], pa.int32()), pa.array(np.arange(at, at + n)), found, fixed(base, pa.int64())], ["id", "pos", "event", "base_ns"])
+                firsts = np.arange(0, len(found), TOGETHER)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(found)).astype(np.int32)), found)
+                fixed = lambda value, kind, n=len(firsts): pa.repeat(pa.scalar(value, kind), n)
+                yield pa.RecordBatch.from_arrays([fixed(r["id"], pa.int32()), pa.array(firsts + at), lists, fixed(base, pa.int64())], ["id", "pos", "events", "base_ns"])
 
 
 def range_count(uri: str, n: int, size: int) -> int:
@@ -400,22 +403,20 @@ def settled(spread: DataFrame, found: DataFrame) -> DataFrame:
     return spread.join(state.select("file", "part", "in_string", "depth", "root"), ["file", "part"])
 
 
-def read_compressed(spark: SparkSession, files: list[tuple[str, int]], piece: int) -> DataFrame:
-    """`read_events` of compressed files: whole files, and several a task only where these are small or very many."""
+def read_compressed(spark: SparkSession, files: list[tuple[str, int]], piece: int = PIECE) -> DataFrame:
+    """(file, pos, events, base_ns) of compressed files: texts of up to TOGETHER events in a row, and the place of the first.
+
+    A task reads whole files, and several only where these are small or very many.
+    """
     table = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(files)], "id int, file string")
     n = min(len(files), max(4 * spark.sparkContext.defaultParallelism, -(-sum(n for _, n in files) * PACKED // RANGE)))
     rows = table.repartitionByRange(n, "id").mapInArrow(partial(_whole, piece), WHOLE)
-    # a row a file; its name isn't sent with each event
-    return rows.join(F.broadcast(table), "id").select("file", "pos", "event", "base_ns")
+    # a row a file; its name isn't sent with each row
+    return rows.join(F.broadcast(table), "id").select("file", "pos", "events", "base_ns")
 
 
 def read_events(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE, piece: int = PIECE) -> DataFrame:
     """(file, pos, event, base_ns): the events' texts with their places in their files (URI, bytes)."""
-    packed = [x for x in files if x[0].endswith(".gz")]
-    if packed:
-        plain = [x for x in files if not x[0].endswith(".gz")]
-        rows = read_compressed(spark, packed, piece)
-        return rows.unionByName(read_events(spark, plain, size, piece)) if plain else rows
     spread = ranges(spark, files, size)
     found = saved(spread.mapInArrow(partial(_facts, piece), FACTS), "range-facts")
     ready = settled(spread, found).repartitionByRange(tasks(spark, files, size), "id").drop("id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -16,13 +17,14 @@ from . import ends, large, runs
 LARGE = 128 << 20
 _FILE = "baseTimeNanoseconds bigint, traceEvents array<variant>"
 _EVENT = "name variant, cat variant, ph variant, pid variant, tid variant, ts variant, dur variant, args variant, id variant, stream variant"
-#: The types that entries have as a rule, and a column for texts that have others.
+#: The types that entries have as a rule, and a column for texts in which they have others.
 _BAD = "_not_as_typed"
 _TEXTS = ("name", "cat", "ph", "pid", "tid", "id")
 _TYPED = (
     f"{', '.join(f'{c} string' for c in _TEXTS)}, ts double, dur double, stream bigint, args struct<`External id` variant, `Input type` string, `Input Dims` variant, stream bigint, "
-    f"`In msg nelems` bigint, `Out msg nelems` bigint, `Group size` bigint, dtype string, `Process Group Ranks` string>, {_BAD} string"
+    "`In msg nelems` bigint, `Out msg nelems` bigint, `Group size` bigint, dtype string, `Process Group Ranks` string>"
 )
+_FIELDS = re.sub(r"(`[^`]+`|\w+) (?=\w)", r"\1: ", _TYPED)
 #: Texts that may come from a number or from brackets, and may be written otherwise there; whole numbers are written alike.
 _NO_TEXT = r"(?m)^(?:[\[{\"]|-0$|-?\d{19,}$|-?\d+\.\d+(?:[eE][+-]?\d+)?$|-?\d+[eE][+-]?\d+$)"
 #: Fixed value: how trace files in run folders are named.
@@ -104,7 +106,13 @@ def read_large_traces(spark: SparkSession, paths: Sequence[str] | str, label: st
 
 
 def _scanned(spark: SparkSession, files: list[tuple[str, int]], label: str | None, size: int = large.RANGE) -> DataFrame:
-    return events_of(large.read_events(spark, files, size), label)
+    packed, plain = ([x for x in files if x[0].endswith(".gz") == gz] for gz in (True, False))
+    parts = [events_of(large.read_events(spark, plain, size), label)] if plain or not packed else []
+    return reduce(DataFrame.unionByName, [*parts, *([events_of_lists(large.read_compressed(spark, packed), label)] if packed else [])])
+
+
+#: What typed texts must not have: other quotes and numbers than JSON has.
+_STRICT = {"columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def events_of(rows: DataFrame, label: str | None = None) -> DataFrame:
@@ -113,10 +121,25 @@ def events_of(rows: DataFrame, label: str | None = None) -> DataFrame:
     Texts are read with the types that entries have as a rule.  Those that have others (a text for a time, a pid with a fraction), or that
     aren't objects, are read again as variants, so that the rows are those of `parsed_events`, but for an entry of two equal keys: here the last one counts.
     """
-    strict = {"columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    read = rows.withColumn("_t", F.from_json("event", _TYPED, strict))
+    read = rows.withColumn("_t", F.from_json("event", f"{_TYPED}, {_BAD} string", _STRICT))
+    return _events_of(read.withColumn("_t", F.when(F.col(f"_t.{_BAD}").isNull(), F.col("_t"))), label)
+
+
+def events_of_lists(rows: DataFrame, label: str | None = None) -> DataFrame:
+    """`events_of` texts that stand in lists (file, base_ns, pos of the first, events), of which a parser reads one at once."""
+    text = F.concat(F.lit('{"v":['), F.array_join("events", ",", "null"), F.lit("]}"))
+    read = rows.withColumn("_l", F.from_json(text, f"v array<struct<{_FIELDS}>>, {_BAD} string", _STRICT))
+    # where one doesn't fit, each is read by itself
+    fits = F.col(f"_l.{_BAD}").isNull() & (F.size("_l.v") == F.size("events"))
+    typed = F.when(fits, F.col("_l.v")).otherwise(F.array_repeat(F.lit(None).cast(f"struct<{_FIELDS}>"), F.size("events")))
+    each = read.select("file", "base_ns", "pos", F.posexplode(F.arrays_zip(F.col("events").alias("event"), typed.alias("t"))).alias("_i", "_z"))
+    return _events_of(each.select("file", "base_ns", (F.col("pos") + F.col("_i")).alias("pos"), F.col("_z.event").alias("event"), F.col("_z.t").alias("_t")), label)
+
+
+def _events_of(read: DataFrame, label: str | None) -> DataFrame:
+    """Events from texts and what typed reading makes of them, null where the types don't fit."""
     texts = F.concat_ws("\n", *(F.col(f"_t.{c}") for c in (*_TEXTS, "args.`Input type`", "args.dtype", "args.`Process Group Ranks`")))
-    read = read.withColumn("_odd", F.col("_t").isNull() | F.col(f"_t.{_BAD}").isNotNull() | texts.rlike(_NO_TEXT))
+    read = read.withColumn("_odd", F.col("_t").isNull() | texts.rlike(_NO_TEXT))
     # variants know no negative zero
     typed = _columns(lambda c, kind: F.col(f"_t.{c}") + 0.0 if kind == "double" else F.col(f"_t.{c}"), lambda key, kind: F.col(f"_t.args.`{key}`"))
     again = lambda e: _columns(lambda c, kind: F.try_variant_get(e, f"$.{c}", kind), lambda key, kind: F.try_variant_get(e, f"$.args['{key}']", kind))
