@@ -107,3 +107,12 @@ def test_threads_are_cut_where_they_are_large(spark, tmp_path, monkeypatch):
         cpu, kernels = analysis.prepared(events())
         runs.append((result(analysis.enriched(events())), result(cpu), result(kernels)))
     assert runs[0] == runs[1] == runs[2] and any("call_stack=['f" in r for r in runs[0][0])
+
+
+def test_compressed_files_count_with_what_they_hold(spark, tmp_path):
+    """Traces shrink to a twentieth and less: a file whose text is above the limit isn't parsed as one row."""
+    text = json.dumps({"traceEvents": [op("k", i // 9, 1.5, i // 4, pid=0, cat="kernel", stream=i % 7) for i in range(20_000)]}, indent=1).encode()
+    (tmp_path / "t.json.gz").write_bytes(gzip.compress(text))
+    size = (tmp_path / "t.json.gz").stat().st_size
+    assert len(text) > 20 * size
+    assert len(traces.sized_files(spark, str(tmp_path), 20 * size)) == 1

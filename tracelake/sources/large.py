@@ -36,8 +36,8 @@ ROWS_AT_ONCE = 20_000
 BEYOND = 16 << 10
 #: Bytes before a piece that stay in sight: those between a key and its value must fit.
 SIGHT = 4096
-#: Bytes of a trace for each of its compressed file, about.
-PACKED = 8
+#: Bytes of a trace for each of its compressed file, at most, about.
+PACKED = 24
 _BASE_KEY = b"baseTimeNanoseconds"
 _EVENTS_KEY = re.compile(rb'(?<!\\)"traceEvents"[ \t\r\n]*:[ \t\r\n]*\Z')
 _BASE = re.compile(rb'(?<!\\)"baseTimeNanoseconds"[ \t\r\n]*:[ \t\r\n]*(-?[0-9]+)(?=[ \t\r\n,}])')

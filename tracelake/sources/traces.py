@@ -69,7 +69,7 @@ def labelled_files(spark: SparkSession, spec: str, most: int | None = None, seed
 
 
 def sized_files(spark: SparkSession, paths: Sequence[str] | str, more_than: int = -1) -> list[tuple[str, int]]:
-    """(URI, bytes) of the files that paths, folders or globs name; of those with more bytes alone (compressed ones count eightfold)."""
+    """(URI, bytes) of the files that paths, folders or globs name; of those with more bytes alone (compressed ones count with what they hold, about)."""
     names = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n"))
     return [(r.file, r.n) for r in names.where(weight("file", "n") > more_than).collect()]
 
